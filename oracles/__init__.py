@@ -1,0 +1,16 @@
+"""DuckDB SQL twins of the registered queries, for checking results."""
+
+from oracles.base import with_ctes
+from oracles.part1 import ENTROPY_CTE
+from oracles.part1 import SQL as PART1
+
+
+def all_sql() -> dict[str, str]:
+    bodies = dict(PART1)
+    try:
+        from oracles.part2 import SQL as PART2
+
+        bodies.update(PART2)
+    except ImportError:
+        pass
+    return {name: with_ctes(body, ENTROPY_CTE) for name, body in bodies.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import Any
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,8 @@ class Config:
     )
     # execution
     skew: SkewConfig = SkewConfig()
+    # measured hot keys (operators.running.HotKeys); None lets each operator measure its own input
+    hot: Any = None
 
 
 DEFAULT = Config()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import ratio
-from threatlake.operators.running import SLOT, micros, with_slot
+from threatlake.operators.running import SLOT, measure, micros, with_slot
 
 UNIT = 10_000  # thresholds are handled as integers of 1e-4
 
@@ -57,7 +57,8 @@ def threshold_path(steps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     slot is composed on its own, the few slot summaries are chained to get every slot's
     starting value, and the slots are replayed from there in parallel.
     """
-    slotted = with_slot(steps.withColumn("_pos", micros("created_at")), ["level"], "_pos", cfg.skew)
+    placed = steps.withColumn("_pos", micros("created_at"))
+    slotted = with_slot(placed, "level", F.col("_pos"), measure(placed, "level", F.col("_pos"), cfg), cfg)
     bounds = {lv: tuple(round(b * UNIT) for b in cfg.bounds.get(lv, (0.0, 1.0))) for lv in cfg.thresholds}
     start = {lv: round(v * UNIT) for lv, v in cfg.thresholds.items()}
 

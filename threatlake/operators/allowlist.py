@@ -57,7 +57,7 @@ def trusted_sources(ips: DataFrame, entries: DataFrame, cfg: Config = DEFAULT) -
 
 def flag_trusted(df: DataFrame, entries: DataFrame, cfg: Config = DEFAULT, row_id: str = "log_id") -> DataFrame:
     trusted = trusted_sources(df, entries, cfg).withColumn("_t", F.lit(True))
-    return salted_lookup(df, trusted, "source_ip", row_id, cfg.skew).withColumn("is_trusted", F.coalesce("_t", F.lit(False))).drop("_t")
+    return salted_lookup(df, trusted, "source_ip", row_id, cfg).withColumn("is_trusted", F.coalesce("_t", F.lit(False))).drop("_t")
 
 
 def drop_trusted(df: DataFrame, entries: DataFrame, cfg: Config = DEFAULT, row_id: str = "log_id") -> DataFrame:

@@ -67,14 +67,14 @@ def simple_action(score: Column | str, risk: Column | str, repeat: Column) -> Co
 def prior_threats(threats: DataFrame, cfg: Config = DEFAULT, ts: str = "ts", row_id: str = "log_id") -> DataFrame:
     """Add ``prior``: how many threats the source had before this one."""
     rows = threats.withColumn("_pos", micros(ts))
-    counted = running(rows, ["source_ip"], "_pos", {"_n": ("sum", F.lit(1).cast("bigint"))}, tie=row_id, skew=cfg.skew)
+    counted = running(rows, ["source_ip"], "_pos", {"_n": ("sum", F.lit(1).cast("bigint"))}, tie=row_id, cfg=cfg)
     return counted.withColumn("prior", F.coalesce("_n", F.lit(0)).cast("bigint")).drop("_pos", "_n")
 
 
 def correlation(scores: DataFrame, cfg: Config = DEFAULT, ts: str = "ts") -> DataFrame:
     """Add ``recent_events`` (the event itself included) and ``correlated``."""
     counted = lookback(
-        scores, ["source_ip"], ts, cfg.lookback_seconds, {"recent_events": F.lit(1).cast("bigint")}, include_now=True, skew=cfg.skew
+        scores, ["source_ip"], ts, cfg.lookback_seconds, {"recent_events": F.lit(1).cast("bigint")}, include_now=True, cfg=cfg
     )
     return counted.withColumn("correlated", F.col("recent_events") >= cfg.correlation_min_events)
 
@@ -82,7 +82,7 @@ def correlation(scores: DataFrame, cfg: Config = DEFAULT, ts: str = "ts") -> Dat
 def cooldown(threats: DataFrame, cfg: Config = DEFAULT, ts: str = "created_at") -> DataFrame:
     """Add ``in_cooldown``: the source was alerted on shortly before, per the recorded threats."""
     alerted = F.when(F.col("action_taken").isin(ALERT_OR_STRONGER), 1).otherwise(0).cast("bigint")
-    counted = lookback(threats, ["source_ip"], ts, cfg.cooldown_seconds, {"_alerts": alerted}, skew=cfg.skew)
+    counted = lookback(threats, ["source_ip"], ts, cfg.cooldown_seconds, {"_alerts": alerted}, cfg=cfg)
     return counted.withColumn("in_cooldown", F.col("_alerts") > 0).drop("_alerts")
 
 
@@ -90,7 +90,7 @@ def recent_severity(threats: DataFrame, cfg: Config = DEFAULT, ts: str = "create
     """Add ``past_severity``: the strongest of the source's last ``depth`` actions, 0 if none."""
     rows = threats.withColumn("_pos", micros(ts)).withColumn("_sev", severity("action_taken"))
     build = lambda w: {"past_severity": F.coalesce(F.max("_sev").over(w.rowsBetween(-depth, -1)), F.lit(0))}
-    return trailing(rows, ["source_ip"], "_pos", row_id, depth, build, skew=cfg.skew).drop("_pos", "_sev")
+    return trailing(rows, ["source_ip"], "_pos", row_id, depth, build, cfg=cfg).drop("_pos", "_sev")
 
 
 # --- false-positive risk ------------------------------------------------------------------------

@@ -46,7 +46,7 @@ def history(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     signed = enter.unionByName(leave, allowMissingColumns=True)
 
     per_port = running(
-        signed, ["source_ip", "_port"], "_pos", {"_before": ("sum", F.col("_sign"))}, tie="log_id", skew=cfg.skew, scale=2
+        signed, ["source_ip", "_port"], "_pos", {"_before": ("sum", F.col("_sign"))}, tie="log_id", cfg=cfg, scale=2
     )
     before = F.coalesce(F.col("_before"), F.lit(0))
     after = before + F.col("_sign")
@@ -63,7 +63,7 @@ def history(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
     names = ["rows", "bytes", "squares", "port_rows", "port_kinds", "port_weight"]
     sums = {f"s_{n}": ("sum", F.col(f"_{n}")) for n in names}
-    done = running(changes, ["source_ip"], "_pos", sums, skew=cfg.skew, scale=2).where(F.col("_flow").isNotNull())
+    done = running(changes, ["source_ip"], "_pos", sums, cfg=cfg, scale=2).where(F.col("_flow").isNotNull())
     out = {"rows": "hist_rows", "bytes": "hist_bytes", "squares": "hist_squares"}
     return done.select(
         "log_id", "source_ip", *[F.col(f"_flow.{c}").alias(c) for c in payload],
@@ -109,7 +109,7 @@ def ip_share(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     total = flows.agg(F.count("*")).scalar()
     per_ip = flows.groupBy("source_ip").agg(F.count("*").alias("ip_rows"))
     share = F.least(F.col("ip_rows").cast("double") / F.greatest(total, F.lit(1)).cast("double"), F.lit(1.0))
-    joined = salted_lookup(flows, per_ip, "source_ip", "log_id", cfg.skew)
+    joined = salted_lookup(flows, per_ip, "source_ip", "log_id", cfg)
     return joined.select(*flows.columns, share.alias("ip_share"))
 
 

@@ -90,7 +90,7 @@ def progression(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Flag stage events that are further than the source's previous one, within an hour."""
     numbered = events.select("*", micros("detected_at").alias("_pos"), stage_index("stage").alias("_idx"))
     previous = F.struct(F.col("_pos").alias("at"), F.col("log_id").alias("id"), F.col("_idx").alias("idx"))
-    joined = running(numbered, ["source_ip"], "_pos", {"_prev": ("max", previous)}, tie="log_id", skew=cfg.skew)
+    joined = running(numbered, ["source_ip"], "_pos", {"_prev": ("max", previous)}, tie="log_id", cfg=cfg)
     advancing = (F.col("_idx") > F.col("_prev.idx")) & (F.col("_pos") - F.col("_prev.at") <= 3_600_000_000)
     return joined.withColumn("is_progressing", F.coalesce(advancing, F.lit(False))).drop("_pos", "_idx", "_prev")
 
@@ -135,7 +135,7 @@ def active_attackers(profiles: DataFrame) -> DataFrame:
 def current_context(new_stages: DataFrame, profiles: DataFrame, cfg: Config = DEFAULT, row_id: str = "log_id") -> DataFrame:
     """Stage of the flow itself, or else the stored stage of its source while that is active."""
     stored = profiles.where("is_active").select("source_ip", F.col("current_stage").alias("_stored"))
-    joined = salted_lookup(new_stages, stored, "source_ip", row_id, cfg.skew)
+    joined = salted_lookup(new_stages, stored, "source_ip", row_id, cfg)
     return joined.withColumn("context_stage", F.coalesce("stage", "_stored")).drop("_stored")
 
 

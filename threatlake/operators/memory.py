@@ -80,7 +80,7 @@ def sequence_deviation(flows: DataFrame, cfg: Config = DEFAULT, length: int = 20
     """How far each request rate is from the smoothed expectation of the rates before it."""
     rows = flows.select("log_id", "source_ip", "ts", "request_rate").withColumn("_pos", micros("ts"))
     build = lambda w: {"_seq": F.collect_list("request_rate").over(w.rowsBetween(-(length - 1), 0))}
-    listed = trailing(rows, ["source_ip"], "_pos", "log_id", length - 1, build, skew=cfg.skew)
+    listed = trailing(rows, ["source_ip"], "_pos", "log_id", length - 1, build, cfg=cfg)
     have = F.size("_seq")
     padded = F.concat(F.array_repeat(F.get("_seq", F.lit(0)), F.lit(length) - have), F.col("_seq"))
     past = F.slice("_full", 1, length - 1)

@@ -24,7 +24,7 @@ def reputation_step(action: Column | str) -> Column:
 def with_reputation(threats: DataFrame, reputation: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Threats with the stored reputation of their source, or the default row."""
     stored = reputation.select(F.col("ip_address").alias("source_ip"), "threat_count", "is_blocked", "reputation_score")
-    joined = salted_lookup(threats, stored, "source_ip", "log_id", cfg.skew)
+    joined = salted_lookup(threats, stored, "source_ip", "log_id", cfg)
     return joined.withColumns({
         "threat_count": F.coalesce("threat_count", F.lit(0)),
         "is_blocked": F.coalesce("is_blocked", F.lit(False)),
@@ -49,7 +49,7 @@ def reputation_path(actions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Reputation of the target after each action. All steps lower it, so stopping at 0 after
     every step equals stopping the running sum at 0."""
     rows = actions.withColumn("_pos", micros("executed_at")).withColumn("_step", reputation_step("action_type"))
-    summed = running(rows, ["target_ip"], "_pos", {"_spent": ("sum", F.col("_step"))}, tie="action_id", inclusive=True, skew=cfg.skew)
+    summed = running(rows, ["target_ip"], "_pos", {"_spent": ("sum", F.col("_step"))}, tie="action_id", inclusive=True, cfg=cfg)
     return summed.withColumn("reputation", F.greatest(F.lit(0), F.lit(100) - F.col("_spent")) / F.lit(100.0)).drop("_pos", "_step", "_spent")
 
 
@@ -99,14 +99,14 @@ def trailing_mean(scores: DataFrame, depth: int = 5, cfg: Config = DEFAULT) -> D
     """Mean of the source's ``depth`` latest scores as of every score."""
     rows = scores.withColumn("_pos", micros("ts"))
     build = lambda w: {"recent_mean": F.avg("combined").over(w.rowsBetween(-(depth - 1), 0))}
-    return trailing(rows, ["source_ip"], "_pos", "log_id", depth - 1, build, skew=cfg.skew).drop("_pos")
+    return trailing(rows, ["source_ip"], "_pos", "log_id", depth - 1, build, cfg=cfg).drop("_pos")
 
 
 def mean_before(actions: DataFrame, scores: DataFrame, depth: int = 5, cfg: Config = DEFAULT, at: str = "executed_at") -> DataFrame:
     """Add ``mean_before``: mean of the target's ``depth`` latest scores at or before the action."""
     means = trailing_mean(scores.select("source_ip", "ts", "log_id", "combined"), depth, cfg)
     probes = actions.withColumnRenamed("target_ip", "source_ip")
-    found = as_of(probes, means, "source_ip", at, "ts", "log_id", ["recent_mean"], skew=cfg.skew, name="_m")
+    found = as_of(probes, means, "source_ip", at, "ts", "log_id", ["recent_mean"], cfg=cfg, name="_m")
     return found.withColumn("mean_before", F.coalesce("_m.recent_mean", F.lit(0.0))).drop("_m").withColumnRenamed("source_ip", "target_ip")
 
 

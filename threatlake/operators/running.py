@@ -1,62 +1,87 @@
 """Running aggregates and short row histories that stay balanced when one key is huge.
 
 Ordinary keys use one plain window per key. The few keys that hold more than their share of
-the table ("hot", see :class:`~threatlake.config.SkewConfig`) are cut into time slots; every
-slot is its own window group and receives what came before it as a carried value. The result
-is the same as the uncut window for sums, counts and maxima, which combine associatively.
+the table (:class:`HotKeys`, measured once per pipeline) are cut into time slots; every slot is
+its own window group and receives what came before it as a carried value. The result is the
+same as the uncut window for sums, counts and maxima, which combine associatively. When no key
+is hot the plan is just the window.
 
-Positions are BIGINT (microseconds, or doubled microseconds where half steps are needed).
+Positions are BIGINT microseconds, or twice that where half steps are needed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threatlake.config import SkewConfig
+from threatlake.config import DEFAULT, Config
 
 SLOT = "_slot"
 WHOLE = -(2**62)  # slot of a key that is not cut
 
 
+@dataclass(frozen=True)
+class HotKeys:
+    """Keys above their share with a salt count, and their dense time cells with a part count."""
+
+    keys: tuple[tuple[str, int], ...] = ()
+    cells: tuple[tuple[str, int, int], ...] = ()
+
+    def __bool__(self) -> bool:
+        return bool(self.keys)
+
+
 def micros(ts: Column | str) -> Column:
     return F.unix_micros(F.col(ts) if isinstance(ts, str) else ts)
 
 
-def with_slot(df: DataFrame, keys: Sequence[str], pos: str, skew: SkewConfig, scale: int = 1) -> DataFrame:
-    """Add ``_slot``: one constant for ordinary keys, the slot's start position for hot ones."""
-    width = skew.cell_us * scale
-    cell = F.floor(F.col(pos) / F.lit(width)).cast("bigint")
-    cells = df.groupBy(*keys, cell.alias("_cell")).agg(F.count("*").alias("_n"))
-    total = df.agg(F.count("*")).scalar()
-    hot_keys = (
-        cells.groupBy(*keys)
-        .agg(F.sum("_n").alias("_rows"))
-        .where((F.col("_rows") >= skew.min_rows) & (F.col("_rows") * skew.shares >= total))
-        .select(*keys, F.lit(True).alias("_hot"))
-    )
-    hot_cells = (
-        cells.where((F.col("_n") >= skew.min_rows) & (F.col("_n") * skew.shares >= total))
-        .select(
-            *keys, "_cell",
-            F.least(F.ceil(F.col("_n") * skew.shares / total), F.ceil(F.col("_n") / F.greatest(F.lit(1), F.lit(skew.min_rows))))
-            .cast("bigint").alias("_parts"),
-        )
-    )
+def measure(df: DataFrame, key: str, time_us: Column, cfg: Config = DEFAULT) -> HotKeys:
+    """Find the hot keys of ``df``: one counting pass over two columns.
+
+    At most ``shares`` keys and ``shares`` cells can exceed ``1/shares`` of the rows, so what
+    comes back to the driver is bounded by the setting, not by the data.
+    """
+    skew = cfg.skew
+    cell = F.floor(time_us / F.lit(skew.cell_us)).cast("bigint")
+    cells = df.groupBy(F.col(key).alias("key"), cell.alias("cell")).agg(F.count("*").alias("n"))
+    total = cells.agg(F.sum("n")).scalar()
+    above = (F.col("n") >= skew.min_rows) & (F.col("n") * skew.shares >= F.col("total"))
+    per_key = cells.groupBy("key").agg(F.sum("n").alias("n")).withColumn("total", total)
+    parts = F.least(F.ceil(F.col("n") * skew.shares / F.col("total")), F.ceil(F.col("n") / F.lit(max(skew.min_rows, 1))))
+    keys = per_key.where(above & F.col("key").isNotNull()).select("key", F.least(parts, F.lit(1024)).cast("int").alias("salts")).collect()
+    if not keys:
+        return HotKeys()
+    dense = cells.withColumn("total", total).where(above & F.col("key").isNotNull()).select("key", "cell", parts.cast("bigint").alias("parts")).collect()
+    return HotKeys(tuple(map(tuple, keys)), tuple(map(tuple, dense)))
+
+
+def with_slot(df: DataFrame, key: str, time_us: Column, hot: HotKeys, cfg: Config) -> DataFrame:
+    """Add ``_slot``: one constant for ordinary keys, the start of the time slot for hot ones."""
+    if not hot:
+        return df.withColumn(SLOT, F.lit(WHOLE))
+    spark, width = df.sparkSession, cfg.skew.cell_us
+    keys = spark.createDataFrame([(k, True) for k, _ in hot.keys], f"{key} string, _hot boolean")
+    cells = spark.createDataFrame(list(hot.cells), f"{key} string, _cell bigint, _parts bigint")
     start = F.col("_cell") * width
     step = F.ceil(F.lit(width) / F.coalesce(F.col("_parts"), F.lit(1))).cast("bigint")
-    slot = start + F.floor((F.col(pos) - start) / step).cast("bigint") * step
+    slot = start + F.floor((F.col("_time") - start) / step).cast("bigint") * step
     return (
-        df.withColumn("_cell", cell)
-        .join(F.broadcast(hot_keys), list(keys), "left")
-        .join(F.broadcast(hot_cells), [*keys, "_cell"], "left")
+        df.withColumn("_time", time_us)
+        .withColumn("_cell", F.floor(F.col("_time") / F.lit(width)).cast("bigint"))
+        .join(F.broadcast(keys), key, "left")
+        .join(F.broadcast(cells), [key, "_cell"], "left")
         .withColumn(SLOT, F.when(F.col("_hot"), slot).otherwise(F.lit(WHOLE)))
-        .drop("_cell", "_hot", "_parts")
+        .drop("_time", "_cell", "_hot", "_parts")
     )
 
 
+def _hot(df: DataFrame, key: str, time_us: Column, cfg: Config) -> HotKeys:
+    return measure(df, key, time_us, cfg) if cfg.hot is None else cfg.hot
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,44 +90,48 @@ def running(
     *,
     tie: str | None = None,
     inclusive: bool = False,
-    skew: SkewConfig = SkewConfig(),
+    backwards: bool = False,
     scale: int = 1,
+    cfg: Config = DEFAULT,
 ) -> DataFrame:
     """Add, per row, aggregates over the rows of the key that come before it.
 
     ``measures`` maps an output name to ``("sum" | "max", expression)``. Without ``tie`` rows at
     the same position are not before each other (``inclusive`` counts them all); with ``tie``
-    rows are taken one by one in (position, tie) order.
+    rows are taken one by one in (position, tie) order. ``backwards`` reverses time. Hot keys
+    are looked up by ``keys[0]``.
     """
     keys = list(keys)
-    slotted = with_slot(df, keys, pos, skew, scale)
+    time_us = F.floor(F.col(pos) / F.lit(scale)).cast("bigint")
+    hot = _hot(df, keys[0], time_us, cfg)
+    slotted = with_slot(df, keys[0], time_us, hot, cfg)
+    order = [-F.col(pos)] if backwards else [F.col(pos)]
+    if backwards and hot:
+        slotted = slotted.withColumn(SLOT, F.when(F.col(SLOT) == WHOLE, F.col(SLOT)).otherwise(-F.col(SLOT)))
     by_slot = Window.partitionBy(*keys, SLOT)
     end = 0 if inclusive else -1
     if tie is None:
-        window = by_slot.orderBy(pos).rangeBetween(Window.unboundedPreceding, end)
+        window = by_slot.orderBy(*order).rangeBetween(Window.unboundedPreceding, end)
     else:
-        window = by_slot.orderBy(pos, tie).rowsBetween(Window.unboundedPreceding, end)
+        window = by_slot.orderBy(*order, tie).rowsBetween(Window.unboundedPreceding, end)
     agg = {"sum": F.sum, "max": F.max}
-    inside = slotted.select("*", *[agg[how](expr).over(window).alias(f"_in_{name}") for name, (how, expr) in measures.items()])
+    if not hot:
+        return slotted.withColumns({n: agg[how](e).over(window) for n, (how, e) in measures.items()}).drop(SLOT)
 
+    inside = slotted.select("*", *[agg[how](e).over(window).alias(f"_in_{n}") for n, (how, e) in measures.items()])
     slot_totals = (
         slotted.where(F.col(SLOT) != WHOLE)
         .groupBy(*keys, SLOT)
-        .agg(*[agg[how](expr).alias(f"_all_{name}") for name, (how, expr) in measures.items()])
+        .agg(*[agg[how](e).alias(f"_all_{n}") for n, (how, e) in measures.items()])
     )
     earlier = Window.partitionBy(*keys).orderBy(SLOT).rowsBetween(Window.unboundedPreceding, -1)
-    carried = slot_totals.select(
-        *keys, SLOT, *[agg[how](f"_all_{name}").over(earlier).alias(f"_pre_{name}") for name, (how, _) in measures.items()]
-    )
+    carried = slot_totals.select(*keys, SLOT, *[agg[how](f"_all_{n}").over(earlier).alias(f"_pre_{n}") for n, (how, _) in measures.items()])
     joined = inside.join(carried, [*keys, SLOT], "left")
     result = {}
     for name, (how, _) in measures.items():
         within, before = F.col(f"_in_{name}"), F.col(f"_pre_{name}")
-        if how == "sum":
-            result[name] = F.coalesce(within + before, within, before)
-        else:
-            result[name] = F.greatest(within, before)
-    helper = [SLOT] + [f"_{p}_{name}" for name in measures for p in ("in", "pre")]
+        result[name] = F.coalesce(within + before, within, before) if how == "sum" else F.greatest(within, before)
+    helper = [SLOT] + [f"_{p}_{n}" for n in measures for p in ("in", "pre")]
     return joined.withColumns(result).drop(*helper)
 
 
@@ -114,17 +143,21 @@ def trailing(
     depth: int,
     build: Callable[[object], dict[str, Column]],
     *,
-    skew: SkewConfig = SkewConfig(),
+    cfg: Config = DEFAULT,
 ) -> DataFrame:
     """Add columns computed over the last ``depth`` rows of the key.
 
-    ``build`` gets the (key, slot) window ordered by (pos, tie) and returns column expressions
-    using row frames that reach back at most ``depth`` rows.
+    ``build`` gets the window ordered by (pos, tie) and returns column expressions using row
+    frames that reach back at most ``depth`` rows.
     """
     keys = list(keys)
-    slotted = with_slot(df, keys, pos, skew)
-    columns = slotted.columns
-    payload = [c for c in columns if c not in (*keys, SLOT)]
+    hot = _hot(df, keys[0], F.col(pos), cfg)
+    slotted = with_slot(df, keys[0], F.col(pos), hot, cfg)
+    window = Window.partitionBy(*keys, SLOT).orderBy(pos, tie)
+    if not hot:
+        return slotted.withColumns(build(window)).drop(SLOT)
+
+    payload = [c for c in slotted.columns if c not in (*keys, SLOT)]
     newest = Window.partitionBy(*keys, SLOT).orderBy(F.desc(pos), F.desc(tie))
     tails = (
         slotted.where(F.col(SLOT) != WHOLE)
@@ -141,7 +174,6 @@ def trailing(
         .select(*keys, SLOT, "_h._row.*", F.lit(False).alias("_own"))
     )
     stacked = slotted.withColumn("_own", F.lit(True)).unionByName(carried)
-    window = Window.partitionBy(*keys, SLOT).orderBy(pos, tie)
     return stacked.withColumns(build(window)).where("_own").drop("_own", SLOT)
 
 
@@ -153,7 +185,7 @@ def lookback(
     measures: dict[str, Column],
     *,
     include_now: bool = False,
-    skew: SkewConfig = SkewConfig(),
+    cfg: Config = DEFAULT,
 ) -> DataFrame:
     """Sum integer ``measures`` over the rows of the key in ``[t - seconds, t)`` (or ``.. t]``).
 
@@ -162,9 +194,8 @@ def lookback(
     """
     payload = df.columns
     step = seconds * 1_000_000
-    names = list(measures)
-    enter = df.select("*", *[e.alias(f"_d_{n}") for n, e in measures.items()], (micros(ts) * 2).alias("_pos"), F.lit(True).alias("_own"))
     late = 1 if include_now else 0
+    enter = df.select("*", *[e.alias(f"_d_{n}") for n, e in measures.items()], (micros(ts) * 2).alias("_pos"), F.lit(True).alias("_own"))
     leave = df.select(
         *[F.col(k) for k in keys],
         *[(-e).alias(f"_d_{n}") for n, e in measures.items()],
@@ -172,33 +203,21 @@ def lookback(
         F.lit(False).alias("_own"),
     )
     signed = enter.unionByName(leave, allowMissingColumns=True)
-    summed = running(
-        signed, keys, "_pos", {n: ("sum", F.col(f"_d_{n}")) for n in names}, inclusive=include_now, skew=skew, scale=2
-    )
-    return summed.where("_own").select(*payload, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in names])
+    sums = {n: ("sum", F.col(f"_d_{n}")) for n in measures}
+    summed = running(signed, keys, "_pos", sums, inclusive=include_now, scale=2, cfg=cfg)
+    return summed.where("_own").select(*payload, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in measures])
 
 
-def salted_lookup(big: DataFrame, small: DataFrame, key: str, row_id: str, skew: SkewConfig, how: str = "left") -> DataFrame:
-    """Join ``small`` (one row per key) to ``big``, spreading the rows of hot keys over tasks."""
-    total = big.agg(F.count("*")).scalar()
-    hot = (
-        big.groupBy(key)
-        .agg(F.count("*").alias("_rows"))
-        .where((F.col("_rows") >= skew.min_rows) & (F.col("_rows") * skew.shares >= total))
-        .select(key, F.least(F.ceil(F.col("_rows") * skew.shares / total), F.lit(1024)).cast("int").alias("_salts"))
-    )
+def salted_lookup(big: DataFrame, small: DataFrame, key: str, row_id: str, cfg: Config = DEFAULT) -> DataFrame:
+    """Left-join ``small`` (one row per key) to ``big``, spreading the rows of hot keys over tasks."""
+    hot = _hot(big, key, F.lit(0).cast("bigint"), cfg)
+    if not hot:
+        return big.join(small, key, "left")
+    table = F.broadcast(big.sparkSession.createDataFrame(list(hot.keys), f"{key} string, _salts int"))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = (
-        big.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int"))
-        .drop("_salts")
-    )
-    right = (
-        small.join(F.broadcast(hot), key, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    left = big.join(table, key, "left").withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")).drop("_salts")
+    right = small.join(table, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
 
 
 def as_of(
@@ -210,7 +229,7 @@ def as_of(
     fact_tie: str,
     payload: Sequence[str],
     *,
-    skew: SkewConfig = SkewConfig(),
+    cfg: Config = DEFAULT,
     name: str = "matched",
 ) -> DataFrame:
     """Attach to each probe the latest fact of its key at or before the probe's time (a struct)."""
@@ -222,7 +241,7 @@ def as_of(
         F.lit(False).alias("_own"),
     )
     stacked = probe_rows.unionByName(fact_rows, allowMissingColumns=True)
-    found = running(stacked, [key], "_pos", {"_last": ("max", F.col("_fact"))}, inclusive=True, skew=skew)
+    found = running(stacked, [key], "_pos", {"_last": ("max", F.col("_fact"))}, inclusive=True, cfg=cfg)
     return found.where("_own").select(
         *probes.columns,
         F.when(F.col("_last").isNotNull(), F.struct(*[F.col(f"_last.{c}").alias(c) for c in payload])).alias(name),

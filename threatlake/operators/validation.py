@@ -24,18 +24,17 @@ def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60, cfg:
     ask = actions.select(F.col("target_ip").alias("source_ip"), micros("executed_at").alias("_at"), "action_id")
     measures = {"n": ("sum", F.col("_one")), "u": ("sum", F.col("_u")), "m": ("max", F.col("_v"))}
 
-    # end of the action's own block: walk the block backwards, strictly after the action
+    # the end of the action's own block, walked backwards, then the start of the next block
     block = lambda at: F.floor(at / F.lit(width)).cast("bigint")
-    def stack(rows_at, ask_at, order):
-        one = fact.select("source_ip", block(F.col("_at")).alias("_block"), (F.col("_at") * order).alias("_pos"), F.lit(1).cast("bigint").alias("_one"),
-                          "_u", "_v", F.lit(None).cast("bigint").alias("action_id"))
-        two = ask.select("source_ip", block(ask_at).alias("_block"), (ask_at * order).alias("_pos"), F.lit(0).cast("bigint").alias("_one"),
-                         F.lit(0).cast("bigint").alias("_u"), F.lit(None).cast("double").alias("_v"), "action_id")
-        return one.unionByName(two)
+    facts = fact.select("source_ip", block(F.col("_at")).alias("_block"), F.col("_at").alias("_pos"), F.lit(1).cast("bigint").alias("_one"), "_u", "_v")
+
+    def with_probes(at):
+        probes = ask.select("source_ip", block(at).alias("_block"), at.alias("_pos"), "action_id")
+        return facts.unionByName(probes, allowMissingColumns=True)
 
     keys = ["source_ip", "_block"]
-    rest = running(stack("_at", F.col("_at"), -1), keys, "_pos", measures, skew=cfg.skew)
-    start = running(stack("_at", F.col("_at") + width, 1), keys, "_pos", measures, inclusive=True, skew=cfg.skew)
+    rest = running(with_probes(F.col("_at")), keys, "_pos", measures, backwards=True, cfg=cfg)
+    start = running(with_probes(F.col("_at") + width), keys, "_pos", measures, inclusive=True, cfg=cfg)
     both = rest.unionByName(start).where(F.col("action_id").isNotNull())
     return both.groupBy("action_id").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_after"), F.coalesce(F.sum("u"), F.lit(0)).alias("units_after"), F.max("m").alias("max_after"))

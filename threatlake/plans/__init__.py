@@ -1,0 +1,13 @@
+"""Whole pipelines and the catalogue of registered queries."""
+
+from __future__ import annotations
+
+import importlib
+
+
+def load_queries():
+    from threatlake.plans.registry import QUERIES
+
+    for module in ("catalogue", "catalogue_reports"):
+        importlib.import_module(f"threatlake.plans.{module}")
+    return dict(QUERIES)
