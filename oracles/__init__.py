@@ -3,14 +3,9 @@
 from oracles.base import with_ctes
 from oracles.part1 import ENTROPY_CTE
 from oracles.part1 import SQL as PART1
+from oracles.part2 import EXTRA
+from oracles.part2 import SQL as PART2
 
 
 def all_sql() -> dict[str, str]:
-    bodies = dict(PART1)
-    try:
-        from oracles.part2 import SQL as PART2
-
-        bodies.update(PART2)
-    except ImportError:
-        pass
-    return {name: with_ctes(body, ENTROPY_CTE) for name, body in bodies.items()}
+    return {name: with_ctes(body, {**ENTROPY_CTE, **EXTRA}) for name, body in {**PART1, **PART2}.items()}

@@ -198,12 +198,12 @@ def choose_action(
         F.when(F.col("stage").isNotNull(), F.concat(F.lit("Stage "), F.col("stage"), F.lit(" detected → "), stage_multiplier("stage").cast("string"), F.lit("x multiplier applied"))),
         F.when(F.col("is_progressing"), F.lit("Progressing attacker profile → is_progressing=True (+0.15 score)")))) if kill_chain else empty
     score_lines = F.array(F.format_string("Anomaly score %.4f → %s risk", base, F.col("risk_level")))
-    guard_by_action = [
-        F.when((F.col("past_severity") < 3) & (F.col("risk_level") != "CRITICAL")
-               & F.exists("_ranked", lambda o, n=name, c=cost: (o["action"] == n) & (o["utility"] + c > 1.5)),
-               F.lit(f"{name} penalized (escalation_guard active: no prior severe actions)"))
-        for name, _, sev, _, cost in ACTION_SPACE if sev >= 4
-    ]
+    def guard_line(name: str, cost: float) -> Column:
+        strong = F.exists("_ranked", lambda o: (o["action"] == name) & (o["utility"] + cost > 1.5))
+        return F.when((F.col("past_severity") < 3) & (F.col("risk_level") != "CRITICAL") & strong,
+                      F.lit(f"{name} penalized (escalation_guard active: no prior severe actions)"))
+
+    guard_by_action = [guard_line(name, cost) for name, _, sev, _, cost in ACTION_SPACE if sev >= 4]
     rest = F.array_compact(F.array(
         F.when(F.col("prior") > 0, F.format_string("IP %s has %d prior incidents (multiplier: %.2f)", F.col("source_ip"), F.col("prior"), 1.0 + 0.15 * repeats))
         .otherwise(F.concat(F.lit("IP "), F.col("source_ip"), F.lit(" is a first-time offender"))),

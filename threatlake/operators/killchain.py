@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threatlake.config import DEFAULT, Config
 from threatlake.operators.running import micros, running, salted_lookup
 from threatlake.schemas import PAYLOAD, STAGES
+from threatlake.session import small_table
 
 # Score multiplier per stage.
 STAGE_MULTIPLIER = {"RECONNAISSANCE": 1.1, "ENUMERATION": 1.3, "EXPLOITATION": 1.6, "PERSISTENCE": 1.8}
@@ -145,7 +146,7 @@ def stage_stats(profiles: DataFrame) -> DataFrame:
     counts = active.groupBy(F.col("current_stage").alias("stage")).agg(F.count("*").alias("n"))
     moved = active.agg(F.avg((F.col("stage_events") > 1).cast("double"))).scalar()
     total = active.agg(F.count("*")).scalar()
-    stages = active.sparkSession.createDataFrame([(s,) for s in STAGES], "stage string")
+    stages = small_table(active.sparkSession, [(s,) for s in STAGES], "stage string")
     return stages.join(counts, "stage", "left").select(
         "stage", F.coalesce("n", F.lit(0)).alias("attackers"),
         total.alias("total_active"), F.coalesce(moved, F.lit(0.0)).alias("progression_rate"),

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT, Config
+from threatlake.session import small_table
 
 SLOT = "_slot"
 WHOLE = -(2**62)  # slot of a key that is not cut
@@ -63,8 +64,8 @@ def with_slot(df: DataFrame, key: str, time_us: Column, hot: HotKeys, cfg: Confi
     if not hot:
         return df.withColumn(SLOT, F.lit(WHOLE))
     spark, width = df.sparkSession, cfg.skew.cell_us
-    keys = spark.createDataFrame([(k, True) for k, _ in hot.keys], f"{key} string, _hot boolean")
-    cells = spark.createDataFrame(list(hot.cells), f"{key} string, _cell bigint, _parts bigint")
+    keys = small_table(spark, [(k, True) for k, _ in hot.keys], f"{key} string, _hot boolean")
+    cells = small_table(spark, list(hot.cells), f"{key} string, _cell bigint, _parts bigint")
     start = F.col("_cell") * width
     step = F.ceil(F.lit(width) / F.coalesce(F.col("_parts"), F.lit(1))).cast("bigint")
     slot = start + F.floor((F.col("_time") - start) / step).cast("bigint") * step
@@ -213,7 +214,7 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, row_id: str, cfg:
     hot = _hot(big, key, F.lit(0).cast("bigint"), cfg)
     if not hot:
         return big.join(small, key, "left")
-    table = F.broadcast(big.sparkSession.createDataFrame(list(hot.keys), f"{key} string, _salts int"))
+    table = F.broadcast(small_table(big.sparkSession, list(hot.keys), f"{key} string, _salts int"))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = big.join(table, key, "left").withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")).drop("_salts")
     right = small.join(table, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")

@@ -12,6 +12,7 @@ from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import risk_level
 from threatlake.operators import decisions, features, killchain, response, scoring, validation
 from threatlake.operators.running import measure, micros
+from threatlake.session import small_table
 from threatlake.sources import events_adapter
 
 # Attack names of the event kinds.
@@ -115,7 +116,7 @@ class Derived:
     def allowlist(self) -> DataFrame:
         rows = [("IP", "10.0.0.5", True), ("CIDR", "10.0.0.16/28", True), ("CIDR", "10.0.0.200/30", False),
                 ("CIDR", "10.0.1.0/24", True), ("IP", "not-an-ip", True)]
-        return self.spark.createDataFrame(rows, "entry_type string, value string, is_active boolean")
+        return small_table(self.spark, rows, "entry_type string, value string, is_active boolean")
 
     @cached_property
     def stage_events(self) -> DataFrame:
@@ -155,7 +156,7 @@ class Derived:
         return response.upsert_reputation(self._empty_reputation(), self.threats.where("log_id % 2 = 0"))
 
     def _empty_reputation(self) -> DataFrame:
-        return self.spark.createDataFrame([], "ip_address string, threat_count bigint, last_seen timestamp, is_blocked boolean, reputation_points bigint")
+        return small_table(self.spark, [], "ip_address string, threat_count bigint, last_seen timestamp, is_blocked boolean, reputation_points bigint")
 
     @cached_property
     def context(self) -> DataFrame:

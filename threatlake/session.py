@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -42,3 +45,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few driver-known rows as a local relation: planned with its true size, no Python worker."""
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+    columns = [pa.array([row[i] for row in rows], type=field.type) for i, field in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), schema=kind)
