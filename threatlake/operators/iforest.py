@@ -62,7 +62,7 @@ def fit(df: DataFrame, features: list[str], row_id: str, trees: int = 200, subsa
     limit = math.ceil(math.log2(subsample))
     names = list(features)
 
-    def grow(key, group: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["_draw", row_id]).head(subsample)
         data, rng, out = group[names].to_numpy(), np.random.default_rng([seed, int(key[0])]), []
         stack = [(np.arange(len(data)), 0, -1, False)]

@@ -42,7 +42,7 @@ def _lift(data: np.ndarray, basis) -> np.ndarray:
     return np.sqrt(2.0 / len(phases)) * np.cos(data @ directions + phases)
 
 
-def fit(df: DataFrame, features: list[str], row_id: str, nu: float = 0.05, cap: int | None = 50_000, dimension: int = 128, steps: int = 20, seed: int = 42) -> OneClassSVM:
+def fit(df: DataFrame, features: list[str], row_id: str, nu: float = 0.05, cap: int | None = 50_000, dimension: int = 128, steps: int = 12, seed: int = 42) -> OneClassSVM:
     """Train on normal rows. ``cap`` limits the training rows by hash; ``None`` uses them all."""
     names = list(features)
     data = df.select(F.col(row_id), *_matrix(names))
@@ -60,7 +60,7 @@ def fit(df: DataFrame, features: list[str], row_id: str, nu: float = 0.05, cap:
         basis = _basis(len(names), dimension, gamma, seed)
         weights, rho, n = np.zeros(dimension), 0.0, moments.n
         for step in range(1, steps + 1):
-            gradient, below = _partial_sums(data, names, basis, weights, rho, first=step == 1)
+            gradient = _partial_sums(data, names, basis, weights, rho, first=step == 1)
             rate = 1.0 / step
             # the first pass averages all rows, a feasible start of length about one
             pull = gradient / (n if step == 1 else nu * n)
@@ -77,17 +77,15 @@ def _partial_sums(data: DataFrame, names, basis, weights, rho, first: bool):
     """Sum of the lifted rows below the margin: partial per task, added by Spark."""
 
     def partial(batches):
-        total, below = np.zeros(len(weights)), 0
+        total = np.zeros(len(weights))
         for batch in batches:
             lifted = _lift(batch[names].to_numpy(), basis)
             chosen = np.ones(len(lifted), dtype=bool) if first else lifted @ weights <= rho
             total += lifted[chosen].sum(axis=0)
-            below += int(chosen.sum())
-        yield pd.DataFrame({"position": np.arange(len(total) + 1), "amount": np.append(total, below)})
+        yield pd.DataFrame({"position": np.arange(len(total)), "amount": total})
 
     sums = data.mapInPandas(partial, "position int, amount double").groupBy("position").agg(F.sum("amount").alias("amount")).orderBy("position").toPandas()
-    values = sums["amount"].to_numpy()
-    return values[:-1], values[-1]
+    return sums["amount"].to_numpy()
 
 
 def _quantile(data: DataFrame, names, basis, weights, nu: float) -> float:
