@@ -234,8 +234,10 @@ def auto_rollback(actions: DataFrame, scores: DataFrame, cfg: Config = DEFAULT,
     wait = cfg.auto_rollback_minutes * 60_000_000
     at = F.unix_micros("ts")
     s = scores.withWatermark("ts", WATERMARK).select("source_ip", "ts", at.alias("at"), "log_id", F.col("combined").alias("value"), F.lit(None).cast("bigint").alias("action_id"))
-    a = actions.withWatermark("ts", WATERMARK).where(F.col("action_type").isin("BLOCK", "RATE_LIMIT")).select(
-        F.col("target_ip").alias("source_ip"), "ts", at.alias("at"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("double").alias("value"), "action_id")
+    # other actions are kept as empty rows: filtered out, they would not move the watermark
+    undoable = F.when(F.col("action_type").isin("BLOCK", "RATE_LIMIT"), F.col("action_id"))
+    a = actions.withWatermark("ts", WATERMARK).select(
+        F.col("target_ip").alias("source_ip"), "ts", at.alias("at"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("double").alias("value"), undoable.alias("action_id"))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         times, ids, values, due, open_ids = [list(v) for v in state.get] if state.exists else [[], [], [], [], []]
@@ -243,8 +245,7 @@ def auto_rollback(actions: DataFrame, scores: DataFrame, cfg: Config = DEFAULT,
             state.remove()
             return
         for f in frames:
-            is_score = f["action_id"].isna()
-            facts, asks = f[is_score], f[~is_score]
+            facts, asks = f[f["value"].notna()], f[f["action_id"].notna()]
             times.extend(int(v) for v in facts["at"])
             ids.extend(int(v) for v in facts["log_id"])
             values.extend(float(v) for v in facts["value"])
