@@ -149,3 +149,19 @@ from (select source_ip, min(ts) as first_seen, max(ts) as last_seen, count(*) as
   from (select *, epoch_us((select max(ts) from flows_raw)) as nowus from timeline) group by 1)"""
 EXTRA["detect_times"] = """select source_ip, first_activity, first_action from (select source_ip, min(ts) as first_activity from flows group by 1)
   left join (select target_ip as source_ip, min(executed_at) as first_action from actions where action_type in ('BLOCK','RATE_LIMIT') group by 1) using (source_ip)"""
+_ACT = "count(*) as flows, count(*) filter (where risk_level <> 'LOW') as flagged, max(combined) as max_score"
+SQL.update({
+    "g2_stream_scores": "select s.log_id, s.source_ip, s.combined, s.risk_level, f.stage from scores s join stage_flows f using (log_id)",
+    "g4_stream_windows": f"select epoch_us(time_bucket(interval 15 minute, ts)) as window_start, {_ACT} from scores group by 1",
+    "g7_activity_spans": """select source_ip, epoch_us(min(ts)) as first_activity, epoch_us(max(ts) + interval 2 hour) as inactive_from, count(*) as events from (
+  select *, sum(cast(fresh as int)) over (partition by source_ip order by ts, log_id) as span from (select *, coalesce(ts - lag(ts) over (partition by source_ip order by ts, log_id) >= interval 2 hour, true) as fresh from flows_raw)) group by source_ip, span""",
+    "g8_stream_first_blocks": "select distinct source_ip as target_ip from scores where risk_level = 'CRITICAL'",
+    "g10_sliding_activity": f"select epoch_us(time_bucket(interval 1 minute, ts)) - k*60000000 as window_start, {_ACT} from scores, (values (0),(1),(2),(3),(4)) o(k) group by 1",
+    "k11_replay_regression": """select log_id, original_action, case when hit then action end as replayed_action, hit as would_detect, not coalesce(original_action = case when hit then action end, false) as changed from (
+  select *, score > 0.3e0 as hit, row_number() over (partition by log_id order by u desc, sev) as rank from (select *, case when rev and c < 0.7e0 then u2 + 0.3e0 when sev >= 4 and past_level <> 'CRITICAL' then u2 - cost else u2 end as u from (
+  select *, case when sev >= 4 and c < 0.5e0 then u1*0.5e0 else u1 end as u2 from (select *, case when sev >= 3 then u0*(1e0 + 0.15e0) else u0 end as u1 from (
+  select x.*, a.*, case when score >= 0.8e0 and sev >= 4 then 1e0 when score < 0.4e0 and sev <= 2 then 1e0 else greatest(0e0, 1e0 - abs(sev/5e0 - score)*2e0) end as u0
+  from (select *, (1e0 - abs(iso - svm))*score as c, case when score > 0.8e0 then 'CRITICAL' when score > 0.6e0 then 'HIGH' when score > 0.3e0 then 'MEDIUM' else 'LOW' end as past_level from (select *, 0.6e0*iso + 0.4e0*svm as score from (
+    select t.log_id, t.action_taken as original_action, f.session_deviation*0.8e0 + 0e0*0.2e0 as iso, f.request_rate/greatest(f.request_rate + 1e0, 1e0) as svm from threats t
+    join lateral (select * from scores g where g.source_ip = t.source_ip and g.ts <= t.created_at order by g.ts desc, g.log_id desc limit 1) f on true))) x, """ + _SPACE + """))))) where rank = 1""",
+})

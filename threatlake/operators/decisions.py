@@ -161,15 +161,16 @@ def choose_action(
             .when((base < 0.4) & F.lit(sev <= 2), F.lit(1.0))
             .otherwise(F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(F.lit(sev / 5.0) - target) * 2.0))
         )
+        # each rule is one factor or summand, neutral when it does not apply: the expression stays small
+        when = lambda rule, value, neutral: F.when(rule, value).otherwise(F.lit(neutral))
         if sev >= 3:
-            u = F.when(repeats > 0, u * (F.lit(1.0) + F.lit(0.15) * repeats)).otherwise(u)
-            u = F.when(off_hours(ts), u * 1.2).otherwise(u)
+            u = u * when(repeats > 0, F.lit(1.0) + F.lit(0.15) * repeats, 1.0) * when(off_hours(ts), F.lit(1.2), 1.0)
         if sev >= 4:
-            u = F.when(trust < 0.5, u * 0.5).otherwise(u)
+            u = u * when(trust < 0.5, F.lit(0.5), 1.0)
         if reversible:
-            u = F.when(trust < 0.7, u + 0.3).otherwise(u)
+            u = u + when(trust < 0.7, F.lit(0.3), 0.0)
         if sev >= 4:
-            u = F.when((F.col("past_severity") < 3) & (F.col("risk_level") != "CRITICAL"), u - cost).otherwise(u)
+            u = u - when((F.col("past_severity") < 3) & (F.col("risk_level") != "CRITICAL"), F.lit(cost), 0.0)
         return u
 
     options = F.array(*[

@@ -33,17 +33,17 @@ def history(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     port entropy without listing ports. All six are running sums of signed changes.
     """
     step = cfg.lookback_seconds * 1_000_000
-    size = F.coalesce(F.col("bytes_sent"), F.lit(0)).cast("decimal(19,0)")
-    common = [
-        F.col("log_id"), F.col("source_ip"),
-        F.coalesce(F.col("dest_port"), F.lit(-1)).alias("_port"), size.alias("_size"),
-    ]
     payload = [c for c in flows.columns if c not in ("log_id", "source_ip")]
-    enter = flows.select(
-        *common, (micros("ts") * 2).alias("_pos"), F.lit(1).cast("bigint").alias("_sign"), F.struct(*payload).alias("_flow")
+    own = F.col("_own")
+    # one pass over the flows: every flow is exploded into its entry and its exit
+    signed = flows.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("_own")).select(
+        "log_id", "source_ip",
+        F.coalesce(F.col("dest_port"), F.lit(-1)).alias("_port"),
+        F.coalesce(F.col("bytes_sent"), F.lit(0)).cast("decimal(19,0)").alias("_size"),
+        (F.when(own, micros("ts")).otherwise(micros("ts") + step) * 2).alias("_pos"),
+        F.when(own, 1).otherwise(-1).cast("bigint").alias("_sign"),
+        F.when(own, F.struct(*payload)).alias("_flow"),
     )
-    leave = flows.select(*common, ((micros("ts") + step) * 2).alias("_pos"), F.lit(-1).cast("bigint").alias("_sign"))
-    signed = enter.unionByName(leave, allowMissingColumns=True)
 
     per_port = running(
         signed, ["source_ip", "_port"], "_pos", {"_before": ("sum", F.col("_sign"))}, tie="log_id", cfg=cfg, scale=2

@@ -67,11 +67,13 @@ def classify_stage(flows: DataFrame) -> DataFrame:
             (F.col("protocol") == "ICMP", "ping_sweep"),
         ],
     }
-    matched = {s: F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in rules])) for s, rules in tests.items()}
     stage, signals = F, F
-    for name, found in matched.items():  # listed from the most to the least advanced stage
-        stage = stage.when(F.size(found) > 0, F.lit(name))
-        signals = signals.when(F.size(found) > 0, found)
+    for name, rules in tests.items():  # listed from the most to the least advanced stage
+        hit = F.lit(False)
+        for rule, _ in rules:
+            hit = hit | F.coalesce(rule, F.lit(False))
+        stage = stage.when(hit, F.lit(name))
+        signals = signals.when(F.col("stage") == name, F.array_compact(F.array(*[F.when(rule, F.lit(signal)) for rule, signal in rules])))
     return (
         flows.withColumn("stage", stage.otherwise(F.lit(None).cast("string")))
         .withColumn("signals", signals.otherwise(F.array().cast("array<string>")))
@@ -81,7 +83,8 @@ def classify_stage(flows: DataFrame) -> DataFrame:
 
 def stage_events(flows: DataFrame) -> DataFrame:
     """The stage rows worth recording."""
-    return classify_stage(flows).where(F.col("stage").isNotNull() & (F.col("stage_confidence") >= MIN_STAGE_CONFIDENCE)).select(
+    sure = [s for s, confidence in STAGE_CONFIDENCE.items() if confidence >= MIN_STAGE_CONFIDENCE]
+    return classify_stage(flows).where(F.col("stage").isin(sure)).select(
         "log_id", "source_ip", F.col("ts").alias("detected_at"), "stage",
         F.col("stage_confidence").alias("confidence"), "signals", next_stage("stage").alias("predicted_next_stage"),
     )

@@ -111,15 +111,13 @@ def similar_cases(probes: DataFrame, cases: DataFrame, as_of: Column, k: int = 5
     case_row = F.struct(micros("created_at").alias("at"), F.col("log_id").alias("case_id"), F.col("action_taken").alias("action"),
                         F.col("confidence_score").alias("confidence"),
                         F.coalesce(F.col("agent_reasoning").contains("FALSE_POSITIVE"), F.lit(False)).alias("was_false_positive"))
-    tops = cases.where(F.col("created_at") < as_of).select(unit("confidence_score").alias("cell"), case_row.alias("c"))
-    level, levels = tops, []
-    for size in (1, 10, 100):
-        step = 1 if size == 1 else 10
-        cell = F.floor(F.col("cell") / step).cast("int")
-        level = level.withColumn("cell", cell)
-        level = level.withColumn("_r", F.row_number().over(Window.partitionBy("cell").orderBy(F.desc("c")))).where(F.col("_r") <= k).drop("_r")
-        levels.append(level.withColumn("size", F.lit(size)))
-    blocks = levels[0].unionByName(levels[1]).unionByName(levels[2])
+    tops = cases.where(F.col("created_at") < as_of).select(unit("confidence_score").alias("unit"), case_row.alias("c"), F.explode(F.array(*map(F.lit, (1, 10, 100)))).alias("size"))
+    newest_first = Window.partitionBy("size", "cell").orderBy(F.desc("c"))
+    # the rank limit is applied in every task before the shuffle, so a crowded block sends k rows per task
+    blocks = (
+        tops.select("size", F.floor(F.col("unit") / F.col("size")).cast("int").alias("cell"), "c")
+        .withColumn("_r", F.row_number().over(newest_first)).where(F.col("_r") <= k).drop("_r")
+    )
 
     low, high = F.greatest(F.lit(0), F.col("u") - reach), F.least(F.lit(10_000), F.col("u") + reach)
     units = probes.select(unit("confidence_score").alias("u")).distinct().withColumns({"lo": low, "hi": high})

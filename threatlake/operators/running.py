@@ -40,22 +40,23 @@ def micros(ts: Column | str) -> Column:
 
 
 def measure(df: DataFrame, key: str, time_us: Column, cfg: Config = DEFAULT) -> HotKeys:
-    """Find the hot keys of ``df``: one counting pass over two columns.
+    """Find the hot keys of ``df``: a row count, then one counting pass over two columns.
 
     At most ``shares`` keys and ``shares`` cells can exceed ``1/shares`` of the rows, so what
     comes back to the driver is bounded by the setting, not by the data.
     """
     skew = cfg.skew
+    total = df.count()
+    if total < skew.min_rows:
+        return HotKeys()
     cell = F.floor(time_us / F.lit(skew.cell_us)).cast("bigint")
-    cells = df.groupBy(F.col(key).alias("key"), cell.alias("cell")).agg(F.count("*").alias("n"))
-    total = cells.agg(F.sum("n")).scalar()
-    above = (F.col("n") >= skew.min_rows) & (F.col("n") * skew.shares >= F.col("total"))
-    per_key = cells.groupBy("key").agg(F.sum("n").alias("n")).withColumn("total", total)
-    parts = F.least(F.ceil(F.col("n") * skew.shares / F.col("total")), F.ceil(F.col("n") / F.lit(max(skew.min_rows, 1))))
-    keys = per_key.where(above & F.col("key").isNotNull()).select("key", F.least(parts, F.lit(1024)).cast("int").alias("salts")).collect()
+    cells = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), cell.alias("cell")).agg(F.count("*").alias("n"))
+    edge = max(skew.min_rows, -(-total // skew.shares))
+    parts = F.least(F.ceil(F.col("n") * skew.shares / F.lit(total)), F.ceil(F.col("n") / F.lit(max(skew.min_rows, 1))))
+    keys = cells.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= edge).select("key", F.least(parts, F.lit(1024)).cast("int").alias("salts")).collect()
     if not keys:
         return HotKeys()
-    dense = cells.withColumn("total", total).where(above & F.col("key").isNotNull()).select("key", "cell", parts.cast("bigint").alias("parts")).collect()
+    dense = cells.where(F.col("n") >= edge).select("key", "cell", parts.cast("bigint").alias("parts")).collect()
     return HotKeys(tuple(map(tuple, keys)), tuple(map(tuple, dense)))
 
 
@@ -194,16 +195,17 @@ def lookback(
     sliding sum is a plain running sum: linear in the rows however dense the window is.
     """
     payload = df.columns
-    step = seconds * 1_000_000
     late = 1 if include_now else 0
-    enter = df.select("*", *[e.alias(f"_d_{n}") for n, e in measures.items()], (micros(ts) * 2).alias("_pos"), F.lit(True).alias("_own"))
-    leave = df.select(
-        *[F.col(k) for k in keys],
-        *[(-e).alias(f"_d_{n}") for n, e in measures.items()],
-        ((micros(ts) + step) * 2 + late).alias("_pos"),
-        F.lit(False).alias("_own"),
+    # one pass over df: every row is exploded into its entry and its exit
+    marked = df.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("_own"))
+    own = F.col("_own")
+    leave_at = (micros(ts) + seconds * 1_000_000) * 2 + late
+    signed = marked.select(
+        *[F.col(c) if c in keys else F.when(own, F.col(c)).alias(c) for c in payload],
+        *[F.when(own, e).otherwise(-e).alias(f"_d_{n}") for n, e in measures.items()],
+        F.when(own, micros(ts) * 2).otherwise(leave_at).alias("_pos"),
+        "_own",
     )
-    signed = enter.unionByName(leave, allowMissingColumns=True)
     sums = {n: ("sum", F.col(f"_d_{n}")) for n in measures}
     summed = running(signed, keys, "_pos", sums, inclusive=include_now, scale=2, cfg=cfg)
     return summed.where("_own").select(*payload, *[F.coalesce(F.col(n), F.lit(0)).alias(n) for n in measures])

@@ -19,25 +19,22 @@ def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60, cfg:
     work, no pair of action and score is ever formed. Scores are summed as integers (1e-12).
     """
     width = seconds * 1_000_000
+    at, block = micros("ts"), lambda at: F.floor(at / F.lit(width)).cast("bigint")
     units = F.round(F.col("combined") * F.lit(1e12)).cast("bigint")
-    fact = scores.select("source_ip", micros("ts").alias("_at"), units.alias("_u"), F.col("combined").alias("_v"))
-    ask = actions.select(F.col("target_ip").alias("source_ip"), micros("executed_at").alias("_at"), "action_id")
-    measures = {"n": ("sum", F.col("_one")), "u": ("sum", F.col("_u")), "m": ("max", F.col("_v"))}
-
-    # the end of the action's own block, walked backwards, then the start of the next block
-    block = lambda at: F.floor(at / F.lit(width)).cast("bigint")
-    facts = fact.select("source_ip", block(F.col("_at")).alias("_block"), F.col("_at").alias("_pos"), F.lit(1).cast("bigint").alias("_one"), "_u", "_v")
-
-    def with_probes(at):
-        probes = ask.select("source_ip", block(at).alias("_block"), at.alias("_pos"), "action_id")
-        return facts.unionByName(probes, allowMissingColumns=True)
+    facts = scores.select("source_ip", block(at).alias("_block"), at.alias("_pos"), F.lit(1).cast("bigint").alias("_one"), units.alias("_u"), F.col("combined").alias("_v"))
+    # an action asks its own block for what follows it, the next block for what precedes t + seconds
+    asked = actions.select(F.col("target_ip").alias("source_ip"), "action_id", micros("executed_at").alias("_at"), F.explode(F.array(F.lit(0), F.lit(1))).alias("_next"))
+    reach = F.col("_at") + F.col("_next") * width
+    probes = asked.select("source_ip", block(reach).alias("_block"), reach.alias("_pos"), "action_id", "_next")
+    stacked = facts.unionByName(probes, allowMissingColumns=True)
 
     keys = ["source_ip", "_block"]
-    rest = running(with_probes(F.col("_at")), keys, "_pos", measures, backwards=True, cfg=cfg)
-    start = running(with_probes(F.col("_at") + width), keys, "_pos", measures, inclusive=True, cfg=cfg)
-    both = rest.unionByName(start).where(F.col("action_id").isNotNull())
+    named = lambda p: {f"{p}n": ("sum", F.col("_one")), f"{p}u": ("sum", F.col("_u")), f"{p}m": ("max", F.col("_v"))}
+    rest = running(stacked, keys, "_pos", named("r"), backwards=True, cfg=cfg)
+    both = running(rest, keys, "_pos", named("s"), inclusive=True, cfg=cfg).where(F.col("action_id").isNotNull())
+    part = lambda c: F.when(F.col("_next") == 0, F.col(f"r{c}")).otherwise(F.col(f"s{c}"))
     return both.groupBy("action_id").agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("n_after"), F.coalesce(F.sum("u"), F.lit(0)).alias("units_after"), F.max("m").alias("max_after"))
+        F.coalesce(F.sum(part("n")), F.lit(0)).alias("n_after"), F.coalesce(F.sum(part("u")), F.lit(0)).alias("units_after"), F.max(part("m")).alias("max_after"))
 
 
 def validate_actions(actions: DataFrame, scores: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

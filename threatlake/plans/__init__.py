@@ -8,6 +8,6 @@ import importlib
 def load_queries():
     from threatlake.plans.registry import QUERIES
 
-    for module in ("catalogue", "catalogue_reports", "catalogue_models"):
+    for module in ("catalogue", "catalogue_reports", "catalogue_models", "catalogue_streams"):
         importlib.import_module(f"threatlake.plans.{module}")
     return dict(QUERIES)

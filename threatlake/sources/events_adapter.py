@@ -31,7 +31,10 @@ SHARED_COLUMNS = [
 
 def flows(spark: SparkSession, sf_dir: str, compress: bool = True) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return from_events(spark.read.parquet(f"{sf_dir}/events.parquet"), compress)
+
+
+def from_events(events: DataFrame, compress: bool = True) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     if compress:
         us = F.lit(EPOCH_US) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {EPOCH_US}) div 300")
