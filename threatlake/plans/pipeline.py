@@ -18,8 +18,9 @@ from threatlake.sources.sinks import envelopes
 
 
 def _store(df: DataFrame, path: str, day: str) -> DataFrame:
-    df.withColumn("dt", F.to_date(day)).write.mode("overwrite").partitionBy("dt").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    dated = df.withColumn("dt", F.to_date(day))
+    dated.write.mode("overwrite").partitionBy("dt").parquet(path)
+    return df.sparkSession.read.schema(dated.schema).parquet(path)
 
 
 def run(flows: DataFrame, entries: DataFrame, out: str, cfg: Config = DEFAULT) -> dict[str, DataFrame]:
@@ -39,7 +40,7 @@ def run(flows: DataFrame, entries: DataFrame, out: str, cfg: Config = DEFAULT) -
     })
     threats = _store(typed, f"{out}/threats", "created_at")
 
-    stages = threats.sparkSession.read.parquet(f"{out}/scores").where(F.col("stage").isNotNull()).select(
+    stages = scores.where(F.col("stage").isNotNull()).select(
         "log_id", "source_ip", F.col("ts").alias("detected_at"), "stage", F.col("stage_confidence").alias("confidence"))
     progress = killchain.progression(stages, cfg).select("log_id", "is_progressing")
     context = decisions.recent_severity(decisions.cooldown(threats, cfg), cfg).join(progress, "log_id", "left").withColumn(
