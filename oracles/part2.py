@@ -116,7 +116,7 @@ from (select *, case when attack_type in ('ransomware','zero_day') then 'PERSIST
   case when trusted_ip then 'IP in allowlist' when setting = 'shadow' then 'Shadow mode enabled' when setting = 'approval' and action_taken in ('BLOCK','RATE_LIMIT') then 'Queued for human approval'
     when confidence_score >= 0.8e0 then 'High confidence autonomous action' when confidence_score >= 0.5e0 then 'Medium confidence downgraded to ALERT' else 'Low confidence downgraded to MONITOR' end as reason
   from (select *, source_ip in (select source_ip from trusted) as trusted_ip from threats_wide), (values ('shadow'),('approval'),('open')) s(setting)""",
-    "k10_explanations": """select log_id, concat('Detected ', risk_level, ' risk anomaly (score: 0.50). Matches known pattern: Slow Burn. ', case when prior > 0 then concat('IP ', source_ip, ' has a history of ', prior, ' prior threat events. ') else 'First time offense for this IP. ' end,
+    "k10_explanations": """select log_id, concat('Detected ', risk_level, ' risk anomaly (score: ', printf('%.2f', f), '). Matches known pattern: Slow Burn. ', case when prior > 0 then concat('IP ', source_ip, ' has a history of ', prior, ' prior threat events. ') else 'First time offense for this IP. ' end,
   'Key factors: Kill Chain Multiplier: ', cast(mult as varchar), 'x; Escalation Guard Applied: ', case when guard then '1.0' else '0.0' end,
   case when lower(factors) like '%time%' then concat('; FP Risk Factors: ', factors) else '' end, '. Automated response executed: ',
   case when not guard then raw_action when raw_action = 'BLOCK' then 'RATE_LIMIT' else 'ALERT' end, '.') as explanation from decided_rows""",

@@ -50,12 +50,18 @@ def encode_categories(df: DataFrame, columns: list[str], dictionaries: dict[str,
 def balanced_sample(df: DataFrame, label: str, row_id: str, size: int, seed: int = 42) -> DataFrame:
     """``size`` rows, half per class, chosen by a hash of the id and the seed: repeatable anywhere.
 
-    Ranking within a class is preceded by a per-task limit, so no task sorts a whole class.
+    Counts per hash prefix tell up to which prefix a class has enough rows; only those rows, at
+    most one prefix more than needed, are ranked.
     """
+    half = size // 2
     lottery = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
-    drawn = df.withColumn("_draw", lottery)
+    drawn = df.withColumn("_draw", lottery).withColumn("_prefix", F.substring("_draw", 1, 4))
+    prefixes = drawn.groupBy(label, "_prefix").agg(F.count("*").alias("_n"))  # at most 65 536 rows per class
+    below = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = prefixes.withColumn("_below", below).where(F.col("_below") < half).groupBy(label).agg(F.max("_prefix").alias("_last"))
+    enough = drawn.join(last, label).where(F.col("_prefix") <= F.col("_last"))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", row_id))
-    return drawn.withColumn("_rank", rank).where(F.col("_rank") <= size // 2).orderBy("_draw").drop("_draw", "_rank")
+    return enough.withColumn("_rank", rank).where(F.col("_rank") <= half).orderBy("_draw").select(*df.columns)
 
 
 def split(df: DataFrame, row_id: str, label: str | None = None, train_percent: int = 80, seed: int = 42) -> DataFrame:

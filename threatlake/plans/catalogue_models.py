@@ -9,11 +9,13 @@ from threatlake.operators.scoring import ensemble, offset_score
 from threatlake.plans import training
 from threatlake.plans.derived import Derived
 from threatlake.plans.registry import query
+from threatlake.session import materialise
 
 
 def _rows(d: Derived):
     names = features.DETECT7
-    return features.detect7(d.flows, d.cfg).select("log_id", "ts", F.col("is_attack").cast("int").alias("label"), *names), names
+    rows = features.detect7(d.flows, d.cfg).select("log_id", "ts", F.col("is_attack").cast("int").alias("label"), *names)
+    return materialise(rows, "features"), names  # fitting passes over the rows many times
 
 
 @query

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace as with_settings
+
 from pyspark.sql import functions as F
 
 from threatlake.functions import scalars as S
 from threatlake.operators import adapt, allowlist, approvals, decisions, killchain, memory, reports, response, validation
+from threatlake.operators.features import behaviour6
 from threatlake.operators.running import micros
 from threatlake.plans import replay
 from threatlake.plans.derived import Derived
 from threatlake.plans.registry import query
-from threatlake.session import small_table
 
 r6 = lambda c: F.round(c, 6).alias(c)
 ten_minutes = lambda ts: F.floor(micros(ts) / F.lit(600_000_000)).cast("bigint")
@@ -163,10 +165,7 @@ def a24_minute_series(d: Derived):
 # --- decisions -----------------------------------------------------------------------------
 @query
 def k1_threat_types(d: Derived):
-    entropy = d.flows  # entropy of the five minutes before the flow
-    from threatlake.operators.features import behaviour6
-
-    with_entropy = behaviour6(entropy, d.cfg).select("log_id", "port_entropy")
+    with_entropy = behaviour6(d.flows, d.cfg).select("log_id", "port_entropy")
     joined = d.threats_wide.join(with_entropy, "log_id")
     kind = decisions.threat_type("request_rate", "port_entropy", "session_deviation", F.col("prior") >= 3)
     return joined.select("log_id", kind.alias("threat_type"))
@@ -212,11 +211,9 @@ def k8_action_choice(d: Derived):
 
 @query
 def k9_execution_gate(d: Derived):
-    from dataclasses import replace
-
     wide = allowlist.flag_trusted(d.threats_wide.withColumn("action", F.col("action_taken")), d.allowlist, d.cfg)
     out = None
-    for name, cfg in (("shadow", d.cfg), ("approval", replace(d.cfg, shadow_mode=False, human_approval=True)), ("open", replace(d.cfg, shadow_mode=False))):
+    for name, cfg in (("shadow", d.cfg), ("approval", with_settings(d.cfg, shadow_mode=False, human_approval=True)), ("open", with_settings(d.cfg, shadow_mode=False))):
         part = decisions.execution_gate(wide, cfg).select("log_id", F.lit(name).alias("setting"), "allowed", "mode", "reason")
         out = part if out is None else out.unionByName(part)
     return out
@@ -225,7 +222,7 @@ def k9_execution_gate(d: Derived):
 @query
 def k10_explanations(d: Derived):
     made = decisions.score_decision(d.context, d.cfg)
-    text = decisions.explanation(decisions.decision_chain(), F.col("action"), F.lit(0.5), F.col("risk_level"), F.col("source_ip"), F.col("prior"), F.lit("slow_burn"))
+    text = decisions.explanation(decisions.decision_chain(), F.col("action"), F.col("final_score"), F.col("risk_level"), F.col("source_ip"), F.col("prior"), F.lit("slow_burn"))
     return made.select("log_id", text.alias("explanation"))
 
 

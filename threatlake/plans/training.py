@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from threatlake.functions.scalars import ratio
 from threatlake.operators import cleaning, features, iforest, ocsvm, reports
 from threatlake.operators.scoring import offset_score
+from threatlake.session import materialise
 from threatlake.sources import model_store
 
 
@@ -46,7 +47,8 @@ def train(df: DataFrame, names: list[str], row_id: str, label: str = "label", se
     fitted = features.fit_scaler(parts.where("is_train"), names)
     # the fitted statistics are one row; pin them so later passes do not refit
     scaler = df.sparkSession.createDataFrame([fitted.first()], fitted.schema)
-    ready = features.apply_scaler(parts, scaler, names)
+    # both fits and the evaluation pass over these rows many times: store them once
+    ready = materialise(features.apply_scaler(parts, scaler, names), "training")
     train_rows, test_rows = ready.where("is_train"), ready.where("not is_train")
     forest = iforest.fit(train_rows, names, row_id, seed=seed, **{k: v for k, v in sizes.items() if k in ("trees", "subsample")})
     svm = ocsvm.fit(train_rows.where(F.col(label) == 0), names, row_id, seed=seed, **{k: v for k, v in sizes.items() if k in ("cap", "steps", "dimension")})
@@ -70,7 +72,7 @@ def retrain(scores: DataFrame, names: list[str], row_id: str, ts: str, label: st
 
     Returns ``(model or None, one-row outcome)``.
     """
-    latest = reports.newest(scores, ts, row_id, rows)
+    latest = materialise(reports.newest(scores.select(row_id, ts, label, *names), ts, row_id, rows), "retrain")
     parts = cleaning.split(latest, row_id, seed=seed)
     spark = scores.sparkSession
     have = latest.count()
