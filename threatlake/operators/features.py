@@ -42,7 +42,8 @@ def history(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         F.coalesce(F.col("bytes_sent"), F.lit(0)).cast("decimal(19,0)").alias("_size"),
         (F.when(own, micros("ts")).otherwise(micros("ts") + step) * 2).alias("_pos"),
         F.when(own, 1).otherwise(-1).cast("bigint").alias("_sign"),
-        F.when(own, F.struct(*payload)).alias("_flow"),
+        "_own",
+        *[F.when(own, F.col(c)).alias(c) for c in payload],  # kept apart, so unused ones are pruned
     )
 
     per_port = running(
@@ -53,7 +54,7 @@ def history(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     real = F.col("_port") >= 0
     zero = F.lit(0).cast("bigint")
     changes = per_port.select(
-        "log_id", "source_ip", "_pos", "_flow",
+        "log_id", "source_ip", "_pos", "_own", *payload,
         F.col("_sign").alias("_rows"),
         (F.col("_size") * F.col("_sign")).cast("decimal(38,0)").alias("_bytes"),
         (F.col("_size") * F.col("_size") * F.col("_sign")).cast("decimal(38,0)").alias("_squares"),
@@ -63,10 +64,10 @@ def history(flows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     )
     names = ["rows", "bytes", "squares", "port_rows", "port_kinds", "port_weight"]
     sums = {f"s_{n}": ("sum", F.col(f"_{n}")) for n in names}
-    done = running(changes, ["source_ip"], "_pos", sums, cfg=cfg, scale=2).where(F.col("_flow").isNotNull())
+    done = running(changes, ["source_ip"], "_pos", sums, cfg=cfg, scale=2).where("_own")
     out = {"rows": "hist_rows", "bytes": "hist_bytes", "squares": "hist_squares"}
     return done.select(
-        "log_id", "source_ip", *[F.col(f"_flow.{c}").alias(c) for c in payload],
+        "log_id", "source_ip", *payload,
         *[F.coalesce(F.col(f"s_{n}"), F.lit(0)).alias(out.get(n, n)) for n in names],
     )
 
