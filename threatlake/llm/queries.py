@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threatlake.llm.bpe import encode_documents
 from threatlake.llm.common import table
 from threatlake.llm.exact_dedup import exact_duplicates
 from threatlake.llm.line_dedup import drop_common_lines
 from threatlake.llm.mixing import mix_sources
 from threatlake.llm.sharding import shard_documents
+from threatlake.llm.token_files import tokenize_to_files
 
 #: Slots of 100: the largest source is held to its even share; sources that aren't named share one slot.
 TARGET_WEIGHTS = {"src0": 4, **{f"src{i}": 5 for i in range(1, 20)}}
@@ -23,6 +26,15 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize_to_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"), TARGET_WEIGHTS, rest_weight=1)
 
@@ -32,7 +44,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op8_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_token_files, op7_bpe, op8_mixing, op9_line_dedup)}
 
 SQL = {
     "op3_exact_dedup": r"""
