@@ -11,6 +11,7 @@ from threatlake.llm.common import table
 from threatlake.llm.exact_dedup import exact_duplicates
 from threatlake.llm.line_dedup import drop_common_lines
 from threatlake.llm.mixing import mix_sources
+from threatlake.llm.ngram_join import ngram_components
 from threatlake.llm.sharding import shard_documents
 from threatlake.llm.token_files import tokenize_to_files
 
@@ -18,6 +19,10 @@ from threatlake.llm.token_files import tokenize_to_files
 TARGET_WEIGHTS = {"src0": 4, **{f"src{i}": 5 for i in range(1, 20)}}
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,7 +49,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_sharding, op5_token_files, op7_bpe, op8_mixing, op9_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_exact_dedup, op4_sharding, op5_token_files, op7_bpe, op8_mixing, op9_line_dedup)}
 
 SQL = {
     "op3_exact_dedup": r"""
