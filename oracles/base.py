@@ -4,8 +4,24 @@ from __future__ import annotations
 
 import re
 
-from threatlake.plans.derived import ATTACK_TYPE
-from threatlake.sources.events_adapter import SHARED_COLUMNS
+# The columns of a flow and the attack names, as the queries' description gives them.
+ATTACK_TYPE = """case event_type when 'view' then 'normal' when 'click' then 'brute_force' when 'signup' then 'zero_day'
+  when 'purchase' then 'ddos' else 'port_scan' end"""
+SHARED_COLUMNS = [
+    "cast(1024 + event_id % 50000 as int) as src_port",
+    "case event_type when 'view' then 'TCP' when 'click' then 'TCP' when 'signup' then 'UDP' "
+    "when 'purchase' then 'ICMP' else 'GRE' end as protocol",
+    "cast(floor(value*1000) as bigint) as bytes_sent",
+    "cast(k + 1 as bigint) as packets",
+    "cast(event_id % 200 as double) / 10 as duration_seconds",
+    "case when event_type in ('click','error') then value*2 else value/50 end as request_rate",
+    "case when k % 17 = 0 then 'Nmap Scripting Engine' else 'Mozilla/5.0' end as user_agent",
+    "case when k % 13 = 0 then '1=1' end as sqli_pattern",
+    "cast(k % 20 as int) as failed_logins",
+    "k % 29 = 0 as repeated_beaconing",
+    "event_type <> 'view' as is_attack",
+    "event_type",
+]
 
 _SHARED = ",\n  ".join(SHARED_COLUMNS)
 

@@ -22,7 +22,7 @@ SQL = {
   case when log_id % 2 = 0 then bytes_sent else 0 end as bytes_sent, case when log_id % 7 = 0 then packets else 1 end as packets,
   case when log_id % 2 = 1 then duration_seconds else 0e0 end as duration_seconds, case when log_id % 6 = 0 then request_rate else 1e0 end as request_rate from flows""",
     "s6_ingest_records": """select log_id, source_ip, '10.0.0.1' as dest_ip, cast(dest_port as bigint) as dest_port, protocol,
-  case when log_id % 9 = 0 then 0 else bytes_sent end as bytes_sent, cast(0 as bigint) as bytes_received, duration_seconds from flows order by log_id limit 1000""",
+  case when log_id % 9 = 0 then 0 else bytes_sent end as bytes_sent, cast(0 as bigint) as bytes_received, duration_seconds from flows where log_id % 11 <> 0 order by log_id limit 1000""",
     "s8_attack_scenarios": """select concat('sc_', cast(t.log_id as varchar)) as scenario_id, t.log_id, t.source_ip, epoch_us(t.created_at) as created_at, t.action_taken as original_action,
   t.confidence_score as original_confidence, f.log_id as net_log_id, f.request_rate, cast(f.dest_port as bigint) as dest_port, cast(f.src_port as bigint) as src_port, f.bytes_sent,
   f.duration_seconds, f.packets, f.protocol from threats t left join lateral (select * from flows g where g.source_ip = t.source_ip and g.ts <= t.created_at order by g.ts desc, g.log_id desc limit 1) f on true""",
@@ -43,7 +43,8 @@ SQL = {
     "p11_unscored_logs": "select log_id, source_ip, epoch_us(ts) as ts from flows where log_id % 3 = 0",
     "p12_anomaly_gate": "select log_id, source_ip, combined, risk_level from scores where combined > 0.65e0",
     "p13_active_attackers": "select source_ip, current_stage, epoch_us(last_activity) as last_activity from profiles where is_active",
-    "p13_active_allowlist": "select * from allowlist where is_active",
+    "p13_active_allowlist": """select 'IP' as entry_type, source_ip as value, true as is_active from (select source_ip, arg_max(is_active, version) as is_active
+  from (select source_ip, true as is_active, cast(0 as bigint) as version from flows union all select source_ip, log_id % 2 = 0, log_id + 1 from threats) group by 1) where is_active""",
     "p13_pending_approvals": "select log_id, proposed_action, epoch_us(expires_at) as expires_at from queue where status = 'PENDING'",
     "p13_active_threats": "select log_id, source_ip, risk_level from sim_events where risk_level <> 'LOW' and ts > (select max(ts) from flows) - interval 30 second",
     "p14_lookup_sources": "select source_ip, first_stage_seen, current_stage, is_active from profiles where source_ip in ('10.0.0.7','10.0.0.42')",
@@ -78,8 +79,10 @@ SQL = {
     "w6_correlated": """select log_id, recent_events, recent_events >= 3 as correlated from (select log_id, count(*) over (partition by source_ip order by epoch_us(ts) range between 300000000 preceding and current row) as recent_events from scores)""",
     "w7_cooldown": """select log_id, exists (select 1 from threats_wide p where p.source_ip = t.source_ip and p.created_at >= t.created_at - interval 600 second and p.created_at < t.created_at) as in_cooldown from threats_wide t""",
     "w8_stage_progression": "select log_id, source_ip, stage, is_progressing from progress",
-    "w9_attacker_profiles": """select source_ip, first_stage_seen, current_stage, epoch_us(last_activity) as last_activity, stage_events, is_active, cast(least(stage_events, 10) as bigint) as nested_rows,
-  (select log_id from (select e.log_id, e.detected_at from stage_events e where e.source_ip = p.source_ip order by e.detected_at desc, e.log_id desc limit 10) z order by z.detected_at, z.log_id limit 1) as oldest_nested from profiles p""",
+    "w9_attacker_profiles": "select source_ip, first_stage_seen, current_stage, epoch_us(last_activity) as last_activity, stage_events, is_active from profiles",
+    "w9_stage_history": """select source_ip, log_id as threat_event_id, epoch_us(detected_at) as "timestamp", stage, confidence from stage_events""",
+    "m4_train_split": """select log_id, cast(is_attack as bigint) as label, r <= n*80//100 as is_train from (select log_id, is_attack, count(*) over (partition by is_attack) as n,
+  row_number() over (partition by is_attack order by md5(concat('42:', cast(log_id as varchar))), log_id) as r from flows)""",
     "w10_attack_pattern": """select source_ip, n as events, case when n < 5 then null when ports > 10 and n >= 10 then 'port_scan'
   when n >= 20 and top < 0.4e0 and t1 - t20 > 3600000000 then 'slow_burn' when n >= 10 and t1 - t5 > 0 and t6 - t10 > 0 and t6 - t10 > (t1 - t5)*3 then 'ddos_buildup' end as pattern
 from (select source_ip, count(*) as n, count(distinct dest_port) as ports, max(case when r <= 20 then score end) as top, max(case when r = 1 then epoch_us(ts) end) as t1,
@@ -93,9 +96,10 @@ from (select log_id, list(request_rate) over (partition by source_ip order by ts
     "w12_reputation_path": """select action_id, target_ip, greatest(0, 100 - cast(sum(case action_type when 'BLOCK' then 50 when 'RATE_LIMIT' then 25 when 'PORT_CLOSE' then 40 else 0 end)
   over (partition by target_ip order by executed_at, action_id) as bigint))/100e0 as reputation from actions""",
     "w13_first_block": "select target_ip, arg_min(action_id, (executed_at, action_id)) as action_id, epoch_us(min(executed_at)) as first_blocked_at from actions where action_type = 'BLOCK' group by 1",
-    "w14_auto_rollback": """select action_id, epoch_us(executed_at + interval 30 minute) as due_at, round(m, 6) as recent_mean, case when m >= 0.65e0 then 'EXTEND' else 'ROLLBACK' end as outcome
-from (select a.*, coalesce((select avg(combined) from (select combined from scores s where s.source_ip = a.target_ip and s.ts <= a.executed_at + interval 30 minute order by s.ts desc, s.log_id desc limit 5)), 0e0) as m
-from actions a where action_type in ('BLOCK','RATE_LIMIT'))""",
+    "w14_auto_rollback": """select action_id, k as "check", epoch_us(due_at) as due_at, round(m, 6) as recent_mean, case when m >= 0.65e0 then 'EXTEND' else 'ROLLBACK' end as outcome
+from (select *, min(case when m < 0.65e0 then k end) over (partition by action_id) as ended
+from (select c.*, coalesce((select avg(combined) from (select combined from scores s where s.source_ip = c.target_ip and s.ts <= c.due_at order by s.ts desc, s.log_id desc limit 5)), 0e0) as m
+from rollback_checks c)) where ended is null or k <= ended""",
     "w15_last_per_source": "select source_ip, log_id, r as rank from (select *, row_number() over (partition by source_ip order by ts desc, log_id desc) as r from flows) where r <= 10",
     "w16_latest_scores": "select log_id, combined from scores order by ts desc, log_id desc limit 1000",
     "t1_threat_page": "select log_id, epoch_us(created_at) as created_at from threats t order by t.created_at desc, log_id desc limit 30 offset 30",

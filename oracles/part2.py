@@ -122,7 +122,9 @@ from (select *, case when attack_type in ('ransomware','zero_day') then 'PERSIST
   case when not guard then raw_action when raw_action = 'BLOCK' then 'RATE_LIMIT' else 'ALERT' end, '.') as explanation from decided_rows""",
     "k11_replay": "select log_id, log_id % 6 = 0 or confidence_score > 0.7e0 as would_catch, action_taken as simulated_action from threats_wide",
     "c1_reputation_upsert": f"""select source_ip as ip_address, count(*) as threat_count, epoch_us(max(created_at)) as last_seen, max(cast(action_taken = 'BLOCK' as int)) = 1 as is_blocked,
-  {_REP} as reputation_points, cast(least(count(*), 20) as bigint) as nested_rows from threats group by 1""",
+  {_REP} as reputation_points from threats group by 1""",
+    "c1_reputation_history": """select source_ip as ip_address, log_id, epoch_us(created_at) as "timestamp", confidence_score as score, action_taken as action,
+  case event_type when 'view' then 'normal' when 'click' then 'brute_force' when 'signup' then 'zero_day' when 'purchase' then 'ddos' else 'port_scan' end as threat_type from threats""",
     "c2_responses": """select log_id as action_id, log_id as threat_id, action_taken as action_type, source_ip as target_ip, true as success, epoch_us(created_at + interval 2 second) as executed_at,
   case action_taken when 'BLOCK' then -0.5e0 when 'RATE_LIMIT' then -0.25e0 when 'PORT_CLOSE' then -0.4e0 else 0e0 end as reputation_delta, action_taken = 'BLOCK' as blocks_source,
   case when action_taken = 'BLOCK' then 'Automated block — high-confidence threat' end as block_reason from threats_wide where action_taken <> 'MONITOR'""",
@@ -165,3 +167,5 @@ SQL.update({
     select t.log_id, t.action_taken as original_action, f.session_deviation*0.8e0 + 0e0*0.2e0 as iso, f.request_rate/greatest(f.request_rate + 1e0, 1e0) as svm from threats t
     join lateral (select * from scores g where g.source_ip = t.source_ip and g.ts <= t.created_at order by g.ts desc, g.log_id desc limit 1) f on true))) x, """ + _SPACE + """))))) where rank = 1""",
 })
+EXTRA["rollback_checks"] = """select *, executed_at + k * interval 30 minute as due_at from (select a.action_id, a.target_ip, a.executed_at,
+  unnest(generate_series(1, greatest(1, (epoch_us((select max(ts) from flows)) - epoch_us(executed_at)) // 1800000000))) as k from actions a where action_type = 'BLOCK')"""

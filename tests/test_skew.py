@@ -27,7 +27,7 @@ PARTS = {
     "context": lambda d: d.context.select("log_id", "fp_risk", "past_severity", "is_progressing"),
     "choice": lambda d: decisions.choose_action(d.context).select("log_id", "action", "decision_confidence"),
     "validation": lambda d: d.validations.select("action_id", F.round("mean_before", 9).alias("b"), F.round("mean_after", 9).alias("a"), "n_after", "max_after", "success"),
-    "rollback": lambda d: response.auto_rollback(d.actions, d.scores, d.cfg).select("action_id", F.round("recent_mean", 9).alias("m"), "outcome"),
+    "rollback": lambda d: response.auto_rollback(d.actions, d.scores, d.as_of(), d.cfg).select("action_id", F.round("recent_mean", 9).alias("m"), "outcome"),
     "reputation": lambda d: response.reputation_path(d.actions, d.cfg).select("action_id", "reputation"),
     "sequence": lambda d: memory.sequence_deviation(d.flows, d.cfg).select("log_id", "predicted_rate", "deviation_score"),
 }

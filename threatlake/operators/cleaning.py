@@ -47,24 +47,32 @@ def encode_categories(df: DataFrame, columns: list[str], dictionaries: dict[str,
     return df
 
 
-def balanced_sample(df: DataFrame, label: str, row_id: str, size: int, seed: int = 42) -> DataFrame:
-    """``size`` rows, half per class, chosen by a hash of the id and the seed: repeatable anywhere.
+def _drawn(df: DataFrame, row_id: str, by: list[str], seed: int) -> DataFrame:
+    """Add ``_place``, a row's rank from 1 in the draw of its class, and ``_class``, the size of that.
 
-    Counts per hash prefix tell up to which prefix a class has enough rows; only those rows, at
-    most one prefix more than needed, are ranked.
+    The draw orders rows by a hash of the id and the seed. Rows are ranked inside a prefix of the
+    hash; counts by prefix, at most 65 536 a class, say how many rows come before it.
     """
-    half = size // 2
     lottery = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
     drawn = df.withColumn("_draw", lottery).withColumn("_prefix", F.substring("_draw", 1, 4))
-    prefixes = drawn.groupBy(label, "_prefix").agg(F.count("*").alias("_n"))  # at most 65 536 rows per class
-    below = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    last = prefixes.withColumn("_below", below).where(F.col("_below") < half).groupBy(label).agg(F.max("_prefix").alias("_last"))
-    enough = drawn.join(last, label).where(F.col("_prefix") <= F.col("_last"))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_draw", row_id))
-    return enough.withColumn("_rank", rank).where(F.col("_rank") <= half).orderBy("_draw").select(*df.columns)
+    prefixes = drawn.groupBy(*by, "_prefix").agg(F.count("*").alias("_n"))
+    whole, before = Window.partitionBy(*by), Window.partitionBy(*by).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    prefixes = prefixes.select(*(F.col(c).alias(f"_of_{c}") for c in by), F.col("_prefix").alias("_at"),
+                               F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_below"), F.sum("_n").over(whole).alias("_class"))
+    match = F.col("_prefix") == F.col("_at")
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    within = F.row_number().over(Window.partitionBy(*by, "_prefix").orderBy("_draw", row_id))
+    return drawn.join(prefixes, match).withColumn("_place", F.col("_below") + within).drop("_prefix", "_at", "_below", *(f"_of_{c}" for c in by))
+
+
+def balanced_sample(df: DataFrame, label: str, row_id: str, size: int, seed: int = 42) -> DataFrame:
+    """``size`` rows, half per class, chosen by a hash of the id and the seed: repeatable anywhere."""
+    return _drawn(df, row_id, [label], seed).where(F.col("_place") <= size // 2).orderBy("_draw").select(*df.columns)
 
 
 def split(df: DataFrame, row_id: str, label: str | None = None, train_percent: int = 80, seed: int = 42) -> DataFrame:
-    """Add ``is_train`` by hash of the id, independently per class when a label is given."""
-    keys = [F.lit(seed), F.col(row_id)] + ([F.col(label)] if label else [])
-    return df.withColumn("is_train", F.pmod(F.xxhash64(*keys), F.lit(100)) < train_percent)
+    """Add ``is_train``: exactly ``train_percent`` of the rows, rounded down, of each class when a
+    label is given, chosen by a hash of the id and the seed."""
+    drawn = _drawn(df, row_id, [label] if label else [], seed)
+    return drawn.select(*df.columns, (F.col("_place") <= F.floor(F.col("_class") * train_percent / 100)).alias("is_train"))

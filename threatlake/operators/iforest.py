@@ -45,14 +45,11 @@ def _assign(df: DataFrame, features, row_id: str, trees: int, subsample: int, se
     """Rows with the tree they train: about 1.5 subsamples per tree, cut to one by hash order."""
     lottery = lambda *c: F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), *c), F.lit(1_000_000)) / F.lit(1e6)
     base = df.select(F.col(row_id), *_matrix(features))
-    wanted = 1.5 * trees * subsample
-    if rows > 4 * wanted:  # plenty of rows: each serves at most one tree
-        tree = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(row_id)), F.lit(trees)).cast("int")
-        drawn = base.where(lottery() < wanted / rows).withColumn("tree", tree)
-    else:  # few rows: they serve several trees
-        drawn = base.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).where(
-            lottery(F.col("tree")) < min(1.0, 1.5 * subsample / max(rows, 1)))
-    return drawn
+    share = 1.5 * trees * subsample / max(rows, 1)
+    copies = math.ceil(share)  # chances of a row to be drawn, one where rows abound
+    chance = base.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies)))).where(lottery(F.col("_copy")) < share / copies)
+    tree = F.pmod(F.xxhash64(F.lit(seed + 1), F.col(row_id), F.col("_copy")), F.lit(trees)).cast("int")
+    return chance.withColumn("tree", tree).drop("_copy").dropDuplicates(["tree", row_id])
 
 
 def fit(df: DataFrame, features: list[str], row_id: str, trees: int = 200, subsample: int = 256, contamination: float = 0.05, seed: int = 42) -> IsolationForest:

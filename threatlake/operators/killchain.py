@@ -99,10 +99,15 @@ def progression(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return joined.withColumn("is_progressing", F.coalesce(advancing, F.lit(False))).drop("_pos", "_idx", "_prev")
 
 
-def attacker_profiles(events: DataFrame, as_of: Column, history_rows: int = 10) -> DataFrame:
-    """One row per source: first and current stage, activity flag, the latest stages nested.
+def stage_history(events: DataFrame) -> DataFrame:
+    """The whole stage history of every source: a row per stage event, to be appended to its table."""
+    return events.select("source_ip", F.col("log_id").alias("threat_event_id"), F.col("detected_at").alias("timestamp"), "stage", "confidence")
 
-    The full history stays in the stage-event table; only the newest ``history_rows`` are nested.
+
+def attacker_profiles(events: DataFrame, as_of: Column) -> DataFrame:
+    """One row per source: first and current stage, number of stage events, activity flag.
+
+    The events themselves are the rows of :func:`stage_history`.
     """
     key = F.struct("detected_at", "log_id")
     spans = events.groupBy("source_ip").agg(
@@ -111,16 +116,8 @@ def attacker_profiles(events: DataFrame, as_of: Column, history_rows: int = 10)
         F.max("detected_at").alias("last_activity"),
         F.count("*").alias("stage_events"),
     )
-    newest = Window.partitionBy("source_ip").orderBy(F.desc("detected_at"), F.desc("log_id"))
-    recent = (
-        events.withColumn("_rank", F.row_number().over(newest))
-        .where(F.col("_rank") <= history_rows)
-        .groupBy("source_ip")
-        .agg(F.sort_array(F.collect_list(F.struct(
-            F.col("detected_at").alias("timestamp"), F.col("log_id"), "stage", "confidence"))).alias("stage_history"))
-    )
     return (
-        spans.join(recent, "source_ip")
+        spans
         .withColumn("predicted_next_action", next_stage("current_stage"))
         .withColumn("is_active", (F.unix_micros(as_of) - micros("last_activity")) <= F.lit(2 * 3600 * 1_000_000))
     )

@@ -53,31 +53,28 @@ def reputation_path(actions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return summed.withColumn("reputation", F.greatest(F.lit(0), F.lit(100) - F.col("_spent")) / F.lit(100.0)).drop("_pos", "_step", "_spent")
 
 
-def upsert_reputation(snapshot: DataFrame, threats: DataFrame, keep_history: int = 20) -> DataFrame:
+def attack_history(threats: DataFrame) -> DataFrame:
+    """The whole attack history of every source: a row per threat, to be appended to its table.
+
+    It is not nested in the snapshot, where one source's list would have no bound.
+    """
+    return threats.select(F.col("source_ip").alias("ip_address"), F.col("log_id"), F.col("created_at").alias("timestamp"),
+                          F.col("confidence_score").alias("score"), F.col("action_taken").alias("action"), "threat_type")
+
+
+def upsert_reputation(snapshot: DataFrame, threats: DataFrame) -> DataFrame:
     """New reputation snapshot after a batch of threats: one row per source, old or new.
 
-    Counts and times cover everything; only the newest ``keep_history`` entries are nested, the
-    whole history being the threat table itself. Reputation points are integers (hundredths).
+    Reputation points are integers (hundredths). The entries behind the counts are those of
+    :func:`attack_history`.
     """
-    entry = F.struct(F.col("created_at").alias("timestamp"), F.col("confidence_score").alias("score"),
-                     F.col("action_taken").alias("action"), F.col("log_id"))
-    newest = Window.partitionBy("source_ip").orderBy(F.desc("created_at"), F.desc("log_id"))
-    recent = (
-        threats.select("source_ip", "created_at", "log_id", entry.alias("e"))
-        .withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= keep_history)
-        .groupBy("source_ip").agg(F.sort_array(F.collect_list("e")).alias("new_history"))
-    )
     batch = (
         threats.groupBy("source_ip")
         .agg(F.count("*").alias("new_threats"), F.max("created_at").alias("new_seen"),
              F.sum(reputation_step("action_taken")).alias("spent"),
              F.max((F.col("action_taken") == "BLOCK").cast("int")).alias("blocks"))
-        .join(recent, "source_ip")
         .withColumnRenamed("source_ip", "ip_address")
     )
-    empty = F.array().cast(batch.schema["new_history"].dataType)
-    old_history = F.coalesce("attack_history", empty) if "attack_history" in snapshot.columns else empty
-    history = F.concat(old_history, F.coalesce("new_history", empty))
     points = F.coalesce("reputation_points", F.lit(100).cast("bigint")) - F.coalesce("spent", F.lit(0).cast("bigint"))
     return snapshot.join(batch, "ip_address", "full_outer").select(
         "ip_address",
@@ -85,7 +82,6 @@ def upsert_reputation(snapshot: DataFrame, threats: DataFrame, keep_history: int
         F.greatest("last_seen", "new_seen").alias("last_seen"),
         (F.coalesce("is_blocked", F.lit(False)) | (F.coalesce("blocks", F.lit(0)) > 0)).alias("is_blocked"),
         F.greatest(points, F.lit(0)).alias("reputation_points"),
-        F.when(F.size(history) > keep_history, F.slice(history, -keep_history, keep_history)).otherwise(history).alias("attack_history"),
     )
 
 
@@ -110,12 +106,22 @@ def mean_before(actions: DataFrame, scores: DataFrame, depth: int = 5, cfg: Conf
     return found.withColumn("mean_before", F.coalesce("_m.recent_mean", F.lit(0.0))).drop("_m").withColumnRenamed("source_ip", "target_ip")
 
 
-def auto_rollback(actions: DataFrame, scores: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Thirty minutes after a block: keep it while the source's latest scores stay hot."""
-    due = actions.where(F.col("action_type").isin("BLOCK", "RATE_LIMIT")).withColumn(
-        "due_at", F.col("executed_at") + F.make_dt_interval(mins=F.lit(cfg.auto_rollback_minutes)))
+def auto_rollback(actions: DataFrame, scores: DataFrame, as_of: Column, cfg: Config = DEFAULT) -> DataFrame:
+    """Checks of every block: ``check`` 1 after thirty minutes, then one every thirty minutes.
+
+    A block stays while the source's latest scores are hot (EXTEND) and ends with the first check
+    that finds them cooler (ROLLBACK). Other actions are not checked. A block has its first
+    check however late it is, and later ones up to ``as_of``.
+    """
+    every = cfg.auto_rollback_minutes * 60_000_000
+    blocks = actions.where(F.col("action_type") == "BLOCK")
+    checks = F.greatest(F.lit(1), F.floor((F.unix_micros(as_of) - micros("executed_at")) / F.lit(every))).cast("bigint")
+    due = blocks.withColumn("check", F.explode(F.sequence(F.lit(1).cast("bigint"), checks))).withColumn(
+        "due_at", F.timestamp_micros(micros("executed_at") + F.col("check") * F.lit(every)))
     checked = mean_before(due, scores, 5, cfg, at="due_at").withColumnRenamed("mean_before", "recent_mean")
-    return checked.withColumn("outcome", F.when(F.col("recent_mean") >= 0.65, "EXTEND").otherwise("ROLLBACK"))
+    decided = checked.withColumn("outcome", F.when(F.col("recent_mean") >= 0.65, "EXTEND").otherwise("ROLLBACK"))
+    ended = F.min(F.when(F.col("outcome") == "ROLLBACK", F.col("check"))).over(Window.partitionBy("action_id"))
+    return decided.withColumn("_ended", ended).where(F.col("_ended").isNull() | (F.col("check") <= F.col("_ended"))).drop("_ended")
 
 
 def rollback(actions: DataFrame, reputation: DataFrame, actor: str, reason: str, at: Column) -> DataFrame:

@@ -43,7 +43,8 @@ def measure(df: DataFrame, key: str, time_us: Column, cfg: Config = DEFAULT) ->
     """Find the hot keys of ``df``: a row count, then one counting pass over two columns.
 
     At most ``shares`` keys and ``shares`` cells can exceed ``1/shares`` of the rows, so what
-    comes back to the driver is bounded by the setting, not by the data.
+    comes back to the driver is bounded by the setting, not by the data. So are the salts of a
+    key: it has at most ``shares`` of them.
     """
     skew = cfg.skew
     total = df.count()
@@ -53,7 +54,7 @@ def measure(df: DataFrame, key: str, time_us: Column, cfg: Config = DEFAULT) ->
     cells = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), cell.alias("cell")).agg(F.count("*").alias("n"))
     edge = max(skew.min_rows, -(-total // skew.shares))
     parts = F.least(F.ceil(F.col("n") * skew.shares / F.lit(total)), F.ceil(F.col("n") / F.lit(max(skew.min_rows, 1))))
-    keys = cells.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= edge).select("key", F.least(parts, F.lit(1024)).cast("int").alias("salts")).collect()
+    keys = cells.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= edge).select("key", parts.cast("int").alias("salts")).collect()
     if not keys:
         return HotKeys()
     dense = cells.where(F.col("n") >= edge).select("key", "cell", parts.cast("bigint").alias("parts")).collect()

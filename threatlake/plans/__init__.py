@@ -6,8 +6,9 @@ import importlib
 
 
 def load_queries():
-    from threatlake.plans.registry import QUERIES
+    from threatlake.plans.registry import QUERIES, cut_twins
 
     for module in ("catalogue", "catalogue_reports", "catalogue_models", "catalogue_streams"):
         importlib.import_module(f"threatlake.plans.{module}")
+    cut_twins("m1_behaviour6", "w11_sequence_deviation", "v1_action_validation", "k8_action_choice")
     return dict(QUERIES)

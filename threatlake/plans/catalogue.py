@@ -38,9 +38,11 @@ def s5_agent_ingest(d: Derived):
 
 @query
 def s6_ingest_records(d: Derived):
-    named = d.flows.select("log_id", "source_ip", F.col("dest_port").cast("string").alias("dest_port"), "protocol",
-                           F.when(F.col("log_id") % 9 == 0, F.lit("abc")).otherwise(F.col("bytes_sent").cast("string")).alias("bytes_sent"), "duration_seconds")
-    return ingest.to_records(named, "log_id", 1000)
+    late = F.when(F.col("log_id") % 11 == 0, F.lit(float("inf"))).otherwise(F.col("duration_seconds"))
+    named = d.flows.select("log_id", F.col("source_ip").alias(" Source IP"), F.col("dest_port").cast("string").alias("Destination Port "), "protocol",
+                           F.when(F.col("log_id") % 9 == 0, F.lit("abc")).otherwise(F.col("bytes_sent").cast("string")).alias("bytes_sent"), late.alias("duration_seconds"))
+    cleaned = cleaning.clean(cleaning.strip_headers(named), ["duration_seconds"])
+    return ingest.to_records(cleaning.rename_known(cleaned, {"Source IP": "source_ip", "Destination Port": "dest_port"}), "log_id", 1000)
 
 
 @query
@@ -132,7 +134,7 @@ def p13_active_attackers(d: Derived):
 
 @query
 def p13_active_allowlist(d: Derived):
-    return allowlist.active_entries(d.allowlist)
+    return allowlist.active_entries(d.source_entries).select("entry_type", "value", "is_active")
 
 
 @query
@@ -276,8 +278,12 @@ def w8_stage_progression(d: Derived):
 
 @query
 def w9_attacker_profiles(d: Derived):
-    return d.profiles.select("source_ip", "first_stage_seen", "current_stage", "last_activity", "stage_events", "is_active",
-                             F.size("stage_history").alias("nested_rows"), F.get("stage_history", F.lit(0))["log_id"].alias("oldest_nested"))
+    return d.profiles.select("source_ip", "first_stage_seen", "current_stage", "last_activity", "stage_events", "is_active")
+
+
+@query
+def w9_stage_history(d: Derived):
+    return killchain.stage_history(d.stage_events)
 
 
 @query
@@ -302,7 +308,7 @@ def w13_first_block(d: Derived):
 
 @query
 def w14_auto_rollback(d: Derived):
-    return response.auto_rollback(d.actions, d.scores, d.cfg).select("action_id", "due_at", r6("recent_mean"), "outcome")
+    return response.auto_rollback(d.actions, d.scores, d.as_of(), d.cfg).select("action_id", "check", "due_at", r6("recent_mean"), "outcome")
 
 
 @query

@@ -21,7 +21,7 @@ def _rows(d: Derived):
 @query
 def m4_train_split(d: Derived):
     rows = d.flows.select("log_id", F.col("is_attack").cast("int").alias("label"))
-    return cleaning.split(rows, "log_id", "label").groupBy("label", "is_train").agg(F.count("*").alias("n"))
+    return cleaning.split(rows, "log_id", "label")
 
 
 @query
@@ -34,7 +34,8 @@ def m5_isolation_forest(d: Derived):
 @query
 def m6_one_class_svm(d: Derived):
     rows, names = _rows(d)
-    scaled = features.apply_scaler(rows, features.fit_scaler(rows, names), names)
+    normal = rows.where("label = 0")
+    scaled = features.apply_scaler(rows, features.fit_scaler(normal, names), names)
     model = ocsvm.fit(scaled.where("label = 0"), names, "log_id")
     return scaled.select("log_id", ocsvm.raw_score(model).alias("raw")).select("log_id", "raw", offset_score("raw").alias("svm_score"), (F.col("raw") < 0).alias("outlier"))
 

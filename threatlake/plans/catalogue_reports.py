@@ -239,7 +239,12 @@ def k11_replay_regression(d: Derived):
 # --- state changes ----------------------------------------------------------------------------
 @query
 def c1_reputation_upsert(d: Derived):
-    return response.upsert_reputation(d.reputation, d.threats.where("log_id % 2 = 1")).withColumn("nested_rows", F.size("attack_history")).drop("attack_history")
+    return response.upsert_reputation(d.reputation, d.threats.where("log_id % 2 = 1"))
+
+
+@query
+def c1_reputation_history(d: Derived):
+    return response.attack_history(d.threats)
 
 
 @query
@@ -278,9 +283,7 @@ def c6_marked_threats(d: Derived):
 
 @query
 def c7_allowlist_merge(d: Derived):
-    current = d.flows.select(F.lit("IP").alias("entry_type"), F.col("source_ip").alias("value")).distinct().withColumns({"is_active": F.lit(True), "version": F.lit(0).cast("bigint")})
-    changes = d.threats.select(F.lit("IP").alias("entry_type"), F.col("source_ip").alias("value"), (F.col("log_id") % 2 == 0).alias("is_active"), (F.col("log_id") + 1).alias("version"))
-    return allowlist.merge_entries(current, changes)
+    return d.source_entries
 
 
 # --- adaptation ---------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import risk_level
-from threatlake.operators import decisions, features, killchain, response, scoring, validation
+from threatlake.operators import allowlist, decisions, features, killchain, response, scoring, validation
 from threatlake.operators.running import measure, micros
 from threatlake.session import small_table
 from threatlake.sources import events_adapter
@@ -59,11 +59,12 @@ class Derived:
     def _threats(self, edge: float) -> DataFrame:
         over = self.scores.where(F.col("combined") > edge).select(
             "log_id", "source_ip", "ts", "combined", "risk_level", "session_deviation", "request_rate", "dest_port", "protocol", "bytes_sent",
-            "duration_seconds", "user_agent", "sqli_pattern", "failed_logins", "repeated_beaconing", "is_attack")
+            "duration_seconds", "user_agent", "sqli_pattern", "failed_logins", "repeated_beaconing", "is_attack", "event_type")
         counted = decisions.prior_threats(over, self.cfg)
         return counted.withColumns({
             "created_at": F.col("ts") + F.expr("interval 1 second"),
             "confidence_score": F.col("combined"),
+            "threat_type": F.expr(ATTACK_TYPE),
             "action_taken": decisions.simple_action("combined", "risk_level", F.col("prior") >= 3),
         })
 
@@ -118,6 +119,14 @@ class Derived:
                 ("CIDR", "10.0.1.0/24", True), ("IP", "not-an-ip", True)]
         return small_table(self.spark, rows, "entry_type string, value string, is_active boolean")
 
+    @cached_property
+    def source_entries(self) -> DataFrame:
+        """Every source as an entry, switched on or off by its threats."""
+        entry = F.lit("IP").alias("entry_type"), F.col("source_ip").alias("value")
+        current = self.flows.select(*entry).distinct().withColumns({"is_active": F.lit(True), "version": F.lit(0).cast("bigint")})
+        changes = self.threats.select(*entry, (F.col("log_id") % 2 == 0).alias("is_active"), (F.col("log_id") + 1).alias("version"))
+        return allowlist.merge_entries(current, changes)
+
     @cached_property
     def stage_events(self) -> DataFrame:
         return killchain.stage_events(self.flows)

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from threatlake.config import DEFAULT, Config, SkewConfig
 from threatlake.plans.derived import Derived
 
+BUILDS: dict[str, Callable[[Derived], DataFrame]] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -29,12 +32,27 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+#: Cuts every key of the test tables into slots, as a source with a third of all rows is cut at scale.
+CUT = replace(DEFAULT, skew=SkewConfig(shares=200, min_rows=20, cell_us=600_000_000))
+
+
+def cut_twins(*names: str) -> None:
+    """Register ``<name>_cut``: the same query on the plan for hot keys."""
+    for name in names:
+        QUERIES[f"{name}_cut"] = _runner(BUILDS[name], CUT)
+
+
 def query(build: Callable[[Derived], DataFrame]):
     """Register ``build`` under its own name."""
 
+    BUILDS[build.__name__] = build
+    QUERIES[build.__name__] = _runner(build, DEFAULT)
+    return build
+
+
+def _runner(build: Callable[[Derived], DataFrame], cfg: Config) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return plain(build(Derived(spark, sf_dir)))
+        return plain(build(Derived(spark, sf_dir, cfg)))
 
-    QUERIES[build.__name__] = run
-    return build
+    return run
