@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,32 +71,35 @@ def _merge(pieces: pa.Table) -> pa.Table:
     for a, b in zip(pieces.column("seen"), pieces.column("again")):
         a, b = np.frombuffer(a.as_py(), np.uint8), np.frombuffer(b.as_py(), np.uint8)
         seen, again = (a, b) if seen is None else (seen | a, again | b | (seen & a))
-    return pa.table({"piece": pieces.column("piece").slice(0, 1), "again": pa.array([again.tobytes()], pa.binary())})
+    return pa.table({"piece": pieces.column("piece").slice(0, 1), "seen": pa.array([seen.tobytes()], pa.binary()), "again": pa.array([again.tobytes()], pa.binary())})
 
 
-def repeat_filter(hashes: DataFrame, rows: int) -> np.ndarray:
-    """A Bloom filter that holds every hash found at least twice in the one column of ``hashes``.
+def bloom(hashes: DataFrame, rows: int, which: str = "seen") -> np.ndarray:
+    """A Bloom filter of the one column of ``hashes``: of those ``seen``, or seen ``again``.
 
     Its size follows ``rows`` up to FILTER_BYTES.
     """
     wanted = min(rows * BITS_PER_ROW, FILTER_BYTES * 8)
     bits = max(1, -(-wanted // (PIECE_BYTES * 8))) * PIECE_BYTES * 8
     built = hashes.coalesce(BUILDERS).mapInArrow(_builder(bits), "piece int, seen binary, again binary")
-    merged = built.groupBy("piece").applyInArrow(_merge, "piece int, again binary")
+    merged = built.groupBy("piece").applyInArrow(_merge, "piece int, seen binary, again binary").select("piece", which)
     out = np.zeros(bits // 8, np.uint8)
-    for row in merged.collect():
-        out[row.piece * PIECE_BYTES:(row.piece + 1) * PIECE_BYTES] = np.frombuffer(row.again, np.uint8)
+    for piece, held in merged.collect():
+        out[piece * PIECE_BYTES:(piece + 1) * PIECE_BYTES] = np.frombuffer(held, np.uint8)
     return out
 
 
+def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return _holds(filter_, _bits(hashes, len(filter_) * 8))
+
+
 def _flagged(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
     """``rows`` with ``maybe``: the hash in column ``h`` may be one that repeats."""
     held = rows.sparkSession.sparkContext.broadcast(filter_)
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = _bits(batch.column("h").to_numpy(zero_copy_only=False), len(held.value) * 8)
-            yield batch.append_column("maybe", pa.array(_holds(held.value, at)))
+            yield batch.append_column("maybe", pa.array(may_hold(held.value, batch.column("h").to_numpy(zero_copy_only=False))))
 
     return rows.mapInArrow(flag, T.StructType([*rows.schema.fields, T.StructField("maybe", T.BooleanType())]))
 
@@ -124,7 +128,7 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = []
     for low, high in zip(edges, edges[1:]):
         own = narrow.where(F.col("h").between(low, high - 1))
-        parts.append(_flagged(own, repeat_filter(own.select("h"), -(-rows // rounds))))
+        parts.append(_flagged(own, bloom(own.select("h"), -(-rows // rounds), "again")))
     flagged = parts[0]
     for part in parts[1:]:
         flagged = flagged.unionAll(part)
@@ -150,13 +154,11 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     names = df.columns
     hashed = df.withColumns({"_sha": F.sha2(normalised(text_col), 256)}).withColumn("_h", F.xxhash64("_sha"))
     hashes = materialise(hashed.select("_h"), "dedup-hashes")
-    held = df.sparkSession.sparkContext.broadcast(repeat_filter(hashes, hashes.count()))
+    held = df.sparkSession.sparkContext.broadcast(bloom(hashes, hashes.count(), "again"))
 
     @F.pandas_udf("boolean")
-    def maybe(h):
-        import pandas as pd
-
-        return pd.Series(_holds(held.value, _bits(h.to_numpy(), len(held.value) * 8)))
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(held.value, h.to_numpy()))
 
     flagged = hashed.withColumn("_maybe", maybe("_h"))
     points = F.char_length(text_or_empty(text_col))
@@ -164,3 +166,18 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kept = flagged.where("_maybe").groupBy("_sha").agg(
         F.max_by(row, F.struct(points.alias("points"), F.bitwise_not(F.col(id_col)).alias("last"))).alias("row")).select("row.*")
     return flagged.where("not _maybe").select(*names).unionAll(kept)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``df`` whose id is not in the one column of ``ids``. Only rows that a Bloom filter
+    of the ids holds are shuffled; a null id is in no list."""
+    held = df.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
+
+    @F.pandas_udf("boolean")
+    def maybe(h: pd.Series) -> pd.Series:
+        return pd.Series(may_hold(held.value, h.to_numpy()))
+
+    flagged = df.withColumn("_maybe", F.col(id_col).isNotNull() & maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
+    gone = ids.toDF("_gone")
+    rest = flagged.where("_maybe").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return flagged.where("not _maybe").unionAll(rest).drop("_maybe")

@@ -6,9 +6,15 @@ prefixes give the candidates. Candidates are counted fragment by fragment: the o
 fragments, each pair's common shingles are counted in every fragment on its own, and the counts
 are summed by pair.
 
+Before that, a pair's bit maps (a bit for each shingle's hash, flipped by every shingle that has it)
+are compared: bits that differ are at most the shingles that do, so pairs with too many are out.
+
 Only components are wanted, so a link inside a component that is known already need not be
-counted: each prefix shingle first links its documents to one of them, and only pairs still in
-different components follow. Documents with the same shingles are one class from the start.
+counted: each prefix shingle first links its documents to one of them, the one with most frequent
+shingles, so that a group of copies meets in one near its common origin. Of documents that share a
+shingle and are still in different components all pairs are looked at, by their bit maps and in
+blocks, and those that may link are counted. Documents with the same shingles are one class from
+the start, and shingles with the same documents one list.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.llm.components import connected
+from threatlake.llm.exact_dedup import bloom, may_hold, without_ids
 from threatlake.llm.shingles import Shingler, batches_of
 from threatlake.session import materialise
 
@@ -33,7 +40,9 @@ FREQUENT_DOCS, FREQUENT_SHINGLES = 16, 1_000_000
 #: Fragments of the global order: FRAGMENTS - 1 of rare shingles and one of frequent ones.
 FRAGMENTS = 4
 #: Shingles that a task holds before it passes them on.
-PENDING = 4_000_000
+PENDING = 2_000_000
+#: Documents of a list that are compared in one block, and rows of lists in one task.
+BLOCK_DOCS, LIST_ROWS = 2_048, 100_000
 
 
 def _signature(tokens: np.ndarray) -> tuple[int, int]:
@@ -55,6 +64,21 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tu
             yield name, tokens
 
 
+def _bitmap(tokens: np.ndarray) -> bytes:
+    """Four bits or more for each shingle, a power of two."""
+    bits = max(512, 1 << int(4 * len(tokens) - 1).bit_length())
+    flips = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _differ(x: bytes, y: bytes) -> int:
+    """Bits that differ, the longer map folded to the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    if len(a) < len(b):
+        a, b = b, a
+    return int(np.bitwise_count(np.bitwise_xor.reduce(a.reshape(-1, len(b)), axis=0) ^ b).sum())
+
+
 def _describe(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
@@ -62,7 +86,8 @@ def _describe(words: int):
             sets = shingler.sets([t for _, t in rows])
             marks = [_signature(s) if len(s) else (None, None) for s in sets]
             yield pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
-                                   "s1": pa.array([a for a, _ in marks], pa.int64()), "s2": pa.array([b for _, b in marks], pa.int64())})
+                                   "s1": pa.array([a for a, _ in marks], pa.int64()), "s2": pa.array([b for _, b in marks], pa.int64()),
+                                   "bits": pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary())})
 
     return run
 
@@ -147,33 +172,33 @@ def _among(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)] == keys
 
 
-def _prefix(tokens: np.ndarray, frequent: np.ndarray, buckets: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """The rare and the frequent shingles of the prefix: without one of them in common, two sets can't reach the threshold."""
+def _prefix(tokens: np.ndarray, frequent: np.ndarray, buckets: int, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The rare and the frequent shingles of the prefix, and how many are frequent in all: without
+    one of the prefix in common, two sets can't reach the threshold."""
     last = _among(_key(tokens, buckets), frequent)
     size = len(tokens) - -(-percent * len(tokens) // 100) + 1
     rare = tokens[~last][:size]
-    return rare, tokens[last][:size - len(rare)]
+    return rare, tokens[last][:size - len(rare)], int(last.sum())
 
 
 def _rare_prefixes(words: int, buckets: int, percent: int, frequent):
-    def flush(held: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        tokens = np.concatenate([t for _, _, t in held])
-        owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for _, _, t in held])
-        names, sizes = np.array([n for n, _, _ in held], np.int64), np.array([s for _, s, _ in held], np.int32)
+    def flush(held: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tokens = np.concatenate([t for *_, t in held])
+        owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for *_, t in held])
+        about = np.array([x[:3] for x in held], np.int64)
         bucket = _bucket(tokens, buckets)
         order = np.argsort(bucket, kind="stable")
         for a, b in zip(*_runs(bucket[order])):
             own = order[a:b]
             who, place = np.unique(owner[own], return_inverse=True)
             yield pa.record_batch({"bucket": pa.array([int(bucket[own[0]])], pa.int32()), "tokens": pa.array([tokens[own].tobytes()], pa.binary()),
-                                   "owners": pa.array([place.astype(np.uint32).tobytes()], pa.binary()), "names": pa.array([names[who].tobytes()], pa.binary()),
-                                   "sizes": pa.array([sizes[who].tobytes()], pa.binary())})
+                                   "owners": pa.array([place.astype(np.uint32).tobytes()], pa.binary()), "docs": pa.array([about[who].tobytes()], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for name, tokens in _distinct_sets(batches, words):
-            rare, _ = _prefix(tokens, frequent.value, buckets, percent)
-            held.append((name, len(tokens), rare))
+            rare, _, common = _prefix(tokens, frequent.value, buckets, percent)
+            held.append((name, len(tokens), common, rare))
             size += len(rare) + 1
             if size >= PENDING // 4:
                 yield from flush(held)
@@ -187,83 +212,121 @@ def _rare_prefixes(words: int, buckets: int, percent: int, frequent):
 def _frequent_prefixes(words: int, buckets: int, percent: int, frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, tokens in _distinct_sets(batches, words):
-            _, last = _prefix(tokens, frequent.value, buckets, percent)
+            _, last, common = _prefix(tokens, frequent.value, buckets, percent)
             if len(last):
-                yield pa.record_batch({"token": pa.array(last.view(np.int64)), "doc": pa.array(np.full(len(last), name, np.int64)),
-                                       "n": pa.array(np.full(len(last), len(tokens), np.int64))})
+                yield pa.record_batch({"list": pa.array(last.view(np.int64)), **{c: pa.array(np.full(len(last), x, np.int64)) for c, x in (("doc", name), ("n", len(tokens)), ("common", common))}})
 
     return run
 
 
-def _pair_up(percent: int):
-    """Pairs of the documents that share a prefix shingle of the bucket and have sizes that allow a link.
-
-    ``star``: one of the two is the smallest document of that shingle. A rare shingle has fewer
-    documents than the frequent ones, so its pairs are few.
-    """
+def _as_lists(rows: pa.Table) -> pa.Table:
+    """Documents of each rare shingle of a bucket that has several; shingles with the same documents are one list."""
+    tokens, about = [], []
+    for t, o, d in zip(*(rows.column(c) for c in ("tokens", "owners", "docs"))):
+        tokens.append(np.frombuffer(t.as_py(), np.uint64))
+        about.append(np.frombuffer(d.as_py(), np.int64).reshape(-1, 3)[np.frombuffer(o.as_py(), np.uint32)])
+    tokens, about = np.concatenate(tokens), np.concatenate(about)
+    order = np.lexsort((about[:, 0], tokens))
+    tokens, about = tokens[order], about[order]
+    starts, ends = _runs(tokens)
+    several = ends - starts > 1
+    starts, ends = starts[several], ends[several]
+    if not len(starts):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("list", "doc", "n", "common")})
+    with np.errstate(over="ignore"):
+        x = about[:, 0].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(x ^ (x >> np.uint64(32)), dtype=np.uint64)])
+        marks = (total[ends] - total[starts]) ^ (ends - starts).astype(np.uint64)
+    marks, first = np.unique(marks, return_index=True)
+    size = (ends - starts)[first]
+    at = np.arange(size.sum()) + np.repeat(starts[first] - (np.cumsum(size) - size), size)
+    return pa.table({"list": pa.array(np.repeat(marks, size).view(np.int64)), **{c: pa.array(about[at, k]) for k, c in enumerate(("doc", "n", "common"))}})
+
+
+def _cross(percent: int):
+    """Pairs of a block that are in different components and may link by their sizes and bit maps."""
+
+    def fold(maps: list[np.ndarray], words: int) -> np.ndarray:
+        return np.stack([np.bitwise_xor.reduce(m.reshape(-1, words), axis=0) for m in maps])
+
+    def block(doc, n, root, side, maps) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        words = np.array([len(m) for m in maps])
+        for low in np.unique(words):
+            # Documents that may link differ by less than a power of two in size.
+            own = np.flatnonzero((words == low) | (words == 2 * low))
+            bits = fold([maps[k] for k in own], low)
+            for i in range(len(own) - 1):
+                k, rest = own[i], own[i + 1:]
+                fits = (root[rest] != root[k]) & ((words[rest] == low) | (words[k] == low)) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))
+                fits &= (side[rest] != side[k]) | (side[k] < 0)
+                if not fits.any():
+                    continue
+                near = np.flatnonzero(fits)
+                apart = np.bitwise_count(bits[i + 1:][near] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                near = rest[near[apart * (100 + percent) <= (n[rest[near]] + n[k]) * (100 - percent)]]
+                if len(near):
+                    yield np.minimum(doc[near], doc[k]), np.maximum(doc[near], doc[k])
 
     def run(rows: pa.Table) -> pa.Table:
-        tokens, docs, sizes = [], [], []
-        for t, o, n, s in zip(*(rows.column(c) for c in ("tokens", "owners", "names", "sizes"))):
-            own = np.frombuffer(o.as_py(), np.uint32)
-            tokens.append(np.frombuffer(t.as_py(), np.uint64))
-            docs.append(np.frombuffer(n.as_py(), np.int64)[own])
-            sizes.append(np.frombuffer(s.as_py(), np.int32)[own])
-        tokens, docs, sizes = (np.concatenate(x) for x in (tokens, docs, sizes))
-        order = np.lexsort((docs, sizes, tokens))
-        tokens, docs, sizes = tokens[order], docs[order], sizes[order].astype(np.int64)
-        starts, ends = _runs(tokens)
-        several = ends - starts > 1
-        starts, ends = starts[several], ends[several]
-        pairs = np.zeros((0, 3), np.int64)
-        step, held = 1, []
-        left, end, head = (np.concatenate([np.arange(a, b - 1) for a, b in zip(starts, ends)]) if len(starts) else np.zeros(0, np.int64),
-                           np.repeat(ends, ends - starts - 1), np.repeat(starts, ends - starts - 1))
-        while len(left):
-            right = left + step
-            fits = (100 * sizes[left] >= percent * sizes[right]) & (docs[left] != docs[right])
-            a, b = docs[left[fits]], docs[right[fits]]
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b), (left[fits] == head[fits]).astype(np.int64)], axis=1))
-            if sum(map(len, held)) > PENDING:
-                held = [pairs := _widest(np.concatenate([pairs, *held]))]
-                pairs = np.zeros((0, 3), np.int64)
-            # Sizes rise within a shingle: where one is too large, so are the next.
-            going = (left + step + 1 < end) & (100 * sizes[left] >= percent * sizes[right])
-            left, end, head = left[going], end[going], head[going]
-            step += 1
-        pairs = _widest(np.concatenate([pairs, *held]))
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1]), "star": pa.array(pairs[:, 2].astype(bool))})
+        rows = rows.sort_by([("list", "ascending"), ("i", "ascending"), ("j", "ascending")])
+        key = np.stack([rows.column(c).to_numpy() for c in ("list", "i", "j")])
+        doc, n, root = (rows.column(c).to_numpy() for c in ("doc", "n", "root"))
+        side, bits = rows.column("side").to_numpy(), rows.column("bits").combine_chunks()
+        starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        found = [np.zeros((0, 2), np.int64)]
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(doc)]):
+            if b - a > 1 and (root[a:b] != root[a]).any():
+                maps = [np.frombuffer(bits[k].as_buffer(), np.uint64) for k in range(a, b)]
+                found += [np.stack(p, axis=1) for p in block(doc[a:b], n[a:b], root[a:b], side[a:b], maps)]
+                if len(found) > 10_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return run
 
 
-def _widest(pairs: np.ndarray) -> np.ndarray:
-    """Distinct pairs, each a star if any of its copies is."""
-    if not len(pairs):
-        return pairs
-    pairs = pairs[np.lexsort((-pairs[:, 2], pairs[:, 1], pairs[:, 0]))]
-    return pairs[np.append(True, (pairs[1:, :2] != pairs[:-1, :2]).any(axis=1))]
+def _plausible(percent: int):
+    """Pairs that their sizes and bit maps allow to link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+            apart = np.array([_differ(x.as_py(), y.as_py()) for x, y in zip(batch.column("bits_a"), batch.column("bits_b"))], np.int64)
+            # 100 I >= p (n - I) and a difference D = n - 2 I bound D by n (100 - p) / (100 + p).
+            fits = apart * (100 + percent) <= n * (100 - percent)
+            yield batch.drop_columns(["bits_a", "bits_b"]).filter(pa.array(fits))
+
+    return run
 
 
-def _fragments(words: int, buckets: int, frequent):
-    """A document's shingles by fragment, if they are those it is known by."""
+def _fragments(words: int, buckets: int, frequent, wanted):
+    """Shingles by fragment of the documents that may be wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-        rows = ((i, (a, b), t.as_py() or "") for x in batches for i, a, b, t in zip(*(x.column(c).to_pylist() for c in range(3)), x.column(3)))
-        for some in batches_of(rows):
+
+        def chosen() -> Iterator[tuple[int, str]]:
+            for batch in batches:
+                names = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
+                own = np.flatnonzero(may_hold(wanted.value, names) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
+                for k in own.tolist():
+                    yield int(names[k]), batch.column(1)[k].as_py() or ""
+
+        for some in batches_of(chosen()):
             out = []
-            for (name, mark, _), tokens in zip(some, shingler.sets([t for _, _, t in some])):
-                if _signature(tokens) != mark:
+            for (name, _), tokens in zip(some, shingler.sets([t for _, t in some])):
+                if not len(tokens):
                     continue
-                last = _among(_key(tokens, buckets), frequent.value)
+                mark, last = _signature(tokens), _among(_key(tokens, buckets), frequent.value)
                 rare = tokens[~last]
-                cut = np.searchsorted(rare, [k * (1 << 64) // (FRAGMENTS - 1) for k in range(1, FRAGMENTS - 1)])
+                cut = np.searchsorted(rare, np.array([k * (1 << 64) // (FRAGMENTS - 1) for k in range(1, FRAGMENTS - 1)], np.uint64))
                 for k, part in enumerate([*np.split(rare, cut), tokens[last]]):
                     if len(part):
-                        out.append((name, k, len(tokens), part.tobytes()))
-            yield pa.record_batch({"doc": pa.array([x[0] for x in out], pa.int64()), "fragment": pa.array([x[1] for x in out], pa.int32()),
-                                   "n": pa.array([x[2] for x in out], pa.int64()), "tokens": pa.array([x[3] for x in out], pa.binary())})
+                        out.append((name, *mark, k, part.tobytes()))
+            yield pa.record_batch({"doc": pa.array([x[0] for x in out], pa.int64()), "s1": pa.array([x[1] for x in out], pa.int64()), "s2": pa.array([x[2] for x in out], pa.int64()),
+                                   "fragment": pa.array([x[3] for x in out], pa.int32()), "tokens": pa.array([x[4] for x in out], pa.binary())})
 
     return run
 
@@ -272,16 +335,34 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         x, y = batch.column("tokens_a"), batch.column("tokens_b")
         common = [len(np.intersect1d(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), assume_unique=True)) for p, q in zip(x, y)]
-        yield pa.record_batch({**{c: batch.column(c) for c in ("a", "b", "n_a", "n_b")}, "common": pa.array(common, pa.int64())})
+        yield pa.record_batch({**{c: batch.column(c) for c in ("a", "b", "n_a", "n_b", "fragment")}, "common": pa.array(common, pa.int64())})
 
 
-def _linked(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, narrow: DataFrame, class_of: DataFrame, words: int, percent: int, buckets: int, frequent) -> DataFrame:
     """Of ``a, b`` the pairs that link: overlaps by fragment, summed by pair."""
-    left = pairs.join(fragments.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("tokens").alias("tokens_a")), "a")
-    both = left.join(fragments.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("tokens").alias("tokens_b")), ["b", "fragment"])
-    counted = both.select("a", "b", "n_a", "n_b", "tokens_a", "tokens_b").mapInArrow(_overlaps, "a bigint, b bigint, n_a bigint, n_b bigint, common bigint")
-    summed = counted.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("common").alias("common"))
-    return summed.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select("a", "b")
+    spark = pairs.sparkSession
+    own = class_of.where("doc_id = class_id")
+    for side in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("doc_id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in ("s1", "s2", "bits")), F.col("n_shingles").alias(f"n_{side}")), side)
+    kinds = "a bigint, b bigint, s1_a bigint, s2_a bigint, s1_b bigint, s2_b bigint, n_a bigint, n_b bigint"
+    columns = [c.split(" ")[0] for c in kinds.split(", ")]
+    some = materialise(pairs.select(*columns, "bits_a", "bits_b").mapInArrow(_plausible(percent), kinds), "plausible-pairs")
+    docs = some.select(F.col("a").alias("doc")).unionAll(some.select("b"))
+    wanted = spark.sparkContext.broadcast(bloom(docs, 2 * some.count()))
+    fragments = narrow.mapInArrow(_fragments(words, buckets, frequent, wanted), "doc bigint, s1 bigint, s2 bigint, fragment int, tokens binary")
+    cut = some.select("*", F.explode(F.array(*(F.lit(k) for k in range(FRAGMENTS)))).alias("of"))
+    # Both joins have the same keys of the fragments, so these are shuffled once.
+    for side in ("a", "b"):
+        f = fragments.alias(f"f_{side}")
+        match = F.col("of") == F.col(f"f_{side}.fragment")
+        for mine, its in ((side, "doc"), (f"s1_{side}", "s1"), (f"s2_{side}", "s2")):
+            match = match & (F.col(mine) == F.col(f"f_{side}.{its}"))
+        cut = cut.join(f, match)
+    counted = cut.select("a", "b", "n_a", "n_b", F.col("of").alias("fragment"), F.col("f_a.tokens").alias("tokens_a"), F.col("f_b.tokens").alias("tokens_b")).mapInArrow(
+        _overlaps, "a bigint, b bigint, n_a bigint, n_b bigint, fragment int, common bigint")
+    # Rows that repeat a document count a fragment once.
+    summed = counted.dropDuplicates(["a", "b", "fragment"]).groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.sum("common").alias("common"))
+    return summed.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def ngram_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,53 +378,53 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: s
     """
     spark = df.sparkSession
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = materialise(narrow.mapInArrow(_describe(words), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint"), "shingle-sets")
-    known = sets.where("doc_id is not null and s1 is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n_shingles")).alias("x")).select("doc_id", "x.*")
+    sets = materialise(narrow.mapInArrow(_describe(words), "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, bits binary"), "shingle-sets")
+    known = sets.where("doc_id is not null and s1 is not null").groupBy("doc_id").agg(F.min(F.struct("s1", "s2", "n_shingles", "bits")).alias("x")).select("doc_id", "x.*")
     classes = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("class_id"))
-    class_of = materialise(known.join(classes, ["s1", "s2"]).select("doc_id", "class_id", "s1", "s2"), "shingle-classes")
+    class_of = materialise(known.join(classes, ["s1", "s2"]).select("doc_id", "class_id", "s1", "s2", "n_shingles", "bits"), "shingle-classes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_SHINGLES))
     frequent = spark.sparkContext.broadcast(frequent_shingles(narrow, words, buckets))
 
-    renamed = class_of.select(F.col("doc_id").alias("doc"), F.col("class_id"))
-    rare = narrow.mapInArrow(_rare_prefixes(words, buckets, percent, frequent), "bucket int, tokens binary, owners binary, names binary, sizes binary")
-    found = rare.groupBy("bucket").applyInArrow(_pair_up(percent), "a bigint, b bigint, star boolean")
-    found = found.groupBy("a", "b").agg(F.max("star").alias("star"))
-    for side in ("a", "b"):  # copies in other tasks are one class
-        found = found.join(renamed.withColumnRenamed("doc", side), side).drop(side).withColumnRenamed("class_id", side)
-    found = found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("star").alias("star"))
-    rare_pairs = materialise(found, "rare-pairs")
-
-    shared = narrow.mapInArrow(_frequent_prefixes(words, buckets, percent, frequent), "token bigint, doc bigint, n bigint")
-    shared = materialise(shared.join(renamed, "doc").groupBy("token", F.col("class_id").alias("doc")).agg(F.first("n").alias("n")), "frequent-prefixes")
-    smallest = shared.groupBy("token").agg(F.min(F.struct("n", "doc")).alias("least"))
-    stars = shared.join(smallest, "token").where(F.col("least.doc") != F.col("doc")).where(F.col("least.n") * 100 >= F.col("n") * percent).select(
-        F.least("doc", "least.doc").alias("a"), F.greatest("doc", "least.doc").alias("b")).distinct()
-
-    first = materialise(rare_pairs.where("star").select("a", "b").unionAll(stars).distinct(), "first-pairs")
-    wanted = rare_pairs.select(F.col("a").alias("doc")).unionAll(rare_pairs.select("b")).unionAll(shared.select("doc")).distinct()
-    marked = class_of.join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), "s1", "s2")
-    fragments = narrow.join(marked, F.col("doc_id") == F.col("_id")).select("doc_id", "s1", "s2", "text").mapInArrow(
-        _fragments(words, buckets, frequent), "doc bigint, fragment int, n bigint, tokens binary")
-    fragments = materialise(fragments.dropDuplicates(["doc", "fragment"]), "fragments")
-    roots = connected(_linked(first, fragments, percent).select(F.col("a").alias("node"), F.col("b").alias("root")))
-
-    # What is still apart: pairs of rare shingles, and pairs of different components of a frequent one.
-    def rooted(rows: DataFrame, column: str, to: str) -> DataFrame:
-        return rows.join(roots.select(F.col("node").alias(column), F.col("root").alias("_r")), column, "left").withColumn(to, F.coalesce("_r", column)).drop("_r")
-
-    apart = rooted(rooted(rare_pairs.where("not star").select("a", "b"), "a", "ra"), "b", "rb").where("ra <> rb").select("a", "b")
-    members = materialise(rooted(shared, "doc", "root"), "members")
-    split = members.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    members = members.join(split, "token")
-    one, two = (members.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("doc", "n", "root"))) for k in (1, 2))
-    crossing = one.join(two, "token").where((F.col("doc_1") < F.col("doc_2")) & (F.col("root_1") != F.col("root_2")) & (
-        F.least("n_1", "n_2") * 100 >= F.greatest("n_1", "n_2") * percent)).select(F.col("doc_1").alias("a"), F.col("doc_2").alias("b"))
-    second = apart.unionAll(crossing).distinct().join(first, ["a", "b"], "left_anti")
-    more = _linked(materialise(second, "second-pairs"), fragments, percent)
-    roots = connected(roots.unionAll(more.select(F.col("a").alias("node"), F.col("b").alias("root"))))
+    rare = narrow.mapInArrow(_rare_prefixes(words, buckets, percent, frequent), "bucket int, tokens binary, owners binary, docs binary")
+    lists = rare.groupBy("bucket").applyInArrow(_as_lists, "list bigint, doc bigint, n bigint, common bigint")
+    lists = lists.unionAll(narrow.mapInArrow(_frequent_prefixes(words, buckets, percent, frequent), "list bigint, doc bigint, n bigint, common bigint"))
+    # Copies in other tasks are one class; lists of buckets that are the same become one.
+    by_class = lists.join(class_of.select(F.col("doc_id").alias("doc"), "class_id"), "doc").groupBy("list", F.col("class_id").alias("doc")).agg(
+        F.first("n").alias("n"), F.first("common").alias("common"))
+    lists = materialise(by_class, "lists")
+
+    centre = lists.groupBy("list").agg(F.max(F.struct("common", "n", F.bitwise_not("doc").alias("last"), "doc")).alias("centre"), F.count(F.lit(1)).alias("members"))
+    centre = centre.where("members > 1").select("list", F.col("centre.doc").alias("c"), F.col("centre.n").alias("c_n"), "members")
+    stars = lists.join(centre, "list").where((F.col("c") != F.col("doc")) & (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent))
+    first = materialise(stars.select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b")).distinct(), "first-pairs")
+    how = (narrow, class_of, words, percent, buckets, frequent)
+    roots = connected(_linked(first, *how))
+
+    # Lists of more than two whose documents are still apart, in blocks: with c blocks of a list, a
+    # document is in c pairs of blocks. Blocks of one list go to tasks of their own.
+    rooted = lists.join(roots.select(F.col("node").alias("doc"), "root"), "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    apart = rooted.groupBy("list").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("members")).where("members > 2 and x <> y")
+    left = materialise(rooted.join(apart.select("list", F.ceil(F.col("members") / BLOCK_DOCS).cast("int").alias("blocks")), "list"), "lists-apart")
+    mine = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
+    dealt = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "list", "doc", "n", "root", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"),
+        F.when(F.col("mine") == F.col("other"), F.lit(-1)).otherwise(F.when(F.col("mine") < F.col("other"), 0).otherwise(1)).alias("side"))
+    with_bits = dealt.join(class_of.where("doc_id = class_id").select(F.col("doc_id").alias("doc"), "bits"), "doc")
+    tasks = max(1, -(-left.count() // LIST_ROWS)) * 4
+    pairs = with_bits.withColumn("task", F.pmod(F.xxhash64("list", "i", "j"), F.lit(tasks))).groupBy("task").applyInArrow(_cross(percent), "a bigint, b bigint")
+    second = materialise(pairs.distinct().join(first, ["a", "b"], "left_anti"), "second-pairs")
+    if not second.isEmpty():
+        roots = connected(roots.unionAll(_linked(second, *how)))
 
     of_class = class_of.select(F.col("doc_id").alias("_id"), "class_id").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
-    joined = sets.join(of_class, F.col("doc_id") == F.col("_id"), "left")
+    joined = sets.drop("bits", "s1", "s2").join(of_class, F.col("doc_id") == F.col("_id"), "left")
     own = F.coalesce("root", "class_id", "doc_id")
     return joined.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"))
+
+
+def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """Rows of ``df``, all columns, with one document of each component: that of the smallest id."""
+    found = ngram_components(df, id_col=id_col, text_col=text_col, **options)
+    gone = materialise(found.where("component_id <> doc_id").select("doc_id").distinct(), "near-copies")
+    return without_ids(df, gone, id_col)
