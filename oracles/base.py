@@ -73,15 +73,15 @@ CTES: dict[str, str] = {
     "actions": """select log_id as action_id, log_id, action_taken as action_type, source_ip as target_ip,
   created_at + interval 2 second as executed_at, log_id % 90 + 10 as execution_time_ms from threats""",
     "feedback": """select log_id, log_id % 2 = 0 as was_false_positive, 'analyst_1' as reporter, created_at + interval 600 second as created_at
-from threats where log_id % 3 = 0""",
+from threats""",
     "shadow": """select log_id, source_ip, ts as "timestamp", combined as anomaly_score, risk_level,
   case risk_level when 'CRITICAL' then 'BLOCK' when 'HIGH' then 'RATE_LIMIT' else 'ALERT' end as would_have_taken_action,
   case when log_id % 5 = 0 then log_id % 10 = 0 end as was_approved_by_human
-from scores where combined > 0.4e0 and log_id % 2 = 0""",
+from scores where combined > 0.4e0""",
     "approvals": """select log_id, source_ip, action_taken as proposed_action, confidence_score, 'PENDING' as status,
   created_at + interval 300 second as expires_at from threats where action_taken in ('BLOCK','RATE_LIMIT')""",
     "reviews": """select log_id, make_timestamp(epoch_us(created_at) + log_id % 9 * 60000000) as reviewed_at, log_id % 8 = 0 as approved, 'analyst_1' as reviewer
-from threats where action_taken in ('BLOCK','RATE_LIMIT') and log_id % 4 = 0""",
+from threats where action_taken in ('BLOCK','RATE_LIMIT')""",
     "queue": """select a.log_id, a.source_ip, a.proposed_action, a.confidence_score, a.expires_at,
   case when r.reviewed_at < a.expires_at then case when r.approved then 'APPROVED' else 'REJECTED' end else 'PENDING' end as status,
   case when r.reviewed_at < a.expires_at then r.reviewer end as reviewed_by,

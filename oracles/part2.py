@@ -22,7 +22,7 @@ from ranked a join ranked b on a.log_id = b.log_id and a.rank = 1 and b.rank = 2
 EXTRA = {"made": MADE, "decided_rows": FINAL, "ranked": RANKED, "chosen": CHOSEN}
 _STEPS = """steps as (select f.log_id, f.created_at, case when t.action_taken in ('BLOCK','RATE_LIMIT') then 'HIGH' else 'MEDIUM' end as level, case when f.log_id % 2 = 0 then 20 else -10 end as step"""
 EXTRA["wide_steps"] = """select log_id, created_at + interval 600 second as created_at, case when action_taken in ('BLOCK','RATE_LIMIT') then 'HIGH' else 'MEDIUM' end as level,
-  case when log_id % 2 = 0 then 20 else -10 end as step from threats_wide where log_id % 3 = 0"""
+  case when log_id % 2 = 0 then 20 else -10 end as step from threats_wide"""
 EXTRA["numbered_steps"] = "select *, row_number() over (partition by level order by created_at, log_id) as n from wide_steps"
 EXTRA["walk_rows"] = """select level, cast(0 as bigint) as n, cast(null as bigint) as log_id, cast(null as timestamp) as created_at, 0 as before, case level when 'HIGH' then 6500 else 5000 end as value from (select distinct level from wide_steps)
 union all select s.level, s.n, s.log_id, s.created_at, w.value, least(greatest(w.value + s.step, case s.level when 'HIGH' then 5500 else 0 end), case s.level when 'HIGH' then 9000 else 10000 end)
@@ -157,7 +157,7 @@ SQL.update({
     "g4_stream_windows": f"select epoch_us(time_bucket(interval 15 minute, ts)) as window_start, {_ACT} from scores group by 1",
     "g7_activity_spans": """select source_ip, epoch_us(min(ts)) as first_activity, epoch_us(max(ts) + interval 2 hour) as inactive_from, count(*) as events from (
   select *, sum(cast(fresh as int)) over (partition by source_ip order by ts, log_id) as span from (select *, coalesce(ts - lag(ts) over (partition by source_ip order by ts, log_id) >= interval 2 hour, true) as fresh from flows_raw)) group by source_ip, span""",
-    "g8_stream_first_blocks": "select distinct source_ip as target_ip from scores where risk_level = 'CRITICAL'",
+    "g8_stream_first_blocks": "select source_ip as target_ip, arg_min(log_id, (ts, log_id)) as action_id, epoch_us(min(ts)) as first_blocked_at from scores where risk_level = 'CRITICAL' group by 1",
     "g10_sliding_activity": f"select epoch_us(time_bucket(interval 1 minute, ts)) - k*60000000 as window_start, {_ACT} from scores, (values (0),(1),(2),(3),(4)) o(k) group by 1",
     "k11_replay_regression": """select log_id, original_action, case when hit then action end as replayed_action, hit as would_detect, not coalesce(original_action = case when hit then action end, false) as changed from (
   select *, score > 0.3e0 as hit, row_number() over (partition by log_id order by u desc, sev) as rank from (select *, case when rev and c < 0.7e0 then u2 + 0.3e0 when sev >= 4 and past_level <> 'CRITICAL' then u2 - cost else u2 end as u from (

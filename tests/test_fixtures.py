@@ -167,3 +167,18 @@ def test_attack_patterns(spark):
     add("plain", [10] * 10, 0.9, [80])
     df = spark.createDataFrame(rows, "log_id bigint, source_ip string, ts timestamp, score double, dest_port int")
     assert {r.source_ip: r.pattern for r in memory.attack_pattern(df).collect()} == {"scan": "port_scan", "slow": "slow_burn", "ddos": "ddos_buildup", "few": None, "plain": None}
+
+
+def test_rollback_checks_again(spark):
+    """Hot at thirty minutes: extended; cool at sixty: rolled back, and not checked any more."""
+    from datetime import datetime, timedelta
+
+    from threatlake.operators.response import auto_rollback
+
+    t0 = datetime(2024, 1, 1)
+    actions = spark.createDataFrame([(1, "a", "BLOCK", t0), (2, "a", "RATE_LIMIT", t0), (3, "b", "BLOCK", t0)], "action_id bigint, target_ip string, action_type string, executed_at timestamp")
+    scores = spark.createDataFrame(
+        [(k, "a", t0 + timedelta(minutes=k), 0.9) for k in range(10)] + [(20 + k, "a", t0 + timedelta(minutes=40 + k), 0.1) for k in range(5)] + [(40, "b", t0 + timedelta(minutes=5), 0.2)],
+        "log_id bigint, source_ip string, ts timestamp, combined double")
+    found = auto_rollback(actions, scores, F.lit(t0 + timedelta(hours=3))).orderBy("action_id", "check").collect()
+    assert [(r.action_id, r.check, r.outcome) for r in found] == [(1, 1, "EXTEND"), (1, 2, "ROLLBACK"), (3, 1, "ROLLBACK")]

@@ -68,7 +68,18 @@ def test_spans_and_first_blocks(spark, d, tmp_path):
     actions = spark.createDataFrame(rows, "action_id bigint, target_ip string, action_type string, ts timestamp")
     actions.coalesce(1).write.parquet(f"{tmp_path}/acts")
     got, _ = run(pipeline.first_blocks(spark.readStream.schema(actions.schema).parquet(f"{tmp_path}/acts")), tmp_path, "blocks")
-    assert sorted(r.target_ip for r in got.collect()) == ["a", "b"]
+    assert sorted((r.target_ip, r.action_id) for r in got.collect()) == [("a", 1), ("b", 4)]
+
+
+def test_first_blocks_last(spark, tmp_path):
+    """Half an hour between micro-batches, far past the watermark: a target is blocked once."""
+    for k in range(4):
+        rows = [(10 + k, "a", "BLOCK", T0 + timedelta(minutes=30 * k)), (20 + k, f"t{k}", "BLOCK", T0 + timedelta(minutes=30 * k))]
+        spark.createDataFrame(rows, "action_id bigint, target_ip string, action_type string, ts timestamp").coalesce(1).write.mode("append").parquet(f"{tmp_path}/acts")
+    schema = spark.read.parquet(f"{tmp_path}/acts").schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/acts")
+    got, _ = run(pipeline.first_blocks(stream), tmp_path, "once")
+    assert sorted((r.target_ip, r.action_id) for r in got.collect()) == [("a", 10), ("t0", 20), ("t1", 21), ("t2", 22), ("t3", 23)]
 
 
 def test_decisions_follow_own_memory(spark, d, tmp_path):

@@ -39,13 +39,15 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
     )
 
 
-def feedback_steps(feedback: DataFrame, threats: DataFrame) -> DataFrame:
-    """Each feedback row with the threshold it moves and by how much (1e-4 units)."""
+def feedback_steps(feedback: DataFrame, threats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Each feedback row with the threshold it moves and by how much (1e-4 units): up by
+    ``ema_alpha`` of 0.02 for a false positive, down by ``ema_alpha`` of 0.01 for a true one."""
+    up, down = round(cfg.ema_alpha * 200), round(cfg.ema_alpha * 100)
     action = threats.select("log_id", "action_taken")
     return feedback.join(action, "log_id").select(
         "log_id", "created_at",
         F.when(F.col("action_taken").isin("BLOCK", "RATE_LIMIT"), "HIGH").otherwise("MEDIUM").alias("level"),
-        F.when(F.col("was_false_positive"), 20).otherwise(-10).cast("bigint").alias("step"),
+        F.when(F.col("was_false_positive"), up).otherwise(-down).cast("bigint").alias("step"),
     )
 
 

@@ -31,8 +31,13 @@ def fill_zero(df: DataFrame, numeric: list[str]) -> DataFrame:
 def category_codes(df: DataFrame, column: str) -> DataFrame:
     """Dictionary of a categorical column: codes in sorted order of the text form."""
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias(column)).distinct()
-    # the dictionary has one row per distinct value; ranking it is independent of the data size
-    return values.withColumn("code", (F.row_number().over(Window.orderBy(column)) - 1).cast("int"))
+    # values are ranked among those with the same first letters, after all with earlier ones
+    placed = values.withColumn("_letters", F.substring(column, 1, 3))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    letters = placed.groupBy(F.col("_letters").alias("_of")).agg(F.count("*").alias("_n"))
+    letters = letters.select("_of", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_letters").orderBy(column)) - 1
+    return placed.join(letters, F.col("_letters") == F.col("_of")).select(column, (F.col("_before") + within).cast("int").alias("code"))
 
 
 def encode_categories(df: DataFrame, columns: list[str], dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:

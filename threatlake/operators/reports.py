@@ -108,9 +108,14 @@ def confusion(events: DataFrame, batch: Column) -> DataFrame:
     attack, flagged = F.col("is_attack"), F.col("risk_level") != "LOW"
     per = events.groupBy(batch.alias("batch")).agg(
         F.count_if(attack & flagged).alias("tp"), F.count_if(~attack & flagged).alias("fp"), F.count_if(attack & ~flagged).alias("fn"))
-    # one row per batch remains, so the running total is over the report, not over the events
-    running = Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
-    return per.select("*", *[F.sum(c).over(running).alias(f"cum_{c}") for c in ("tp", "fp", "fn")])
+    # totals of spans of a thousand batches are summed in order, batches inside their span
+    names = ("tp", "fp", "fn")
+    spanned = per.withColumn("_span", F.floor(F.col("batch") / F.lit(1000)))
+    before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spanned.groupBy(F.col("_span").alias("_of")).agg(*[F.sum(c).alias(f"_{c}") for c in names])
+    spans = spans.select("_of", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in names])
+    within = Window.partitionBy("_span").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
+    return spanned.join(spans, F.col("_span") == F.col("_of")).select("batch", *names, *[(F.col(f"_{c}") + F.sum(c).over(within)).alias(f"cum_{c}") for c in names])
 
 
 def dataset_statistics(df: DataFrame, label: str, features: int) -> DataFrame:

@@ -289,7 +289,7 @@ def c7_allowlist_merge(d: Derived):
 # --- adaptation ---------------------------------------------------------------------------------
 @query
 def l1_threshold_path(d: Derived):
-    return adapt.threshold_path(adapt.feedback_steps(d._feedback(d.threats_wide), d.threats_wide), d.cfg)
+    return adapt.threshold_path(adapt.feedback_steps(d._feedback(d.threats_wide), d.threats_wide, d.cfg), d.cfg)
 
 
 @query

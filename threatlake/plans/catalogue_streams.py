@@ -66,8 +66,8 @@ def g7_activity_spans(d: Derived):
 
 @query
 def g8_stream_first_blocks(d: Derived):
-    actions = _scored(d).where("risk_level = 'CRITICAL'").select("ts", F.col("source_ip").alias("target_ip"), F.lit("BLOCK").alias("action_type"))
-    return drain(pipeline.first_blocks(actions)).select("target_ip")
+    actions = _scored(d).where("risk_level = 'CRITICAL'").select("ts", F.col("log_id").alias("action_id"), F.col("source_ip").alias("target_ip"), F.lit("BLOCK").alias("action_type"))
+    return drain(pipeline.first_blocks(actions))
 
 
 @query

@@ -89,14 +89,14 @@ class Derived:
 
     @staticmethod
     def _feedback(threats: DataFrame) -> DataFrame:
-        return threats.where("log_id % 3 = 0").select(
+        return threats.select(
             "log_id", (F.col("log_id") % 2 == 0).alias("was_false_positive"), F.lit("analyst_1").alias("reporter"),
             (F.col("created_at") + F.expr("interval 600 seconds")).alias("created_at"))
 
     @cached_property
     def shadow(self) -> DataFrame:
         action = F.when(F.col("risk_level") == "CRITICAL", "BLOCK").when(F.col("risk_level") == "HIGH", "RATE_LIMIT").otherwise("ALERT")
-        return self.scores.where("combined > 0.4e0 and log_id % 2 = 0").select(
+        return self.scores.where("combined > 0.4e0").select(
             "log_id", "source_ip", F.col("ts").alias("timestamp"), F.col("combined").alias("anomaly_score"), "risk_level",
             action.alias("would_have_taken_action"),
             F.when(F.col("log_id") % 5 == 0, F.col("log_id") % 10 == 0).alias("was_approved_by_human"))
@@ -110,7 +110,7 @@ class Derived:
     @cached_property
     def reviews(self) -> DataFrame:
         at = F.timestamp_micros(F.unix_micros("created_at") + F.col("log_id") % 9 * 60_000_000)
-        return self.threats.where("action_taken in ('BLOCK', 'RATE_LIMIT') and log_id % 4 = 0").select(
+        return self.threats.where("action_taken in ('BLOCK', 'RATE_LIMIT')").select(
             "log_id", at.alias("reviewed_at"), (F.col("log_id") % 8 == 0).alias("approved"), F.lit("analyst_1").alias("reviewer"))
 
     @cached_property

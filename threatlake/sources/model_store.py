@@ -1,4 +1,4 @@
-"""Models as tables: ``<root>/<name>/v=<n>/`` and a one-row pointer that is replaced last."""
+"""Models as tables: ``<root>/<name>/v=<n>/``; the highest version whose last table is written is current."""
 
 from __future__ import annotations
 
@@ -10,16 +10,15 @@ from pyspark.sql import SparkSession
 from threatlake.operators.iforest import NODES, IsolationForest
 from threatlake.operators.ocsvm import OneClassSVM
 from threatlake.session import small_table
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+from threatlake.sources.versions import committed
 
 
 def save(spark: SparkSession, model: IsolationForest | OneClassSVM, root: str, name: str, version: int) -> None:
-    """Write the version, then point to it: readers see the old model or the new one, never a mix."""
-    path = f"{root}/{name}/v={version}"
+    """Write a version, ``meta`` last: readers see the old model until then, and never none or a mix.
+
+    A version is written once; a higher one replaces it.
+    """
+    path = f"{root}/{name}/v={version:08d}"
     if isinstance(model, IsolationForest):
         nodes = [tuple(row) for row in model.nodes.astype(object).itertuples(index=False)]
         small_table(spark, nodes, NODES).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
@@ -29,19 +28,18 @@ def save(spark: SparkSession, model: IsolationForest | OneClassSVM, root: str, n
         small_table(spark, [tuple(list(v) if isinstance(v, tuple) else v for v in asdict(model).values())],
                     "features array<string>, gamma double, dimension int, seed int, weights array<double>, rho double, low double, high double"
                     ).write.mode("overwrite").parquet(f"{path}/meta")
-    small_table(spark, [(version,)], "version int").coalesce(1).write.mode("overwrite").parquet(f"{root}/{name}/current")
 
 
 def current_version(spark: SparkSession, root: str, name: str) -> int | None:
-    path = f"{root}/{name}/current"
-    return spark.read.parquet(path).first()[0] if _exists(spark, path) else None
+    found = committed(spark, f"{root}/{name}", "v=", "meta/_SUCCESS")
+    return int(found[-1][2:]) if found else None
 
 
 def load(spark: SparkSession, root: str, name: str, version: int | None = None):
     version = current_version(spark, root, name) if version is None else version
     if version is None:
         return None
-    path = f"{root}/{name}/v={version}"
+    path = f"{root}/{name}/v={version:08d}"
     meta = spark.read.parquet(f"{path}/meta").first().asDict()
     if "subsample" in meta:
         nodes: pd.DataFrame = spark.read.parquet(f"{path}/nodes").orderBy("tree", "node").toPandas()

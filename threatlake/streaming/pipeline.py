@@ -69,8 +69,29 @@ def activity_spans(events: DataFrame, gap: str = "2 hours") -> DataFrame:
 
 
 def first_blocks(actions: DataFrame) -> DataFrame:
-    """One block per target within the watermark."""
-    return actions.where("action_type = 'BLOCK'").withWatermark("ts", WATERMARK).dropDuplicatesWithinWatermark(["target_ip"])
+    """The first block of every target, for good: ``target_ip, action_id, first_blocked_at``.
+
+    State is one mark for each target ever blocked. Of a micro-batch the earliest block counts; a
+    block that arrives after another micro-batch's doesn't replace it.
+    """
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            for _ in frames:
+                pass
+            return
+        best = None
+        for frame in frames:
+            own = frame.sort_values(["us", "action_id"]).iloc[0]
+            found = (int(own["us"]), int(own["action_id"]))
+            best = found if best is None else min(best, found)
+        if best:
+            state.update((True,))
+            yield pd.DataFrame({"target_ip": [key[0]], "action_id": [best[1]], "first_blocked_at": pd.to_datetime([best[0]], unit="us", utc=True)})
+
+    slim = actions.where("action_type = 'BLOCK'").select("target_ip", "action_id", F.unix_micros("ts").alias("us"))
+    return slim.groupBy("target_ip").applyInPandasWithState(
+        step, "target_ip string, action_id bigint, first_blocked_at timestamp", "blocked boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 # --- memory per source -----------------------------------------------------------------------------

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from threatlake.operators.reports import newest
 from threatlake.schemas import NETWORK_LOGS
+from threatlake.sources.versions import committed, remove
 
 
 def read_files(spark: SparkSession, path: str, schema: str = NETWORK_LOGS, fmt: str = "json", files_per_batch: int = 10) -> DataFrame:
@@ -16,13 +14,6 @@ def read_files(spark: SparkSession, path: str, schema: str = NETWORK_LOGS, fmt:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
-def read_kafka(spark: SparkSession, servers: str, topic: str, schema: str = NETWORK_LOGS, per_batch: int = 1_000_000) -> DataFrame:
-    """JSON log rows from Kafka (needs the connector package on the cluster)."""
-    raw = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic)
-           .option("maxOffsetsPerTrigger", per_batch).load())
-    return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("r")).select("r.*")
-
-
 def event_log(stream: DataFrame, path: str, checkpoint: str, **trigger):
     """Append event envelopes to a log partitioned by type; a replayed micro-batch replaces itself."""
 
@@ -33,24 +24,23 @@ def event_log(stream: DataFrame, path: str, checkpoint: str, **trigger):
 
 
 def live_feed(stream: DataFrame, path: str, checkpoint: str, ts: str = "ts", row_id: str = "log_id", keep: int = 50, **trigger):
-    """Keep the newest ``keep`` rows of the stream in a small table; each batch writes a new version,
-    then the one-row pointer to it."""
+    """Keep the newest ``keep`` rows of the stream in a small table, a version a batch.
+
+    A batch joins the version before its own, so one that is repeated gives the same rows; a row
+    found twice counts once before the limit. The last two versions stay for readers.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        current = newest(batch, ts, row_id, keep)
-        try:
-            last = spark.read.parquet(f"{path}/pointer").first()[0]
-            current = newest(current.unionByName(spark.read.parquet(f"{path}/{last}")), ts, row_id, keep)
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        version = f"v-{batch_id}-{uuid.uuid4().hex[:8]}"
-        current.dropDuplicates([row_id]).coalesce(1).write.parquet(f"{path}/{version}")
-        spark.range(1).select(F.lit(version).alias("version")).coalesce(1).write.mode("overwrite").parquet(f"{path}/pointer")
+        own = f"v-{batch_id:012d}"
+        older = [v for v in committed(spark, path, "v-") if v < own]
+        current = batch.unionByName(spark.read.parquet(f"{path}/{older[-1]}")) if older else batch
+        newest(current.dropDuplicates([row_id]), ts, row_id, keep).coalesce(1).write.mode("overwrite").parquet(f"{path}/{own}")
+        for version in older[:-1]:
+            remove(spark, f"{path}/{version}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.parquet(f'{path}/pointer').first()[0]}")
+    return spark.read.parquet(f"{path}/{committed(spark, path, 'v-')[-1]}")
