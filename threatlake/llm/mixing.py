@@ -110,11 +110,9 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], rest_weight: int = 1,
 
 
 def mixed_documents(df: DataFrame, weights: Mapping[str, int], source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """All rows of ``df`` with their columns, stored order following the mix.
-
-    Ids must be unique: they tie a row to its place.
-    """
+    """All rows of ``df`` with their columns, stored order following the mix. Rows that share an
+    id follow each other at the first one's place."""
     names = df.columns
-    order = mix_sources(df, weights, source_col=source_col, id_col=id_col, **options).select(F.col("doc_id").alias("_mixed_id"), F.col("position").alias("_mix_position"))
+    order = mix_sources(df, weights, source_col=source_col, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.min("position").alias("_mix_position"))
     placed = df.join(order, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
     return placed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select(*(F.col(f"`{c}`") for c in names))
