@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from collections import OrderedDict
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,10 @@ from threatlake.session import materialise
 
 #: A file ends with the document that brings it to so many ids.
 FILE_IDS = 1 << 22
-#: Words whose ids a worker keeps; the least used go first.
-KNOWN_WORDS = 300_000
+#: Words whose ids a worker remembers, twice: those met lately and those before.
+KNOWN_WORDS = 250_000
+#: Words given to the library in one call, whose results are larger than the words.
+WORDS_AT_ONCE = 5_000
 
 
 class LibraryEncoder:
@@ -37,25 +40,36 @@ class LibraryEncoder:
 
         self.library, self.end_id = Tokenizer.from_file(tokenizer), end_id
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.splitter, self.known = Splitter(spaced=True), OrderedDict()
+        self.splitter, self.young, self.old = Splitter(spaced=True), {}, {}
+
+    def _coded(self, words, hashes: list[int], which: np.ndarray) -> list[bytes]:
+        """Ids of distinct words, as bytes. Words met lately are remembered: a full memory becomes the old one."""
+        young, old = self.young, self.old
+        out, new = [], []
+        for k, h in enumerate(hashes):
+            if (ids := young.get(h)) is None:
+                if (ids := old.get(h)) is None:
+                    new.append(k)
+                else:
+                    young[h] = ids
+            out.append(ids)
+        for first in range(0, len(new), WORDS_AT_ONCE):
+            part = new[first:first + WORDS_AT_ONCE]
+            spelled = [words.bytes_of(which[k]).decode() for k in part]
+            for k, coded in zip(part, self.library.encode_batch_fast(spelled, add_special_tokens=False)):
+                out[k] = young[hashes[k]] = array("I", coded.ids).tobytes()
+        if len(young) > KNOWN_WORDS:
+            self.young, self.old = {}, young
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, the end id included."""
         plain = [not any(s in t for s in self.special) for t in texts]
         words = self.splitter.split([t if p else "" for t, p in zip(texts, plain)])
         hashes, which, place = words.distinct()
-        known, hashes = self.known, hashes.tolist()
-        new = [k for k, h in enumerate(hashes) if h not in known]
-        spelled = [words.bytes_of(which[k]).decode() for k in new]
-        for k, coded in zip(new, self.library.encode_batch_fast(spelled, add_special_tokens=False)):
-            known[hashes[k]] = np.array(coded.ids, np.uint32)
-        ids = [known[h] for h in hashes]
-        for h in hashes:
-            known.move_to_end(h)
-        while len(known) > KNOWN_WORDS:
-            known.popitem(last=False)
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        counts = np.array([len(x) for x in ids], np.int64)
+        ids = self._coded(words, hashes.tolist(), which)
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
         begins = np.cumsum(counts) - counts
         n = counts[place] if len(place) else np.zeros(0, np.int64)
         ends = np.cumsum(n)
@@ -70,10 +84,16 @@ class LibraryEncoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(tokenizer: str, end_id: int) -> LibraryEncoder:
+    """A worker's encoder, whose memory outlives a task."""
+    return LibraryEncoder(tokenizer, end_id)
+
+
 def _writer(path: str, tokenizer: str, end_id: int, file_ids: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        encoder = LibraryEncoder(tokenizer, end_id)
+        encoder = _encoder(tokenizer, end_id)
         names, coded, held = [], [], 0
 
         def close() -> pa.RecordBatch:
@@ -135,7 +155,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
     order, then those of the files of a range.
     """
     placed = with_offsets(manifest, [F.col("number")], {"start": F.col("n_ids")})
-    return placed.select("uri", "start").repartition("uri").mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return placed.select("uri", "start").repartition(width(manifest.sparkSession), "uri").mapInArrow(_reader, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def tokenize_to_files(df: DataFrame, tokenizer: str, end_id: int = 0, **options) -> DataFrame:
