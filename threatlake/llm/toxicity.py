@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +27,27 @@ CALIBRATION = 4
 BUCKETS, DIMENSIONS = 1 << 18, 8
 #: Three is the least: a word of one letter, with its marks, has to have one.
 NGRAMS = (3, 4, 5)
-STEPS, RATE, MOMENTUM, DECAY = 60, 0.1, 0.9, 2e-2
+STEPS, RATE, MOMENTUM, DECAY = 120, 0.1, 0.9, 1e-2
 #: Words of fewer texts of the sample add to a text's length only.
 LEAST_TEXTS = 3
 
 
+@dataclass
+class Bags:
+    """Texts as word counts: for each word of a text its number, the word's, and how often."""
+
+    words: list[bytes]
+    doc: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    size: np.ndarray  # words of each text
+
+    def of(self, chosen: np.ndarray) -> Bags:
+        """The texts for which ``chosen`` holds, numbered anew."""
+        own = chosen[self.doc]
+        return Bags(self.words, (np.cumsum(chosen) - 1)[self.doc[own]], self.word[own], self.count[own], self.size[chosen])
+
+
 @dataclass
 class Model:
     """``worth``: what a bucket adds to the log-odds; ``bias``: where they start."""
@@ -44,11 +61,10 @@ class Model:
             out[own] = (self.worth[buckets] * valid).sum(axis=1) / np.maximum(1, valid.sum(axis=1))
         return out
 
-    def bag_worths(self, bags: list[dict[str, int]]) -> np.ndarray:
-        names = sorted({w for bag in bags for w in bag})
-        place = {w: k for k, w in enumerate(names)}
-        worth = self.word_worth(_as_words([w.encode() for w in names]), np.arange(len(names)))
-        return np.array([sum(worth[place[w]] * c for w, c in bag.items()) / max(1, sum(bag.values())) for bag in bags])
+    def bag_worths(self, bags: Bags) -> np.ndarray:
+        worth = self.word_worth(_as_words(bags.words), np.arange(len(bags.words)))
+        total = np.bincount(bags.doc, weights=worth[bags.word] * bags.count, minlength=len(bags.size))
+        return total / np.maximum(1, bags.size)
 
     def score(self, splitter: Splitter, texts: list[str]) -> np.ndarray:
         """Probabilities of label 1. A text without words gets that of the bias alone."""
@@ -114,19 +130,18 @@ def calibrated(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray) ->
     return max(float(beta[0]), 1e-6) / scale, float(beta[1])
 
 
-def train(texts: list[dict[str, int]], labels: np.ndarray, weights: np.ndarray) -> Model:
+def train(bags: Bags, labels: np.ndarray, weights: np.ndarray) -> Model:
     """The model of all but each CALIBRATION-th text, its scale set on those."""
     labels, weights = np.asarray(labels, np.float64), np.asarray(weights, np.float64)
-    apart = np.arange(len(texts)) % CALIBRATION == CALIBRATION - 1
-    model = fit([t for t, a in zip(texts, apart) if not a], labels[~apart], weights[~apart])
+    apart = np.arange(len(labels)) % CALIBRATION == CALIBRATION - 1
+    model = fit(bags.of(~apart), labels[~apart], weights[~apart])
     if len(set(labels[apart].tolist())) < 2:
         return model
-    held = [t for t, a in zip(texts, apart) if a]
-    slope, offset = calibrated(model.bias + model.bag_worths(held), labels[apart], weights[apart])
+    slope, offset = calibrated(model.bias + model.bag_worths(bags.of(apart)), labels[apart], weights[apart])
     return Model(model.worth * slope, model.bias * slope + offset)
 
 
-def fit(texts: list[dict[str, int]], labels: np.ndarray, weights: np.ndarray, seed: int = 0) -> Model:
+def fit(bags: Bags, labels: np.ndarray, weights: np.ndarray, seed: int = 0) -> Model:
     """Fit on bags of words; ``weights`` bring the labels back to their shares among all rows.
 
     Words of fewer than LEAST_TEXTS texts of the sample add to their length only. An n-gram's
@@ -135,14 +150,10 @@ def fit(texts: list[dict[str, int]], labels: np.ndarray, weights: np.ndarray, se
     """
     share = float(np.clip((labels @ weights) / max(weights.sum(), 1e-9), 1e-3, 1 - 1e-3)) if len(labels) else 0.05
     bias = float(np.log(share / (1 - share)))
-    found: dict[str, int] = {}
-    for bag in texts:
-        for word in bag:
-            found[word] = found.get(word, 0) + 1
-    vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in found.items() if n >= LEAST_TEXTS))}
-    if not vocabulary or len(set(labels.tolist())) < 2:
+    known = np.bincount(bags.word, minlength=len(bags.words)) >= LEAST_TEXTS
+    if not known.any() or len(set(labels.tolist())) < 2:
         return Model(np.zeros(BUCKETS), bias)
-    coded = [w.encode() for w in vocabulary]
+    coded = [w for w, k in zip(bags.words, known.tolist()) if k]
     words = _as_words(coded)
     word_of, bucket_of, part_of = [], [], []
     for own, buckets, valid in _grams(words, np.arange(len(coded))):
@@ -157,17 +168,11 @@ def fit(texts: list[dict[str, int]], labels: np.ndarray, weights: np.ndarray, se
     word_begins = np.flatnonzero(np.append(True, word_of[1:] != word_of[:-1]))
     by_bucket = np.argsort(bucket_of, kind="stable")
     bucket_begins = np.flatnonzero(np.append(True, bucket_of[by_bucket][1:] != bucket_of[by_bucket][:-1]))
-    # Documents: one row for each word of theirs that is known.
-    doc_of, its_word, its_part, kept = [], [], [], []
-    for k, bag in enumerate(texts):
-        n = sum(bag.values())
-        own = [(vocabulary[w], c / n) for w, c in bag.items() if w in vocabulary]
-        if own:
-            doc_of += [len(kept)] * len(own)
-            its_word += [w for w, _ in own]
-            its_part += [p for _, p in own]
-            kept.append(k)
-    doc_of, its_word, its_part = np.array(doc_of), np.array(its_word), np.array(its_part, np.float32)
+    # Texts: one row for each word of theirs that is known.
+    own = known[bags.word]
+    kept, doc_of = np.unique(bags.doc[own], return_inverse=True)
+    its_word = (np.cumsum(known) - 1)[bags.word[own]]
+    its_part = (bags.count[own] / bags.size[bags.doc[own]]).astype(np.float32)
     doc_begins = np.flatnonzero(np.append(True, doc_of[1:] != doc_of[:-1]))
     by_word = np.argsort(its_word, kind="stable")
     seen_words, word_heads = np.unique(its_word[by_word], return_index=True)
@@ -175,13 +180,12 @@ def fit(texts: list[dict[str, int]], labels: np.ndarray, weights: np.ndarray, se
 
     def back(by_doc: np.ndarray) -> np.ndarray:
         """What documents' vectors owe to each bucket, summed."""
-        by_its_word = np.zeros((len(vocabulary), by_doc.shape[1]), np.float32)
+        by_its_word = np.zeros((len(coded), by_doc.shape[1]), np.float32)
         by_its_word[seen_words] = _rows_mean(by_doc[doc_of[by_word]], its_part[by_word], word_heads)
         return _rows_mean(by_its_word[word_of[by_bucket]], part_of[by_bucket], bucket_begins)
 
     # Variance of a gradient by chance: weights squared, and a part of a text as often as it is in one.
-    sizes = np.array([sum(texts[k].values()) for k in kept], np.float32)
-    chance = np.sqrt(back((weight ** 2 / sizes).astype(np.float32)[:, None])) + 1e-9
+    chance = np.sqrt(back((weight ** 2 / bags.size[kept]).astype(np.float32)[:, None])) + 1e-9
     rng = np.random.default_rng(seed)
     vectors = (rng.standard_normal((len(used), DIMENSIONS)) * 0.1).astype(np.float32)
     softmax = (rng.standard_normal((DIMENSIONS, 2)) * 0.1).astype(np.float32)
@@ -227,7 +231,7 @@ def _as_bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in batched(rows, lambda x: len(x[1])):
         found = bags(splitter, [t for _, t in part])
         yield pa.record_batch({"label": pa.array([x for x, _ in part], pa.int32()), "words": pa.array([w for w, _ in found], pa.list_(pa.string())),
-                               "counts": pa.array([c for _, c in found], pa.list_(pa.int64()))})
+                               "counts": pa.array([c for _, c in found], pa.list_(pa.int32()))})
 
 
 def train_on(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -247,12 +251,15 @@ def train_on(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
         chosen = own if chosen is None else chosen.unionAll(own)
     # TRAIN_ROWS bounds what is broadcast, and what is collected.
     sample = df.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id")
-    rows = sample.select("_label", F.col(text_col).alias("text")).mapInArrow(_as_bags, "label int, words array<string>, counts array<bigint>").collect()
-    if not rows:
-        return train([], np.zeros(0), np.zeros(0))
-    truth = np.array([r.label for r in rows])
-    taken = np.bincount(truth, minlength=2)
-    return train([dict(zip(r.words, r.counts)) for r in rows], truth, np.array([sizes[x] / taken[x] for x in truth.tolist()]))
+    rows = sample.select("_label", F.col(text_col).alias("text")).mapInArrow(_as_bags, "label int, words array<string>, counts array<int>").toArrow()
+    truth = rows.column("label").to_numpy()
+    words = rows.column("words").combine_chunks()
+    coded = words.flatten().dictionary_encode()
+    count = rows.column("counts").combine_chunks().flatten().to_numpy()
+    doc = np.repeat(np.arange(len(truth)), words.value_lengths().to_numpy())
+    held = Bags([w.encode() for w in coded.dictionary.to_pylist()], doc, coded.indices.to_numpy(), count, np.bincount(doc, weights=count, minlength=len(truth)))
+    share = np.array([sizes.get(x, 0) for x in (0, 1)]) / np.maximum(1, np.bincount(truth, minlength=2))
+    return train(held, truth, share[truth])
 
 
 def score_documents(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,13 +287,10 @@ def keep_clean(df: DataFrame, model: Model, edge: float, text_col: str = "text")
     held = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def score(parts: Iterator):
-        import pandas as pd
-
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         splitter = Splitter(spaced=False)
         for texts in parts:
             out = [held.value.score(splitter, [t for t, in some]) for some in batched(((t or "",) for t in texts.tolist()), lambda x: len(x[0]))]
             yield pd.Series(np.concatenate(out) if out else np.zeros(0))
 
-    score.__annotations__ = {}
     return df.where(score(F.col(text_col)) < edge)
