@@ -17,7 +17,7 @@ import numpy as np
 
 SPACE, LETTER, DIGIT, OTHER, BREAK = range(5)
 #: Code points handled at a time; a single longer text is handled whole.
-BATCH_POINTS = 3_000_000
+BATCH_POINTS = 2_000_000
 _SEPARATOR = 0x110000
 _BASE = 0x9E3779B97F4A7C15 | 1
 

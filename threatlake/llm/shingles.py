@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes of text hashed at a time; a single longer text is handled whole.
-BATCH_BYTES = 3_000_000
+BATCH_BYTES = 1_500_000
 _BASE = 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
