@@ -250,8 +250,9 @@ def train_on(df: DataFrame, labels: DataFrame, learn_from: Column, id_col: str =
         own = usable.where(F.col("_label") == label).orderBy(F.xxhash64("_id"), "_id").limit(most)
         chosen = own if chosen is None else chosen.unionAll(own)
     # TRAIN_ROWS bounds what is broadcast, and what is collected.
-    sample = df.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id")
-    rows = sample.select("_label", F.col(text_col).alias("text")).mapInArrow(_as_bags, "label int, words array<string>, counts array<int>").toArrow()
+    narrow = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    sample = narrow.join(F.broadcast(chosen), "_id").dropDuplicates(["_id"]).orderBy(F.xxhash64("_id"), "_id")
+    rows = sample.select("_label", "text").mapInArrow(_as_bags, "label int, words array<string>, counts array<int>").toArrow()
     truth = rows.column("label").to_numpy()
     words = rows.column("words").combine_chunks()
     coded = words.flatten().dictionary_encode()
