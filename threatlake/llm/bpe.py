@@ -11,13 +11,15 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from threatlake.llm.common import shared_path
 from threatlake.llm.files import map_shared, pack_arrays, unpack_arrays, write_shared
@@ -329,14 +331,14 @@ def frequent_words(df: DataFrame, text_col: str = "text", limit: int = LEXICON_W
     return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
 
 
-def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids, decoded``.
+def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, keep: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, ids, decoded``, then the columns named in ``keep``.
 
     ``ids`` are the decimal ids and ``decoded`` their tokens, each joined by one space: what the
     public library gives for this model without added special tokens, and what it decodes.
     Special tokens written in a text are found as such. Null texts are empty; an empty text has
     no ids and decodes to an empty text. Repeated rows and null ids are rows like others; an
-    empty table gives no rows; other columns are not read.
+    empty table gives no rows; columns that are not in ``keep`` are not read.
 
     Words are counted over all texts for the lexicon (bounded by ``lexicon_words``), which is
     compiled once and mapped from the shared folder by every task; texts are not shuffled. Words
@@ -350,11 +352,14 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(held.value, Lexicon(uri))
-        rows = ((i, t.as_py() or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+        rows = ((i, t.as_py() or "", *own) for b in batches for i, t, *own in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:])))
         for part in batched(rows, lambda x: len(x[1])):
-            encoded = encoder.encode([t for _, t in part])
-            yield pa.record_batch({"doc_id": pa.array([i for i, _ in part], pa.int64()), "n_tokens": pa.array([n for n, _, _ in encoded], pa.int64()),
-                                   "ids": pa.array([d for _, d, _ in encoded], pa.string()), "decoded": pa.array([t for _, _, t in encoded], pa.string())})
-
-    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, n_tokens bigint, ids string, decoded string")
+            encoded = encoder.encode([x[1] for x in part])
+            yield pa.record_batch({"doc_id": pa.array([x[0] for x in part], pa.int64()), "n_tokens": pa.array([n for n, _, _ in encoded], pa.int64()),
+                                   "ids": pa.array([d for _, d, _ in encoded], pa.string()), "decoded": pa.array([t for _, _, t in encoded], pa.string()),
+                                   **{f.name: pa.array([x[2 + k] for x in part], f.type) for k, f in enumerate(kept)}})
+
+    own = df.select(*(F.col(f"`{c}`") for c in keep)).schema
+    kept = list(to_arrow_schema(own))
+    narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`") for c in keep))
+    return narrow.mapInArrow(run, StructType([*StructType.fromDDL("doc_id bigint, n_tokens bigint, ids string, decoded string"), *own]))

@@ -109,10 +109,16 @@ def mix_sources(df: DataFrame, weights: Mapping[str, int], rest_weight: int = 1,
         "doc_id", "mix_group", "block", "slot", (F.col("slot") * block_rows + F.col("_rank") % block_rows - missing).cast("long").alias("position"))
 
 
-def mixed_documents(df: DataFrame, weights: Mapping[str, int], source_col: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+def mixed_documents(df: DataFrame, weights: Mapping[str, int], source_col: str = "source", id_col: str = "doc_id", position_col: str | None = None, **options) -> DataFrame:
     """All rows of ``df`` with their columns, stored order following the mix. Rows that share an
-    id follow each other at the first one's place."""
+    id follow each other at the first one's place.
+
+    Readers pack files as they like, so the stored order is lost on reading. ``position_col``
+    names a column with each row's position in the mix, which is not; rows that share an id
+    share its first position.
+    """
     names = df.columns
     order = mix_sources(df, weights, source_col=source_col, id_col=id_col, **options).groupBy(F.col("doc_id").alias("_mixed_id")).agg(F.min("position").alias("_mix_position"))
     placed = df.join(order, F.col(id_col).eqNullSafe(F.col("_mixed_id")))
-    return placed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select(*(F.col(f"`{c}`") for c in names))
+    position = [F.col("_mix_position").alias(position_col)] if position_col else []
+    return placed.repartitionByRange("_mix_position").sortWithinPartitions("_mix_position").select(*(F.col(f"`{c}`") for c in names), *position)
