@@ -1,8 +1,10 @@
 """The pipeline's stages together, on a small table of several files."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
+from threatlake.llm import queries, toxicity
 from threatlake.llm.common import table
 
 
@@ -34,3 +36,16 @@ def test_rows_tell_the_mix(spark, corpus, monkeypatch):
     with pytest.raises(Exception, match="mix_position"):
         monkeypatch.setattr(corpus_pipeline, "STAGES", [s for s in corpus_pipeline.STAGES if s[1] is not corpus_pipeline.mix])
         corpus_pipeline.run(spark, corpus)
+
+
+def test_drops_what_the_operator_calls_toxic(spark, tmp_path, monkeypatch):
+    """Scores of all sizes, from a model of random n-grams."""
+    model = toxicity.Model(np.random.default_rng(4).normal(size=toxicity.BUCKETS) * 3, -0.4)
+    monkeypatch.setattr(toxicity, "train_on", lambda *a, **b: model)
+    docs = spark.createDataFrame([(k, f"w{k * 7919 % 1009}") for k in range(400)], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs.limit(0).selectExpr("doc_id", "0 as toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    found = queries.op1_toxicity(spark, str(tmp_path)).collect()
+    assert sum(0.3 <= r.score < 0.5 for r in found) > 20
+    kept = corpus_pipeline.drop_toxic(spark, table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in found if not r.predicted)
