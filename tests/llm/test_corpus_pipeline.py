@@ -1,11 +1,19 @@
 """The pipeline's stages together, on a small table of several files."""
 
+from collections import Counter, defaultdict
+
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from tests.llm.test_dedup import _components, _order, _plain
 from threatlake.llm import queries, toxicity
 from threatlake.llm.common import table
+from threatlake.llm.mixing import REST, schedule
+from threatlake.llm.pretokens import Splitter
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +57,50 @@ def test_drops_what_the_operator_calls_toxic(spark, tmp_path, monkeypatch):
     assert sum(0.3 <= r.score < 0.5 for r in found) > 20
     kept = corpus_pipeline.drop_toxic(spark, table(spark, str(tmp_path), "documents"), str(tmp_path)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(r.doc_id for r in found if not r.predicted)
+
+
+def _mix_by_hand(rows, hashes):
+    """{id: position}: blocks of eight rows of each group, in order of their slots."""
+    groups = defaultdict(list)
+    for i, _, source in rows:
+        groups[source if source in queries.TARGET_WEIGHTS else REST].append(i)
+    dealt = {}
+    for g, own in groups.items():
+        own.sort(key=lambda i: (hashes[i], i))
+        dealt[g] = [own[k:k + 8] for k in range(0, len(own), 8)]
+    at = {}
+    for g, first, last, p, base, period, slots in schedule({g: len(b) for g, b in dealt.items()}, {**queries.TARGET_WEIGHTS, REST: 1}):
+        for j in range(first, last):
+            at[base + (j - first) // p * period + slots[(j - first) % p]] = dealt[g][j]
+    order = [i for slot in sorted(at) for i in at[slot]]
+    return {i: k for k, i in enumerate(order)}
+
+
+def test_run_by_hand(spark, tmp_path):
+    """All five stages in plain Python, with the trained model's scores as given."""
+    rows = []
+    for r in table(spark, "/root/testdata/sf0.001", "documents").orderBy("doc_id").limit(160).collect():
+        bad = " grobulish snarviko" * (3 + len((r.text or "").split()) // 20) if r.doc_id % 5 == 0 else ""
+        rows.append((r.doc_id, (r.text or "") + bad, r.source))
+    clean = [r for r in rows if r[0] % 5]
+    rows += [(10_000 + i, f" {t}\n", "src1") for i, t, _ in clean[:15]] + [(20_000 + i, t + " more", None) for i, t, _ in clean[20:50]]
+    rows += [(30_000, None, "src2"), (30_001, "", None), (30_002, "one", "elsewhere")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int("grobul" in (t or ""))) for i, t, _ in rows], "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = toxicity.train_on(docs, table(spark, str(tmp_path), "labels"), ~queries.held_out())
+    scores = model.score(Splitter(spaced=False), [t or "" for _, t, _ in rows])
+    left = [[r for r, s in zip(rows, scores) if s < queries.TOXIC]]
+    copies = defaultdict(list)
+    for r in left[-1]:
+        copies[_plain(r[1])].append(r)
+    left.append([min(own, key=_order) for own in copies.values()])
+    links = _components([(i, t) for i, t, _ in left[-1]])
+    left.append([r for r in left[-1] if links[r[0]][1] == r[0]])
+    assert len(rows) > len(left[0]) > len(left[1]) > len(left[2])
+    position = _mix_by_hand(left[-1], {r.doc_id: r.h for r in docs.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()})
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {i: library.encode(t or "", add_special_tokens=False).ids for i, t, _ in left[-1]}
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "mix_position", "n_tokens", "ids"]
+    assert Counter(map(tuple, found.collect())) == Counter((i, position[i], len(x), " ".join(map(str, x))) for i, x in ids.items())
