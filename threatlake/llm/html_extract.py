@@ -275,7 +275,10 @@ def _marked(nodes: list[Node]) -> tuple[list[Node], list[bool]]:
 
 
 def learn(pages: list[str], seed: int = 11) -> Model:
-    """Fit on pages labelled by their markup and on the same texts in other layouts."""
+    """Fit on pages labelled by their markup and on the same texts in other layouts.
+
+    If no page has an article to go by, on such layouts of the pages' texts alone.
+    """
     rng = random.Random(seed)
     trees = []
     for html in pages:
@@ -288,6 +291,13 @@ def learn(pages: list[str], seed: int = 11) -> Model:
         for some, right in cases:
             tree = as_tree(some, blocks(some))
             trees.append((tree, [right[k] for k in tree.place]))
+    if not trees:
+        for html in pages:
+            texts = [b.text for b in blocks(parse(html or ""))]
+            for most in (40, 8, 4) if texts else ():
+                some, right = variant(rng.sample(texts, min(len(texts), most)), texts, rng)
+                tree = as_tree(some, blocks(some))
+                trees.append((tree, [right[k] for k in tree.place]))
     return fit(trees)
 
 
@@ -303,10 +313,14 @@ def main_text(model: Model, html: str | None) -> str:
 
 
 def train_on(df: DataFrame, html_col: str = "html", id_col: str = "page_id") -> Model:
-    """A model from at most LABELLED_PAGES pages of ``df`` that have an article to go by."""
-    usable = df.where(F.col(html_col).rlike("(?i)<(article|main)[ >]"))
+    """A model from at most LABELLED_PAGES pages of ``df`` that have an article to go by, or of all if none has."""
+    article = F.col(html_col).rlike("(?i)<(article|main)[ >]")
+    return learn(_sample(df.where(article), html_col, id_col) or _sample(df.where(F.length(html_col) > 0), html_col, id_col))
+
+
+def _sample(usable: DataFrame, html_col: str, id_col: str) -> list[str]:
     ids = usable.select(F.col(id_col)).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), id_col).limit(LABELLED_PAGES)
-    return learn([r[0] for r in usable.join(F.broadcast(ids), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(LABELLED_PAGES).collect()])
+    return [r[0] for r in usable.join(F.broadcast(ids), id_col, "left_semi").orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(LABELLED_PAGES).collect()]
 
 
 def extract_pages(df: DataFrame, model: Model, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
