@@ -71,3 +71,17 @@ def with_offsets(parts: DataFrame, order: list[Column], sums: dict[str, Column],
     within = Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return joined.withColumns({n: F.col(f"_c_{n}") + F.coalesce(F.sum(e).over(within), F.lit(0)) for n, e in sums.items()}).drop(
         "_at", *(f"_by_{c}" for c in by), *(f"_c_{n}" for n in sums))
+
+
+#: A key is heavy when more than one row in so many has it; there are fewer heavy keys than that.
+HEAVY = 1_000
+
+
+def heavy_lookup(rows: DataFrame, held: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``held``, which has each ``key`` (never null) once and in ``n`` how many
+    of the ``total`` rows have it. Heavy keys, fewer than HEAVY, are broadcast, so their rows stay
+    where they are; the others are shuffled by the key. Columns of ``held`` but ``n`` are added."""
+    common = held.where(F.col("n") * HEAVY <= total).drop("n")
+    heavy = F.broadcast(held.where(F.col("n") * HEAVY > total).drop("n"))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(common, key, how)
+    return rest.unionByName(rows.join(heavy, key))

@@ -14,6 +14,8 @@ from threatlake.llm.line_dedup import drop_common_lines
 from threatlake.llm.mixing import mix_sources
 from threatlake.llm.ngram_join import ngram_components
 from threatlake.llm.sharding import shard_documents
+from threatlake.llm.simhash import simhash_components
+from threatlake.llm.spelling import spelling_groups
 from threatlake.llm.token_files import tokenize_to_files
 from threatlake.llm.topk import top_inner_products
 
@@ -78,8 +80,17 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(pages, html_extract.train_on(pages))
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4, seed=42)
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"), least=7, min_count=2, factor=10).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_toxicity, op2_ngram_join, op3_exact_dedup, op4_sharding, op5_token_files, op6_topk, op7_bpe, op8_mixing, op9_line_dedup, op10_html)}
+    op1_toxicity, op2_ngram_join, op3_exact_dedup, op4_sharding, op5_token_files, op6_topk, op7_bpe, op8_mixing, op9_line_dedup, op10_html,
+    op11_simhash, op12_spelling)}
 
 SQL = {
     "op3_exact_dedup": r"""
