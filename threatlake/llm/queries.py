@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from threatlake.llm import html_extract, toxicity
 from threatlake.llm.bpe import encode_documents
 from threatlake.llm.common import table
+from threatlake.llm.conversations import damage, repair_conversations
 from threatlake.llm.exact_dedup import exact_duplicates
 from threatlake.llm.line_dedup import drop_common_lines
 from threatlake.llm.mixing import mix_sources
@@ -88,9 +89,14 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_groups(table(spark, sf_dir, "documents"), least=7, min_count=2, factor=10).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair_conversations(damage(turns), turns.select("conv_id"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_toxicity, op2_ngram_join, op3_exact_dedup, op4_sharding, op5_token_files, op6_topk, op7_bpe, op8_mixing, op9_line_dedup, op10_html,
-    op11_simhash, op12_spelling)}
+    op11_simhash, op12_spelling, op13_conversations)}
 
 SQL = {
     "op3_exact_dedup": r"""
