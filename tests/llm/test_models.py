@@ -131,7 +131,7 @@ def _brute(rows, k):
     return {q: x for q, x in out.items() if x}
 
 
-@pytest.mark.parametrize("scale", [1.0, 1e8])
+@pytest.mark.parametrize("scale", [1.0, 1e6])  # products of the second are above 2^52, where doubles end, and below 2^63
 def test_top_inner_products(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "BLOCK", 16)
     monkeypatch.setattr(topk, "QUERIES", 8)
@@ -147,6 +147,12 @@ def test_top_inner_products(spark, monkeypatch, scale):
     assert found == _brute([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows], 10)
 
 
+def test_top_inner_products_beyond_64_bits(spark):
+    df = spark.createDataFrame([(k, [3e8 + k, 1.0]) for k in range(3)], "vec_id bigint, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit 64 bits"):
+        top_inner_products(df, F.lit(True), k=2).collect()
+
+
 def test_top_inner_products_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [0.5, -1.0]), (5, [0.0, 0.0])], "vec_id bigint, embedding array<float>")
     found = top_inner_products(df, F.col("vec_id") % 5 == 0, k=20).collect()

@@ -127,6 +127,8 @@ def _search(queries: list[str], k: int, exact: bool):
                     if len(kept[i][0]) == k:
                         floor[i] = max(floor[i], float(kept[i][0][-1]) - (0 if exact else margin[i]))
             full = [i for i in range(count) if len(kept[i][0])]
+            if not exact and any(abs(s) >= 1 << 63 for i in full for s in kept[i][0].tolist()):
+                raise ValueError("an inner product among the highest does not fit 64 bits")
             if full:
                 yield pa.record_batch({
                     "query_id": pa.array(np.repeat(q["ids"][full], [len(kept[i][0]) for i in full])), "vec_id": pa.array(np.concatenate([kept[i][1] for i in full])),
@@ -143,7 +145,7 @@ def top_inner_products(df: DataFrame, is_query: Column, k: int = 20, scale: int
     query has fewer rows only if there are fewer candidates. Vectors that are null, or have a
     null, NaN or infinite component, take no part, nor do rows without an id; vectors of
     another length than the first (by most rows, then length) raise an error. Repeated rows
-    count each. An empty table gives no rows. Scores must fit 64 bits.
+    count each. An empty table gives no rows. Scores beyond 64 bits raise an error.
 
     Vectors are dealt by length to ranges and written, longest first, as blocks: integers,
     leading coordinates after rotation onto the singular vectors, and the norm of the others.
