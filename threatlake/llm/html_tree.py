@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -34,7 +35,7 @@ class Node:
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.nodes, self.open = [Node("#page")], [0]
+        self.nodes, self.open, self.tags = [Node("#page")], [0], Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -42,7 +43,7 @@ class _Builder(HTMLParser):
         if tag in CLOSES:
             ended, walls = CLOSES[tag]
             while (k := self._find(ended, walls)) is not None:
-                del self.open[k:]
+                self._cut(k)
         names = " ".join(v for k, v in attrs if v and k in ("class", "id", "role", "aria-label", "itemprop", "data-role")).lower()
         if any(k == "hidden" for k, _ in attrs) or any(k == "style" and v and re.search(r"display\s*:\s*none", v) for k, v in attrs):
             names += " hidden"
@@ -50,6 +51,7 @@ class _Builder(HTMLParser):
         self.nodes[self.open[-1]].children.append(len(self.nodes) - 1)
         if tag not in VOID:
             self.open.append(len(self.nodes) - 1)
+            self.tags[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -61,7 +63,21 @@ class _Builder(HTMLParser):
     def handle_data(self, data):
         self.nodes[self.open[-1]].children.append(data)
 
+    def parse_marked_section(self, i, report=1):
+        """A declaration that the parser doesn't know is a comment that ends at the next ``>``."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+    def _cut(self, k):
+        for gone in self.open[k:]:
+            self.tags[self.nodes[gone].tag] -= 1
+        del self.open[k:]
+
     def _find(self, tags, walls):
+        if not any(self.tags[t] for t in tags):
+            return None
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[k]].tag
             if tag in tags:
@@ -72,7 +88,7 @@ class _Builder(HTMLParser):
 
     def _end(self, tag, walls):
         if (k := self._find({tag}, walls)) is not None:
-            del self.open[k:]
+            self._cut(k)
 
 
 def parse(html: str) -> list[Node]:
