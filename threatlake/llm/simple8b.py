@@ -51,16 +51,18 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     if blocks:
         ends[-1] = len(values) - (blocks - 1) * BLOCK
     live, at = np.arange(blocks), np.zeros(blocks, np.int64)
-    of, place = [], []
+    of, place, nth = [], [], []
     while len(live):  # the next word of every block that isn't done
         of.append(live)
         place.append(at)
+        nth.append(np.full(len(live), len(nth)))
         at = at + COUNTS[choice[live, at]]
         more = at < ends[live]
         live, at = live[more], at[more]
-    of, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, place))
-    order = np.lexsort((place, of))
-    of, place = of[order], place[order]
+    of, place, nth = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (of, place, nth))
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=blocks))]).astype(np.int64) if blocks else np.zeros(1, np.int64)
+    to = offsets[of] + nth
+    of[to], place[to] = of.copy(), place.copy()
     selector = choice[of, place].astype(np.int64)
     words = selector.astype(np.uint64) << _TAG
     for s in range(2, 16):
@@ -71,8 +73,7 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
             words[own] |= part << np.uint64(k * WIDTHS[s])
     large = np.flatnonzero(selector == ESCAPE)
     words[large] |= np.arange(len(large), dtype=np.uint64)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=blocks))]) if blocks else np.zeros(1, np.int64)
-    return {"n": np.array([len(values)]), "words": words, "offsets": offsets.astype(np.int64), "escapes": grid[of[large], place[large]]}
+    return {"n": np.array([len(values)]), "words": words, "offsets": offsets, "escapes": grid[of[large], place[large]]}
 
 
 def decode(coded: dict[str, np.ndarray], first: int = 0, last: int | None = None) -> np.ndarray:

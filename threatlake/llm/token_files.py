@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -15,21 +15,70 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.llm import simple8b
+from threatlake.llm.bpe import byte_letters
 from threatlake.llm.common import shared_path, text_or_empty, width, with_offsets
 from threatlake.llm.files import map_shared, pack_arrays, unpack_arrays, write_shared
-from threatlake.llm.pretokens import Splitter, batched
+from threatlake.llm.pretokens import Splitter, Words, batched, pieces, release
 from threatlake.session import materialise
 
 #: A file ends with the document that brings it to so many ids.
 FILE_IDS = 1 << 22
-#: Words whose ids a worker remembers, twice: those met lately and those before.
-KNOWN_WORDS = 250_000
+#: Words whose ids a worker remembers.
+KNOWN_WORDS = 400_000
 #: Words given to the library in one call, whose results are larger than the words.
-WORDS_AT_ONCE = 5_000
+WORDS_AT_ONCE = 2_000
+#: Code points of texts encoded at a time.
+ENCODE_POINTS = 2_000_000
+#: A byte that no text has in UTF-8.
+_BETWEEN = 0xFF
+
+
+class _Memory:
+    """Words and their ids, sorted by the words' hashes, as arrays."""
+
+    def __init__(self):
+        none = np.zeros(0, np.int64)
+        self.words, self.begins, self.ids, self.used, self.turn = Words(np.zeros(0, np.uint64), none, none, none, np.zeros(0, np.uint8)), np.zeros(1, np.int64), np.zeros(0, np.uint32), none, 0
+
+    def find(self, words: Words, hashes: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """The place of each word, or -1."""
+        self.turn += 1
+        if not len(self.used):
+            return np.full(len(which), -1)
+        at = np.minimum(np.searchsorted(self.words.hashes, hashes), len(self.used) - 1)
+        own = np.flatnonzero(self.words.hashes[at] == hashes)
+        own = own[words.same(which[own], at[own], self.words)]
+        out = np.full(len(which), -1)
+        out[own] = at[own]
+        self.used[at[own]] = self.turn
+        return out
+
+    def add(self, words: Words, which: np.ndarray, begins: np.ndarray, ids: np.ndarray) -> None:
+        """Remember words; beyond KNOWN_WORDS those not met for longest are forgotten."""
+        old = np.arange(len(self.used))
+        if len(old) + len(which) > KNOWN_WORDS:
+            old = np.sort(np.argsort(-self.used, kind="stable")[:KNOWN_WORDS // 2])
+        size = np.concatenate([(self.words.last - self.words.first)[old], words.last[which] - words.first[which]])
+        data = np.concatenate([ragged(self.words.data, self.words.first[old], size[:len(old)]), ragged(words.data, words.first[which], size[len(old):])])
+        n = np.concatenate([np.diff(self.begins)[old], np.diff(begins)])
+        flat = np.concatenate([ragged(self.ids, self.begins[:-1][old], n[:len(old)]), ids])
+        hashes, used = np.concatenate([self.words.hashes[old], words.hashes[which]]), np.concatenate([self.used[old], np.full(len(which), self.turn)])
+        order = np.argsort(hashes, kind="stable")
+        order = order[np.append(True, hashes[order][1:] != hashes[order][:-1])[:len(order)]]  # of words with one hash the first
+        first, begin = (np.cumsum(size) - size)[order], (np.cumsum(n) - n)[order]
+        self.words = Words(hashes[order], first, first + size[order], np.zeros(0, np.int64), data)
+        self.ids, self.used = ragged(flat, begin, n[order]), used[order]
+        self.begins = np.concatenate([[0], np.cumsum(n[order])])
+
+
+def ragged(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Runs of ``values``, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + size, size)]
 
 
 class LibraryEncoder:
-    """The tokenizers library behind a memory of words: it sees each distinct word once.
+    """The tokenizers library behind a memory of words: it sees a word again only when that was forgotten.
 
     Splitting comes before merging in this model, so a text's ids are its words' ids in order.
     """
@@ -37,51 +86,79 @@ class LibraryEncoder:
     def __init__(self, tokenizer: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.library, self.end_id = Tokenizer.from_file(tokenizer), end_id
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.splitter, self.young, self.old = Splitter(spaced=True), {}, {}
-
-    def _coded(self, words, hashes: list[int], which: np.ndarray) -> list[bytes]:
-        """Ids of distinct words, as bytes. Words met lately are remembered: a full memory becomes the old one."""
-        young, old = self.young, self.old
-        out, new = [], []
-        for k, h in enumerate(hashes):
-            if (ids := young.get(h)) is None:
-                if (ids := old.get(h)) is None:
-                    new.append(k)
-                else:
-                    young[h] = ids
-            out.append(ids)
-        for first in range(0, len(new), WORDS_AT_ONCE):
-            part = new[first:first + WORDS_AT_ONCE]
-            spelled = [words.bytes_of(which[k]).decode() for k in part]
-            for k, coded in zip(part, self.library.encode_batch_fast(spelled, add_special_tokens=False)):
-                out[k] = young[hashes[k]] = array("I", coded.ids).tobytes()
-        if len(young) > KNOWN_WORDS:
-            self.young, self.old = {}, young
-        return out
+        self.splitter, self.memory = Splitter(spaced=True), _Memory()
+        # Words are given to the library spelled in the letters of bytes, so that it need not split
+        # them again: one text of many, with a line break (as a word) between two.
+        letters = byte_letters()
+        self.words = Tokenizer.from_file(tokenizer)
+        self.words.pre_tokenizer = WhitespaceSplit()
+        self.spelling = {**dict(enumerate(letters)), _BETWEEN: f" {letters[10]} "}
+        self.line_break = self.words.token_to_id(letters[10])
+
+    def _coded(self, words: Words, hashes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: where each word's begin and how many they are in the ids of all."""
+        place = self.memory.find(words, hashes, which)
+        new = np.flatnonzero(place < 0)
+        begins, ids = self._new(words, which[new])
+        begin, count = np.empty(len(which), np.int64), np.empty(len(which), np.int64)
+        old = np.flatnonzero(place >= 0)
+        begin[old], count[old] = self.memory.begins[place[old]], np.diff(self.memory.begins)[place[old]]
+        begin[new], count[new] = len(self.memory.ids) + begins[:-1], np.diff(begins)
+        flat = np.concatenate([self.memory.ids, ids])
+        if len(new):
+            self.memory.add(words, which[new], begins, ids)
+        return flat, begin, count
+
+    def _new(self, words: Words, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that the library has to see, and the places where each word's begin and the last ends."""
+        size = words.last[which] - words.first[which]
+        ends = np.cumsum(size)
+        data = ragged(words.data, words.first[which], size)
+        breaks = np.zeros(len(which), bool)
+        breaks[np.searchsorted(ends, np.flatnonzero(data == 10), side="right")] = True
+        counts = np.zeros(len(which), np.int64)
+        parts, plain = [], np.flatnonzero(~breaks)
+        for k in range(0, len(plain), WORDS_AT_ONCE):
+            own = plain[k:k + WORDS_AT_ONCE]
+            spelled = np.full(int(size[own].sum()) + len(own) - 1, _BETWEEN, np.uint8)
+            to = np.cumsum(size[own] + 1) - size[own] - 1
+            spelled[ragged(np.arange(len(spelled)), to, size[own])] = ragged(data, ends[own] - size[own], size[own])
+            text = spelled.tobytes().decode("latin-1").translate(self.spelling)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            last = np.append(np.flatnonzero(ids == self.line_break), len(ids))
+            counts[own] = np.diff(last, prepend=-1) - 1
+            parts.append((own, ids[ids != self.line_break]))
+        for k in np.flatnonzero(breaks).tolist():
+            ids = self.library.encode(words.bytes_of(which[k]).decode(), add_special_tokens=False).ids
+            counts[k] = len(ids)
+            parts.append((np.array([k]), np.array(ids, np.uint32)))
+        begins = np.concatenate([[0], np.cumsum(counts)])
+        out = np.empty(begins[-1], np.uint32)
+        for own, ids in parts:
+            out[ragged(np.arange(len(out)), begins[own], counts[own])] = ids
+        return begins, out
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, none of which spells a special token."""
+        words = self.splitter.split(texts)
+        hashes, which, place = words.distinct()
+        flat, begin, count = self._coded(words, hashes, which)
+        n = count[place]
+        every = ragged(flat, begin[place], n)
+        edges = np.concatenate([[0], np.cumsum(n)])[np.searchsorted(words.text, np.arange(len(texts) + 1))].tolist()
+        return [every[a:b] for a, b in zip(edges, edges[1:])]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text, the end id included."""
-        plain = [not any(s in t for s in self.special) for t in texts]
-        words = self.splitter.split([t if p else "" for t, p in zip(texts, plain)])
-        hashes, which, place = words.distinct()
-        ids = self._coded(words, hashes.tolist(), which)
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        counts = np.array([len(x) // 4 for x in ids], np.int64)
-        begins = np.cumsum(counts) - counts
-        n = counts[place] if len(place) else np.zeros(0, np.int64)
-        ends = np.cumsum(n)
-        every = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins[place] - ends + n, n)] if len(place) else flat[:0]
-        edges = np.concatenate([[0], ends])[np.searchsorted(words.text, np.arange(len(texts) + 1))]
+        """Ids of each text, the end id included. A text that spells a special token is encoded whole."""
+        cut = [None if any(s in t for s in self.special) else pieces(t) for t in texts]
+        coded = (x for some in batched(((p,) for own in cut if own for p in own), lambda x: len(x[0]), ENCODE_POINTS) for x in self._ids([p for p, in some]))
         end = np.array([self.end_id], np.uint32)
-        out = []
-        for k, text in enumerate(texts):
-            # A text that spells a special token is encoded whole.
-            own = every[edges[k]:edges[k + 1]] if plain[k] else np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-            out.append(np.concatenate([own, end]))
-        return out
+        return [np.concatenate([*([np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)] if own is None else islice(coded, len(own))), end])
+                for text, own in zip(texts, cut)]
 
 
 @lru_cache(maxsize=1)
@@ -109,7 +186,7 @@ def _writer(path: str, tokenizer: str, end_id: int, file_ids: int):
             return row
 
         rows = ((i, t.as_py()) for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
-        for some in batched(rows, lambda x: len(x[1])):
+        for some in batched(rows, lambda x: len(x[1]), ENCODE_POINTS):
             for (name, _), ids in zip(some, encoder.encode([t for _, t in some])):
                 names.append(name)
                 coded.append(ids)
@@ -118,6 +195,7 @@ def _writer(path: str, tokenizer: str, end_id: int, file_ids: int):
                     yield close()
         if names:
             yield close()
+        release()
 
     return write
 
