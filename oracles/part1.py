@@ -53,7 +53,7 @@ SQL = {
     "j1_log_with_score": "select f.log_id, f.source_ip, s.combined, s.risk_level from flows f left join (select * from scores where log_id % 3 <> 0) s using (log_id)",
     "j2_score_source": "select log_id, combined, source_ip, epoch_us(ts) as ts from scores",
     "j3_threat_reputation": """select t.source_ip, t.log_id, t.confidence_score, coalesce(r.threat_count, 0) as threat_count, coalesce(r.is_blocked, false) as is_blocked,
-  coalesce(r.reputation_points/100e0, 1e0) as reputation_score from threats t left join reputation r on r.ip_address = t.source_ip where t.log_id % 2 = 1""",
+  coalesce(r.reputation_points/100e0, 1e0) as reputation_score from threats t left join reputation r on r.ip_address = t.source_ip""",
     "j4_latest_log_as_of": """select t.log_id, t.source_ip, (select f.log_id from flows f where f.source_ip = t.source_ip and f.ts <= t.created_at order by f.ts desc, f.log_id desc limit 1) as net_log_id from threats t""",
     "j5_scores_around_action": "select action_id, round(mean_before, 6) as mean_before, n_after, round(mean_after, 6) as mean_after, round(max_after, 6) as max_after from around",
     "j6_untrusted_logs": "select source_ip, log_id, epoch_us(ts) as ts from flows where source_ip not in (select source_ip from trusted)",
@@ -64,11 +64,11 @@ SQL = {
   coalesce(q.status = 'REJECTED', false) as resolved, case when q.status = 'PENDING' and q.expires_at <= (select max(ts) from flows) then 'EXPIRED' else q.status end as approval_status
   from threats t left join queue q using (log_id)""",
     "j10_rollback_records": """select action_id, target_ip, (select epoch_us(max(ts)) from flows) as rolled_back_at, 'HUMAN' as rolled_back_by, 'analyst request' as rollback_reason,
-  coalesce(r.is_blocked, false) as was_successful from actions a left join reputation r on r.ip_address = a.target_ip where action_type = 'BLOCK' and log_id % 5 = 0""",
+  coalesce(r.is_blocked, false) as was_successful from actions a left join reputation r on r.ip_address = a.target_ip where action_type = 'BLOCK'""",
     "j11_similar_cases": """select p.log_id, cast(c.rank as bigint) as rank, c.case_id, c.action_taken, c.case_id % 4 = 0 as was_false_positive
-  from (select * from threats_wide where created_at >= timestamp '2024-01-01 01:00:00') p join lateral (
+  from threats_wide p join lateral (
     select x.log_id as case_id, x.action_taken, row_number() over (order by x.created_at desc, x.log_id desc) as rank from threats_wide x
-    where x.created_at < timestamp '2024-01-01 01:00:00' and abs(round(x.confidence_score*10000) - round(p.confidence_score*10000)) <= 500) c on c.rank <= 5""",
+    where x.created_at < p.created_at and abs(round(x.confidence_score*10000) - round(p.confidence_score*10000)) <= 500) c on c.rank <= 5""",
     "j12_stage_context": """select f.log_id, f.source_ip, f.stage, coalesce(f.stage, p.current_stage) as context_stage from stage_flows f
   left join profiles p on p.source_ip = f.source_ip and p.is_active""",
     "w1_port_entropy": "select log_id, round(port_entropy, 4) as port_entropy from (select f.log_id, coalesce(e.port_entropy, 0e0) as port_entropy from flows f left join entropy_rows e using (log_id))",

@@ -131,7 +131,7 @@ from (select *, case when attack_type in ('ransomware','zero_day') then 'PERSIST
     "c3_reviewed_queue": "select log_id, source_ip, proposed_action, epoch_us(expires_at) as expires_at, status, reviewed_by, epoch_us(reviewed_at) as reviewed_at from queue",
     "c3_approved_actions": "select log_id as action_id, proposed_action as action_type, source_ip as target_ip, epoch_us(reviewed_at) as executed_at from queue where status = 'APPROVED'",
     "c4_expired_queue": "select log_id, case when status = 'PENDING' and expires_at <= timestamp '2024-01-01 01:30:00' then 'EXPIRED' else status end as status from queue",
-    "c5_unblocked": "select ip_address, is_blocked and ip_address not in (select target_ip from actions where action_type = 'BLOCK' and log_id % 5 = 0) as is_blocked from reputation",
+    "c5_unblocked": "select ip_address, is_blocked and ip_address not in (select target_ip from validations where action_type = 'BLOCK' and not success) as is_blocked from reputation",
     "c6_marked_threats": """select t.log_id, t.source_ip, case when f.log_id is null then 'seen' else concat('seen', chr(10), chr(10), '[ANALYST FEEDBACK] ', case when was_false_positive then 'FALSE_POSITIVE' else 'TRUE_POSITIVE' end, ' by analyst_1') end as agent_reasoning,
   f.log_id is not null as resolved, epoch_us(f.created_at) as resolved_at from threats t left join feedback f using (log_id)""",
     "c7_allowlist_merge": """select 'IP' as entry_type, source_ip as value, arg_max(is_active, version) as is_active, max(version) as version from (select distinct source_ip, true as is_active, cast(0 as bigint) as version from flows
@@ -169,3 +169,28 @@ SQL.update({
 })
 EXTRA["rollback_checks"] = """select *, executed_at + k * interval 30 minute as due_at from (select a.action_id, a.target_ip, a.executed_at,
   unnest(generate_series(1, greatest(1, (epoch_us((select max(ts) from flows)) - epoch_us(executed_at)) // 1800000000))) as k from actions a where action_type = 'BLOCK')"""
+# What a stream with a watermark of ten minutes has decided once its input is used up, in whole milliseconds.
+EXTRA["stream_end"] = "select epoch_ms(max(ts)) - 600000 as ms from scores"
+EXTRA["gated"] = f"""select *, row_number() over (partition by source_ip order by ts, log_id) as n from (
+  select s.source_ip, s.log_id, s.ts, epoch_us(s.ts) as us, s.combined, {MULT_SQL.format('f.stage')} as mult,
+    coalesce(epoch_us(lag(s.ts, 2) over (partition by s.source_ip order by s.ts, s.log_id)) >= epoch_us(s.ts) - 300000000, false) as near
+  from scores s join stage_flows f using (log_id)) where combined > 0.65e0"""
+_RISK = "least(case when cooling then 0.3e0 else 0e0 end + case when not near then 0.4e0 else 0e0 end + case when threats = 0 then 0.2e0 else 0e0 end, 0.9e0)"
+_FIRST = "case when final >= 0.8e0 then 'BLOCK' when final >= 0.65e0 then 'RATE_LIMIT' when final >= 0.5e0 then 'ALERT' else 'MONITOR' end"
+_NEXT = f"""select *, case when final <= 0.9e0 and threats < 2 then case first when 'BLOCK' then 'RATE_LIMIT' when 'RATE_LIMIT' then 'ALERT' else first end else first end as action
+  from (select *, {_FIRST} as first from (select *, least(greatest(combined*mult*(1e0 - risk), 0e0), 1e0) as final from (select *, {_RISK} as risk
+  from (select g.*, m.threats, m.points, m.alert, coalesce(m.alert >= g.us - 600000000 and m.alert < g.us, false) as cooling from memory m join gated g on g.source_ip = m.source_ip and g.n = m.n + 1))))"""
+EXTRA["memory"] = f"""select distinct source_ip, cast(0 as bigint) as n, cast(0 as bigint) as threats, cast(100 as bigint) as points, cast(null as bigint) as alert,
+  cast(null as bigint) as log_id, cast(null as timestamp) as ts, cast(null as double) as combined, cast(null as boolean) as cooling, cast(null as boolean) as near, cast(null as double) as risk,
+  cast(null as double) as final, cast(null as varchar) as action from gated
+union all select source_ip, n, threats + 1, greatest(points - case action when 'BLOCK' then 50 when 'RATE_LIMIT' then 25 else 0 end, 0), case when action <> 'MONITOR' then us else alert end,
+  log_id, ts, combined, cooling, near, risk, final, action from ({_NEXT})"""
+SQL["g3_stream_decisions"] = """select log_id, source_ip, epoch_us(ts) as ts, combined, threats - 1 as prior, cooling as in_cooldown, near as correlated, risk as fp_risk, final as final_score, action,
+  points/100e0 as reputation from memory where n > 0 and epoch_us(ts) // 1000 + 1 < (select ms from stream_end)"""
+EXTRA["long_checks"] = """select *, executed_at + k * interval 30 minute as due_at from (select *, unnest(generate_series(1, checks)) as k from (
+  select log_id as action_id, source_ip as target_ip, ts + interval 3 second as executed_at, greatest(1, (epoch_us((select max(ts) from flows_raw)) - epoch_us(ts + interval 3 second)) // 1800000000) as checks
+  from scores_raw where combined > 0.5e0))"""
+EXTRA["raw_means"] = "select source_ip, ts, log_id, avg(combined) over (partition by source_ip order by ts, log_id rows between 4 preceding and current row) as m from scores_raw"
+SQL["w14_first_cool_checks"] = """select action_id, any_value(target_ip) as target_ip, any_value(checks) as checks, min(case when coalesce(m, 0e0) < 0.5e0 then k end) as ended,
+  case when min(case when coalesce(m, 0e0) < 0.5e0 then k end) is null then 'EXTEND' else 'ROLLBACK' end as outcome
+  from long_checks c asof left join (select source_ip, ts, arg_max(m, log_id) as m from raw_means group by 1, 2) r on r.source_ip = c.target_ip and r.ts <= c.due_at group by 1"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threatlake.config import Config, SkewConfig
 from threatlake.functions import scalars as S
+from threatlake.operators.running import cells_of, range_cells
 from threatlake.operators import adapt, allowlist, approvals, decisions, killchain, memory, response, validation
 
 T0 = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
@@ -128,19 +129,57 @@ def test_threshold_path_hits_both_bounds(spark):
         assert {6000, 7000} & seen
 
 
-def test_similar_cases_brute_force(spark):
+@pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(shares=20, min_rows=5, cell_us=60_000_000)])
+def test_similar_cases_brute_force(spark, skew):
+    """Every probe's own time, ties in time, scores at both ends, and (second run) cells cut into time slots."""
     rng = random.Random(5)
-    rows = [(i, round(rng.random(), 4), T0 + timedelta(seconds=rng.randrange(500)), "BLOCK", None) for i in range(400)]
+    rows = [(i, rng.choice([round(rng.random(), 4), 0.0, 1.0, 0.5]), T0 + timedelta(seconds=rng.randrange(500)), "BLOCK", None) for i in range(400)]
     cases = spark.createDataFrame(rows, "log_id bigint, confidence_score double, created_at timestamp, action_taken string, agent_reasoning string")
-    edge = T0 + timedelta(seconds=400)
     got = {}
-    for r in memory.similar_cases(cases.select("log_id", "confidence_score"), cases, F.lit(edge)).orderBy("log_id", "rank").collect():
+    for r in memory.similar_cases(cases.select("log_id", "created_at", "confidence_score"), cases, cfg=Config(skew=skew)).orderBy("log_id", "rank").collect():
         got.setdefault(r.log_id, []).append(r.case_id)
-    for i, s, _, _, _ in rows:
-        near = sorted(((t, j) for j, s2, t, _, _ in rows if t < edge and abs(round(s * 10000) - round(s2 * 10000)) <= 500), reverse=True)[:5]
+    for i, s, at, _, _ in rows:
+        near = sorted(((t, j) for j, s2, t, _, _ in rows if t < at and abs(round(s * 10000) - round(s2 * 10000)) <= 500), reverse=True)[:5]
         assert got.get(i, []) == [j for _, j in near]
 
 
+@pytest.mark.parametrize("sizes", [memory.CELLS, response.PHASES])
+def test_cells_cover_each_range_once(spark, sizes):
+    ranges = [(0, 10_000), (0, 0), (9_500, 10_000), (1, 1_001), (255, 256), (1_023, 2_047), (3, 900)]
+    df = spark.createDataFrame(ranges, "a bigint, b bigint").withColumns({"cells": range_cells(F.col("a"), F.col("b"), sizes), "own": cells_of(F.col("b"), sizes)})
+    for r in df.collect():
+        units = [u for size, at in (map(int, c.split(":")) for c in r.cells) for u in range(size * at, size * (at + 1))]
+        assert sorted(units) == list(range(r.a, r.b + 1)) and len(r.cells) < 60
+        assert len(set(r.own) & set(r.cells)) == 1
+
+
+@pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(shares=20, min_rows=5, cell_us=600_000_000)])
+def test_first_cool_checks_brute_force(spark, skew):
+    """Cool runs shorter than the time between checks, which a block's checks may miss, ties in time, sources without scores."""
+    rng, every = random.Random(11), 600
+    scores = [(i, rng.choice("ab"), T0 + timedelta(seconds=rng.randrange(20_000)), rng.choice([0.1, 0.9, 0.9])) for i in range(160)]
+    scores += [(300 + i, "d", T0 + timedelta(seconds=i), 0.9) for i in range(3)]
+    scores += [(200 + i, "c", T0 + timedelta(seconds=100), 0.9 - 0.8 * (i % 2)) for i in range(6)]
+    actions = [(i, rng.choice("abbcdz"), rng.choice(["BLOCK", "BLOCK", "ALERT"]), T0 + timedelta(seconds=rng.randrange(20_000), microseconds=rng.randrange(3))) for i in range(120)]
+    now = T0 + timedelta(seconds=22_000)
+    found = response.first_cool_checks(
+        spark.createDataFrame(actions, "action_id bigint, target_ip string, action_type string, executed_at timestamp"),
+        spark.createDataFrame(scores, "log_id bigint, source_ip string, ts timestamp, combined double"), F.lit(now), Config(skew=skew, auto_rollback_minutes=10))
+    wanted = {}
+    for i, ip, kind, at in actions:
+        if kind == "BLOCK":
+            checks = max(1, (now - at) // timedelta(seconds=every))
+            for k in range(1, checks + 1):
+                last = sorted((t, j, s) for j, source, t, s in scores if source == ip and t <= at + timedelta(seconds=k * every))[-5:]
+                if not last or sum(s for _, _, s in last) / len(last) < 0.65:
+                    wanted[i] = (checks, k)
+                    break
+            else:
+                wanted[i] = (checks, None)
+    assert {r.action_id: (r.checks, r.ended) for r in found.collect()} == wanted
+    assert any(k is None for _, k in wanted.values()) and any((k or 0) > 2 for _, k in wanted.values())
+
+
 def test_scalar_edges(spark):
     df = spark.createDataFrame([(0.85, 0.0, "inf", None), (0.8, 2.0, "abc", "x")], "s double, d double, t string, p string")
     a, b = df.select(S.risk_level("s").alias("detect"), S.risk_level("s", "ensemble").alias("ens"), S.packet_rate(F.lit(4), "d").alias("rate"),

@@ -22,7 +22,7 @@ def d(spark, sf_dir):
 
 def as_stream(spark, df, path, ts="ts", files=3):
     """Write ``df`` as a few files in time order and read them as a stream, one per micro-batch."""
-    cuts = df.select(F.percentile_approx(micros(ts), [i / files for i in range(1, files)]).alias("c")).first().c
+    cuts = df.select(F.percentile_approx(micros(ts), [i / files for i in range(1, files)]).alias("c")).first().c if files > 1 else []
     edges = [-(2**62), *cuts, 2**62]
     for i in range(files):
         part = df.where((micros(ts) > edges[i]) & (micros(ts) <= edges[i + 1])).coalesce(1)
@@ -82,9 +82,11 @@ def test_first_blocks_last(spark, tmp_path):
     assert sorted((r.target_ip, r.action_id) for r in got.collect()) == [("a", 10), ("t0", 20), ("t1", 21), ("t2", 22), ("t3", 23)]
 
 
-def test_decisions_follow_own_memory(spark, d, tmp_path):
+@pytest.mark.parametrize("files", [1, 3, 10])
+def test_decisions_follow_own_memory(spark, d, tmp_path, files):
+    """The same decisions however the rows are dealt to micro-batches."""
     slim = d.scores.withColumn("stage", F.lit(None).cast("string")).select("log_id", "source_ip", "ts", "combined", "stage")
-    got, _ = run(pipeline.decide(as_stream(spark, slim, f"{tmp_path}/s")), tmp_path, "decisions")
+    got, _ = run(pipeline.decide(as_stream(spark, late_marker(slim, source_ip="marker", combined=0.0), f"{tmp_path}/s", files=files)), tmp_path, f"decisions{files}")
     rows, memory, want = sorted(slim.collect(), key=lambda r: (r.ts, r.log_id)), {}, {}
     for r in rows:  # sequential restatement
         m = memory.setdefault(r.source_ip, {"seen": [], "alert": None, "n": 0, "rep": 100})
@@ -106,6 +108,18 @@ def test_decisions_follow_own_memory(spark, d, tmp_path):
     assert {r.log_id: (r.prior, r.in_cooldown, r.correlated, r.action, r.reputation) for r in got.collect()} == want
 
 
+def test_rows_wait_for_earlier_ones(spark, tmp_path):
+    """A row that arrives in a later micro-batch than a later row of its source is still taken first."""
+    at = lambda k: T0 + timedelta(seconds=k)
+    files = [[(1, "a", at(100), 0.9, None), (2, "a", at(30), 0.9, None)], [(3, "a", at(20), 0.9, None), (4, "a", at(400), 0.9, None)], [(5, "a", at(250), 0.9, None), (9, "x", at(5000), 0.0, None)]]
+    schema = "log_id bigint, source_ip string, ts timestamp, combined double, stage string"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    got, _ = run(pipeline.decide(stream, Config(watermark_seconds=500)), tmp_path, "waiting")
+    assert [(r.log_id, r.prior, r.correlated) for r in got.orderBy("ts").collect()] == [(3, 0, False), (2, 1, False), (1, 2, True), (5, 3, True), (4, 4, True)]
+
+
 def test_validation_parts(spark, d, tmp_path):
     scores = d.scores.select("log_id", "source_ip", "ts", "combined")
     actions = d.actions.select("action_id", "target_ip", F.col("executed_at").alias("ts"))

@@ -36,6 +36,10 @@ class Config:
     correlation_min_events: int = 3
     approval_expiry_seconds: int = 300
     auto_rollback_minutes: int = 30
+    rollback_below: float = 0.65
+    # streams: how late a row may be, and for how long a silent source is remembered
+    watermark_seconds: int = 600
+    memory_days: int = 30
     # impact model
     cost_per_blocked_request: float = 0.001
     requests_per_block: int = 500

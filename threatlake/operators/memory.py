@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import clip, ratio, risk_level
-from threatlake.operators.running import micros, trailing
+from threatlake.operators.running import as_of, cells_of, micros, range_cells, trailing
 
 
 def ip_reputation(timeline: DataFrame, as_of: Column) -> DataFrame:
@@ -100,47 +102,35 @@ def sequence_deviation(flows: DataFrame, cfg: Config = DEFAULT, length: int = 20
     )
 
 
-def similar_cases(probes: DataFrame, cases: DataFrame, as_of: Column, k: int = 5, reach: int = 500) -> DataFrame:
-    """For each probe the ``k`` newest earlier cases within ±``reach`` 1e-4 score units.
+#: Sizes of the cells of the score axis.
+CELLS = (1024, 256, 64, 16, 4, 1)
+
 
-    Scores fall on at most 10 001 units, so the newest ``k`` are kept per unit and per block of
-    10 and 100 units; a range is then a few dozen blocks. Every table after the first is
-    bounded by the number of units, whatever the number of cases.
+def similar_cases(probes: DataFrame, cases: DataFrame, k: int = 5, reach: int = 500, cfg: Config = DEFAULT) -> DataFrame:
+    """For each probe (``log_id, created_at, confidence_score``) the ``k`` newest of the cases that are
+    earlier than itself, within ±``reach`` 1e-4 score units.
+
+    Time and score are searched together. Units are arranged in cells, each four cells of the next
+    smaller size; a case is in one cell of each size, and a probe's range of units is a few dozen
+    cells. In each cell a case carries the newest ``k`` up to itself, so the latest case before a
+    probe brings that cell's answer, and the best ``k`` of its cells are the probe's. Rows grow
+    with probes and cases; a crowded cell is cut into time slots like any hot key.
     """
+    cfg = replace(cfg, hot=None)  # cells are other keys than sources
     unit = lambda c: F.round(clip(c, 0.0, 1.0) * 10_000).cast("int")
-    case_row = F.struct(micros("created_at").alias("at"), F.col("log_id").alias("case_id"), F.col("action_taken").alias("action"),
-                        F.col("confidence_score").alias("confidence"),
-                        F.coalesce(F.col("agent_reasoning").contains("FALSE_POSITIVE"), F.lit(False)).alias("was_false_positive"))
-    tops = cases.where(F.col("created_at") < as_of).select(unit("confidence_score").alias("unit"), case_row.alias("c"), F.explode(F.array(*map(F.lit, (1, 10, 100)))).alias("size"))
-    newest_first = Window.partitionBy("size", "cell").orderBy(F.desc("c"))
-    # the rank limit is applied in every task before the shuffle, so a crowded block sends k rows per task
-    blocks = (
-        tops.select("size", F.floor(F.col("unit") / F.col("size")).cast("int").alias("cell"), "c")
-        .withColumn("_r", F.row_number().over(newest_first)).where(F.col("_r") <= k).drop("_r")
-    )
-
-    low, high = F.greatest(F.lit(0), F.col("u") - reach), F.least(F.lit(10_000), F.col("u") + reach)
-    units = probes.select(unit("confidence_score").alias("u")).distinct().withColumns({"lo": low, "hi": high})
-    # cells of one size inside [lo, hi], as a half-open pair
-    first = lambda size: F.ceil(F.col("lo") / size)
-    last = lambda size: F.floor((F.col("hi") + 1) / size)
-    def span(a, b, size):
-        return F.when(a < b, F.transform(F.sequence(a.cast("int"), (b - 1).cast("int")), lambda x: F.struct(F.lit(size).alias("size"), x.alias("cell")))).otherwise(F.array().cast("array<struct<size:int,cell:int>>"))
-    big_a, big_b = first(100), last(100)
-    has_big = big_a < big_b
-    mid = F.when(has_big, F.concat(span(first(10), big_a * 10, 10), span(big_b * 10, last(10), 10))).otherwise(span(first(10), last(10), 10))
-    low_units = F.concat(span(F.col("lo"), first(10) * 10, 1), span(last(10) * 10, F.col("hi") + 1, 1))
-    pieces = F.concat(span(big_a, big_b, 100), mid, low_units)
-    keyed = units.withColumn("_p", F.explode(pieces)).select("u", F.col("_p.size").alias("size"), F.col("_p.cell").alias("cell"))
-    best = (
-        keyed.join(blocks, ["size", "cell"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("u").orderBy(F.desc("c"))))
-        .where(F.col("rank") <= k)
-        .groupBy("u").agg(F.sort_array(F.collect_list(F.struct("rank", "c"))).alias("_cases"))  # at most 10 001 rows of k
-    )
-    return (
-        probes.withColumn("u", unit("confidence_score")).join(F.broadcast(best), "u")
-        .select("log_id", F.explode("_cases").alias("m"))
-        .select("log_id", F.col("m.rank").alias("rank"), F.col("m.c.case_id").alias("case_id"), F.col("m.c.action").alias("action_taken"),
-                F.col("m.c.confidence").alias("confidence"), F.col("m.c.was_false_positive").alias("was_false_positive"))
-    )
+    case = F.struct(micros("created_at").alias("at"), F.col("log_id").alias("case_id"), F.col("action_taken").alias("action"), F.col("confidence_score").alias("confidence"),
+                    F.coalesce(F.col("agent_reasoning").contains("FALSE_POSITIVE"), F.lit(False)).alias("was_false_positive"))
+    own = F.explode(cells_of(unit("confidence_score"), CELLS))
+    in_cells = cases.select(own.alias("cell"), "created_at", F.col("log_id").alias("case_id"), micros("created_at").alias("_pos"), case.alias("c"))
+    newest = lambda w: {"newest": F.collect_list("c").over(w.rowsBetween(-(k - 1), 0))}
+    carried = trailing(in_cells, ["cell"], "_pos", "case_id", k - 1, newest, cfg=cfg).select("cell", "created_at", "case_id", "newest")
+
+    u = unit("confidence_score")
+    pieces = range_cells(F.greatest(F.lit(0), u - reach), F.least(F.lit(10_000), u + reach), CELLS)
+    before = F.timestamp_micros(micros("created_at") - 1)
+    asked = probes.select("log_id", before.alias("before"), F.explode(pieces).alias("cell"))
+    found = as_of(asked, carried, "cell", "before", "created_at", "case_id", ["newest"], cfg=cfg)
+    best = Window.partitionBy("log_id").orderBy(F.desc("m.at"), F.desc("m.case_id"))
+    ranked = found.select("log_id", F.explode("matched.newest").alias("m")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select("log_id", "rank", F.col("m.case_id").alias("case_id"), F.col("m.action").alias("action_taken"),
+                         F.col("m.confidence").alias("confidence"), F.col("m.was_false_positive").alias("was_false_positive"))

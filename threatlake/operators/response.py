@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from dataclasses import replace
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT, Config
-from threatlake.operators.running import as_of, micros, running, salted_lookup, trailing
+from threatlake.operators.running import as_of, cells_of, micros, range_cells, running, salted_lookup, trailing
 
 # Reputation change per action, in hundredths.
 REPUTATION_STEP = {"BLOCK": 50, "RATE_LIMIT": 25, "PORT_CLOSE": 40}
@@ -106,22 +108,71 @@ def mean_before(actions: DataFrame, scores: DataFrame, depth: int = 5, cfg: Conf
     return found.withColumn("mean_before", F.coalesce("_m.recent_mean", F.lit(0.0))).drop("_m").withColumnRenamed("source_ip", "target_ip")
 
 
+#: Sizes of the cells of a check's phase, microseconds.
+PHASES = tuple(4**k for k in range(16, -1, -1))
+
+
+def cool_runs(scores: DataFrame, cfg: Config = DEFAULT, depth: int = 5) -> DataFrame:
+    """``source_ip, begin, end``: times (microseconds, without the end) in which the mean of the source's
+    ``depth`` latest scores is below ``rollback_below``. The mean is constant between two scores, so
+    only its changes are kept. The last run has no end; the time before the first score isn't listed."""
+    means = trailing_mean(scores.select("source_ip", "ts", "log_id", "combined"), depth, cfg)
+    at = means.groupBy("source_ip", micros("ts").alias("begin")).agg(F.max_by("recent_mean", "log_id").alias("mean"))  # of one time the last
+    cool = at.select("source_ip", "begin", (F.col("mean") < cfg.rollback_below).alias("cool"))
+    was = trailing(cool, ["source_ip"], "begin", "begin", 1, lambda w: {"was": F.lag("cool").over(w)}, cfg=cfg)
+    changes = was.where(F.col("was").isNull() | (F.col("was") != F.col("cool"))).drop("was")
+    ends = running(changes, ["source_ip"], "begin", {"_next": ("max", -F.col("begin"))}, backwards=True, cfg=cfg)
+    return ends.where("cool").select("source_ip", "begin", (-F.col("_next")).alias("end"))
+
+
+def first_cool_checks(actions: DataFrame, scores: DataFrame, as_of: Column, cfg: Config = DEFAULT) -> DataFrame:
+    """Every block with the number of its checks up to ``as_of`` (``checks``, at least one) and of the
+    first that finds its source cool (``ended``, null if none does).
+
+    Checks of a block all have one phase of the interval. A cool run as long as the interval meets
+    every phase, a shorter one a range of phases, which is cut into cells like the axis of
+    :func:`range_cells`; the first run that begins after a block's first check in one of the cells of
+    its phase ends it. Rows grow with blocks and changes of the mean, not with checks.
+    """
+    every = cfg.auto_rollback_minutes * 60_000_000
+    blocks = actions.where(F.col("action_type") == "BLOCK")
+    checks = F.greatest(F.lit(1), F.floor((F.unix_micros(as_of) - micros("executed_at")) / F.lit(every))).cast("bigint")
+    due = blocks.withColumn("checks", checks).withColumn("_due", micros("executed_at") + every).withColumn("due_at", F.timestamp_micros("_due"))
+    first = mean_before(due, scores, 5, cfg, at="due_at")
+
+    runs = cool_runs(scores, cfg)
+    low, high = F.pmod("begin", F.lit(every)), F.pmod(F.col("end") - 1, F.lit(every))
+    whole = F.col("end").isNull() | (F.col("end") - F.col("begin") >= every)
+    phases = F.when(whole, F.array(F.lit("all"))).when(low <= high, range_cells(low, high, PHASES)).otherwise(
+        F.concat(range_cells(low, F.lit(every - 1), PHASES), range_cells(F.lit(0), high, PHASES)))
+    named = lambda cell: F.concat("source_ip", F.lit(" "), cell)
+    facts = runs.withColumn("cell", F.explode(phases)).select(named(F.col("cell")).alias("key"), F.col("begin").alias("_pos"), F.lit(None).cast("bigint").alias("action_id"))
+    # A first check that is not cool lies outside all runs, so the run that ends the block begins later.
+    hot = first.where(F.col("mean_before") >= cfg.rollback_below)
+    asked = hot.withColumn("cell", F.explode(F.concat(F.array(F.lit("all")), cells_of(F.pmod("_due", F.lit(every)), PHASES)))).withColumnRenamed("target_ip", "source_ip")
+    asked = asked.select(named(F.col("cell")).alias("key"), F.col("_due").alias("_pos"), "action_id")
+    begin = F.when(F.col("action_id").isNull(), -F.col("_pos"))
+    found = running(facts.unionByName(asked), ["key"], "_pos", {"_run": ("max", begin)}, backwards=True, cfg=replace(cfg, hot=None))
+    ending = found.where("action_id is not null").groupBy("action_id").agg((-F.max("_run")).alias("_begin"))
+    joined = first.join(ending, "action_id", "left")
+    later = F.ceil((F.col("_begin") - F.col("_due")) / F.lit(every)).cast("bigint") + 1
+    ended = F.when(F.col("mean_before") < cfg.rollback_below, F.lit(1).cast("bigint")).otherwise(later)
+    return joined.withColumn("ended", F.when(ended <= F.col("checks"), ended)).drop("_begin", "_due", "due_at", "mean_before")
+
+
 def auto_rollback(actions: DataFrame, scores: DataFrame, as_of: Column, cfg: Config = DEFAULT) -> DataFrame:
     """Checks of every block: ``check`` 1 after thirty minutes, then one every thirty minutes.
 
     A block stays while the source's latest scores are hot (EXTEND) and ends with the first check
     that finds them cooler (ROLLBACK). Other actions are not checked. A block has its first
-    check however late it is, and later ones up to ``as_of``.
+    check however late it is, and later ones up to ``as_of``; only checks that take place get a row.
     """
     every = cfg.auto_rollback_minutes * 60_000_000
-    blocks = actions.where(F.col("action_type") == "BLOCK")
-    checks = F.greatest(F.lit(1), F.floor((F.unix_micros(as_of) - micros("executed_at")) / F.lit(every))).cast("bigint")
-    due = blocks.withColumn("check", F.explode(F.sequence(F.lit(1).cast("bigint"), checks))).withColumn(
+    blocks = first_cool_checks(actions, scores, as_of, cfg)
+    due = blocks.withColumn("check", F.explode(F.sequence(F.lit(1).cast("bigint"), F.coalesce("ended", "checks")))).withColumn(
         "due_at", F.timestamp_micros(micros("executed_at") + F.col("check") * F.lit(every)))
     checked = mean_before(due, scores, 5, cfg, at="due_at").withColumnRenamed("mean_before", "recent_mean")
-    decided = checked.withColumn("outcome", F.when(F.col("recent_mean") >= 0.65, "EXTEND").otherwise("ROLLBACK"))
-    ended = F.min(F.when(F.col("outcome") == "ROLLBACK", F.col("check"))).over(Window.partitionBy("action_id"))
-    return decided.withColumn("_ended", ended).where(F.col("_ended").isNull() | (F.col("check") <= F.col("_ended"))).drop("_ended")
+    return checked.withColumn("outcome", F.when(F.col("recent_mean") >= cfg.rollback_below, "EXTEND").otherwise("ROLLBACK")).drop("checks", "ended")
 
 
 def rollback(actions: DataFrame, reputation: DataFrame, actor: str, reason: str, at: Column) -> DataFrame:

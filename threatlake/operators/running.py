@@ -250,3 +250,30 @@ def as_of(
         *probes.columns,
         F.when(F.col("_last").isNotNull(), F.struct(*[F.col(f"_last.{c}").alias(c) for c in payload])).alias(name),
     )
+
+
+def cells_of(value: Column, sizes: Sequence[int]) -> Column:
+    """Names of the cells, one of each size, that a whole number is in."""
+    return F.array(*(F.concat(F.lit(f"{size}:"), F.floor(value / F.lit(size)).cast("string")) for size in sizes))
+
+
+def range_cells(low: Column, high: Column, sizes: Sequence[int]) -> Column:
+    """Names of the cells that make up the whole numbers from ``low`` to ``high``, the largest that fit.
+
+    A range and a number share exactly one cell if the number is in the range, else none, so
+    containment is an equality of names. Each size is a multiple of the next, the last is 1.
+    """
+    def span(a: Column, b: Column, size: int) -> Column:
+        named = F.transform(F.sequence(a.cast("bigint"), (b - 1).cast("bigint")), lambda x: F.concat(F.lit(f"{size}:"), x.cast("string")))
+        return F.when(a < b, named).otherwise(F.array().cast("array<string>"))
+
+    out, larger, before = [], None, 0
+    for size in sizes:
+        first, last = F.ceil(low / F.lit(size)), F.floor((high + 1) / F.lit(size))
+        if larger is None:
+            out.append(span(first, last, size))
+        else:
+            a, b = (x * (before // size) for x in larger)
+            out.append(F.when(a < b, F.concat(span(first, a, size), span(b, last, size))).otherwise(span(first, last, size)))
+        larger, before = (first, last), size
+    return F.concat(*out)

@@ -10,5 +10,5 @@ def load_queries():
 
     for module in ("catalogue", "catalogue_reports", "catalogue_models", "catalogue_streams"):
         importlib.import_module(f"threatlake.plans.{module}")
-    cut_twins("m1_behaviour6", "w11_sequence_deviation", "v1_action_validation", "k8_action_choice")
+    cut_twins("m1_behaviour6", "w11_sequence_deviation", "v1_action_validation", "k8_action_choice", "j11_similar_cases")
     return dict(QUERIES)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from threatlake.functions import scalars as S
@@ -177,7 +179,7 @@ def j2_score_source(d: Derived):
 
 @query
 def j3_threat_reputation(d: Derived):
-    return response.with_reputation(d.threats.where("log_id % 2 = 1").select("log_id", "source_ip", "confidence_score"),
+    return response.with_reputation(d.threats.select("log_id", "source_ip", "confidence_score"),
                                     d.reputation.withColumn("reputation_score", F.col("reputation_points") / F.lit(100.0)), d.cfg)
 
 
@@ -218,15 +220,14 @@ def j9_threats_after_review(d: Derived):
 
 @query
 def j10_rollback_records(d: Derived):
-    blocks = d.actions.where("action_type = 'BLOCK' and log_id % 5 = 0")
+    blocks = d.actions.where("action_type = 'BLOCK'")
     return response.rollback(blocks, d.reputation, "HUMAN", "analyst request", d.as_of())
 
 
 @query
 def j11_similar_cases(d: Derived):
-    edge = F.timestamp_micros(F.lit(1704067200000000 + 3_600_000_000))
     cases = d.threats_wide.withColumn("agent_reasoning", F.when(F.col("log_id") % 4 == 0, "FALSE_POSITIVE by analyst"))
-    return memory.similar_cases(d.threats_wide.where(F.col("created_at") >= edge).select("log_id", "confidence_score"), cases, edge).drop("confidence")
+    return memory.similar_cases(d.threats_wide.select("log_id", "created_at", "confidence_score"), cases, cfg=d.cfg).drop("confidence")
 
 
 @query
@@ -311,6 +312,15 @@ def w14_auto_rollback(d: Derived):
     return response.auto_rollback(d.actions, d.scores, d.as_of(), d.cfg).select("action_id", "check", "due_at", r6("recent_mean"), "outcome")
 
 
+@query
+def w14_first_cool_checks(d: Derived):
+    """Blocks of thirty days, ended by a lower mark than usual: most have several checks."""
+    blocks = d.scores_raw.where("combined > 0.5e0").select(
+        F.col("log_id").alias("action_id"), F.lit("BLOCK").alias("action_type"), F.col("source_ip").alias("target_ip"), (F.col("ts") + F.expr("interval 3 seconds")).alias("executed_at"))
+    found = response.first_cool_checks(blocks, d.scores_raw, d.as_of(d.flows_raw), replace(d.cfg, rollback_below=0.5))
+    return found.select("action_id", "target_ip", "checks", "ended", F.when(F.col("ended").isNull(), "EXTEND").otherwise("ROLLBACK").alias("outcome"))
+
+
 @query
 def w15_last_per_source(d: Derived):
     return reports.last_per_key(d.flows, "source_ip", "ts", "log_id", 10).select("source_ip", "log_id", "rank")

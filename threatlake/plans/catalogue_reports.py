@@ -270,8 +270,8 @@ def c4_expired_queue(d: Derived):
 
 @query
 def c5_unblocked(d: Derived):
-    blocks = d.actions.where("action_type = 'BLOCK' and log_id % 5 = 0")
-    records = response.rollback(blocks, d.reputation, "HUMAN", "analyst request", d.as_of())
+    failed = d.validations.where("not success").select("action_id")
+    records = response.rollback(d.actions.where("action_type = 'BLOCK'").join(failed, "action_id", "left_semi"), d.reputation, "AUTO", "no effect", d.as_of())
     return response.unblock(d.reputation, records).select("ip_address", "is_blocked")
 
 

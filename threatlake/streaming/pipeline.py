@@ -1,8 +1,9 @@
 """Streaming forms of the detection loop.
 
-Event time is ``ts``; rows more than the watermark late are dropped by the engine and counted in
-the query progress (``numRowsDroppedByWatermark``). The stateless operators of the batch side are
-used unchanged; only memory per source needs keyed state.
+Event time is ``ts``; rows more than ``Config.watermark_seconds`` late are dropped by the engine and
+counted in the query progress (``numRowsDroppedByWatermark``); :mod:`threatlake.streaming.late` splits
+them off beforehand and keeps them. The stateless operators of the batch side are used unchanged;
+only memory per source needs keyed state.
 """
 
 from __future__ import annotations
@@ -14,13 +15,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import ratio, session_heuristic
-from threatlake.operators.killchain import classify_stage
+from threatlake.operators.killchain import classify_stage, stage_multiplier
+from threatlake.operators.response import REPUTATION_STEP
 from threatlake.operators.scoring import fallback_scores
 
-WATERMARK = "10 minutes"
+
+
+def marked(stream: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    return stream.withWatermark("ts", f"{cfg.watermark_seconds} seconds")
+
+
+def lists_in_state(stream: DataFrame) -> None:
+    """State as lists that grow by appending and timers of their own need the engine's embedded store."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def wake_at(us: int) -> int:
+    """The first millisecond after a time; what has woken is past when the watermark is beyond it."""
+    return int(us) // 1000 + 1
 
 
 # --- stateless scoring -----------------------------------------------------------------------
@@ -40,30 +56,30 @@ def score(stream: DataFrame, shares: DataFrame) -> DataFrame:
 
 
 # --- windows ------------------------------------------------------------------------------------
-def window_activity(scored: DataFrame, width: str = "15 minutes", slide: str | None = None) -> DataFrame:
+def window_activity(scored: DataFrame, width: str = "15 minutes", slide: str | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Counts, flagged flows and the top score per tumbling or sliding window."""
     window = F.window("ts", width, slide) if slide else F.window("ts", width)
     return (
-        scored.withWatermark("ts", WATERMARK).groupBy(window.alias("w"))
+        marked(scored, cfg).groupBy(window.alias("w"))
         .agg(F.count("*").alias("flows"), F.count_if(F.col("risk_level") != "LOW").alias("flagged"), F.max("combined").alias("max_score"))
         .select(F.col("w.start").alias("window_start"), "flows", "flagged", "max_score")
     )
 
 
-def window_quality(events: DataFrame, true_negatives: int = 1000) -> DataFrame:
+def window_quality(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Detection metrics per 15 minutes from rows ``(ts, tp, fp, fn, lat_sum, lat_n)``, the stacked
     form of the batch operator's sources."""
-    sums = events.withWatermark("ts", WATERMARK).groupBy(F.window("ts", "15 minutes").alias("w")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "lat_sum", "lat_n")])
+    sums = marked(events, cfg).groupBy(F.window("ts", "15 minutes").alias("w")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "lat_sum", "lat_n")])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return sums.select(
         F.col("w.start").alias("window_start"), "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        (fp / (fp + F.lit(true_negatives)).cast("double")).alias("false_positive_rate"), ratio("lat_sum", "lat_n").alias("avg_latency_ms"))
+        (fp / (fp + F.lit(cfg.true_negatives)).cast("double")).alias("false_positive_rate"), ratio("lat_sum", "lat_n").alias("avg_latency_ms"))
 
 
-def activity_spans(events: DataFrame, gap: str = "2 hours") -> DataFrame:
+def activity_spans(events: DataFrame, gap: str = "2 hours", cfg: Config = DEFAULT) -> DataFrame:
     """Spans of activity per source; a span closes after two silent hours (the source is inactive)."""
     return (
-        events.withWatermark("ts", WATERMARK).groupBy(F.session_window("ts", gap).alias("w"), "source_ip").agg(F.count("*").alias("events"))
+        marked(events, cfg).groupBy(F.session_window("ts", gap).alias("w"), "source_ip").agg(F.count("*").alias("events"))
         .select("source_ip", F.col("w.start").alias("first_activity"), F.col("w.end").alias("inactive_from"), "events")
     )
 
@@ -100,53 +116,97 @@ DECISIONS = (
     "fp_risk double, final_score double, action string, reputation double"
 )
 _MEMORY = "recent array<bigint>, last_alert bigint, threats bigint, points bigint"
-_STEP = {"BLOCK": 50, "RATE_LIMIT": 25, "PORT_CLOSE": 40}  # fixed values, hundredths
-
-
-def decide(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Decisions for gated flows with each source's own past decisions feeding back.
 
-    State per source is constant in size: the last two event times (enough to know whether three
-    fall within five minutes), the last alert, a counter and the reputation. It expires after
-    thirty days of silence. Rows of one micro-batch are taken in time order.
-    """
-    window, calm, need = cfg.lookback_seconds * 1_000_000, cfg.cooldown_seconds * 1_000_000, cfg.correlation_min_events
-    keep_ms = 30 * 86_400_000
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
+class _Decisions(StatefulProcessor):
+    """One source: rows wait until the watermark has passed them, then they are taken in time order."""
+
+    def __init__(self, cfg: Config):
+        self.cfg = cfg
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, log_id bigint, combined double, multiplier double")
+        self.memory = handle.getValueState("memory", _MEMORY)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for frame in rows:
+            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in ("us", "log_id", "combined", "multiplier")))))
+            first = min(int(frame["us"].min()), first or 2**62)
+        if first is not None:
+            self._wake(wake_at(first))
+        return iter([])
+
+    def _wake(self, at: int) -> None:
+        """One timer for each source: that of its earliest waiting row, else that of its end."""
+        timers = list(self.handle.listTimers())
+        if not timers or min(timers) > at:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
+        cut = next((k for k, r in enumerate(rows) if wake_at(r[0]) >= mark), len(rows))
+        due, rest = rows[:cut], rows[cut:]
+        if not rows:  # silent for long: forgotten
+            self.memory.clear()
             return
-        recent, last_alert, threats, points = state.get if state.exists else ([], -(2**62), 0, 100)
-        recent, out = list(recent), []
-        rows = pd.concat(list(frames)).sort_values(["us", "log_id"])
-        for log_id, us, score_, mult in zip(rows["log_id"], rows["us"], rows["combined"], rows["multiplier"]):
-            correlated = need <= 1 or (len(recent) >= need - 1 and recent[-(need - 1)] >= us - window)
-            recent = (recent + [int(us)])[-max(need - 1, 1):]
+        if rest:
+            self.waiting.put(rest)
+        else:
+            self.waiting.clear()
+        self.handle.registerTimer(wake_at(rest[0][0]) if rest else wake_at(rows[-1][0]) + self.cfg.memory_days * 86_400_000)
+        if due:
+            yield from self._fold(key[0], due)
+
+    def _fold(self, source: str, due: list[tuple]) -> Iterator[pd.DataFrame]:
+        cfg = self.cfg
+        window, calm, need = cfg.lookback_seconds * 1_000_000, cfg.cooldown_seconds * 1_000_000, cfg.correlation_min_events
+        recent, last_alert, threats, points = self.memory.get() if self.memory.exists() else ([], -(2**62), 0, 100)
+        us = np.array([*recent, *(r[0] for r in due)], np.int64)
+        own = np.arange(len(due)) + len(recent)
+        back = own - max(need - 1, 0)
+        correlated = (need <= 1) | ((back >= 0) & (us[np.maximum(back, 0)] >= us[own] - window))
+        out = []
+        for k, (at, log_id, score_, mult) in enumerate(due):
             if score_ <= cfg.anomaly_gate:
                 continue
-            cooling = last_alert >= us - calm and last_alert < us
-            risk = min(0.3 * cooling + 0.4 * (not correlated) + 0.2 * (threats == 0), 0.9)
+            cooling = at - calm <= last_alert < at
+            risk = min(0.3 * cooling + 0.4 * (not correlated[k]) + 0.2 * (threats == 0), 0.9)
             final = min(max(score_ * mult * (1.0 - risk), 0.0), 1.0)
             action = "BLOCK" if final >= cfg.high_confidence else "RATE_LIMIT" if final >= 0.65 else "ALERT" if final >= cfg.medium_confidence else "MONITOR"
             if action in ("BLOCK", "RATE_LIMIT") and final <= 0.9 and threats < 2:
                 action = "RATE_LIMIT" if action == "BLOCK" else "ALERT"
-            points = max(points - _STEP.get(action, 0), 0)
-            out.append((log_id, key[0], us, score_, threats, bool(cooling), bool(correlated), risk, final, action, points / 100.0))
+            points = max(points - REPUTATION_STEP.get(action, 0), 0)
+            out.append((log_id, source, at, score_, threats, cooling, bool(correlated[k]), risk, final, action, points / 100.0))
             threats += 1
             if action != "MONITOR":
-                last_alert = int(us)
-        state.update((recent, last_alert, threats, points))
-        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(rows["us"].max()) // 1000) + keep_ms)
+                last_alert = int(at)
+        self.memory.update((us[-max(need - 1, 1):].tolist(), last_alert, threats, points))
         if out:
             made = pd.DataFrame(out, columns=["log_id", "source_ip", "ts", "combined", "prior", "in_cooldown", "correlated", "fp_risk", "final_score", "action", "reputation"])
             made["ts"] = pd.to_datetime(made["ts"], unit="us", utc=True)
             yield made
 
-    from threatlake.operators.killchain import stage_multiplier
+    def close(self) -> None:
+        pass
 
-    slim = scored.withWatermark("ts", WATERMARK).select("log_id", "source_ip", "ts", F.unix_micros("ts").alias("us"), "combined", stage_multiplier("stage").alias("multiplier"))
-    return slim.groupBy("source_ip").applyInPandasWithState(step, DECISIONS, _MEMORY, "append", GroupStateTimeout.EventTimeTimeout)
+
+def decide(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Decisions for gated flows with each source's own past decisions feeding back, in event-time order.
+
+    A row is decided when the watermark has passed it, after all earlier rows of its source, so the
+    decisions don't depend on how rows are dealt to micro-batches. State per source: the rows that
+    wait (no longer than the watermark's delay), and a memory of constant size: the last event times
+    (enough to know whether three fall within five minutes), the last alert, a counter and the
+    reputation. A source that is silent for ``memory_days`` is forgotten.
+    """
+    lists_in_state(scored)
+    slim = marked(scored, cfg).select("log_id", "source_ip", "ts", F.unix_micros("ts").alias("us"), "combined", stage_multiplier("stage").alias("multiplier"))
+    return slim.groupBy("source_ip").transformWithStateInPandas(_Decisions(cfg), DECISIONS, "Append", "EventTime")
 
 
 # --- validation after sixty seconds ---------------------------------------------------------------------
@@ -154,7 +214,7 @@ PARTS = "action_id bigint, n bigint, units bigint, max_after double"
 _BLOCK = "score_at array<bigint>, score_units array<bigint>, ask_at array<bigint>, ask_id array<bigint>, ask_kind array<int>"
 
 
-def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60) -> DataFrame:
+def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60, cfg: Config = DEFAULT) -> DataFrame:
     """Parts of the score summary in ``(t, t + seconds]`` after each action, see :func:`combine_parts`.
 
     Keyed by (source, block of ``seconds``): the state is one block's rows and is released when the
@@ -165,8 +225,8 @@ def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60) -> Da
     block = lambda at: F.floor(at / F.lit(width)).cast("bigint")
     at = F.unix_micros("ts")
     units = F.round(F.col("combined") * F.lit(1e12)).cast("bigint")
-    fact = scores.withWatermark("ts", WATERMARK).select("source_ip", "ts", block(at).alias("block"), at.alias("at"), units.alias("units"), F.lit(None).cast("bigint").alias("action_id"), F.lit(0).alias("kind"))
-    asks = actions.withWatermark("ts", WATERMARK).withColumn("kind", F.explode(F.array(F.lit(1), F.lit(2))))
+    fact = marked(scores, cfg).select("source_ip", "ts", block(at).alias("block"), at.alias("at"), units.alias("units"), F.lit(None).cast("bigint").alias("action_id"), F.lit(0).alias("kind"))
+    asks = marked(actions, cfg).withColumn("kind", F.explode(F.array(F.lit(1), F.lit(2))))
     reach = at + F.when(F.col("kind") == 2, F.lit(width)).otherwise(F.lit(0))
     ask = asks.select(F.col("target_ip").alias("source_ip"), "ts", block(reach).alias("block"), reach.alias("at"), F.lit(0).cast("bigint").alias("units"), "action_id", "kind")
 
@@ -209,14 +269,14 @@ def combine_parts(parts: DataFrame) -> DataFrame:
 OUTCOMES = "log_id bigint, status string, decided_at timestamp"
 
 
-def approval_outcomes(queue: DataFrame, reviews: DataFrame) -> DataFrame:
+def approval_outcomes(queue: DataFrame, reviews: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """APPROVED, REJECTED or, when the deadline passes first, EXPIRED for every queued approval.
 
     ``queue`` has ``log_id, ts, expires_at``; ``reviews`` has ``log_id, ts, approved``. One small
     state per open approval; the watermark passing the deadline closes it.
     """
-    q = queue.withWatermark("ts", WATERMARK).select("log_id", "ts", F.unix_micros("expires_at").alias("deadline"), F.lit(None).cast("bigint").alias("reviewed"), F.lit(None).cast("boolean").alias("approved"))
-    r = reviews.withWatermark("ts", WATERMARK).select("log_id", "ts", F.lit(None).cast("bigint").alias("deadline"), F.unix_micros("ts").alias("reviewed"), "approved")
+    q = marked(queue, cfg).select("log_id", "ts", F.unix_micros("expires_at").alias("deadline"), F.lit(None).cast("bigint").alias("reviewed"), F.lit(None).cast("boolean").alias("approved"))
+    r = marked(reviews, cfg).select("log_id", "ts", F.lit(None).cast("bigint").alias("deadline"), F.unix_micros("ts").alias("reviewed"), "approved")
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         deadline, reviewed, approved = state.get if state.exists else (None, None, None)
@@ -254,10 +314,10 @@ def auto_rollback(actions: DataFrame, scores: DataFrame, cfg: Config = DEFAULT,
     """
     wait = cfg.auto_rollback_minutes * 60_000_000
     at = F.unix_micros("ts")
-    s = scores.withWatermark("ts", WATERMARK).select("source_ip", "ts", at.alias("at"), "log_id", F.col("combined").alias("value"), F.lit(None).cast("bigint").alias("action_id"))
+    s = marked(scores, cfg).select("source_ip", "ts", at.alias("at"), "log_id", F.col("combined").alias("value"), F.lit(None).cast("bigint").alias("action_id"))
     # other actions are kept as empty rows: filtered out, they would not move the watermark
-    undoable = F.when(F.col("action_type").isin("BLOCK", "RATE_LIMIT"), F.col("action_id"))
-    a = actions.withWatermark("ts", WATERMARK).select(
+    undoable = F.when(F.col("action_type") == "BLOCK", F.col("action_id"))
+    a = marked(actions, cfg).select(
         F.col("target_ip").alias("source_ip"), "ts", at.alias("at"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("double").alias("value"), undoable.alias("action_id"))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
