@@ -194,3 +194,18 @@ EXTRA["raw_means"] = "select source_ip, ts, log_id, avg(combined) over (partitio
 SQL["w14_first_cool_checks"] = """select action_id, any_value(target_ip) as target_ip, any_value(checks) as checks, min(case when coalesce(m, 0e0) < 0.5e0 then k end) as ended,
   case when min(case when coalesce(m, 0e0) < 0.5e0 then k end) is null then 'EXTEND' else 'ROLLBACK' end as outcome
   from long_checks c asof left join (select source_ip, ts, arg_max(m, log_id) as m from raw_means group by 1, 2) r on r.source_ip = c.target_ip and r.ts <= c.due_at group by 1"""
+_SCORES_END = "(select epoch_ms(max(ts)) from scores)"
+SQL["g5_stream_validation"] = f"""select action_id, n_after, round(mean_after, 6) as mean_after, round(max_after, 6) as max_after from around
+  where (epoch_us(executed_at) // 60000000 + 2) * 60000 < least({_SCORES_END}, (select epoch_ms(max(executed_at)) from actions)) - 600000"""
+SQL["g6_stream_approvals"] = """select q.log_id, case when q.status = 'PENDING' then 'EXPIRED' else q.status end as status, epoch_us(case when q.status = 'PENDING' then q.expires_at else q.reviewed_at end) as decided_at
+  from queue q where epoch_ms(q.expires_at) + 1 < least((select epoch_ms(max(created_at)) from threats t join approvals a using (log_id)), (select epoch_ms(max(reviewed_at)) from reviews)) - 600000"""
+SQL["g6_stream_rollback"] = f"""select action_id, target_ip, epoch_us(due_at) as checked_at, round(m, 6) as recent_mean, case when m >= 0.65e0 then 'EXTEND' else 'ROLLBACK' end as outcome
+  from (select *, min(case when m < 0.65e0 then k end) over (partition by action_id) as ended from (
+    select c.*, coalesce((select avg(combined) from (select combined from scores s where s.source_ip = c.target_ip and s.ts <= c.due_at order by s.ts desc, s.log_id desc limit 5)), 0e0) as m from rollback_checks c))
+  where (ended is null or k <= ended) and epoch_ms(due_at) + 1 < least({_SCORES_END}, (select epoch_ms(max(executed_at)) from actions)) - 600000"""
+SQL["g4_stream_quality"] = SQL["a7_window_metrics"]
+SQL["g7_activity_spans"] = f"select * from ({SQL['g7_activity_spans']}) where inactive_from // 1000 < (select epoch_ms(max(ts)) - 600000 from flows_raw)"
+EXTRA["arrived"] = "select *, (epoch_us(ts) + cast(round(duration_seconds*1000000) as bigint)) // 1200000000 as period from scores"
+SQL["g11_late_rows"] = """select log_id, source_ip, epoch_us(ts) as ts from arrived join (select period, max(max(epoch_ms(ts))) over (order by period rows between unbounded preceding and 1 preceding) - 5000 as mark
+  from arrived group by 1) using (period) where epoch_ms(ts) < mark"""
+SQL["g11_reconciled_windows"] = SQL["g4_stream_windows"]

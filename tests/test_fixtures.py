@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,7 +117,8 @@ def test_threshold_path_hits_both_bounds(spark):
         up = (i // 200) % 2 == 0
         rows.append((i, T0 + timedelta(seconds=at), rng.choice(["HIGH", "MEDIUM"]), 20 if up or rng.random() < 0.1 else -10))
         at += rng.randrange(60)
-    steps = spark.createDataFrame(rows, "log_id bigint, created_at timestamp, level string, step bigint")
+    part = adapt.UNIT // 10_000
+    steps = spark.createDataFrame([(i, t, level, step * part) for i, t, level, step in rows], "log_id bigint, created_at timestamp, level string, step bigint")
     narrow = {"HIGH": (0.60, 0.70), "MEDIUM": (0.45, 0.55)}
     for skew in (SkewConfig(), SkewConfig(shares=30, min_rows=10, cell_us=1_800_000_000)):
         got = {r.log_id: (r.old_threshold, r.new_threshold) for r in adapt.threshold_path(steps, Config(bounds=narrow, skew=skew)).collect()}
@@ -129,6 +131,28 @@ def test_threshold_path_hits_both_bounds(spark):
         assert {6000, 7000} & seen
 
 
+def test_small_learning_rates_move_thresholds(spark):
+    threats = spark.createDataFrame([(i, "BLOCK") for i in range(1000)], "log_id bigint, action_taken string")
+    feedback = spark.createDataFrame([(i, True, T0 + timedelta(seconds=i)) for i in range(1000)], "log_id bigint, was_false_positive boolean, created_at timestamp")
+    cfg = Config(ema_alpha=1e-7)
+    last = adapt.threshold_path(adapt.feedback_steps(feedback, threats, cfg), cfg).orderBy(F.desc("created_at")).first()
+    assert last.new_threshold == 0.65 + 2e-6
+
+
+def test_composed_steps():
+    rng = random.Random(9)
+    for n in (1, 2, 7, 64, 100):
+        shift = np.array([rng.randrange(-40, 40) for _ in range(n)])
+        low = np.array([rng.randrange(0, 30) for _ in range(n)])
+        high = low + np.array([rng.randrange(0, 60) for _ in range(n)])
+        s, lo, hi = adapt.compose_steps(shift, low, high)
+        for x in (-100, 0, 17, 100):
+            value = x
+            for k in range(n):
+                value = min(max(value + shift[k], low[k]), high[k])
+                assert min(max(x + s[k], lo[k]), hi[k]) == value
+
+
 @pytest.mark.parametrize("skew", [SkewConfig(), SkewConfig(shares=20, min_rows=5, cell_us=60_000_000)])
 def test_similar_cases_brute_force(spark, skew):
     """Every probe's own time, ties in time, scores at both ends, and (second run) cells cut into time slots."""

@@ -10,7 +10,7 @@ from threatlake.operators.features import ip_share
 from threatlake.operators.running import HotKeys, micros
 from threatlake.config import Config
 from threatlake.plans.derived import Derived
-from threatlake.streaming import pipeline, sources
+from threatlake.streaming import late, pipeline, sources
 
 T0 = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
@@ -171,3 +171,51 @@ def test_feed_and_event_log(spark, d, tmp_path):
     events = envelopes(stream.withColumn("ip", F.col("source_ip")).withColumn("reason", F.lit("test")), "ip_blocked", "ts")
     sources.event_log(events, f"{tmp_path}/log", f"{tmp_path}/log-ck").awaitTermination(300)
     assert spark.read.json(f"{tmp_path}/log").count() == d.flows.count()
+
+
+def test_update_sink_replaces_windows(spark, d, tmp_path):
+    """Late changes of a window replace its row, a repeated micro-batch adds nothing, old windows leave the state."""
+    slim = d.scores.select("log_id", "source_ip", "ts", "combined", "risk_level")
+    stream = pipeline.window_activity(as_stream(spark, slim, f"{tmp_path}/s", files=5))
+    query = sources.changed_rows(stream, f"{tmp_path}/out", f"{tmp_path}/ck")
+    query.awaitTermination(300)
+    want = {tuple(r) for r in slim.groupBy(F.window("ts", "15 minutes").start).agg(F.count("*"), F.count_if(F.col("risk_level") != "LOW"), F.max("combined")).collect()}
+    read = lambda: {tuple(r) for r in sources.read_changed(spark, f"{tmp_path}/out", stream.schema, ["window_start"]).collect()}
+    assert read() == want
+    changed = spark.read.parquet(f"{tmp_path}/out")
+    assert len(want) < changed.count() < 3 * len(want)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+    last = changed.agg(F.max("batch")).first()[0]
+    kept = changed.where(F.col("batch") == last).drop("batch")
+    spark.createDataFrame(kept.collect(), kept.schema).write.mode("overwrite").parquet(f"{tmp_path}/out/batch={last}")
+    assert read() == want
+
+
+def test_late_rows_are_kept(spark, tmp_path):
+    """Rows behind the watermark are split off, and the stream plus them is the batch."""
+    rows = [[(1, "a", T0, "HIGH", 0.7), (2, "a", T0 + timedelta(hours=5), "HIGH", 0.8)], [(3, "a", T0 + timedelta(hours=4, minutes=55), "LOW", 0.1), (4, "b", T0 + timedelta(hours=2), "HIGH", 0.9)],
+            [(5, "b", T0 + timedelta(hours=6), "LOW", 0.2), (6, "b", None, "LOW", 0.2)], [(7, "b", T0 + timedelta(hours=5, minutes=49), "LOW", 0.3), (8, "b", T0 + timedelta(hours=5, minutes=50), "LOW", 0.3)]]
+    schema = "log_id bigint, source_ip string, ts timestamp, risk_level string, combined double"
+    for part in rows:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    late.split_late(stream, f"{tmp_path}/split", f"{tmp_path}/ck1").awaitTermination(300)
+    missed = late.late_rows(spark, f"{tmp_path}/split", stream.schema)
+    assert sorted(r.log_id for r in missed.collect()) == [4, 7]
+    made = pipeline.window_activity(late.in_time(spark, f"{tmp_path}/split", stream.schema))
+    query = sources.changed_rows(made, f"{tmp_path}/out", f"{tmp_path}/ck2")
+    query.awaitTermination(300)
+    assert sum(op["numRowsDroppedByWatermark"] for p in query.recentProgress for op in p["stateOperators"]) == 0
+    found = late.reconcile(sources.read_changed(spark, f"{tmp_path}/out", made.schema, ["window_start"]), missed)
+    every = spark.createDataFrame([r for part in rows for r in part], schema).where("ts is not null")
+    want = every.groupBy(F.window("ts", "15 minutes").start).agg(F.count("*"), F.count_if(F.col("risk_level") != "LOW"), F.max("combined"))
+    assert {tuple(r) for r in found.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_block_rollback_only(spark, tmp_path):
+    """As in the batch form, only blocks are checked."""
+    m = lambda k: T0 + timedelta(minutes=k)
+    scores = spark.createDataFrame([(1, "a", m(0), 0.1), (2, "b", m(0), 0.1), (9, "x", m(9000), 0.1)], "log_id bigint, source_ip string, ts timestamp, combined double")
+    actions = spark.createDataFrame([(1, "a", "RATE_LIMIT", m(0)), (2, "b", "BLOCK", m(0)), (3, "x", "ALERT", m(9000))], "action_id bigint, target_ip string, action_type string, ts timestamp")
+    got, _ = run(pipeline.auto_rollback(as_stream(spark, actions, f"{tmp_path}/a", files=2), as_stream(spark, scores, f"{tmp_path}/s", files=2)), tmp_path, "only")
+    assert [r.action_id for r in got.collect()] == [2]

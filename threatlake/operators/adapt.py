@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import ratio
 from threatlake.operators.running import SLOT, measure, micros, with_slot
 
-UNIT = 10_000  # thresholds are handled as integers of 1e-4
+UNIT = 10**12  # thresholds are handled as integers of 1e-12, so steps of any learning rate add up exactly
 
 
 def mark(threats: DataFrame, feedback: DataFrame) -> DataFrame:
@@ -40,9 +41,9 @@ def feedback_summary(feedback: DataFrame) -> DataFrame:
 
 
 def feedback_steps(feedback: DataFrame, threats: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Each feedback row with the threshold it moves and by how much (1e-4 units): up by
+    """Each feedback row with the threshold it moves and by how much (in UNIT parts): up by
     ``ema_alpha`` of 0.02 for a false positive, down by ``ema_alpha`` of 0.01 for a true one."""
-    up, down = round(cfg.ema_alpha * 200), round(cfg.ema_alpha * 100)
+    up, down = round(cfg.ema_alpha * 0.02 * UNIT), round(cfg.ema_alpha * 0.01 * UNIT)
     action = threats.select("log_id", "action_taken")
     return feedback.join(action, "log_id").select(
         "log_id", "created_at",
@@ -51,53 +52,67 @@ def feedback_steps(feedback: DataFrame, threats: DataFrame, cfg: Config = DEFAUL
     )
 
 
+def compose_steps(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each place the composition of all functions ``x -> min(max(x + shift, low), high)`` up to it.
+
+    Two of them, one after the other, are one of the same form, so the compositions of 1, 2, 4, ...
+    neighbours are made in turn, all places at once.
+    """
+    shift, low, high = shift.copy(), low.copy(), high.copy()
+    step = 1
+    while step < len(shift):
+        first, then = slice(None, -step), slice(step, None)
+        # The later function's floor and ceiling bound what the earlier one's become.
+        s, lo, hi = shift[then], low[then], high[then]
+        new = shift[first] + s, np.minimum(np.maximum(low[first] + s, lo), hi), np.minimum(np.maximum(high[first] + s, lo), hi)
+        shift[then], low[then], high[then] = new
+        step *= 2
+    return shift, low, high
+
+
 def threshold_path(steps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Threshold before and after every feedback row, in order, kept within the level's bounds.
 
     A step followed by clamping is a function x -> clamp(x + c, low, high); such functions
-    compose into one of the same form. Rows of a level are cut into bounded time slots, each
-    slot is composed on its own, the few slot summaries are chained to get every slot's
-    starting value, and the slots are replayed from there in parallel.
+    compose into one of the same form (:func:`compose_steps`). Rows of a level are cut into bounded
+    time slots, each slot is composed on its own, the few slot summaries are composed to get every
+    slot's starting value, and the slots are played from there in parallel.
     """
     placed = steps.withColumn("_pos", micros("created_at"))
     slotted = with_slot(placed, "level", F.col("_pos"), measure(placed, "level", F.col("_pos"), cfg), cfg)
     bounds = {lv: tuple(round(b * UNIT) for b in cfg.bounds.get(lv, (0.0, 1.0))) for lv in cfg.thresholds}
     start = {lv: round(v * UNIT) for lv, v in cfg.thresholds.items()}
 
-    def compose(group: pd.DataFrame) -> pd.DataFrame:
-        level = group["level"].iloc[0]
-        low, high = bounds[level]
-        shift, floor, ceil = 0, -(10**15), 10**15
-        for c in group.sort_values(["_pos", "log_id"])["step"]:
-            shift += c
-            floor, ceil = min(max(floor + c, low), high), min(max(ceil + c, low), high)
-        return pd.DataFrame({"level": [level], SLOT: [group[SLOT].iloc[0]], "shift": [shift], "floor": [floor], "ceil": [ceil]})
+    def composed(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        group = group.sort_values(["_pos", "log_id"])
+        low, high = bounds[group["level"].iloc[0]]
+        n = len(group)
+        return group, *compose_steps(group["step"].to_numpy(np.int64), np.full(n, low, np.int64), np.full(n, high, np.int64))
+
+    def summary(group: pd.DataFrame) -> pd.DataFrame:
+        group, shift, low, high = composed(group)
+        return pd.DataFrame({"level": group["level"].iloc[:1], SLOT: group[SLOT].iloc[:1], "shift": shift[-1:], "floor": low[-1:], "ceil": high[-1:]})
 
     def chain(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(SLOT)
-        value, begin = start[group["level"].iloc[0]], []
-        for shift, floor, ceil in zip(group["shift"], group["floor"], group["ceil"]):
-            begin.append(value)
-            value = min(max(value + shift, floor), ceil)
-        return pd.DataFrame({"level": group["level"], SLOT: group[SLOT], "begin": begin})
+        shift, low, high = compose_steps(*(group[c].to_numpy(np.int64) for c in ("shift", "floor", "ceil")))
+        first = start[group["level"].iloc[0]]
+        after = np.minimum(np.maximum(first + shift, low), high)
+        return pd.DataFrame({"level": group["level"], SLOT: group[SLOT], "begin": np.concatenate([[first], after[:-1]])})
 
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["_pos", "log_id"])
-        low, high = bounds[group["level"].iloc[0]]
-        value, old, new = int(group["begin"].iloc[0]), [], []
-        for c in group["step"]:
-            old.append(value)
-            value = min(max(value + c, low), high)
-            new.append(value)
-        return pd.DataFrame({"log_id": group["log_id"], "created_at": group["created_at"], "level": group["level"], "old_units": old, "new_units": new})
+    def play(group: pd.DataFrame) -> pd.DataFrame:
+        group, shift, low, high = composed(group)
+        begin = int(group["begin"].iloc[0])
+        new = np.minimum(np.maximum(begin + shift, low), high)
+        return pd.DataFrame({"log_id": group["log_id"], "created_at": group["created_at"], "level": group["level"], "old_units": np.concatenate([[begin], new[:-1]]), "new_units": new})
 
     work = slotted.select("log_id", "created_at", "level", "step", "_pos", SLOT)
-    summaries = work.groupBy("level", SLOT).applyInPandas(compose, f"level string, {SLOT} bigint, shift bigint, floor bigint, ceil bigint")
+    summaries = work.groupBy("level", SLOT).applyInPandas(summary, f"level string, {SLOT} bigint, shift bigint, floor bigint, ceil bigint")
     begins = summaries.groupBy("level").applyInPandas(chain, f"level string, {SLOT} bigint, begin bigint")
     return (
         work.join(begins, ["level", SLOT])
         .groupBy("level", SLOT)
-        .applyInPandas(replay, "log_id bigint, created_at timestamp, level string, old_units bigint, new_units bigint")
+        .applyInPandas(play, "log_id bigint, created_at timestamp, level string, old_units bigint, new_units bigint")
         .select("log_id", "created_at", "level", (F.col("old_units") / F.lit(float(UNIT))).alias("old_threshold"), (F.col("new_units") / F.lit(float(UNIT))).alias("new_threshold"))
     )
 

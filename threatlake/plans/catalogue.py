@@ -209,7 +209,7 @@ def j7_cidr_trusted(d: Derived):
 def j8_feedback_threats(d: Derived):
     from threatlake.operators import adapt
 
-    return adapt.feedback_steps(d.feedback, d.threats)
+    return adapt.feedback_steps(d.feedback, d.threats).withColumn("step", F.round(F.col("step") * 10_000 / adapt.UNIT).cast("bigint"))
 
 
 @query

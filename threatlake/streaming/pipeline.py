@@ -22,6 +22,7 @@ from threatlake.functions.scalars import ratio, session_heuristic
 from threatlake.operators.killchain import classify_stage, stage_multiplier
 from threatlake.operators.response import REPUTATION_STEP
 from threatlake.operators.scoring import fallback_scores
+from threatlake.operators.validation import detection_quality
 
 
 
@@ -66,14 +67,26 @@ def window_activity(scored: DataFrame, width: str = "15 minutes", slide: str | N
     )
 
 
+def quality_events(validations: DataFrame, feedback: DataFrame, shadow: DataFrame, actions: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Four streams as one of ``(ts, tp, fp, fn, lat_sum, lat_n)``, each with its own watermark; the slowest counts."""
+    def rows(df: DataFrame, ts: str, **values) -> DataFrame:
+        amounts = {c: F.lit(0).cast("bigint") for c in ("tp", "fp", "fn", "lat_sum", "lat_n")} | {n: e.cast("bigint") for n, e in values.items()}
+        return marked(df.withColumn("ts", F.col(ts)), cfg).select("ts", *(e.alias(n) for n, e in amounts.items()))
+
+    parts = [
+        rows(validations, "executed_at", tp=F.col("success")), rows(feedback, "created_at", fp=F.col("was_false_positive")),
+        rows(shadow, "timestamp", fn=F.col("would_have_taken_action").isin("BLOCK", "RATE_LIMIT")), rows(actions, "executed_at", lat_sum=F.col("execution_time_ms"), lat_n=F.lit(1))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def window_quality(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Detection metrics per 15 minutes from rows ``(ts, tp, fp, fn, lat_sum, lat_n)``, the stacked
-    form of the batch operator's sources."""
-    sums = marked(events, cfg).groupBy(F.window("ts", "15 minutes").alias("w")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "lat_sum", "lat_n")])
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return sums.select(
-        F.col("w.start").alias("window_start"), "tp", "fp", "fn", ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
-        (fp / (fp + F.lit(cfg.true_negatives)).cast("double")).alias("false_positive_rate"), ratio("lat_sum", "lat_n").alias("avg_latency_ms"))
+    """Detection metrics per 15 minutes from :func:`quality_events`."""
+    sums = events.groupBy(F.window("ts", "15 minutes").alias("w")).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "lat_sum", "lat_n")])
+    quality = detection_quality(F.col("tp"), F.col("fp"), F.col("fn"), cfg.true_negatives)
+    return sums.select(F.col("w.start").alias("window_start"), "tp", "fp", "fn", *[e.alias(n) for n, e in quality.items()], ratio("lat_sum", "lat_n").alias("avg_latency_ms"))
 
 
 def activity_spans(events: DataFrame, gap: str = "2 hours", cfg: Config = DEFAULT) -> DataFrame:
@@ -211,7 +224,47 @@ def decide(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 # --- validation after sixty seconds ---------------------------------------------------------------------
 PARTS = "action_id bigint, n bigint, units bigint, max_after double"
-_BLOCK = "score_at array<bigint>, score_units array<bigint>, ask_at array<bigint>, ask_id array<bigint>, ask_kind array<int>"
+
+
+class _After(StatefulProcessor):
+    """One source's block of time: rows are appended until the watermark has passed it, then its parts are made."""
+
+    def __init__(self, width: int):
+        self.width = width
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.facts = handle.getListState("facts", "at bigint, units bigint")
+        self.asks = handle.getListState("asks", "at bigint, action_id bigint, kind int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            own = f["kind"] == 0
+            for held, part, names in ((self.facts, f[own], ("at", "units")), (self.asks, f[~own], ("at", "action_id", "kind"))):
+                if len(part):
+                    held.appendList([tuple(map(int, row)) for row in zip(*(part[c] for c in names))])
+        if not any(True for _ in self.handle.listTimers()):
+            self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        facts = np.array(list(self.facts.get()) if self.facts.exists() else [], np.int64).reshape(-1, 2)
+        asks = np.array(list(self.asks.get()) if self.asks.exists() else [], np.int64).reshape(-1, 3)
+        self.facts.clear()
+        self.asks.clear()
+        if not len(asks):
+            return
+        times, amounts = facts[np.argsort(facts[:, 0], kind="stable")].T
+        sums = np.concatenate([[0], np.cumsum(amounts)])
+        from_left = np.concatenate([[-1], np.maximum.accumulate(amounts)])
+        from_right = np.concatenate([np.maximum.accumulate(amounts[::-1])[::-1], [-1]])
+        cut, own = np.searchsorted(times, asks[:, 0], side="right"), asks[:, 2] == 1
+        top = np.where(own, from_right[cut], from_left[cut])
+        yield pd.DataFrame({"action_id": asks[:, 1], "n": np.where(own, len(times) - cut, cut), "units": np.where(own, sums[-1] - sums[cut], sums[cut]),
+                            "max_after": np.where(top < 0, np.nan, top / 1e12)})
+
+    def close(self) -> None:
+        pass
 
 
 def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60, cfg: Config = DEFAULT) -> DataFrame:
@@ -230,33 +283,8 @@ def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60, cfg:
     reach = at + F.when(F.col("kind") == 2, F.lit(width)).otherwise(F.lit(0))
     ask = asks.select(F.col("target_ip").alias("source_ip"), "ts", block(reach).alias("block"), reach.alias("at"), F.lit(0).cast("bigint").alias("units"), "action_id", "kind")
 
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = [list(v) for v in state.get] if state.exists else [[], [], [], [], []]
-        if not state.hasTimedOut:
-            for f in frames:
-                s, a = f[f["kind"] == 0], f[f["kind"] > 0]
-                for i, values in enumerate((s["at"], s["units"], a["at"], a["action_id"], a["kind"])):
-                    held[i].extend(int(v) for v in values)
-            state.update(tuple(held))
-            end_ms = (int(key[1]) + 1) * width // 1000
-            state.setTimeoutTimestamp(max(end_ms, state.getCurrentWatermarkMs() + 1))
-            return
-        state.remove()
-        if not held[3]:
-            return
-        order = np.argsort(held[0], kind="stable")
-        times, amounts = np.array(held[0], dtype="int64")[order], np.array(held[1], dtype="int64")[order]
-        sums = np.concatenate([[0], np.cumsum(amounts)])
-        from_left = np.concatenate([[-1], np.maximum.accumulate(amounts)]) if len(amounts) else np.array([-1])
-        from_right = np.concatenate([np.maximum.accumulate(amounts[::-1])[::-1], [-1]]) if len(amounts) else np.array([-1])
-        cut = np.searchsorted(times, np.array(held[2], dtype="int64"), side="right")
-        own = np.array(held[4]) == 1
-        count = np.where(own, len(times) - cut, cut)
-        total = np.where(own, sums[-1] - sums[cut], sums[cut])
-        top = np.where(own, from_right[cut], from_left[cut])
-        yield pd.DataFrame({"action_id": held[3], "n": count, "units": total, "max_after": np.where(top < 0, np.nan, top / 1e12)})
-
-    return fact.unionByName(ask).groupBy("source_ip", "block").applyInPandasWithState(step, PARTS, _BLOCK, "append", GroupStateTimeout.EventTimeTimeout)
+    lists_in_state(scores)
+    return fact.unionByName(ask).groupBy("source_ip", "block").transformWithStateInPandas(_After(width), PARTS, "Append", "EventTime")
 
 
 def combine_parts(parts: DataFrame) -> DataFrame:

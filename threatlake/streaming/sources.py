@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from threatlake.operators.reports import newest
 from threatlake.schemas import NETWORK_LOGS
@@ -14,6 +16,45 @@ def read_files(spark: SparkSession, path: str, schema: str = NETWORK_LOGS, fmt:
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_batch).load(path)
 
 
+def replay_table(df: DataFrame, path: str, ts: str = "ts", files: int = 3) -> DataFrame:
+    """A table as a stream: its rows in ``files`` files in order of time, one a micro-batch."""
+    at = F.unix_micros(ts)
+    cuts = df.select(F.percentile_approx(at, [k / files for k in range(1, files)]).alias("c")).first().c or []
+    return _replayed(df, path, at, list(cuts))
+
+
+def replay_periods(df: DataFrame, path: str, arrival: str, minutes: int) -> DataFrame:
+    """A table as a stream: what arrived in each period is a micro-batch; ``arrival`` isn't passed on."""
+    at, period = F.unix_micros(arrival), minutes * 60_000_000
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    cuts = [k * period - 1 for k in range(low // period + 1, high // period + 1)] if low is not None else []
+    return _replayed(df, path, at, cuts, drop=[arrival])
+
+
+def _replayed(df: DataFrame, path: str, at: Column, cuts: list[int], drop: list[str] = ()) -> DataFrame:
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df if low is None else df.where(at > low)
+        (part if high is None else part.where(at <= high)).drop(*drop).coalesce(1).write.mode("append").parquet(path)
+    return df.sparkSession.readStream.schema(df.drop(*drop).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def changed_rows(stream: DataFrame, path: str, checkpoint: str, **trigger):
+    """Write the rows that each micro-batch of an update stream has changed; a repeated one replaces its own."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_changed(spark: SparkSession, path: str, schema, keys: list[str]) -> DataFrame:
+    """The last row of each key that an update stream has written."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(path)
+    values = [f.name for f in schema if f.name not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last"))
+    return last.select(*(F.col(c) if c in keys else F.col(f"_last.{c}") for c in schema.names))
+
+
 def event_log(stream: DataFrame, path: str, checkpoint: str, **trigger):
     """Append event envelopes to a log partitioned by type; a replayed micro-batch replaces itself."""
 
