@@ -209,3 +209,16 @@ EXTRA["arrived"] = "select *, (epoch_us(ts) + cast(round(duration_seconds*100000
 SQL["g11_late_rows"] = """select log_id, source_ip, epoch_us(ts) as ts from arrived join (select period, max(max(epoch_ms(ts))) over (order by period rows between unbounded preceding and 1 preceding) - 5000 as mark
   from arrived group by 1) using (period) where epoch_ms(ts) < mark"""
 SQL["g11_reconciled_windows"] = SQL["g4_stream_windows"]
+SQL["g9_profiles"] = "select source_ip, first_stage_seen, current_stage, epoch_us(last_activity) as last_activity, stage_events, is_active from profiles"
+SQL["g9_reputation"] = f"""select source_ip as ip_address, count(*) as threat_count, epoch_us(max(created_at)) as last_seen, max(cast(action_taken = 'BLOCK' as int)) = 1 as is_blocked, {_REP} as reputation_points
+  from threats group by 1"""
+EXTRA["narrow_steps"] = """select level, step, row_number() over (partition by level order by created_at, log_id) as n from (select log_id, created_at + interval 600 second as created_at,
+  case when action_taken in ('BLOCK','RATE_LIMIT') then 'HIGH' else 'MEDIUM' end as level, case when log_id % 2 = 0 then 20 else -10 end as step from threats)"""
+EXTRA["narrow_walk"] = """select level, cast(0 as bigint) as n, case level when 'HIGH' then 6500 else 5000 end as value from (select distinct level from narrow_steps)
+union all select s.level, s.n, least(greatest(w.value + s.step, case s.level when 'HIGH' then 5500 else 0 end), case s.level when 'HIGH' then 9000 else 10000 end)
+from narrow_walk w join narrow_steps s on s.level = w.level and s.n = w.n + 1"""
+SQL["g9_thresholds"] = "select level, arg_max(value, n)/10000e0 as value from narrow_walk group by level"
+SQL["g9_metrics"] = SQL["a7_window_metrics"]
+SQL["g9_impact"] = SQL["a8_daily_impact"]
+SQL["a8_weekly_sources"] = """select cast(cast(date_trunc('week', ts) as date) as varchar) as week, count(distinct source_ip) as sources, count(distinct cast(ts as date)) as days, true as within_error
+  from scores_raw where combined > 0.4e0 group by 1"""

@@ -70,9 +70,11 @@ def compose_steps(shift: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple
     return shift, low, high
 
 
-def threshold_path(steps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def threshold_path(steps: DataFrame, cfg: Config = DEFAULT, values: dict[str, float] | None = None) -> DataFrame:
     """Threshold before and after every feedback row, in order, kept within the level's bounds.
 
+    Levels start at ``values``, else at those of the settings.
+
     A step followed by clamping is a function x -> clamp(x + c, low, high); such functions
     compose into one of the same form (:func:`compose_steps`). Rows of a level are cut into bounded
     time slots, each slot is composed on its own, the few slot summaries are composed to get every
@@ -81,7 +83,7 @@ def threshold_path(steps: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     placed = steps.withColumn("_pos", micros("created_at"))
     slotted = with_slot(placed, "level", F.col("_pos"), measure(placed, "level", F.col("_pos"), cfg), cfg)
     bounds = {lv: tuple(round(b * UNIT) for b in cfg.bounds.get(lv, (0.0, 1.0))) for lv in cfg.thresholds}
-    start = {lv: round(v * UNIT) for lv, v in cfg.thresholds.items()}
+    start = {lv: round(v * UNIT) for lv, v in {**cfg.thresholds, **(values or {})}.items()}
 
     def composed(group: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
         group = group.sort_values(["_pos", "log_id"])

@@ -109,15 +109,23 @@ def attacker_profiles(events: DataFrame, as_of: Column) -> DataFrame:
 
     The events themselves are the rows of :func:`stage_history`.
     """
-    key = F.struct("detected_at", "log_id")
-    spans = events.groupBy("source_ip").agg(
-        F.min_by("stage", key).alias("first_stage_seen"),
-        F.max_by("stage", key).alias("current_stage"),
-        F.max("detected_at").alias("last_activity"),
-        F.count("*").alias("stage_events"),
-    )
+    return profile_of(profile_parts(events), as_of)
+
+
+def profile_parts(events: DataFrame) -> DataFrame:
+    """What a profile needs of its source's events; parts of two sets of events are merged by :func:`merge_profiles`."""
+    event = F.struct("detected_at", "log_id", "stage")
+    return events.groupBy("source_ip").agg(F.min(event).alias("first"), F.max(event).alias("last"), F.count("*").alias("stage_events"))
+
+
+def merge_profiles(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("source_ip").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("stage_events").alias("stage_events"))
+
+
+def profile_of(parts: DataFrame, as_of: Column) -> DataFrame:
     return (
-        spans
+        parts.select("source_ip", F.col("first.stage").alias("first_stage_seen"), F.col("last.stage").alias("current_stage"),
+                     F.col("last.detected_at").alias("last_activity"), "stage_events")
         .withColumn("predicted_next_action", next_stage("current_stage"))
         .withColumn("is_active", (F.unix_micros(as_of) - micros("last_activity")) <= F.lit(2 * 3600 * 1_000_000))
     )

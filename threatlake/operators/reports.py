@@ -199,3 +199,18 @@ def minute_series(scores: DataFrame, as_of: Column, minutes: int = 60) -> DataFr
         F.max("combined").alias("max_score"), F.count("*").alias("n"))
     return spine.join(seen, "minute", "left").select(
         F.timestamp_micros(F.col("minute") * minute).alias("minute"), F.coalesce("max_score", F.lit(0.0)).alias("max_score"), F.coalesce("n", F.lit(0)).alias("n"))
+
+
+#: Sketches of 2^12 registers: one standard error of their counts.
+SKETCH_BITS, SKETCH_ERROR = 12, 0.0163
+
+
+def daily_sketches(df: DataFrame, day: str, value: str) -> DataFrame:
+    """``day, sketch``: one small sketch of the distinct values of each day, to be stored. Sketches of
+    several days or of parts of a day merge into that of all of them; counts of distinct values don't."""
+    return df.groupBy(day).agg(F.hll_sketch_agg(value, F.lit(SKETCH_BITS)).alias("sketch"))
+
+
+def sketched_counts(sketches: DataFrame, period: Column, name: str) -> DataFrame:
+    """Estimated distinct values of each period of days, and the days that have a sketch."""
+    return sketches.groupBy(period.alias(name)).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"), F.count_distinct("day").alias("days"))

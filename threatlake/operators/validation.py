@@ -63,8 +63,11 @@ def detection_quality(tp, fp, fn, true_negatives: int) -> dict:
     }
 
 
-def window_metrics(validations: DataFrame, feedback: DataFrame, shadow: DataFrame, actions: DataFrame, minutes: int = 15, cfg: Config = DEFAULT) -> DataFrame:
-    """Detection metrics per tumbling window; each source is counted on its own, then stacked."""
+METRIC_SUMS = ("tp", "fp", "fn", "lat_sum", "lat_n")
+
+
+def metric_sums(validations: DataFrame, feedback: DataFrame, shadow: DataFrame, actions: DataFrame, minutes: int = 15) -> DataFrame:
+    """Counts per tumbling window, which add up over parts of the tables; each source is counted on its own, then stacked."""
     zero = F.lit(0).cast("bigint")
 
     def counted(df, ts, **cols):
@@ -82,11 +85,23 @@ def window_metrics(validations: DataFrame, feedback: DataFrame, shadow: DataFram
     stacked = parts[0]
     for part in parts[1:]:
         stacked = stacked.unionByName(part)
-    total = stacked.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "lat_sum", "lat_n")])
+    return add_metrics(stacked)
+
+
+def add_metrics(sums: DataFrame) -> DataFrame:
+    return sums.groupBy("window_start").agg(*[F.sum(c).alias(c) for c in METRIC_SUMS])
+
+
+def quality_of(total: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     quality = detection_quality(F.col("tp"), F.col("fp"), F.col("fn"), cfg.true_negatives)
     return total.select("window_start", "tp", "fp", "fn", *[e.alias(n) for n, e in quality.items()], ratio("lat_sum", "lat_n").alias("avg_latency_ms"))
 
 
+def window_metrics(validations: DataFrame, feedback: DataFrame, shadow: DataFrame, actions: DataFrame, minutes: int = 15, cfg: Config = DEFAULT) -> DataFrame:
+    """Detection metrics per tumbling window."""
+    return quality_of(metric_sums(validations, feedback, shadow, actions, minutes), cfg)
+
+
 def daily_impact(actions: DataFrame, threats: DataFrame, feedback: DataFrame, cfg: Config = DEFAULT, approximate: bool = False) -> DataFrame:
     """Blocked sources, requests and cost avoided, analyst hours saved, false blocks per day."""
     distinct = (lambda c: F.approx_count_distinct(c, 0.01)) if approximate else F.count_distinct
@@ -97,8 +112,13 @@ def daily_impact(actions: DataFrame, threats: DataFrame, feedback: DataFrame, cf
         feedback.where("was_false_positive").join(threats.where(F.col("action_taken") == "BLOCK").select("log_id"), "log_id", "left_semi")
         .groupBy(F.to_date("created_at").alias("day")).agg(F.count("*").alias("false_blocks"))
     )
+    return impact_of(seen.join(blocked, "day", "full_outer").join(wrong, "day", "full_outer"), cfg)
+
+
+def impact_of(days: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The report of ``day, threats, ips_blocked, false_blocks``."""
     requests = F.coalesce("ips_blocked", F.lit(0)) * cfg.requests_per_block
-    return seen.join(blocked, "day", "full_outer").join(wrong, "day", "full_outer").select(
+    return days.select(
         "day",
         F.coalesce("ips_blocked", F.lit(0)).alias("ips_blocked"),
         requests.alias("requests_blocked"),
