@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from threatlake.llm.common import shared_path
 from threatlake.llm.files import map_shared, pack_arrays, unpack_arrays, write_shared
-from threatlake.llm.pretokens import Splitter, Words, batched
+from threatlake.llm.pretokens import Splitter, Words, batched, pieces, release
 
 #: Words of the lexicon: a bound on its size, not on what is encoded.
 LEXICON_WORDS = 60_000
@@ -279,50 +279,44 @@ class Encoder:
             out[np.arange(len(ids)) + np.repeat(begins[own] - ends + n, n)] = ids
         return out, begins
 
-    def encode(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, the ids in decimal and their tokens, each joined by spaces, of each text."""
-        tokens, plain, ordinary = self.merges.tokens, [], []
-        for text in texts:
-            segments = self.segments(text)
-            plain.append([x if isinstance(x, int) else None for x in segments])
-            ordinary += [x for x in segments if isinstance(x, str)]
-        words = self.splitter.split(ordinary)
+    def _spelled(self, texts: list[str], decode: bool) -> list[tuple[int, str, str]]:
+        """Number of ids, the ids in decimal and (if wanted) their tokens, each joined by spaces, of ordinary texts."""
+        words = self.splitter.split(texts)
         _, which, place = words.distinct()
         ids, begins = self.word_ids(words, which)
-        counts = np.diff(begins)[place] if len(place) else np.zeros(0, np.int64)
-        ids, begins = ids.tolist(), begins.tolist()
-        digits_of, tokens_of = list(map(str, ids)), [tokens[k] for k in ids]
-        in_digits = [" ".join(digits_of[a:b]) for a, b in zip(begins, begins[1:])]
-        in_tokens = [" ".join(tokens_of[a:b]) for a, b in zip(begins, begins[1:])]
-        edges = np.searchsorted(words.text, np.arange(len(ordinary) + 1)).tolist()
-        place = place.tolist()
-        totals = np.concatenate([[0], np.cumsum(counts)]).tolist()
-        out, k = [], 0
-        for row in plain:
-            digits, names, n = [], [], 0
-            for special in row:
-                if special is not None:
-                    digits.append(str(special))
-                    names.append(tokens[special])
-                    n += 1
-                    continue
-                own = place[edges[k]:edges[k + 1]]
-                digits += map(in_digits.__getitem__, own)
-                names += map(in_tokens.__getitem__, own)
-                n += totals[edges[k + 1]] - totals[edges[k]]
-                k += 1
-            out.append((n, " ".join(digits), " ".join(names)))
+        totals = np.concatenate([[0], np.cumsum(np.diff(begins)[place] if len(place) else np.zeros(0, np.int64))])
+        edges = np.searchsorted(words.text, np.arange(len(texts) + 1))
+        totals = np.diff(totals[edges]).tolist()
+        ids, begins, place, edges = ids.tolist(), begins.tolist(), place.tolist(), edges.tolist()
+
+        def joined(names: list[str]) -> list[str]:
+            of_word = [" ".join(names[a:b]) for a, b in zip(begins, begins[1:])]
+            return [" ".join(map(of_word.__getitem__, place[a:b])) for a, b in zip(edges, edges[1:])]
+
+        tokens = self.merges.tokens
+        return list(zip(totals, joined(list(map(str, ids))), joined([tokens[k] for k in ids]) if decode else [""] * len(texts)))
+
+    def encode(self, texts: list[str], decode: bool = True) -> list[tuple[int, str, str]]:
+        """Number of ids, the ids in decimal and (if wanted) their tokens, each joined by spaces, of each text."""
+        cut = [[p for x in self.segments(t) for p in ([x] if isinstance(x, int) else pieces(x))] for t in texts]
+        coded = (x for some in batched(((p,) for own in cut for p in own if isinstance(p, str)), lambda x: len(x[0])) for x in self._spelled([p for p, in some], decode))
+        out = []
+        for own in cut:
+            parts = [(1, str(p), self.merges.tokens[p]) if isinstance(p, int) else next(coded) for p in own]
+            out.append(parts[0] if len(parts) == 1 else (sum(n for n, _, _ in parts), *(" ".join(x[k] for x in parts if x[0]) for k in (1, 2))))
         return out
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words that a task meets twice within a batch of texts, and how often."""
     splitter = Splitter(spaced=False)
-    for texts in batched(((t.as_py() or "",) for b in batches for t in b.column(0)), lambda x: len(x[0])):
-        words = splitter.split([lowered(t) for t, in texts])
-        _, which, counts = np.unique(words.hashes, return_index=True, return_counts=True)
+    for texts in batched(((p,) for b in batches for t in b.column(0) for p in pieces(lowered(t.as_py() or ""))), lambda x: len(x[0])):
+        words = splitter.split([t for t, in texts])
+        _, which, place = words.distinct()
+        counts = np.bincount(place, minlength=len(which))
         often = np.flatnonzero(counts > 1)
         yield pa.record_batch({"word": pa.array([words.bytes_of(k) for k in which[often].tolist()], pa.binary()), "n": pa.array(counts[often], pa.int64())})
+    release()
 
 
 def frequent_words(df: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> list[bytes]:
@@ -331,8 +325,8 @@ def frequent_words(df: DataFrame, text_col: str = "text", limit: int = LEXICON_W
     return [bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(limit).select("word").collect()]
 
 
-def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per input row: ``doc_id, n_tokens, ids, decoded``, then the columns named in ``keep``.
+def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", lexicon_words: int = LEXICON_WORDS, keep: Sequence[str] = (), decode: bool = True) -> DataFrame:
+    """One row per input row: ``doc_id, n_tokens, ids, decoded`` (unless ``decode`` is false), then the columns named in ``keep``.
 
     ``ids`` are the decimal ids and ``decoded`` their tokens, each joined by one space: what the
     public library gives for this model without added special tokens, and what it decodes.
@@ -354,12 +348,13 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
         encoder = Encoder(held.value, Lexicon(uri))
         rows = ((i, t.as_py() or "", *own) for b in batches for i, t, *own in zip(b.column(0).to_pylist(), b.column(1), *(c.to_pylist() for c in b.columns[2:])))
         for part in batched(rows, lambda x: len(x[1])):
-            encoded = encoder.encode([x[1] for x in part])
+            encoded = encoder.encode([x[1] for x in part], decode)
             yield pa.record_batch({"doc_id": pa.array([x[0] for x in part], pa.int64()), "n_tokens": pa.array([n for n, _, _ in encoded], pa.int64()),
-                                   "ids": pa.array([d for _, d, _ in encoded], pa.string()), "decoded": pa.array([t for _, _, t in encoded], pa.string()),
+                                   "ids": pa.array([d for _, d, _ in encoded], pa.string()), **({"decoded": pa.array([t for _, _, t in encoded], pa.string())} if decode else {}),
                                    **{f.name: pa.array([x[2 + k] for x in part], f.type) for k, f in enumerate(kept)}})
+        release()
 
     own = df.select(*(F.col(f"`{c}`") for c in keep)).schema
     kept = list(to_arrow_schema(own))
     narrow = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *(F.col(f"`{c}`") for c in keep))
-    return narrow.mapInArrow(run, StructType([*StructType.fromDDL("doc_id bigint, n_tokens bigint, ids string, decoded string"), *own]))
+    return narrow.mapInArrow(run, StructType([*StructType.fromDDL("doc_id bigint, n_tokens bigint, ids string" + ", decoded string" * decode), *own]))
