@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from threatlake.operators import features, iforest, ocsvm
 from threatlake.plans import training
+from threatlake.sources import model_store
 
 NAMES = ["a", "b", "c"]
 
@@ -46,7 +47,7 @@ def test_training_report(planted, tmp_path):
     made = training.train(planted, NAMES, "id", trees=50, steps=6)
     report = {(r.detector, r["class"]): r for r in made.report.collect()}
     assert len(report) == 12 and report[("either", "attack")].recall > 0.6
-    training.save(made, str(tmp_path), 1)
+    assert training.save(made, str(tmp_path)) == 1
     model, outcome = training.retrain(planted.withColumn("ts", F.timestamp_seconds("id")), NAMES, "id", "ts", "label", current=made.forest, rows=1000)
     assert outcome.first().status in ("deployed", "rejected")
     assert training.retrain(planted.limit(50).withColumn("ts", F.timestamp_seconds("id")), NAMES, "id", "ts", "label")[1].first().status == "insufficient_data"
@@ -56,3 +57,33 @@ def test_scaler(planted):
     scaled = features.apply_scaler(planted, features.fit_scaler(planted, NAMES), NAMES)
     row = scaled.agg(F.avg("a").alias("m"), F.stddev_pop("a").alias("s")).first()
     assert abs(row.m) < 1e-9 and abs(row.s - 1) < 1e-9
+
+
+def test_releases_never_mix(spark, planted, tmp_path, monkeypatch):
+    """A run that dies between two models leaves the old release; numbers are taken again; other features are refused."""
+    root = str(tmp_path)
+    assert model_store.load_release(spark, root) is None
+    one, two = (training.train(planted, NAMES, "id", seed=s, trees=10, steps=3) for s in (1, 2))
+    assert training.save(one, root) == 1
+    first = training.score_release(planted, model_store.load_release(spark, root)).orderBy("id").select("combined_score").collect()
+    with monkeypatch.context() as patch:
+        save, calls = model_store.save, []
+
+        def dies(spark, model, root, name, version):
+            calls.append(name)
+            if len(calls) == 2:
+                raise OSError("lost")
+            save(spark, model, root, name, version)
+
+        patch.setattr(model_store, "save", dies)
+        with pytest.raises(OSError):
+            training.save(two, root)
+    held = model_store.load_release(spark, root)
+    assert held.version == 1 and held.forest.offset == one.forest.offset
+    assert training.score_release(planted, held).orderBy("id").select("combined_score").collect() == first
+    assert training.save(two, root) == 3  # the dead run's forest holds number 2
+    now = model_store.load_release(spark, root)
+    assert (now.forest.offset, now.svm.rho) == (two.forest.offset, two.svm.rho)
+    assert model_store.load_release(spark, root, 1).svm.rho == one.svm.rho
+    with pytest.raises(ValueError, match="features"):
+        training.score_release(planted.drop("c"), now)

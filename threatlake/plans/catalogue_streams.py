@@ -10,14 +10,20 @@ from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT
 from threatlake.functions.scalars import ratio
+from threatlake.operators import features
 from threatlake.operators.features import ip_share
+from threatlake.plans import training
 from threatlake.plans.derived import Derived
 from threatlake.plans.registry import query
-from threatlake.session import shared_dir
-from threatlake.sources import events_adapter
+from threatlake.session import materialise, shared_dir
+from threatlake.sources import events_adapter, model_store
 from threatlake.streaming import late, pipeline, sources
 
 
+#: An hour after the first possible flow.
+_MIDDLE = 1704067200000000 + 3_600_000_000
+
+
 def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Run a stream until its input is used up; results go to a table in the shared folder.
 
@@ -55,6 +61,25 @@ def g2_stream_scores(d: Derived):
     return drain(_scored(d).select("log_id", "source_ip", "combined", "risk_level", "stage"))
 
 
+@query
+def g2_stream_releases(d: Derived):
+    """A stream that starts with one release of the models and goes on with the next: rows scored by each, and whether a batch scores them alike."""
+    names, path = features.DETECT7, f"{shared_dir(d.spark)}/releases-{uuid.uuid4().hex}"
+    rows = materialise(features.detect7(d.flows, d.cfg).select("log_id", "ts", F.col("is_attack").cast("int").alias("label"), *names), "features")
+    middle = F.timestamp_micros(F.lit(_MIDDLE))
+    for n, part in enumerate((rows.where(F.col("ts") < middle), rows.where(F.col("ts") >= middle))):
+        training.save(training.train(rows, names, "log_id", seed=42 + n, trees=20, steps=4), f"{path}/models")
+        part.write.mode("append").parquet(f"{path}/rows")
+        stream = d.spark.readStream.schema(rows.schema).parquet(f"{path}/rows")
+        training.score_stream(stream, f"{path}/models", f"{path}/scores", f"{path}/checkpoint", ["log_id"]).awaitTermination()
+    found = d.spark.read.parquet(f"{path}/scores").select("log_id", "release", "combined_score")
+    for version in (1, 2):
+        again = training.score_release(rows, model_store.load_release(d.spark, f"{path}/models", version)).select("log_id", "release", F.col("combined_score").alias(f"again_{version}"))
+        found = found.join(again, ["log_id", "release"], "left")
+    alike = F.abs(F.coalesce("again_1", "again_2") - F.col("combined_score")) < 1e-9
+    return found.groupBy("release").agg(F.count("*").alias("rows"), F.bool_and(alike).alias("alike"), F.min(F.col("combined_score").between(0, 1)).alias("in_range"))
+
+
 @query
 def g3_stream_decisions(d: Derived):
     return drain(pipeline.decide(_scored(d), d.cfg))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from threatlake.functions.scalars import ratio
 from threatlake.operators import cleaning, features, iforest, ocsvm, reports
-from threatlake.operators.scoring import offset_score
+from threatlake.operators.scoring import ensemble, offset_score
 from threatlake.session import materialise
 from threatlake.sources import model_store
 
@@ -22,8 +22,15 @@ class Trained:
     report: DataFrame
 
 
+def _need(df: DataFrame, names) -> None:
+    if missing := [f for f in names if f not in df.columns]:
+        raise ValueError(f"rows lack the models' features {missing}")
+
+
 def scored(df: DataFrame, forest, svm) -> DataFrame:
-    """Raw decision values of both models and their [0, 1] scores."""
+    """Raw decision values of both models and their [0, 1] scores. Models of other features are refused."""
+    model_store.require_features(svm, list(forest.features))
+    _need(df, forest.features)
     return (
         df.withColumn("iso_raw", iforest.raw_score(forest)).withColumn("svm_raw", ocsvm.raw_score(svm))
         .withColumn("iso_score", offset_score("iso_raw")).withColumn("svm_score", offset_score("svm_raw"))
@@ -55,11 +62,32 @@ def train(df: DataFrame, names: list[str], row_id: str, label: str = "label", se
     return Trained(scaler, forest, svm, evaluate(test_rows, forest, svm, label))
 
 
-def save(trained: Trained, root: str, version: int) -> None:
-    spark = trained.scaler.sparkSession
-    trained.scaler.coalesce(1).write.mode("overwrite").parquet(f"{root}/scaler/v={version}")
-    model_store.save(spark, trained.forest, root, "isolation_forest", version)
-    model_store.save(spark, trained.svm, root, "one_class_svm", version)
+def save(trained: Trained, root: str) -> int:
+    """Publish what was trained as one release."""
+    return model_store.publish(trained.scaler.sparkSession, root, trained.scaler, trained.forest, trained.svm)
+
+
+def score_release(rows: DataFrame, release: model_store.Release) -> DataFrame:
+    """Rows with their features scaled and scored by the models of one release, and its number."""
+    _need(rows, release.features)
+    scaled = features.apply_scaler(rows, release.scaler, list(release.features))
+    return ensemble(scored(scaled, release.forest, release.svm)).withColumn("release", F.lit(release.version))
+
+
+def score_stream(stream: DataFrame, root: str, path: str, checkpoint: str, keep: list[str], **trigger):
+    """Score a stream of rows with features; each micro-batch takes the release that is current when it starts.
+
+    Results go to ``path``, a folder a micro-batch, which one that is repeated replaces as a whole; until
+    there is a release, micro-batches fail and wait to be repeated.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        release = model_store.load_release(batch.sparkSession, root)
+        if release is None:
+            raise ValueError(f"no release below {root}")
+        score_release(batch, release).select(*keep, "combined_score", "release").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def _f1(df: DataFrame, label: str) -> DataFrame:

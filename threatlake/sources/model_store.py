@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict
+import json
+from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from threatlake.operators.iforest import NODES, IsolationForest
 from threatlake.operators.ocsvm import OneClassSVM
@@ -53,4 +54,61 @@ def require_features(model, features: list[str]) -> None:
         raise ValueError(f"model was trained on {list(model.features)}, not {list(features)}")
 
 
-__all__ = ["save", "load", "current_version", "require_features"]
+@dataclass(frozen=True)
+class Release:
+    """Models that were trained together, and the features they take."""
+
+    version: int
+    features: tuple[str, ...]
+    scaler: DataFrame
+    forest: IsolationForest
+    svm: OneClassSVM
+
+
+def publish(spark: SparkSession, root: str, scaler: DataFrame, forest: IsolationForest, svm: OneClassSVM) -> int:
+    """Write scaler, forest and SVM as one release and return its number.
+
+    The manifest that names their versions is written beside and moved to its place in one step, after
+    all of them: readers see the old release until then, and a run that dies leaves no trace of its own
+    (its number is taken again). One writer at a time.
+    """
+    require_features(svm, list(forest.features))
+    number = 1 + max([current_release(spark, root) or 0, *(current_version(spark, root, n) or 0 for n in ("isolation_forest", "one_class_svm"))])
+    scaler.coalesce(1).write.mode("overwrite").parquet(f"{root}/scaler/v={number:08d}")
+    save(spark, forest, root, "isolation_forest", number)
+    save(spark, svm, root, "one_class_svm", number)
+    content = json.dumps({"scaler": number, "isolation_forest": number, "one_class_svm": number, "features": list(forest.features)})
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    beside, target = path(f"{root}/manifests/_{number:08d}.json"), path(f"{root}/manifests/{number:08d}.json")
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = store.create(beside, True)
+    out.write(bytearray(content.encode()))
+    out.close()
+    if not store.rename(beside, target):
+        raise OSError(f"could not commit release {number}")
+    return number
+
+
+def current_release(spark: SparkSession, root: str) -> int | None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/manifests")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return None
+    names = [f.getPath().getName() for f in store.listStatus(folder)]
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and not n.startswith("_")), default=None)
+
+
+def load_release(spark: SparkSession, root: str, version: int | None = None) -> Release | None:
+    """The models of a release (the current one, if not given): those that its manifest names, never a mix."""
+    version = current_release(spark, root) if version is None else version
+    if version is None:
+        return None
+    named = json.loads(spark.read.text(f"{root}/manifests/{version:08d}.json", wholetext=True).first().value)
+    scaler = spark.read.parquet(f"{root}/scaler/v={named['scaler']:08d}")
+    forest, svm = (load(spark, root, n, named[n]) for n in ("isolation_forest", "one_class_svm"))
+    for model in (forest, svm):
+        require_features(model, named["features"])
+    return Release(version, tuple(named["features"]), scaler, forest, svm)
+
+
+__all__ = ["save", "load", "current_version", "require_features", "Release", "publish", "current_release", "load_release"]
