@@ -223,3 +223,5 @@ SQL["g9_impact"] = SQL["a8_daily_impact"]
 SQL["a8_weekly_sources"] = """select cast(cast(date_trunc('week', ts) as date) as varchar) as week, count(distinct source_ip) as sources, count(distinct cast(ts as date)) as days, true as within_error
   from scores_raw where combined > 0.4e0 group by 1"""
 SQL["g2_stream_releases"] = """select case when epoch_us(ts) < 1704067200000000 + 3600000000 then cast(1 as bigint) else 2 end as release, count(*) as rows, true as alike, true as in_range from flows group by 1"""
+EXTRA["routes"] = "select concat(source_ip, '>', dest_ip) as route, min(ts) >= timestamp '2024-01-01 01:00:00' as fresh from flows group by 1"
+SQL["p7_grown_codes"] = "select route, row_number() over (order by fresh, route) - 1 as code from routes"

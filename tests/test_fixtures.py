@@ -1,5 +1,6 @@
 """Value fixtures of single operators."""
 
+import hashlib
 import random
 from datetime import datetime, timedelta, timezone
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from threatlake.config import Config, SkewConfig
 from threatlake.functions import scalars as S
 from threatlake.operators.running import cells_of, range_cells
-from threatlake.operators import adapt, allowlist, approvals, decisions, killchain, memory, response, validation
+from threatlake.operators import adapt, allowlist, approvals, cleaning, decisions, killchain, memory, response, validation
 
 T0 = datetime(2024, 1, 1, 12, tzinfo=timezone.utc)
 FLOW = "log_id bigint, source_ip string, ts timestamp, dest_port int, protocol string, bytes_sent bigint, duration_seconds double, request_rate double, user_agent string, sqli_pattern string, failed_logins int, port_entropy double, repeated_beaconing boolean"
@@ -245,3 +246,27 @@ def test_rollback_checks_again(spark):
         "log_id bigint, source_ip string, ts timestamp, combined double")
     found = auto_rollback(actions, scores, F.lit(t0 + timedelta(hours=3))).orderBy("action_id", "check").collect()
     assert [(r.action_id, r.check, r.outcome) for r in found] == [(1, 1, "EXTEND"), (1, 2, "ROLLBACK"), (3, 1, "ROLLBACK")]
+
+
+def test_codes_of_many_values_with_one_prefix(spark):
+    """A hundred thousand values that begin alike are spread over tasks; codes stay when values arrive."""
+    values = spark.range(100_000).select(F.format_string("http://host/%06d", F.col("id") * 7 % 100_000).alias("v"))
+    some = cleaning.category_codes(values.where("v < 'http://host/050000' or v is null"), "v")
+    codes = {r.v: r.code for r in some.collect()}
+    assert codes == {f"http://host/{k:06d}": k for k in range(50_000)}
+    ranked = cleaning._ranked(values, "v")
+    assert ranked.withColumn("part", F.spark_partition_id()).groupBy("part").count().agg(F.max("count")).first()[0] < 50_000
+    grown = {r.v: r.code for r in cleaning.grown_codes(some, values.unionByName(spark.createDataFrame([(None,), ("a",)], "v string")), "v").collect()}
+    assert {v: grown[v] for v in codes} == codes
+    assert grown["a"] == 50_000 and grown["http://host/050000"] == 50_001 and grown["nan"] == len(grown) - 1 == 100_001
+    assert cleaning.grown_codes(some, values.limit(0), "v").count() == 50_000
+
+
+def test_balanced_sample_shuffles_few_rows(spark):
+    rows = spark.range(50_000).select("id", (F.col("id") % 10 == 0).cast("int").alias("label"), F.lit("payload").alias("x"))
+    sample = cleaning.balanced_sample(rows, "label", "id", 200)
+    assert sorted(r["count"] for r in sample.groupBy("label").count().collect()) == [100, 100]
+    plan = sample._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    drawn = sorted((hashlib.md5(f"42:{i}".encode()).hexdigest(), i) for i in range(0, 50_000, 10))[:100]
+    assert {r.id for r in sample.where("label = 1").collect()} == {i for _, i in drawn}

@@ -102,6 +102,14 @@ def p7_category_codes(d: Derived):
     return cleaning.encode_categories(d.flows.select("log_id", "protocol", "event_type"), ["protocol", "event_type"])
 
 
+@query
+def p7_grown_codes(d: Derived):
+    """Targets of the first hour, coded, and what codes those that come later get."""
+    targets = d.flows.select("ts", F.concat("source_ip", F.lit(">"), "dest_ip").alias("route"))
+    first = cleaning.category_codes(targets.where(F.col("ts") < F.timestamp_micros(F.lit(1704067200000000 + 3_600_000_000))), "route")
+    return cleaning.grown_codes(first, targets, "route")
+
+
 @query
 def p8_derived_rate(d: Derived):
     return d.flows.select("log_id", S.derived_rate("packets", "duration_seconds").alias("rate"))

@@ -12,7 +12,7 @@ from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import risk_level
 from threatlake.operators import allowlist, decisions, features, killchain, response, scoring, validation
 from threatlake.operators.running import measure, micros
-from threatlake.session import small_table
+from threatlake.session import materialise, small_table
 from threatlake.sources import events_adapter
 
 # Attack names of the event kinds.
@@ -20,7 +20,10 @@ ATTACK_TYPE = "case event_type when 'view' then 'normal' when 'click' then 'brut
 
 
 class Derived:
-    """Lazily built tables; each property is a plan, nothing runs until it is used."""
+    """Lazily built tables. Scores, threats, validations and the context of decisions, on which most
+    queries build several times, are written once to the shared folder when they are first used; the
+    others are plans over these.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT):
         self.spark, self.dir, self._cfg = spark, sf_dir, cfg
@@ -50,7 +53,7 @@ class Derived:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self._score(self.flows, self.cfg)
+        return materialise(self._score(self.flows, self.cfg), "scores")
 
     @cached_property
     def scores_raw(self) -> DataFrame:
@@ -61,12 +64,12 @@ class Derived:
             "log_id", "source_ip", "ts", "combined", "risk_level", "session_deviation", "request_rate", "dest_port", "protocol", "bytes_sent",
             "duration_seconds", "user_agent", "sqli_pattern", "failed_logins", "repeated_beaconing", "is_attack", "event_type")
         counted = decisions.prior_threats(over, self.cfg)
-        return counted.withColumns({
+        return materialise(counted.withColumns({
             "created_at": F.col("ts") + F.expr("interval 1 second"),
             "confidence_score": F.col("combined"),
             "threat_type": F.expr(ATTACK_TYPE),
             "action_taken": decisions.simple_action("combined", "risk_level", F.col("prior") >= 3),
-        })
+        }), "threats")
 
     @cached_property
     def threats(self) -> DataFrame:
@@ -137,7 +140,7 @@ class Derived:
 
     @cached_property
     def validations(self) -> DataFrame:
-        return validation.validate_actions(self.actions, self.scores, self.cfg)
+        return materialise(validation.validate_actions(self.actions, self.scores, self.cfg), "validations")
 
     @cached_property
     def metrics(self) -> DataFrame:
