@@ -56,6 +56,14 @@ def test_without_ids(spark):
     assert sorted(r.text for r in left.collect()) == ["a", "c"]
 
 
+def test_columns_of_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b", "x", 1, True), (2, "ab", "y", 2, False), (3, "c", "z", 3, True)], "doc_id bigint, text string, _sha string, _h int, _maybe boolean")
+    kept = drop_duplicates(df)
+    assert kept.columns == df.columns and sorted(map(tuple, kept.collect())) == [(1, "a b", "x", 1, True), (3, "c", "z", 3, True)]
+    left = without_ids(df.withColumn("_gone", F.lit("g")), spark.createDataFrame([(1,)], "doc_id bigint"))
+    assert left.columns == [*df.columns, "_gone"] and sorted(r.doc_id for r in left.collect()) == [2, 3]
+
+
 def test_common_lines(odd_docs, odd_rows, no_docs):
     def key(line):
         return "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(SPACES))

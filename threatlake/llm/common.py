@@ -30,6 +30,17 @@ def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of one's own, none of which a table with ``columns`` has (in any case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def drop_tables(*frames: DataFrame) -> None:
     """Delete stored intermediate tables that no later plan reads."""
     for frame in frames:

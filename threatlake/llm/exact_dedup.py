@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from threatlake.llm.common import SPACES, text_or_empty
+from threatlake.llm.common import SPACES, text_or_empty, unused
 from threatlake.session import materialise
 
 #: Bits of filter for each row, and hashes set for each row: about 0.3 % false alarms.
@@ -93,9 +93,8 @@ def may_hold(filter_: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return _holds(filter_, _bits(hashes, len(filter_) * 8))
 
 
-def _flagged(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """``rows`` with ``maybe``: the hash in column ``h`` may be one that repeats."""
-    held = rows.sparkSession.sparkContext.broadcast(filter_)
+def _flagged(rows: DataFrame, held) -> DataFrame:
+    """``rows`` with ``maybe``: the hash in column ``h`` may be one that repeats, by a broadcast filter."""
 
     def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,12 +127,15 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = []
     for low, high in zip(edges, edges[1:]):
         own = narrow.where(F.col("h").between(low, high - 1))
-        parts.append(_flagged(own, bloom(own.select("h"), -(-rows // rounds), "again")))
+        held = spark.sparkContext.broadcast(bloom(own.select("h"), -(-rows // rounds), "again"))
+        part = _flagged(own, held)
+        if rounds > 1:  # stored, so that a filter is let go before the next is built; with one round nothing is gained
+            part = materialise(part, "dedup-flags")
+            held.destroy()
+        parts.append(part)
     flagged = parts[0]
     for part in parts[1:]:
         flagged = flagged.unionAll(part)
-    if rounds > 1:  # each round's filter is let go before the next; with one round nothing is gained by storing
-        flagged = materialise(flagged, "dedup-flags")
     single = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = flagged.where("maybe")
     # ``~`` turns the order round without the overflow of ``-``; a null is the least.
@@ -152,32 +154,33 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     tell apart, more rows are shuffled and the result is the same.
     """
     names = df.columns
-    hashed = df.withColumns({"_sha": F.sha2(normalised(text_col), 256)}).withColumn("_h", F.xxhash64("_sha"))
-    hashes = materialise(hashed.select("_h"), "dedup-hashes")
+    sha, h, repeats = unused(names, "_sha", "_h", "_maybe")
+    hashed = df.withColumns({sha: F.sha2(normalised(text_col), 256)}).withColumn(h, F.xxhash64(sha))
+    hashes = materialise(hashed.select(h), "dedup-hashes")
     held = df.sparkSession.sparkContext.broadcast(bloom(hashes, hashes.count(), "again"))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(may_hold(held.value, h.to_numpy()))
 
-    flagged = hashed.withColumn("_maybe", maybe("_h"))
+    flagged = hashed.withColumn(repeats, maybe(h))
     points = F.char_length(text_or_empty(text_col))
     row = F.struct(*(F.col(f"`{c}`") for c in names))
-    kept = flagged.where("_maybe").groupBy("_sha").agg(
+    kept = flagged.where(F.col(repeats)).groupBy(sha).agg(
         F.max_by(row, F.struct(points.alias("points"), F.bitwise_not(F.col(id_col)).alias("last"))).alias("row")).select("row.*")
-    return flagged.where("not _maybe").select(*names).unionAll(kept)
+    return flagged.where(~F.col(repeats)).select(*(F.col(f"`{c}`") for c in names)).unionAll(kept)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows of ``df`` whose id is not in the one column of ``ids``. Only rows that a Bloom filter
-    of the ids holds are shuffled; a null id is in no list."""
+    of the ids holds are shuffled; a null id is in no list. An empty table or list changes nothing."""
     held = df.sparkSession.sparkContext.broadcast(bloom(ids, ids.count()))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(may_hold(held.value, h.to_numpy()))
 
-    flagged = df.withColumn("_maybe", F.col(id_col).isNotNull() & maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
-    gone = ids.toDF("_gone")
-    rest = flagged.where("_maybe").join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return flagged.where("not _maybe").unionAll(rest).drop("_maybe")
+    held_name, gone_id = unused(df.columns, "_maybe", "_gone")
+    flagged = df.withColumn(held_name, F.col(id_col).isNotNull() & maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0))))
+    rest = flagged.where(F.col(held_name)).join(ids.toDF(gone_id), F.col(id_col) == F.col(gone_id), "left_anti")
+    return flagged.where(~F.col(held_name)).unionAll(rest).drop(held_name)
