@@ -225,3 +225,11 @@ SQL["a8_weekly_sources"] = """select cast(cast(date_trunc('week', ts) as date) a
 SQL["g2_stream_releases"] = """select case when epoch_us(ts) < 1704067200000000 + 3600000000 then cast(1 as bigint) else 2 end as release, count(*) as rows, true as alike, true as in_range from flows group by 1"""
 EXTRA["routes"] = "select concat(source_ip, '>', dest_ip) as route, min(ts) >= timestamp '2024-01-01 01:00:00' as fresh from flows group by 1"
 SQL["p7_grown_codes"] = "select route, row_number() over (order by fresh, route) - 1 as code from routes"
+_KIND = "case when event_type in ('signup', 'purchase') then 'b' else 'a' end"
+SQL["u1_registered_folder"] = f"""select cast(is_attack as bigint) as label, cast(dest_port as bigint) as dst_port, count(*) as n, cast(sum(packets) as double) as packets, round(sum(duration_seconds), 3) as duration,
+  cast(sum(case {_KIND} when 'a' then packets else bytes_sent end) as double) as src_bytes,
+  cast(sum(case {_KIND} when 'a' then case protocol when 'TCP' then 6 when 'UDP' then 17 when 'ICMP' then 1 else 47 end else case event_type when 'purchase' then 0 else 1 end end) as double) as protocols from flows group by 1, 2"""
+EXTRA["held_rows"] = "select is_attack, count(*) - count(*)*80//100 as n from flows group by 1"
+SQL["m13_registered_report"] = """select detector, class, cast(case class when 'normal' then (select n from held_rows where not is_attack) when 'attack' then (select n from held_rows where is_attack)
+  else (select sum(n) from held_rows) end as bigint) as support, true as rates_hold
+  from (values ('isolation_forest'), ('one_class_svm'), ('either')) d(detector), (values ('normal'), ('attack'), ('macro'), ('weighted')) c(class)"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threatlake.config import Config
 from threatlake.operators import features
 from threatlake.operators.running import HotKeys
-from threatlake.plans import pipeline
+from threatlake.plans import load_queries, pipeline, registry
 from threatlake.plans.derived import Derived
 
 
@@ -38,3 +38,11 @@ def test_plans(spark, sf_dir):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint>" in text  # column pruning reaches the scan
     for df in (d.context, d.validations, d.metrics):
         assert "CartesianProduct" not in plan(df) and "BatchEvalPython" not in plan(df)
+
+
+def test_reused_tables_are_read_once(spark, sf_dir):
+    """Queries that build on scores and threats several times scan events only to store them."""
+    for name in ("a3_threat_stats", "a7_window_metrics", "l1_threshold_path", "v1_action_validation"):
+        assert name in registry.REUSE and name in load_queries()
+        assert plan(load_queries()[name](spark, sf_dir)).count("events.parquet") == 0
+    assert registry.REUSE <= set(load_queries())

@@ -34,6 +34,29 @@ def test_layout_b_and_merge(spark, tmp_path):
     assert named.first()[:] == ("1.1.1.1", "5")
 
 
+def test_folder_of_differing_headers(spark, tmp_path):
+    """Three header lines, two of one layout in another order, files split into several blocks, and one that is unknown."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    many = "".join(f"{k}.5,6,3,4,80,BENIGN\n" for k in range(3000))
+    write(folder / "a1.csv", " Flow Duration, Protocol, Total Fwd Packets, Total Backward Packets, Destination Port, Label\n" + many)
+    write(folder / "a2.csv", "Label,Flow Duration,Destination Port\nDDoS,5,443\nDDoS,7,443\n")
+    write(folder / "a3.csv", "Label,Flow Duration,Destination Port\nDDoS,9,22\n")
+    write(folder / "b.csv", "srcip,proto,dur,sbytes,spkts,dsport,label\n1.1.1.1,udp,2,10,4,53,1\n1.1.1.1,tcp,2,10,4,53,0\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        found = {len(r.files): r.header for r in flow_csv.header_lines(spark, str(folder)).collect()}
+        assert sorted(found) == [1, 2] and found[2].startswith("Label,")
+        rows = flow_csv.register(spark, str(folder))
+        assert rows.columns == flow_csv.UNIFIED and rows.count() == 3005
+        assert {(r.label, r.dst_port): r["count"] for r in rows.groupBy("label", "dst_port").count().collect()} == {(0, 80): 3000, (1, 443): 2, (1, 22): 1, (1, 53): 1, (0, 53): 1}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    write(folder / "c.csv", "x,y\n1,2\n")
+    with pytest.raises(ValueError, match="no known layout"):
+        flow_csv.register(spark, str(folder))
+
+
 def test_records(spark):
     df = spark.createDataFrame([(1, "9.9.9.9", "x"), (2, None, "443")], "id int, source_ip string, dest_port string")
     a, b = ingest.to_records(df, "id", 5).orderBy("id").collect()

@@ -358,6 +358,13 @@ def u1_stacked_datasets(d: Derived):
     return first.unionByName(second).groupBy("label", "source_ip").agg(F.count("*").alias("n"), F.sum("packets").alias("packets"))
 
 
+@query
+def u1_registered_folder(d: Derived):
+    """A folder of CSV files with three header lines in one table."""
+    return d.registered.groupBy("label", "dst_port").agg(
+        F.count("*").alias("n"), F.sum("packets").alias("packets"), F.round(F.sum("duration"), 3).alias("duration"), F.sum("src_bytes").alias("src_bytes"), F.sum("protocol").alias("protocols"))
+
+
 @query
 def u2_merged_feed(d: Derived):
     return reports.newest(reports.merge_feeds(d.sim_events, d.threats), "created_at", "log_id", 500).drop("confidence_score")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import cached_property
 
@@ -12,21 +13,25 @@ from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import risk_level
 from threatlake.operators import allowlist, decisions, features, killchain, response, scoring, validation
 from threatlake.operators.running import measure, micros
-from threatlake.session import materialise, small_table
-from threatlake.sources import events_adapter
+from threatlake.session import materialise, shared_dir, small_table
+from threatlake.sources import events_adapter, flow_csv
 
 # Attack names of the event kinds.
 ATTACK_TYPE = "case event_type when 'view' then 'normal' when 'click' then 'brute_force' when 'signup' then 'zero_day' when 'purchase' then 'ddos' else 'port_scan' end"
 
 
 class Derived:
-    """Lazily built tables. Scores, threats, validations and the context of decisions, on which most
-    queries build several times, are written once to the shared folder when they are first used; the
-    others are plans over these.
+    """Lazily built tables; each property is a plan, nothing runs until it is used.
+
+    With ``reuse``, for queries that build on them several times, scores, threats and validations are
+    written once to the shared folder when they are first used.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT):
-        self.spark, self.dir, self._cfg = spark, sf_dir, cfg
+    def __init__(self, spark: SparkSession, sf_dir: str, cfg: Config = DEFAULT, reuse: bool = False):
+        self.spark, self.dir, self._cfg, self._reuse = spark, sf_dir, cfg, reuse
+
+    def _kept(self, df: DataFrame, label: str) -> DataFrame:
+        return materialise(df, label) if self._reuse else df
 
     @cached_property
     def cfg(self) -> Config:
@@ -44,6 +49,19 @@ class Derived:
     def flows_raw(self) -> DataFrame:
         return events_adapter.flows(self.spark, self.dir, compress=False)
 
+    @cached_property
+    def registered(self) -> DataFrame:
+        """All flows written as CSV files of three header lines in two layouts, and read back as one."""
+        path = f"{shared_dir(self.spark)}/csv-{uuid.uuid4().hex}"
+        number = F.expr("case protocol when 'TCP' then 6 when 'UDP' then 17 when 'ICMP' then 1 else 47 end")
+        a = {"Source IP": F.col("source_ip"), "Destination Port": F.col("dest_port"), "Source Port": F.col("src_port"), "Protocol": number, "Flow Duration": F.col("duration_seconds"),
+             "Total Fwd Packets": F.col("packets"), "Total Backward Packets": F.lit(0), "Label": F.when(F.col("event_type") == "view", "BENIGN").otherwise("Attack")}
+        b = {"srcip": F.col("source_ip"), "sport": F.col("src_port"), "dsport": F.col("dest_port"), "proto": F.lower("protocol"), "dur": F.col("duration_seconds"), "sbytes": F.col("bytes_sent"),
+             "dbytes": F.lit(0), "spkts": F.col("packets"), "label": F.col("is_attack").cast("int")}
+        for kinds, columns in (("'view', 'click'", a), ("'error'", dict(reversed(a.items()))), ("'signup', 'purchase'", b)):
+            self.flows.where(f"event_type in ({kinds})").select(*(e.alias(f" {n}") for n, e in columns.items())).write.option("header", True).mode("append").csv(path)
+        return materialise(flow_csv.register(self.spark, path), "registered")
+
     def as_of(self, df: DataFrame | None = None, ts: str = "ts") -> Column:
         return (self.flows if df is None else df).agg(F.max(ts)).scalar()
 
@@ -53,7 +71,7 @@ class Derived:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return materialise(self._score(self.flows, self.cfg), "scores")
+        return self._kept(self._score(self.flows, self.cfg), "scores")
 
     @cached_property
     def scores_raw(self) -> DataFrame:
@@ -64,7 +82,7 @@ class Derived:
             "log_id", "source_ip", "ts", "combined", "risk_level", "session_deviation", "request_rate", "dest_port", "protocol", "bytes_sent",
             "duration_seconds", "user_agent", "sqli_pattern", "failed_logins", "repeated_beaconing", "is_attack", "event_type")
         counted = decisions.prior_threats(over, self.cfg)
-        return materialise(counted.withColumns({
+        return self._kept(counted.withColumns({
             "created_at": F.col("ts") + F.expr("interval 1 second"),
             "confidence_score": F.col("combined"),
             "threat_type": F.expr(ATTACK_TYPE),
@@ -140,7 +158,7 @@ class Derived:
 
     @cached_property
     def validations(self) -> DataFrame:
-        return materialise(validation.validate_actions(self.actions, self.scores, self.cfg), "validations")
+        return self._kept(validation.validate_actions(self.actions, self.scores, self.cfg), "validations")
 
     @cached_property
     def metrics(self) -> DataFrame:

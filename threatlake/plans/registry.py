@@ -36,6 +36,13 @@ def plain(df: DataFrame) -> DataFrame:
 CUT = replace(DEFAULT, skew=SkewConfig(shares=200, min_rows=20, cell_us=600_000_000))
 
 
+#: Queries that build on the same scores, threats or validations several times.
+REUSE = {
+    "a3_threat_stats", "a7_window_metrics", "a9_weekly_health", "l1_threshold_path", "l2_weekly_nudges", "m11_retrain_trigger", "v1_action_validation", "j5_scores_around_action", "j11_similar_cases",
+    "k7_score_decision", "k8_action_choice", "t3_ranked_actions", "c5_unblocked", "g4_stream_quality", "g5_stream_validation", "g6_stream_approvals", "g6_stream_rollback", "g9_thresholds", "g9_metrics",
+    "g9_impact"}
+
+
 def cut_twins(*names: str) -> None:
     """Register ``<name>_cut``: the same query on the plan for hot keys."""
     for name in names:
@@ -53,6 +60,6 @@ def query(build: Callable[[Derived], DataFrame]):
 def _runner(build: Callable[[Derived], DataFrame], cfg: Config) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-        return plain(build(Derived(spark, sf_dir, cfg)))
+        return plain(build(Derived(spark, sf_dir, cfg, build.__name__ in REUSE)))
 
     return run
