@@ -62,7 +62,13 @@ class Derived:
             self.flows.where(f"event_type in ({kinds})").select(*(e.alias(f" {n}") for n, e in columns.items())).write.option("header", True).mode("append").csv(path)
         return materialise(flow_csv.register(self.spark, path), "registered")
 
+    @cached_property
+    def _newest(self) -> int | None:
+        return self.flows.agg(F.max(micros("ts"))).first()[0]
+
     def as_of(self, df: DataFrame | None = None, ts: str = "ts") -> Column:
+        if df is None and self._reuse:
+            return F.timestamp_micros(F.lit(self._newest).cast("bigint"))
         return (self.flows if df is None else df).agg(F.max(ts)).scalar()
 
     @staticmethod
