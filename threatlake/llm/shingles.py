@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Bytes of text hashed at a time; a single longer text is handled whole.
-BATCH_BYTES = 1_500_000
-_BASE = 0xD6E8FEB86659FD93
+from threatlake.llm.pretokens import mixed
+
+#: Bytes of text hashed at a time. Longer texts are cut at white space.
+BATCH_BYTES = 750_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANK = re.compile(rb"[ \t-\r]")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -25,45 +28,60 @@ class Shingler:
 
     def __init__(self, words: int = 5):
         self.words = words
-        self._up = self._down = np.ones(1, np.uint64)
         rng = np.random.default_rng(words)
         self._places = rng.integers(1, 1 << 62, words, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def _powers(self, n: int) -> None:
-        if len(self._up) <= n:
-            self._up, self._down = (np.full(n + 1, b, np.uint64) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-            self._up[0] = self._down[0] = 1
-            np.cumprod(self._up, out=self._up)
-            np.cumprod(self._down, out=self._down)
+    def _words(self, coded: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Hashes of the words of all texts, and the places where each text's begin and the last ends."""
+        data = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
+        blank = _SPACE[data]
+        starts = ~blank & np.concatenate([[True], blank[:-1]])
+        first = np.flatnonzero(starts)
+        last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
+        places = np.arange(len(data), dtype=np.uint32)
+        places -= np.maximum.accumulate(np.where(starts, places, 0))
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(mixed(data, places), out=total[1:])
+        ends = np.cumsum([len(c) + 1 for c in coded])
+        return _mix(total[last] - total[first] + np.uint64(1)), np.concatenate([[0], np.searchsorted(first, ends)]).tolist()
+
+    def _shingles(self, hashes: np.ndarray) -> np.ndarray:
+        n = max(0, len(hashes) - self.words + 1)
+        shingles = np.zeros(n, np.uint64)
+        for k, m in enumerate(self._places):
+            shingles += hashes[k:k + n] * m
+        return _mix(shingles)
+
+    def _whole(self, hashes: np.ndarray) -> np.ndarray:
+        """Of fewer words than a shingle has."""
+        if not len(hashes):
+            return np.zeros(0, np.uint64)
+        return _mix(np.array([(hashes * self._places[:len(hashes)]).sum(dtype=np.uint64) + np.uint64(len(hashes))]))
+
+    def _long(self, data: bytes) -> np.ndarray:
+        held, found, at = np.zeros(0, np.uint64), np.zeros(0, np.uint64), 0
+        while at < len(data):
+            cut = _BLANK.search(data, at + BATCH_BYTES)
+            end = cut.start() if cut else len(data)
+            held, at = np.concatenate([held, self._words([data[at:end]])[0]]), end
+            if len(held) >= self.words:
+                found = np.union1d(found, self._shingles(held))
+                held = held[len(held) - self.words + 1:]
+        return found if len(found) else self._whole(held)
 
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """Sorted distinct hashes of each text's shingles."""
         coded = [t.encode().lower() for t in texts]  # of bytes, only A-Z have a lower case
-        data = np.frombuffer(b"\n".join([*coded, b""]), np.uint8)
-        blank = _SPACE[data]
-        first = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
-        last = np.flatnonzero(~blank & np.concatenate([blank[1:], [True]])) + 1
-        self._powers(len(data))
         with np.errstate(over="ignore"):
-            total = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(11)) * self._up[:len(data)], out=total[1:])
-            hashes = _mix((total[last] - total[first]) * self._down[first] + np.uint64(1))
-            ends = np.cumsum([len(c) + 1 for c in coded])
-            edges = np.concatenate([[0], np.searchsorted(first, ends)]).tolist()
-            n = max(0, len(hashes) - self.words + 1)
-            shingles = np.zeros(n, np.uint64)
-            for k, m in enumerate(self._places):
-                shingles += hashes[k:k + n] * m
-            shingles = _mix(shingles)
-            out = []
-            for a, b in zip(edges, edges[1:]):
-                if b - a >= self.words:
+            hashes, edges = self._words([c if len(c) <= BATCH_BYTES else b"" for c in coded])
+            shingles, out = self._shingles(hashes), []
+            for a, b, c in zip(edges, edges[1:], coded):
+                if len(c) > BATCH_BYTES:
+                    out.append(self._long(c))
+                elif b - a >= self.words:
                     out.append(np.unique(shingles[a:b - self.words + 1]))
-                elif b > a:
-                    whole = (hashes[a:b] * self._places[:b - a]).sum(dtype=np.uint64) + np.uint64(b - a)
-                    out.append(_mix(np.array([whole])))
                 else:
-                    out.append(np.zeros(0, np.uint64))
+                    out.append(self._whole(hashes[a:b]))
         return out
 
 
