@@ -29,18 +29,19 @@ from pyspark.sql import functions as F
 
 from threatlake.llm.components import connected
 from threatlake.llm.exact_dedup import bloom, may_hold, without_ids
+from threatlake.llm.pretokens import release
 from threatlake.llm.shingles import Shingler, batches_of
 from threatlake.session import materialise
 
 #: Shingles of a bucket, in which they are counted or joined in one task.
-BUCKET_SHINGLES = 4_000_000
+BUCKET_SHINGLES = 2_500_000
 #: Shingles in at least so many documents may come last in the order; at most so many do, the
 #: least frequent of them first given up. The bound is on what is broadcast: any order is right.
 FREQUENT_DOCS, FREQUENT_SHINGLES = 16, 1_000_000
 #: Fragments of the global order: FRAGMENTS - 1 of rare shingles and one of frequent ones.
 FRAGMENTS = 4
 #: Shingles that a task holds before it passes them on.
-PENDING = 2_000_000
+PENDING = 1_200_000
 #: Documents of a list that are compared in one block, and rows of lists in one task.
 BLOCK_DOCS, LIST_ROWS = 2_048, 100_000
 
@@ -62,6 +63,7 @@ def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tu
                 continue
             seen.add(mark)
             yield name, tokens
+    release()
 
 
 def _bitmap(tokens: np.ndarray) -> bytes:
@@ -88,6 +90,7 @@ def _describe(words: int):
             yield pa.record_batch({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "n_shingles": pa.array([len(s) for s in sets], pa.int64()),
                                    "s1": pa.array([a for a, _ in marks], pa.int64()), "s2": pa.array([b for _, b in marks], pa.int64()),
                                    "bits": pa.array([_bitmap(s) if len(s) else None for s in sets], pa.binary())})
+        release()
 
     return run
 
@@ -327,6 +330,7 @@ def _fragments(words: int, buckets: int, frequent, wanted):
                         out.append((name, *mark, k, part.tobytes()))
             yield pa.record_batch({"doc": pa.array([x[0] for x in out], pa.int64()), "s1": pa.array([x[1] for x in out], pa.int64()), "s2": pa.array([x[2] for x in out], pa.int64()),
                                    "fragment": pa.array([x[3] for x in out], pa.int32()), "tokens": pa.array([x[4] for x in out], pa.binary())})
+        release()
 
     return run
 
