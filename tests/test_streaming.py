@@ -9,6 +9,7 @@ from threatlake.operators import validation
 from threatlake.operators.features import ip_share
 from threatlake.operators.running import HotKeys, micros
 from threatlake.config import Config
+from threatlake.plans import load_queries
 from threatlake.plans.derived import Derived
 from threatlake.streaming import late, pipeline, sources
 
@@ -71,6 +72,13 @@ def test_spans_and_first_blocks(spark, d, tmp_path):
     assert sorted((r.target_ip, r.action_id) for r in got.collect()) == [("a", 1), ("b", 4)]
 
 
+def test_open_spans_are_listed(spark, d, sf_dir):
+    """Every flow is in a span, those of spans that are open when the input ends too."""
+    found = load_queries()["g7_activity_spans"](spark, sf_dir)
+    assert found.agg(F.sum("events")).first()[0] == d.flows_raw.count()
+    assert found.agg(F.max("inactive_from")).first()[0] == d.flows_raw.agg(F.max(micros("ts"))).first()[0] + 7_200_000_000
+
+
 def test_first_blocks_last(spark, tmp_path):
     """Half an hour between micro-batches, far past the watermark: a target is blocked once."""
     for k in range(4):

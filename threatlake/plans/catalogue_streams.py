@@ -24,11 +24,12 @@ from threatlake.streaming import late, pipeline, sources
 _MIDDLE = 1704067200000000 + 3_600_000_000
 
 
-def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def drain(stream: DataFrame, keys: list[str] | None = None, complete: bool = False) -> DataFrame:
     """Run a stream until its input is used up; results go to a table in the shared folder.
 
     A micro-batch that is retried overwrites its own folder, so every row is kept once. With ``keys``
     the stream is one of updates: micro-batches write what they changed and the last row of a key counts.
+    With ``complete`` each micro-batch writes the whole result over the one before, what is still open too.
     """
     spark = stream.sparkSession
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
@@ -37,9 +38,9 @@ def drain(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
         return sources.read_changed(spark, f"{path}/rows", stream.schema, keys)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/rows/batch={0 if complete else batch_id}")
 
-    job = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    job = stream.writeStream.foreachBatch(write).outputMode("complete" if complete else "append").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     job.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows").select(*stream.columns)
 
@@ -132,8 +133,10 @@ def g6_stream_rollback(d: Derived):
 
 @query
 def g7_activity_spans(d: Derived):
-    """Spans that have closed: those whose two silent hours the watermark has left behind."""
-    return drain(pipeline.activity_spans(_stream(d, compress=False), cfg=d.cfg))
+    """All spans, those too that are still open when the input ends."""
+    stream = _stream(d, compress=False)
+    pipeline.lists_in_state(stream)  # the state of all spans is held on disk
+    return drain(pipeline.activity_spans(stream, cfg=d.cfg), complete=True)
 
 
 @query
