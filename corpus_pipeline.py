@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from threatlake.llm import toxicity
 from threatlake.llm.bpe import encode_documents
@@ -33,7 +34,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["mix_position"], decode=False).select("doc_id", "mix_position", "n_tokens", "ids")
+    """Documents as ids, each decoded again: one that doesn't decode to a token for each of its ids is an error."""
+    coded = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep=["mix_position"])
+    decoded = F.when(F.col("decoded") == "", 0).otherwise(F.size(F.split("decoded", " ")))
+    wrong = F.raise_error(F.concat(F.lit("ids and decoded text differ in document "), F.coalesce(F.col("doc_id").cast("string"), F.lit("without an id"))))
+    return coded.select("doc_id", "mix_position", "n_tokens", F.when(decoded == F.col("n_tokens"), F.col("ids")).otherwise(wrong).alias("ids"))
 
 
 STAGES = [

@@ -104,3 +104,14 @@ def test_run_by_hand(spark, tmp_path):
     found = corpus_pipeline.run(spark, str(tmp_path))
     assert found.columns == ["doc_id", "mix_position", "n_tokens", "ids"]
     assert Counter(map(tuple, found.collect())) == Counter((i, position[i], len(x), " ".join(map(str, x))) for i, x in ids.items())
+
+
+def test_encoded_documents_are_decoded(spark, monkeypatch):
+    """The last stage decodes its ids, and notices a document that loses a token by it."""
+    docs = spark.createDataFrame([(1, "one two  three", 0), (2, "", 1), (3, None, 2)], "doc_id bigint, text string, mix_position bigint")
+    found = {r.doc_id: r.n_tokens for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    assert found[1] >= 3 and found[2] == found[3] == 0
+    whole = corpus_pipeline.encode_documents
+    monkeypatch.setattr(corpus_pipeline, "encode_documents", lambda *a, **b: whole(*a, **b).withColumn("decoded", F.regexp_replace("decoded", " [^ ]+$", "")))
+    with pytest.raises(Exception, match="document 1"):
+        corpus_pipeline.encode(spark, docs, "").collect()
