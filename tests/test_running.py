@@ -87,3 +87,17 @@ def test_measure_is_bounded_and_lookup_is_whole(spark, rows):
     counts = {k: sum(1 for r in rows if r[1] == k) for k in {r[1] for r in rows}}
     assert all(r.n == counts[r.key] for r in joined.collect())
     assert not HotKeys()
+
+
+def test_tasks_grow_with_the_table(spark):
+    """Windows and lookups of large tables are dealt to more tasks than the session's number, with the same rows."""
+    df = spark.range(4000).selectExpr("concat('k', id % 300) as source_ip", "id as log_id", "id * 1000 as pos")
+    small = df.groupBy("source_ip").agg(F.count("*").alias("n"))
+    few, many = (Config(skew=SkewConfig(min_rows=200_000, task_rows=t)) for t in (50_000, 100))
+    steps = [lambda cfg: running(df, ["source_ip"], "pos", {"s": ("sum", F.col("log_id"))}, tie="log_id", cfg=cfg),
+             lambda cfg: trailing(df, ["source_ip"], "pos", "log_id", 1, lambda w: {"was": F.lag("log_id").over(w)}, cfg=cfg),
+             lambda cfg: salted_lookup(df, small, "source_ip", "log_id", cfg)]
+    for step in steps:
+        assert step(many).rdd.getNumPartitions() == 40
+        assert step(few).rdd.getNumPartitions() <= 4
+        assert sorted(map(tuple, step(many).collect())) == sorted(map(tuple, step(few).collect()))

@@ -13,12 +13,14 @@ class SkewConfig:
     A key is *hot* when it holds at least ``min_rows`` rows and at least ``1/shares`` of the
     table, so there are never more than ``shares`` hot keys and a table of them is always
     small enough to broadcast. ``cell_us`` is the coarse time cell in which rows of hot keys
-    are counted; a cell above the same share is cut again, evenly in time.
+    are counted; a cell above the same share is cut again, evenly in time. Windows over tables of
+    more than ``task_rows`` rows a task get more tasks.
     """
 
     shares: int = 20_000
     min_rows: int = 200_000
     cell_us: int = 3_600_000_000
+    task_rows: int = 50_000
 
 
 @dataclass(frozen=True)

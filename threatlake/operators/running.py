@@ -30,6 +30,7 @@ class HotKeys:
 
     keys: tuple[tuple[str, int], ...] = ()
     cells: tuple[tuple[str, int, int], ...] = ()
+    rows: int = 0  # of the table that was measured
 
     def __bool__(self) -> bool:
         return bool(self.keys)
@@ -49,16 +50,16 @@ def measure(df: DataFrame, key: str, time_us: Column, cfg: Config = DEFAULT) ->
     skew = cfg.skew
     total = df.count()
     if total < skew.min_rows:
-        return HotKeys()
+        return HotKeys(rows=total)
     cell = F.floor(time_us / F.lit(skew.cell_us)).cast("bigint")
     cells = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("key"), cell.alias("cell")).agg(F.count("*").alias("n"))
     edge = max(skew.min_rows, -(-total // skew.shares))
     parts = F.least(F.ceil(F.col("n") * skew.shares / F.lit(total)), F.ceil(F.col("n") / F.lit(max(skew.min_rows, 1))))
     keys = cells.groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= edge).select("key", parts.cast("int").alias("salts")).collect()
     if not keys:
-        return HotKeys()
+        return HotKeys(rows=total)
     dense = cells.where(F.col("n") >= edge).select("key", "cell", parts.cast("bigint").alias("parts")).collect()
-    return HotKeys(tuple(map(tuple, keys)), tuple(map(tuple, dense)))
+    return HotKeys(tuple(map(tuple, keys)), tuple(map(tuple, dense)), total)
 
 
 def with_slot(df: DataFrame, key: str, time_us: Column, hot: HotKeys, cfg: Config) -> DataFrame:
@@ -81,6 +82,13 @@ def with_slot(df: DataFrame, key: str, time_us: Column, hot: HotKeys, cfg: Confi
     )
 
 
+def dealt(df: DataFrame, keys: Sequence[str], hot: HotKeys | None, cfg: Config) -> DataFrame:
+    """Rows of large tables dealt by ``keys`` to as many tasks as their number asks for, so that what a
+    task sorts doesn't grow with the table. Steps of the same keys and measure share the shuffle."""
+    tasks = -(-(hot.rows if hot is not None else 0) // cfg.skew.task_rows)
+    return df if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(tasks, *keys)
+
+
 def _hot(df: DataFrame, key: str, time_us: Column, cfg: Config) -> HotKeys:
     return measure(df, key, time_us, cfg) if cfg.hot is None else cfg.hot
 
@@ -107,7 +115,7 @@ def running(
     keys = list(keys)
     time_us = F.floor(F.col(pos) / F.lit(scale)).cast("bigint")
     hot = _hot(df, keys[0], time_us, cfg)
-    slotted = with_slot(df, keys[0], time_us, hot, cfg)
+    slotted = dealt(with_slot(df, keys[0], time_us, hot, cfg), [*keys, SLOT] if hot else keys, hot, cfg)
     order = [-F.col(pos)] if backwards else [F.col(pos)]
     if backwards and hot:
         slotted = slotted.withColumn(SLOT, F.when(F.col(SLOT) == WHOLE, F.col(SLOT)).otherwise(-F.col(SLOT)))
@@ -155,7 +163,7 @@ def trailing(
     """
     keys = list(keys)
     hot = _hot(df, keys[0], F.col(pos), cfg)
-    slotted = with_slot(df, keys[0], F.col(pos), hot, cfg)
+    slotted = dealt(with_slot(df, keys[0], F.col(pos), hot, cfg), [*keys, SLOT] if hot else keys, hot, cfg)
     window = Window.partitionBy(*keys, SLOT).orderBy(pos, tie)
     if not hot:
         return slotted.withColumns(build(window)).drop(SLOT)
@@ -216,12 +224,12 @@ def salted_lookup(big: DataFrame, small: DataFrame, key: str, row_id: str, cfg:
     """Left-join ``small`` (one row per key) to ``big``, spreading the rows of hot keys over tasks."""
     hot = _hot(big, key, F.lit(0).cast("bigint"), cfg)
     if not hot:
-        return big.join(small, key, "left")
+        return dealt(big, [key], hot, cfg).join(small, key, "left")
     table = F.broadcast(small_table(big.sparkSession, list(hot.keys), f"{key} string, _salts int"))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     left = big.join(table, key, "left").withColumn("_salt", F.pmod(F.xxhash64(row_id), salts).cast("int")).drop("_salts")
     right = small.join(table, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return dealt(left, [key, "_salt"], hot, cfg).join(right, [key, "_salt"], "left").drop("_salt")
 
 
 def as_of(
