@@ -199,6 +199,20 @@ def test_update_sink_replaces_windows(spark, d, tmp_path):
     assert read() == want
 
 
+def test_replayed_tables_are_made_once(spark, tmp_path):
+    """Each period is one file of its own rows; the rows are computed once and not again for each period, nor all in one task."""
+    made = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda k: made.add(1) or k, "bigint").asNondeterministic()
+    minutes = [k for k in range(240) if not 100 <= k < 140]
+    rows = spark.createDataFrame([(k, T0 + timedelta(minutes=k), T0 + timedelta(minutes=k + k % 3)) for k in minutes], "log_id bigint, ts timestamp, ended timestamp")
+    stream = sources.replay_periods(rows.repartition(6).withColumn("log_id", count("log_id")), f"{tmp_path}/p", "ended", 20)
+    assert stream.columns == ["log_id", "ts"] and made.value <= 2 * len(minutes)
+    sizes = []
+    stream.writeStream.foreachBatch(lambda b, _: sizes.append(sorted(r.log_id for r in b.collect()))).option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start().awaitTermination(300)
+    want = [[k for k in minutes if (k + k % 3) // 20 == p] for p in range(13)]
+    assert [s for s in sizes if s] == [w for w in want if w]
+
+
 def test_late_rows_are_kept(spark, tmp_path):
     """Rows behind the watermark are split off, and the stream plus them is the batch."""
     rows = [[(1, "a", T0, "HIGH", 0.7), (2, "a", T0 + timedelta(hours=5), "HIGH", 0.8)], [(3, "a", T0 + timedelta(hours=4, minutes=55), "LOW", 0.1), (4, "b", T0 + timedelta(hours=2), "HIGH", 0.9)],

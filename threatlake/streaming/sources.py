@@ -32,10 +32,18 @@ def replay_periods(df: DataFrame, path: str, arrival: str, minutes: int) -> Data
 
 
 def _replayed(df: DataFrame, path: str, at: Column, cuts: list[int], drop: list[str] = ()) -> DataFrame:
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        part = df if low is None else df.where(at > low)
-        (part if high is None else part.where(at <= high)).drop(*drop).coalesce(1).write.mode("append").parquet(path)
-    return df.sparkSession.readStream.schema(df.drop(*drop).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    """A file for each part between the cuts. The table is made once, by all tasks, and laid down by parts;
+    what one task copies then is only its own part."""
+    spark, part = df.sparkSession, f"{path}-parts"
+    number = F.lit(0)
+    for cut in cuts:
+        number = number + F.when(at > cut, 1).otherwise(0)
+    df.withColumn("_part", number).drop(*drop).hint("rebalance", "_part").write.partitionBy("_part").parquet(part)
+    kept = df.drop(*drop).schema
+    made = spark.read.schema(StructType([*kept.fields, StructField("_part", LongType())])).parquet(part)
+    for k in range(len(cuts) + 1):
+        made.where(F.col("_part") == k).select(*kept.names).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(kept).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def changed_rows(stream: DataFrame, path: str, checkpoint: str, **trigger):
