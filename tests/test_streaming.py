@@ -141,6 +141,23 @@ def test_validation_parts(spark, d, tmp_path):
     assert a_rows == {tuple(r) for r in want.collect() if r.action_id != extra}
 
 
+def test_validation_blocks_by_hand(spark, tmp_path):
+    """Parts by the engine's own aggregation (no Python call for each block), against pairs formed by hand."""
+    at = lambda k: T0 + timedelta(seconds=k)
+    facts = [(k, f"s{k * k % 7}", at(k * 11 % 3000), k % 97 / 97) for k in range(900)]
+    asks = [(k, f"s{k % 8}", at(k * 37 % 2900)) for k in range(200)] + [(500, "s1", at(60)), (501, "nobody", at(119))]
+    scores = spark.createDataFrame([*facts, (9999, "end", at(90_000), 0.1)], "log_id bigint, source_ip string, ts timestamp, combined double")
+    actions = spark.createDataFrame([*asks, (9999, "end", at(90_000))], "action_id bigint, target_ip string, ts timestamp")
+    got, query = run(pipeline.scores_after(as_stream(spark, actions, f"{tmp_path}/a"), as_stream(spark, scores, f"{tmp_path}/s")), tmp_path, "by_hand")
+    assert query.lastProgress["stateOperators"][0]["operatorName"] == "stateStoreSave"
+    found = {r.action_id: (r.n_after, r.units_after, r.max_after) for r in pipeline.combine_parts(got).collect()}
+    want = {}
+    for k, source, t in asks:
+        own = [v for _, s, x, v in facts if s == source and t < x <= t + timedelta(seconds=60)]
+        want[k] = (len(own), sum(round(v * 1e12) for v in own), max((round(v * 1e12) / 1e12 for v in own), default=None))
+    assert found == want
+
+
 def test_approval_timers(spark, tmp_path):
     m = lambda k: T0 + timedelta(minutes=k)
     queue = spark.createDataFrame([(1, m(0), m(5)), (2, m(0), m(5)), (3, m(1), m(6)), (9, m(9000), m(9005))], "log_id bigint, ts timestamp, expires_at timestamp")
@@ -149,6 +166,23 @@ def test_approval_timers(spark, tmp_path):
     assert {r.log_id: r.status for r in got.collect() if r.log_id < 8} == {1: "APPROVED", 2: "EXPIRED", 3: "REJECTED"}
 
 
+def test_approvals_share_states(spark, tmp_path, monkeypatch):
+    """Many approvals are a few states, with the outcome of each by hand: in time, late, in a later micro-batch, none."""
+    monkeypatch.setattr(pipeline, "_APPROVAL_PARTS", 8, raising=False)
+    at = lambda k: T0 + timedelta(seconds=k)
+    queue = [(k, at(k), at(k + 300)) for k in range(400)]
+    reviews = [(k, at(k + k % 5 * 100), k % 3 == 0) for k in range(400) if k % 7] + [(k, at(k + 290), True) for k in range(0, 400, 2)]
+    q = spark.createDataFrame([*queue, (9999, at(90_000), at(90_300))], "log_id bigint, ts timestamp, expires_at timestamp")
+    r = spark.createDataFrame([*reviews, (9998, at(90_000), True)], "log_id bigint, ts timestamp, approved boolean")
+    got, query = run(pipeline.approval_outcomes(as_stream(spark, q, f"{tmp_path}/q"), as_stream(spark, r, f"{tmp_path}/r")), tmp_path, "shared")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 8
+    want = {}
+    for k, _, end in queue:
+        own = min(((t, yes) for i, t, yes in reviews if i == k and t < end), default=None)
+        want[k] = (("APPROVED" if own[1] else "REJECTED"), own[0]) if own else ("EXPIRED", end)
+    assert {x.log_id: (x.status, x.decided_at.replace(tzinfo=timezone.utc)) for x in got.collect()} == want
+
+
 def test_auto_rollback_rearms(spark, tmp_path):
     m = lambda k: T0 + timedelta(minutes=k)
     scores = spark.createDataFrame([(i, "hot", m(i), 0.9) for i in range(0, 32)] + [(100 + i, "hot", m(31 + i), 0.1) for i in range(1, 20)] + [(200, "cool", m(0), 0.1), (999, "x", m(9000), 0.1)],

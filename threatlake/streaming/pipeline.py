@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -226,65 +227,60 @@ def decide(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 PARTS = "action_id bigint, n bigint, units bigint, max_after double"
 
 
-class _After(StatefulProcessor):
-    """One source's block of time: rows are appended until the watermark has passed it, then its parts are made."""
-
-    def __init__(self, width: int):
-        self.width = width
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of one source as lists of facts (time, amount) and asks (time, kind, action) to the parts of the actions."""
+    names = [f.name for f in _PARTS_ARROW]
+    for batch in batches:
+        facts, asks = (batch.column(k) for k in (0, 1))
+        whose = lambda x: np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
+        field = lambda x, c: x.flatten().field(c).to_numpy(zero_copy_only=False)
+        own, times, amounts = whose(facts), field(facts, "at"), field(facts, "units")
+        order = np.lexsort((times, own))
+        own, times, amounts = own[order], times[order], amounts[order]
+        asker, at, kind = whose(asks), field(asks, "at"), field(asks, "kind")
+        first, last = np.searchsorted(own, np.arange(len(batch)), side="left"), np.searchsorted(own, np.arange(len(batch)), side="right")
+        out = []
+        for k in np.unique(asker):
+            lo, hi, mine = first[k], last[k], np.arange(*np.searchsorted(asker, [k, k + 1]))
+            t, u = times[lo:hi], amounts[lo:hi]
+            sums = np.concatenate([[0], np.cumsum(u)])
+            from_left = np.concatenate([[-1], np.maximum.accumulate(u)])
+            from_right = np.concatenate([np.maximum.accumulate(u[::-1])[::-1], [-1]])
+            cut, rest = np.searchsorted(t, at[mine], side="right"), kind[mine] == 1
+            top = np.where(rest, from_right[cut], from_left[cut])
+            out.append((mine, np.where(rest, len(t) - cut, cut), np.where(rest, sums[-1] - sums[cut], sums[cut]), np.where(top < 0, np.nan, top / 1e12)))
+        if out:
+            mine, n, units, top = (np.concatenate([x[k] for x in out]) for k in range(4))
+            yield pa.record_batch(dict(zip(names, (field(asks, "action_id")[mine].astype(np.int64), n.astype(np.int64), units.astype(np.int64), top))), schema=_PARTS_ARROW)
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.facts = handle.getListState("facts", "at bigint, units bigint")
-        self.asks = handle.getListState("asks", "at bigint, action_id bigint, kind int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        for f in rows:
-            own = f["kind"] == 0
-            for held, part, names in ((self.facts, f[own], ("at", "units")), (self.asks, f[~own], ("at", "action_id", "kind"))):
-                if len(part):
-                    held.appendList([tuple(map(int, row)) for row in zip(*(part[c] for c in names))])
-        if not any(True for _ in self.handle.listTimers()):
-            self.handle.registerTimer((int(key[1]) + 1) * self.width // 1000)
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        facts = np.array(list(self.facts.get()) if self.facts.exists() else [], np.int64).reshape(-1, 2)
-        asks = np.array(list(self.asks.get()) if self.asks.exists() else [], np.int64).reshape(-1, 3)
-        self.facts.clear()
-        self.asks.clear()
-        if not len(asks):
-            return
-        times, amounts = facts[np.argsort(facts[:, 0], kind="stable")].T
-        sums = np.concatenate([[0], np.cumsum(amounts)])
-        from_left = np.concatenate([[-1], np.maximum.accumulate(amounts)])
-        from_right = np.concatenate([np.maximum.accumulate(amounts[::-1])[::-1], [-1]])
-        cut, own = np.searchsorted(times, asks[:, 0], side="right"), asks[:, 2] == 1
-        top = np.where(own, from_right[cut], from_left[cut])
-        yield pd.DataFrame({"action_id": asks[:, 1], "n": np.where(own, len(times) - cut, cut), "units": np.where(own, sums[-1] - sums[cut], sums[cut]),
-                            "max_after": np.where(top < 0, np.nan, top / 1e12)})
-
-    def close(self) -> None:
-        pass
+_PARTS_ARROW = pa.schema([("action_id", pa.int64()), ("n", pa.int64()), ("units", pa.int64()), ("max_after", pa.float64())])
 
 
 def scores_after(actions: DataFrame, scores: DataFrame, seconds: int = 60, cfg: Config = DEFAULT) -> DataFrame:
     """Parts of the score summary in ``(t, t + seconds]`` after each action, see :func:`combine_parts`.
 
-    Keyed by (source, block of ``seconds``): the state is one block's rows and is released when the
-    watermark passes the block. An action asks its own block for what follows it and the next block
-    for what precedes ``t + seconds``; no pair of action and score is formed.
+    Rows are grouped by (source, block of ``seconds``): the engine's state is the lists of one block's
+    rows and is released when the watermark passes the block. An action asks its own block for what
+    follows it and the next block for what precedes ``t + seconds``; no pair of action and score is formed.
     """
-    width = seconds * 1_000_000
-    block = lambda at: F.floor(at / F.lit(width)).cast("bigint")
-    at = F.unix_micros("ts")
+    width = F.expr(f"interval {seconds} seconds")
     units = F.round(F.col("combined") * F.lit(1e12)).cast("bigint")
-    fact = marked(scores, cfg).select("source_ip", "ts", block(at).alias("block"), at.alias("at"), units.alias("units"), F.lit(None).cast("bigint").alias("action_id"), F.lit(0).alias("kind"))
-    asks = marked(actions, cfg).withColumn("kind", F.explode(F.array(F.lit(1), F.lit(2))))
-    reach = at + F.when(F.col("kind") == 2, F.lit(width)).otherwise(F.lit(0))
-    ask = asks.select(F.col("target_ip").alias("source_ip"), "ts", block(reach).alias("block"), reach.alias("at"), F.lit(0).cast("bigint").alias("units"), "action_id", "kind")
+    fact = F.struct(F.unix_micros("ts").alias("at"), units.alias("units"))
+    no_fact = F.lit(None).cast("struct<at: bigint, units: bigint>").alias("fact")
+    facts = marked(scores, cfg).select("source_ip", "ts", fact.alias("fact"), F.lit(None).cast("struct<at: bigint, action_id: bigint, kind: int>").alias("ask"))
+
+    def asked(kind: int) -> DataFrame:
+        # what an action asks of the next block is due later, its mark stays that of the action
+        late = actions.withColumn("ts", F.col("ts") + width) if kind == 2 else actions
+        own = late.withWatermark("ts", f"{cfg.watermark_seconds + (seconds if kind == 2 else 0)} seconds")
+        ask = F.struct(F.unix_micros("ts").alias("at"), "action_id", F.lit(kind).alias("kind"))
+        return own.select(F.col("target_ip").alias("source_ip"), "ts", no_fact, ask.alias("ask"))
 
     lists_in_state(scores)
-    return fact.unionByName(ask).groupBy("source_ip", "block").transformWithStateInPandas(_After(width), PARTS, "Append", "EventTime")
+    blocks = facts.unionByName(asked(1)).unionByName(asked(2)).groupBy("source_ip", F.window("ts", f"{seconds} seconds")).agg(
+        F.collect_list("fact").alias("facts"), F.collect_list("ask").alias("asks"))
+    return blocks.where(F.size("asks") > 0).select("facts", "asks").mapInArrow(_parts, PARTS)
 
 
 def combine_parts(parts: DataFrame) -> DataFrame:
@@ -295,39 +291,48 @@ def combine_parts(parts: DataFrame) -> DataFrame:
 
 # --- approvals that expire --------------------------------------------------------------------------------
 OUTCOMES = "log_id bigint, status string, decided_at timestamp"
+_OPEN, _NEVER = ("log_id", "deadline", "reviewed", "approved"), 2**62
+#: Parts of the open approvals: each is one state, whose approvals are closed together.
+_APPROVAL_PARTS = 2048
 
 
 def approval_outcomes(queue: DataFrame, reviews: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """APPROVED, REJECTED or, when the deadline passes first, EXPIRED for every queued approval.
 
-    ``queue`` has ``log_id, ts, expires_at``; ``reviews`` has ``log_id, ts, approved``. One small
-    state per open approval; the watermark passing the deadline closes it.
+    ``queue`` has ``log_id, ts, expires_at``; ``reviews`` has ``log_id, ts, approved``. The state is the open
+    approvals, in parts by id; the watermark passing the deadline closes an approval.
     """
-    q = marked(queue, cfg).select("log_id", "ts", F.unix_micros("expires_at").alias("deadline"), F.lit(None).cast("bigint").alias("reviewed"), F.lit(None).cast("boolean").alias("approved"))
-    r = marked(reviews, cfg).select("log_id", "ts", F.lit(None).cast("bigint").alias("deadline"), F.unix_micros("ts").alias("reviewed"), "approved")
+    q = marked(queue, cfg).select("log_id", "ts", F.unix_micros("expires_at").alias("deadline"), F.lit(None).cast("bigint").alias("reviewed"), F.lit(None).cast("bigint").alias("approved"))
+    r = marked(reviews, cfg).select("log_id", "ts", F.lit(None).cast("bigint").alias("deadline"), F.unix_micros("ts").alias("reviewed"), F.col("approved").cast("bigint"))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        deadline, reviewed, approved = state.get if state.exists else (None, None, None)
+        columns = list(state.get) if state.exists else [[], [], [], []]
+        held = pd.DataFrame({c: np.array(v, np.int64) for c, v in zip(_OPEN, columns)})
         for f in frames:
-            for d, at, yes in zip(f["deadline"], f["reviewed"], f["approved"]):
-                if pd.notna(d):
-                    deadline = int(d)
-                if pd.notna(at) and (reviewed is None or at < reviewed):
-                    reviewed, approved = int(at), bool(yes)
-        if not state.hasTimedOut:
-            state.update((deadline, reviewed, approved))
-            wait = (deadline if deadline is not None else reviewed) // 1000
-            state.setTimeoutTimestamp(max(wait, state.getCurrentWatermarkMs()) + 1)
-            return
-        state.remove()
-        if deadline is None:
-            return
-        in_time = reviewed is not None and reviewed < deadline
-        status = ("APPROVED" if approved else "REJECTED") if in_time else "EXPIRED"
-        yield pd.DataFrame({"log_id": [key[0]], "status": [status], "decided_at": pd.to_datetime([reviewed if in_time else deadline], unit="us", utc=True)})
-
-    state = "deadline bigint, reviewed bigint, approved boolean"
-    return q.unionByName(r).groupBy("log_id").applyInPandasWithState(step, OUTCOMES, state, "append", GroupStateTimeout.EventTimeTimeout)
+            own = pd.DataFrame({"log_id": f["log_id"], "deadline": f["deadline"].fillna(_NEVER), "reviewed": f["reviewed"].fillna(_NEVER), "approved": f["approved"].fillna(0)}).astype("int64")
+            held = pd.concat([held, own], ignore_index=True)
+        # one row for each approval: its deadline, and the first of its reviews
+        held = held.sort_values(["log_id", "reviewed"], kind="stable")
+        deadline = held.groupby("log_id", sort=True)["deadline"].min()
+        held = held.drop_duplicates("log_id").assign(deadline=deadline.to_numpy())
+        wake = np.where(held["deadline"] < _NEVER, held["deadline"], held["reviewed"]) // 1000 + 1
+        mark = state.getCurrentWatermarkMs()
+        due = wake < mark
+        rest, wake = held[~due], wake[~due]
+        if len(rest):
+            state.update(tuple(rest[c].tolist() for c in _OPEN))
+            state.setTimeoutTimestamp(max(int(wake.min()), mark + 1))
+        elif state.exists:
+            state.remove()
+        done = held[due & (held["deadline"] < _NEVER)]
+        if len(done):
+            in_time = (done["reviewed"] < done["deadline"]).to_numpy()
+            status = np.where(in_time, np.where(done["approved"] == 1, "APPROVED", "REJECTED"), "EXPIRED")
+            yield pd.DataFrame({"log_id": done["log_id"].to_numpy(), "status": status, "decided_at": pd.to_datetime(np.where(in_time, done["reviewed"], done["deadline"]), unit="us", utc=True)})
+
+    state = "log_id array<bigint>, deadline array<bigint>, reviewed array<bigint>, approved array<bigint>"
+    both = q.unionByName(r).withColumn("part", F.pmod(F.xxhash64("log_id"), F.lit(_APPROVAL_PARTS)))
+    return both.groupBy("part").applyInPandasWithState(step, OUTCOMES, state, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- automatic rollback -----------------------------------------------------------------------------------
