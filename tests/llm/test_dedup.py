@@ -1,5 +1,6 @@
 """Exact dedup, line dedup and the n-gram join against brute force."""
 
+import glob
 import hashlib
 import itertools
 from collections import Counter, defaultdict
@@ -14,6 +15,7 @@ from threatlake.llm.components import connected
 from threatlake.llm.exact_dedup import drop_duplicates, exact_duplicates, without_ids
 from threatlake.llm.line_dedup import build_hash, drop_common_lines, number_of
 from threatlake.llm.ngram_join import ngram_components, one_of_each
+from threatlake.session import shared_dir
 
 SPACES = " \t\n\r\x0b\x0c"
 
@@ -140,6 +142,23 @@ def test_ngram_components_of_a_large_group(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(df).collect()} == _components(rows)
 
 
+def test_ngram_components_alike_by_chance(spark):
+    """Documents that share a few phrases with many others are in no list; those that link are found."""
+    rng = np.random.default_rng(7)
+    phrases = [" ".join(f"p{k}_{j}" for j in range(7)) for k in range(900)]
+    rows = [(i, " ".join(x for j, k in enumerate(rng.integers(0, 900, 6)) for x in (*(f"d{i}_{j}_{m}" for m in range(10)), phrases[k]))) for i in range(600)]
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(0, 600, 50)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4).cache()
+    folder = shared_dir(spark)
+    before = set(glob.glob(f"{folder}/lists-*"))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(df).collect()}
+    made = [p for p in set(glob.glob(f"{folder}/lists-*")) - before if "apart" not in p]
+    docs = {r.doc for r in spark.read.parquet(*made).select("doc").collect()}
+    assert found == _components(rows)
+    assert sum(r != i for i, (_, r) in found.items()) == 12
+    assert {i for i in docs if i >= 1000} == {i for i, _ in rows[600:]} and len(docs) < 60
+
+
 def test_connected(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 50), (60, 100), (7, 7)]
     found = {r.node: r.root for r in connected(spark.createDataFrame(edges, "node bigint, root bigint")).collect()}

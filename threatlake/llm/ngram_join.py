@@ -9,12 +9,16 @@ are summed by pair.
 Before that, a pair's bit maps (a bit for each shingle's hash, flipped by every shingle that has it)
 are compared: bits that differ are at most the shingles that do, so pairs with too many are out.
 
+A document links only with documents that have as many of its shingles as the threshold asks for. While
+shingles are counted, each document is told how many of its own others have too; where these are too few,
+as in texts that are alike by chance, it has no links and is in no list.
+
 Only components are wanted, so a link inside a component that is known already need not be
 counted: each prefix shingle first links its documents to one of them, the one with most frequent
 shingles, so that a group of copies meets in one near its common origin. Of documents that share a
 shingle and are still in different components all pairs are looked at, by their bit maps and in
 blocks, and those that may link are counted. Documents with the same shingles are one class from
-the start, and shingles with the same documents one list.
+the start, of which one is listed, and shingles with the same documents one list.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +38,8 @@ from threatlake.llm.pretokens import release
 from threatlake.llm.shingles import Shingler, batches_of
 from threatlake.session import materialise
 
-#: Shingles of a bucket, in which they are counted or joined in one task.
-BUCKET_SHINGLES = 2_500_000
+#: Shingles of a bucket, in which they are counted in one task, and of prefixes that are joined in one.
+BUCKET_SHINGLES, PREFIX_SHINGLES = 2_500_000, 600_000
 #: Shingles in at least so many documents may come last in the order; at most so many do, the
 #: least frequent of them first given up. The bound is on what is broadcast: any order is right.
 FREQUENT_DOCS, FREQUENT_SHINGLES = 16, 1_000_000
@@ -50,14 +55,26 @@ def _signature(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist())
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[int | None, str]]]:
-    return batches_of((i, t.as_py() or "") for b in batches for i, t in zip(b.column(0).to_pylist(), b.column(1)))
+def _texts(batches: Iterator[pa.RecordBatch], wanted=None) -> Iterator[list[tuple[int | None, str]]]:
+    """Ids and texts, with a filter those of the documents that it may hold."""
+
+    def rows() -> Iterator[tuple[int | None, str]]:
+        for b in batches:
+            names, texts = b.column(0), b.column(1)
+            if wanted is None:
+                yield from ((i, t.as_py() or "") for i, t in zip(names.to_pylist(), texts))
+                continue
+            ids = names.fill_null(0).to_numpy(zero_copy_only=False)
+            for k in np.flatnonzero(may_hold(wanted.value, ids) & names.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                yield int(ids[k]), texts[k].as_py() or ""
 
+    return batches_of(rows())
 
-def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int, np.ndarray]]:
+
+def _distinct_sets(batches: Iterator[pa.RecordBatch], words: int, wanted=None) -> Iterator[tuple[int, np.ndarray]]:
     """Documents with an id, of those with the same shingles only a task's first."""
     shingler, seen = Shingler(words), set()
-    for rows in _texts(batches):
+    for rows in _texts(batches, wanted):
         for (name, _), tokens in zip(rows, shingler.sets([t for _, t in rows])):
             if name is None or not len(tokens) or (mark := _signature(tokens)) in seen:
                 continue
@@ -109,53 +126,79 @@ def _key(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return _bucket(tokens, buckets) << np.uint64(32) | tokens & np.uint64(0xFFFFFFFF)
 
 
+_COUNTED = "bucket int, block bigint, keys binary, owners binary, places binary, counts binary, about binary"
+
+
 def _count_shingles(words: int, buckets: int):
-    """Rows of a bucket's keys with their documents, counted within the task before they are shuffled."""
+    """Rows of a bucket's keys with their documents, counted within a block of the task before they are shuffled.
+
+    A key that several documents of the block have is shared already: they are credited for it here. Of the
+    others the owner goes along, so that the bucket can tell the block which of them other blocks have too.
+    """
 
-    def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        bucket = keys >> np.uint64(32)
-        low, more = keys.astype(np.uint32), counts > 1
+    def flush(block: int, held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        sizes = [len(k) for _, k in held]
+        keys, owner = np.concatenate([k for _, k in held]), np.repeat(np.arange(len(held), dtype=np.uint32), sizes)
+        order = np.argsort(keys)
+        keys, owner = keys[order], owner[order]
+        starts, ends = _runs(keys)
+        counts = ends - starts
+        more = counts > 1
+        credit = np.bincount(owner[np.repeat(more, counts)], minlength=len(held))
+        about = np.stack([np.array([i for i, _ in held], np.int64), np.array(sizes, np.int64), credit], axis=1).tobytes()
+        keys, owner = keys[starts], owner[starts]
+        bucket, low = keys >> np.uint64(32), keys.astype(np.uint32)
         for a, b in zip(*_runs(bucket)):
             several = np.flatnonzero(more[a:b])
-            yield pa.record_batch({"bucket": pa.array([int(bucket[a])], pa.int32()), "keys": pa.array([low[a:b].tobytes()], pa.binary()),
-                                   "places": pa.array([several.astype(np.uint32).tobytes()], pa.binary()),
-                                   "counts": pa.array([counts[a:b][several].astype(np.uint32).tobytes()], pa.binary())})
+            packed = {"keys": low[a:b], "owners": owner[a:b], "places": several.astype(np.uint32), "counts": counts[a:b][several].astype(np.uint32)}
+            yield pa.record_batch({"bucket": pa.array([int(bucket[a])], pa.int32()), "block": pa.array([block], pa.int64()),
+                                   **{c: pa.array([x.tobytes()], pa.binary()) for c, x in packed.items()}, "about": pa.array([b"" if a else about], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for _, tokens in _distinct_sets(batches, words):
-            held.append(_key(tokens, buckets))
+        held, size, block = [], 0, TaskContext.get().partitionId() << 32
+        for name, tokens in _distinct_sets(batches, words):
+            held.append((name, _key(tokens, buckets)))
             size += len(tokens)
             if size >= PENDING:
-                yield from flush(held)
-                held, size = [], 0
+                yield from flush(block, held)
+                held, size, block = [], 0, block + 1
         if held:
-            yield from flush(held)
+            yield from flush(block, held)
 
     return run
 
 
+_SUMMED = "key bigint, docs bigint, block bigint, owners binary, about binary"
+
+
 def _sum_bucket(rows: pa.Table) -> pa.Table:
+    """The frequent keys of a bucket, and for each block the owners of keys that other blocks have too, once for each."""
     keys, counts = [], []
     for low, places, several in zip(*(rows.column(c) for c in ("keys", "places", "counts"))):
         keys.append(np.frombuffer(low.as_py(), np.uint32))
         counts.append(n := np.ones(len(keys[-1]), np.uint32))
         n[np.frombuffer(places.as_py(), np.uint32)] = np.frombuffer(several.as_py(), np.uint32)
+    edges = np.cumsum([0, *(len(k) for k in keys)]).tolist()
     keys, counts = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(keys)
-    keys, counts = keys[order], counts[order].astype(np.int64)
-    starts, _ = _runs(keys)
-    totals = np.add.reduceat(counts, starts)
+    low = keys[order]
+    starts, ends = _runs(low)
+    totals = np.add.reduceat(counts[order].astype(np.int64), starts)
     often = totals >= FREQUENT_DOCS
-    names = np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32) | keys[starts][often]
-    return pa.table({"key": pa.array(names.view(np.int64)), "docs": pa.array(totals[often])})
-
-
-def frequent_shingles(df: DataFrame, words: int, buckets: int) -> np.ndarray:
+    names = np.uint64(rows.column("bucket")[0].as_py()) << np.uint64(32) | low[starts][often]
+    shared = np.zeros(len(keys), bool)
+    shared[order] = np.repeat(totals > 1, ends - starts)
+    shared &= counts == 1
+    told = [np.frombuffer(o.as_py(), np.uint32)[shared[a:b]].tobytes() for o, a, b in zip(rows.column("owners"), edges, edges[1:])]
+    none, blocks = [None] * len(names), [None] * len(told)
+    return pa.table({"key": pa.array([*names.view(np.int64).tolist(), *blocks], pa.int64()), "docs": pa.array([*totals[often].tolist(), *blocks], pa.int64()),
+                     "block": pa.array([*none, *rows.column("block").to_pylist()], pa.int64()), "owners": pa.array([*none, *told], pa.binary()),
+                     "about": pa.array([*none, *rows.column("about").to_pylist()], pa.binary())})
+
+
+def frequent_shingles(summed: DataFrame) -> np.ndarray:
     """Sorted keys of the shingles that come last in the order."""
-    counted = df.mapInArrow(_count_shingles(words, buckets), "bucket int, keys binary, places binary, counts binary")
-    often = materialise(counted.groupBy("bucket").applyInArrow(_sum_bucket, "key bigint, docs bigint"), "frequent")
+    often = summed.where("key is not null").select("key", "docs")
     # How many have at least 2^k documents: a few rows.
     steps = often.groupBy(F.floor(F.log2("docs")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("k")).collect()
     edge, total = None, 0
@@ -169,6 +212,19 @@ def frequent_shingles(df: DataFrame, words: int, buckets: int) -> np.ndarray:
     return np.sort(keys.view(np.uint64))
 
 
+def _enough_shared(percent: int):
+    """Documents of a block with as many shared shingles as a link asks for: a union has at least all of their own."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        about = np.frombuffer(b"".join(rows.column("about").to_pylist()), np.int64).reshape(-1, 3)
+        owners = np.frombuffer(b"".join(rows.column("owners").to_pylist()), np.uint32)
+        shared = about[:, 2] + np.bincount(owners, minlength=len(about))
+        enough = about[100 * shared >= percent * about[:, 1]]
+        return pa.table({"doc": pa.array(enough[:, 0]), "n": pa.array(enough[:, 1])})
+
+    return run
+
+
 def _among(keys: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     if not len(frequent):
         return np.zeros(len(keys), bool)
@@ -184,12 +240,14 @@ def _prefix(tokens: np.ndarray, frequent: np.ndarray, buckets: int, percent: int
     return rare, tokens[last][:size - len(rare)], int(last.sum())
 
 
-def _rare_prefixes(words: int, buckets: int, percent: int, frequent):
+def _rare_prefixes(words: int, buckets: int, percent: int, frequent, wanted, deal: int):
+    """Rows of a bucket's shingles of rare prefixes with their documents, in ``deal`` buckets."""
+
     def flush(held: list[tuple[int, int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         tokens = np.concatenate([t for *_, t in held])
         owner = np.repeat(np.arange(len(held), dtype=np.uint32), [len(t) for *_, t in held])
         about = np.array([x[:3] for x in held], np.int64)
-        bucket = _bucket(tokens, buckets)
+        bucket = _bucket(tokens, deal)
         order = np.argsort(bucket, kind="stable")
         for a, b in zip(*_runs(bucket[order])):
             own = order[a:b]
@@ -199,7 +257,7 @@ def _rare_prefixes(words: int, buckets: int, percent: int, frequent):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for name, tokens in _distinct_sets(batches, words):
+        for name, tokens in _distinct_sets(batches, words, wanted):
             rare, _, common = _prefix(tokens, frequent.value, buckets, percent)
             held.append((name, len(tokens), common, rare))
             size += len(rare) + 1
@@ -212,9 +270,9 @@ def _rare_prefixes(words: int, buckets: int, percent: int, frequent):
     return run
 
 
-def _frequent_prefixes(words: int, buckets: int, percent: int, frequent):
+def _frequent_prefixes(words: int, buckets: int, percent: int, frequent, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, tokens in _distinct_sets(batches, words):
+        for name, tokens in _distinct_sets(batches, words, wanted):
             _, last, common = _prefix(tokens, frequent.value, buckets, percent)
             if len(last):
                 yield pa.record_batch({"list": pa.array(last.view(np.int64)), **{c: pa.array(np.full(len(last), x, np.int64)) for c, x in (("doc", name), ("n", len(tokens)), ("common", common))}})
@@ -309,15 +367,7 @@ def _fragments(words: int, buckets: int, frequent, wanted):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(words)
-
-        def chosen() -> Iterator[tuple[int, str]]:
-            for batch in batches:
-                names = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-                own = np.flatnonzero(may_hold(wanted.value, names) & batch.column(0).is_valid().to_numpy(zero_copy_only=False))
-                for k in own.tolist():
-                    yield int(names[k]), batch.column(1)[k].as_py() or ""
-
-        for some in batches_of(chosen()):
+        for some in _texts(batches, wanted):
             out = []
             for (name, _), tokens in zip(some, shingler.sets([t for _, t in some])):
                 if not len(tokens):
@@ -369,6 +419,25 @@ def _linked(pairs: DataFrame, narrow: DataFrame, class_of: DataFrame, words: int
     return summed.where(F.col("common") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("common")) * percent).select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def _linkable(summed: DataFrame, class_of: DataFrame, percent: int) -> DataFrame:
+    """One document of each class that may link, and its shingles: copies of one document need be in no list."""
+    told = summed.where("block is not null").select("block", "owners", "about")
+    enough = told.groupBy("block").applyInArrow(_enough_shared(percent), "doc bigint, n bigint")
+    of_class = class_of.select(F.col("doc_id").alias("doc"), "class_id")
+    return materialise(enough.join(of_class, "doc").groupBy(F.col("class_id").alias("doc")).agg(F.max("n").alias("n")), "may-link")
+
+
+def _lists(narrow: DataFrame, linkable: DataFrame, words: int, percent: int, buckets: int, frequent) -> DataFrame:
+    """``list, doc, n, common``: documents that have a shingle of their prefixes in common."""
+    docs, shingles = linkable.agg(F.count("doc"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    wanted = narrow.sparkSession.sparkContext.broadcast(bloom(linkable.select("doc"), docs))
+    # Shingles with the same documents are one list only within a bucket: no more buckets than prefixes ask for.
+    deal = max(1, -(-(shingles * (100 - percent) // 100 + docs) // PREFIX_SHINGLES))
+    rare = narrow.mapInArrow(_rare_prefixes(words, buckets, percent, frequent, wanted, deal), "bucket int, tokens binary, owners binary, docs binary")
+    lists = rare.groupBy("bucket").applyInArrow(_as_lists, "list bigint, doc bigint, n bigint, common bigint")
+    return lists.unionAll(narrow.mapInArrow(_frequent_prefixes(words, buckets, percent, frequent, wanted), "list bigint, doc bigint, n bigint, common bigint"))
+
+
 def ngram_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, class_id``.
 
@@ -388,11 +457,10 @@ def ngram_components(df: DataFrame, words: int = 5, percent: int = 75, id_col: s
     class_of = materialise(known.join(classes, ["s1", "s2"]).select("doc_id", "class_id", "s1", "s2", "n_shingles", "bits"), "shingle-classes")
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_SHINGLES))
-    frequent = spark.sparkContext.broadcast(frequent_shingles(narrow, words, buckets))
-
-    rare = narrow.mapInArrow(_rare_prefixes(words, buckets, percent, frequent), "bucket int, tokens binary, owners binary, docs binary")
-    lists = rare.groupBy("bucket").applyInArrow(_as_lists, "list bigint, doc bigint, n bigint, common bigint")
-    lists = lists.unionAll(narrow.mapInArrow(_frequent_prefixes(words, buckets, percent, frequent), "list bigint, doc bigint, n bigint, common bigint"))
+    counted = narrow.mapInArrow(_count_shingles(words, buckets), _COUNTED)
+    summed = materialise(counted.groupBy("bucket").applyInArrow(_sum_bucket, _SUMMED), "shingle-counts")
+    frequent = spark.sparkContext.broadcast(frequent_shingles(summed))
+    lists = _lists(narrow, _linkable(summed, class_of, percent), words, percent, buckets, frequent)
     # Copies in other tasks are one class; lists of buckets that are the same become one.
     by_class = lists.join(class_of.select(F.col("doc_id").alias("doc"), "class_id"), "doc").groupBy("list", F.col("class_id").alias("doc")).agg(
         F.first("n").alias("n"), F.first("common").alias("common"))
