@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta, timezone
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,23 @@ def test_similar_cases_brute_force(spark, skew):
         assert got.get(i, []) == [j for _, j in near]
 
 
+def test_similar_cases_of_a_slot():
+    """Scores that are rare among thousands of others: the newest of them are far back, or there are none."""
+    rng = np.random.default_rng(3)
+    unit = np.where(rng.random(3000) < 0.01, rng.integers(0, 10_001, 3000), rng.integers(4000, 4100, 3000)).tolist()
+    at = (np.arange(3000) // 3).tolist()
+    cases = [{"ask": False, "at": t, "id": i, "unit": u, "action": "BLOCK", "confidence": u / 10_000, "was_false_positive": False} for i, (t, u) in enumerate(zip(at, unit))]
+    probes = [{"ask": True, "at": t, "id": i, "unit": u} for i, (t, u) in enumerate(zip(at, unit))]
+    kind = pa.schema([("ask", pa.bool_()), ("at", pa.int64()), ("id", pa.int64()), ("unit", pa.int32()), ("action", pa.string()), ("confidence", pa.float64()), ("was_false_positive", pa.bool_())])
+    for reach in (0, 500, 10_000):
+        got = {}
+        for r in memory._newest_in_reach(5, reach)(pa.Table.from_pylist(cases + probes, kind)).to_pylist():
+            got.setdefault(r["log_id"], []).append((r["rank"], r["case_id"]))
+        for i, (t, u) in enumerate(zip(at, unit)):
+            near = [j for j in range(at.index(t) - 1, -1, -1) if abs(unit[j] - u) <= reach][:5] if u < 4000 or u >= 4100 or i % 50 == 0 else None
+            assert near is None or got.get(i, []) == list(enumerate(near, 1))
+
+
 @pytest.mark.parametrize("sizes", [memory.CELLS, response.PHASES])
 def test_cells_cover_each_range_once(spark, sizes):
     ranges = [(0, 10_000), (0, 0), (9_500, 10_000), (1, 1_001), (255, 256), (1_023, 2_047), (3, 900)]

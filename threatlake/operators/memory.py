@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import clip, ratio, risk_level
-from threatlake.operators.running import as_of, cells_of, micros, range_cells, trailing
+from threatlake.operators.running import micros, trailing
+from threatlake.session import materialise
 
 
 def ip_reputation(timeline: DataFrame, as_of: Column) -> DataFrame:
@@ -104,33 +106,82 @@ def sequence_deviation(flows: DataFrame, cfg: Config = DEFAULT, length: int = 20
 
 #: Sizes of the cells of the score axis.
 CELLS = (1024, 256, 64, 16, 4, 1)
+#: Cases looked at one by one before a probe's range is searched by cells.
+_STEPS = 200
+
+
+def _in_cells(unit: np.ndarray, before: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """For each range of units the ``k`` latest places ahead of ``before``, newest first, -1 for none.
+
+    A range is a few cells, the largest that fit, each with its places in order.
+    """
+    best, m = np.full((len(before), k), -1), len(unit)
+    low, high = low.copy(), high + 1
+    for size, larger in zip(CELLS[::-1], (*CELLS[-2::-1], None)):
+        key = np.sort(unit // size * m + np.arange(m))
+        for side, at in ((low, 0), (high, -1)):
+            while len(own := np.flatnonzero((low < high) & (larger is None or side % (larger // size) != 0))):
+                start = (side[own] + at) * m
+                last = np.searchsorted(key, start + before[own])[:, None] - np.arange(1, k + 1)
+                found = np.where(last >= 0, key[np.maximum(last, 0)] - start[:, None], -1)
+                best[own] = -np.sort(-np.concatenate([best[own], np.maximum(found, -1)], axis=1), axis=1)[:, :k]
+                side[own] += 1 if at == 0 else -1
+        if larger:
+            low, high = low // (larger // size), high // (larger // size)
+    return best
+
+
+def _newest_in_reach(k: int, reach: int):
+    """Cases of one slot and those carried into it, with the slot's probes, to the probes' newest cases."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cases, probes = rows.filter(pc.invert(rows.column("ask"))), rows.filter(rows.column("ask"))
+        cases = cases.sort_by([("at", "ascending"), ("id", "ascending")])
+        unit, u = (x.column("unit").to_numpy().astype(np.int64) for x in (cases, probes))
+        before = np.searchsorted(cases.column("at").to_numpy(), probes.column("at").to_numpy(), side="left")
+        found, n, open_ = np.full((len(u), k), -1), np.zeros(len(u), np.int64), np.flatnonzero(before > 0)
+        for back in range(1, _STEPS + 1):
+            place = before[open_] - back
+            hit = np.abs(unit[place] - u[open_]) <= reach
+            own = open_[hit]
+            found[own, n[own]] = place[hit]
+            n[own] += 1
+            open_ = open_[(n[open_] < k) & (place > 0)]
+            if not len(open_):
+                break
+        else:
+            found[open_] = _in_cells(unit, before[open_], np.maximum(u[open_] - reach, 0), u[open_] + reach, k)
+        of, rank = np.nonzero(found >= 0)
+        taken = cases.take(pa.array(found[of, rank]))
+        return pa.table([probes.column("id").take(pa.array(of)), pa.array(rank + 1, pa.int32()), *(taken.column(c) for c in ("id", "action", "confidence", "was_false_positive"))],
+                        names=["log_id", "rank", "case_id", "action_taken", "confidence", "was_false_positive"])
+
+    return run
 
 
 def similar_cases(probes: DataFrame, cases: DataFrame, k: int = 5, reach: int = 500, cfg: Config = DEFAULT) -> DataFrame:
     """For each probe (``log_id, created_at, confidence_score``) the ``k`` newest of the cases that are
     earlier than itself, within ±``reach`` 1e-4 score units.
 
-    Time and score are searched together. Units are arranged in cells, each four cells of the next
-    smaller size; a case is in one cell of each size, and a probe's range of units is a few dozen
-    cells. In each cell a case carries the newest ``k`` up to itself, so the latest case before a
-    probe brings that cell's answer, and the best ``k`` of its cells are the probe's. Rows grow
-    with probes and cases; a crowded cell is cut into time slots like any hot key.
+    Rows are cut into slots of time. What a slot needs of those before it are the newest ``k`` cases of each of
+    the 10 001 units; a case is carried on until ``k`` newer ones of its unit have come. A slot's probes look
+    back case by case, and where that is long, through cells of units. Rows grow with probes and cases.
     """
-    cfg = replace(cfg, hot=None)  # cells are other keys than sources
-    unit = lambda c: F.round(clip(c, 0.0, 1.0) * 10_000).cast("int")
-    case = F.struct(micros("created_at").alias("at"), F.col("log_id").alias("case_id"), F.col("action_taken").alias("action"), F.col("confidence_score").alias("confidence"),
-                    F.coalesce(F.col("agent_reasoning").contains("FALSE_POSITIVE"), F.lit(False)).alias("was_false_positive"))
-    own = F.explode(cells_of(unit("confidence_score"), CELLS))
-    in_cells = cases.select(own.alias("cell"), "created_at", F.col("log_id").alias("case_id"), micros("created_at").alias("_pos"), case.alias("c"))
-    newest = lambda w: {"newest": F.collect_list("c").over(w.rowsBetween(-(k - 1), 0))}
-    carried = trailing(in_cells, ["cell"], "_pos", "case_id", k - 1, newest, cfg=cfg).select("cell", "created_at", "case_id", "newest")
-
-    u = unit("confidence_score")
-    pieces = range_cells(F.greatest(F.lit(0), u - reach), F.least(F.lit(10_000), u + reach), CELLS)
-    before = F.timestamp_micros(micros("created_at") - 1)
-    asked = probes.select("log_id", before.alias("before"), F.explode(pieces).alias("cell"))
-    found = as_of(asked, carried, "cell", "before", "created_at", "case_id", ["newest"], cfg=cfg)
-    best = Window.partitionBy("log_id").orderBy(F.desc("m.at"), F.desc("m.case_id"))
-    ranked = found.select("log_id", F.explode("matched.newest").alias("m")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("log_id", "rank", F.col("m.case_id").alias("case_id"), F.col("m.action").alias("action_taken"),
-                         F.col("m.confidence").alias("confidence"), F.col("m.was_false_positive").alias("was_false_positive"))
+    unit = F.round(clip(F.col("confidence_score"), 0.0, 1.0) * 10_000).cast("int").alias("unit")
+    known = F.col("created_at").isNotNull() & F.col("confidence_score").isNotNull()
+    told = F.coalesce(F.col("agent_reasoning").contains("FALSE_POSITIVE"), F.lit(False))
+    own = cases.where(known).select(F.lit(False).alias("ask"), micros("created_at").alias("at"), F.col("log_id").alias("id"), unit,
+                                    F.col("action_taken").alias("action"), F.col("confidence_score").alias("confidence"), told.alias("was_false_positive"))
+    asked = probes.where(known).select(F.lit(True).alias("ask"), micros("created_at").alias("at"), F.col("log_id").alias("id"), unit)
+    both = own.unionByName(asked, allowMissingColumns=True)
+    slots = max(1, min(cfg.skew.shares, -(-both.count() // cfg.skew.min_rows)))
+    slotted = materialise(both.repartitionByRange(slots, "at").withColumn("slot", F.spark_partition_id()), "case-slots")
+
+    newest = Window.partitionBy("slot", "unit").orderBy(F.desc("at"), F.desc("id"))
+    kept = slotted.where("not ask").withColumn("_r", F.row_number().over(newest)).where(F.col("_r") <= k).drop("_r")
+    until = F.coalesce(F.lead("slot", k).over(Window.partitionBy("unit").orderBy("at", "id")), F.lit(slots - 1))
+    later = kept.withColumn("_until", until).where(F.col("_until") > F.col("slot"))
+    carried = later.withColumn("slot", F.explode(F.sequence(F.col("slot") + 1, F.col("_until")))).drop("_until")
+    kinds = {f.name: f.dataType.simpleString() for f in slotted.schema}
+    found = f"log_id {kinds['id']}, rank int, case_id {kinds['id']}, action_taken {kinds['action']}, confidence {kinds['confidence']}, was_false_positive boolean"
+    return slotted.unionByName(carried).groupBy("slot").applyInArrow(_newest_in_reach(k, reach), found)
