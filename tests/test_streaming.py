@@ -275,3 +275,26 @@ def test_block_rollback_only(spark, tmp_path):
     actions = spark.createDataFrame([(1, "a", "RATE_LIMIT", m(0)), (2, "b", "BLOCK", m(0)), (3, "x", "ALERT", m(9000))], "action_id bigint, target_ip string, action_type string, ts timestamp")
     got, _ = run(pipeline.auto_rollback(as_stream(spark, actions, f"{tmp_path}/a", files=2), as_stream(spark, scores, f"{tmp_path}/s", files=2)), tmp_path, "only")
     assert [r.action_id for r in got.collect()] == [2]
+
+
+def test_rollback_shares_states(spark, tmp_path, monkeypatch):
+    """Many sources are a few states, with the checks of each block by hand."""
+    monkeypatch.setattr(pipeline, "_SOURCE_PARTS", 8, raising=False)
+    us = lambda t: (t - T0) // timedelta(microseconds=1)
+    at = lambda k: T0 + timedelta(seconds=k, microseconds=k % 3)
+    facts = [(k, f"s{k * k % 61}" if k % 50 else None, at(k * 17 % 9000), (k * 7 % 100) / 100 if k % 61 % 3 else 0.9) for k in range(3000)]
+    asks = [(k, f"s{k % 62}" if k % 40 else None, "ALERT" if k % 4 == 1 else "BLOCK", at(k * 29 % 8000)) for k in range(300)]
+    scores = spark.createDataFrame([*facts, (9999, "end", at(8000), None), (9998, "end", at(9000), 0.1)], "log_id bigint, source_ip string, ts timestamp, combined double")
+    actions = spark.createDataFrame([*asks, (9999, "end", "ALERT", at(9000))], "action_id bigint, target_ip string, action_type string, ts timestamp")
+    got, query = run(pipeline.auto_rollback(as_stream(spark, actions, f"{tmp_path}/a"), as_stream(spark, scores, f"{tmp_path}/s")), tmp_path, "parts")
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 8
+    end, want = us(min(max(t for _, _, t, _ in [*facts, (0, "", at(9000), 0)]), at(9000))) // 1000 - 600_000, {}
+    for k, source, kind, t in asks:
+        when = us(t) + 1_800_000_000
+        while kind == "BLOCK" and when // 1000 + 1 < end:
+            own = [v for _, _, v in sorted((x, i, v) for i, s, x, v in facts if s == source and us(x) <= when)][-5:]
+            mean = sum(own) / len(own) if own else 0.0
+            want[k, when] = round(mean, 9), "EXTEND" if mean >= 0.65 else "ROLLBACK"
+            when = when + 1_800_000_000 if mean >= 0.65 else 2**62
+    assert {(r.action_id, us(r.checked_at.replace(tzinfo=timezone.utc))): (round(r.recent_mean, 9), r.outcome) for r in got.collect()} == want
+    assert {o for _, o in want.values()} == {"EXTEND", "ROLLBACK"} and any(k % 40 == 0 for k, _ in want)

@@ -36,9 +36,9 @@ def lists_in_state(stream: DataFrame) -> None:
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def wake_at(us: int) -> int:
+def wake_at(us: int | np.ndarray) -> int | np.ndarray:
     """The first millisecond after a time; what has woken is past when the watermark is beyond it."""
-    return int(us) // 1000 + 1
+    return us // 1000 + 1
 
 
 # --- stateless scoring -----------------------------------------------------------------------
@@ -129,6 +129,53 @@ DECISIONS = (
     "log_id bigint, source_ip string, ts timestamp, combined double, prior bigint, in_cooldown boolean, correlated boolean, "
     "fp_risk double, final_score double, action string, reputation double"
 )
+#: Parts of the sources: each is one state, whose sources are taken together.
+_SOURCE_PARTS = 2048
+_NEVER = 2**62
+_DAY_MS = 86_400_000
+
+
+def _by_source(rows: DataFrame):
+    """Rows in parts by source. A Python call and a state for each source would cost more than its rows."""
+    return rows.withColumn("part", F.pmod(F.xxhash64("source_ip"), F.lit(_SOURCE_PARTS))).groupBy("part")
+
+
+def _numbered(held: list[str], frames: list[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray]:
+    """All sources, those held first, and for each row of ``frames`` the number of its source."""
+    whose = [f["source_ip"].to_numpy(object) for f in frames]
+    numbers, names = pd.factorize(np.concatenate([np.array(held, object), *whose]), use_na_sentinel=False)
+    return np.array([n if isinstance(n, str) else None for n in names], object), numbers[len(held):]
+
+
+def _table(kind: np.dtype, who: np.ndarray, frames: list[pd.DataFrame]) -> np.ndarray:
+    """Rows of ``frames`` as records; ``who`` is the number of each row's source."""
+    out = np.empty(len(who), kind)
+    out["who"] = who
+    for c in kind.names[1:]:
+        out[c] = np.concatenate([f[c].astype(kind[c]).to_numpy() for f in frames]) if frames else 0
+    return out
+
+
+def _held(state: GroupState, *kinds: np.dtype) -> list:
+    """A part's state: its sources and tables of records."""
+    names, *tables = state.get if state.exists else ([], *[b""] * len(kinds))
+    return [list(names), *(np.frombuffer(t, k) for t, k in zip(tables, kinds))]
+
+
+def _release(state: GroupState, names: np.ndarray, kept: np.ndarray, per_source: np.ndarray, *tables: np.ndarray) -> None:
+    """Keep the sources ``kept``, numbered anew, with their rows of ``tables``; no row of ``tables`` is of another."""
+    if not kept.any():
+        if state.exists:
+            state.remove()
+        return
+    number, out = np.cumsum(kept) - 1, []
+    for t in tables:
+        moved = t.copy()
+        moved["who"] = number[t["who"]]
+        out.append(moved.tobytes())
+    state.update((names[kept].tolist(), per_source[kept].tobytes(), *out))
+
+
 _MEMORY = "recent array<bigint>, last_alert bigint, threats bigint, points bigint"
 
 
@@ -291,7 +338,7 @@ def combine_parts(parts: DataFrame) -> DataFrame:
 
 # --- approvals that expire --------------------------------------------------------------------------------
 OUTCOMES = "log_id bigint, status string, decided_at timestamp"
-_OPEN, _NEVER = ("log_id", "deadline", "reviewed", "approved"), 2**62
+_OPEN = ("log_id", "deadline", "reviewed", "approved")
 #: Parts of the open approvals: each is one state, whose approvals are closed together.
 _APPROVAL_PARTS = 2048
 
@@ -339,59 +386,88 @@ def approval_outcomes(queue: DataFrame, reviews: DataFrame, cfg: Config = DEFAUL
 CHECKS = "action_id bigint, target_ip string, checked_at timestamp, recent_mean double, outcome string"
 
 
+_SCORES = np.dtype([("who", "i8"), ("at", "i8"), ("id", "i8"), ("value", "f8")])
+_OPEN_CHECKS = np.dtype([("who", "i8"), ("at", "i8"), ("id", "i8")])
+_UNTIL = np.dtype("i8")
+
+
+def _behind(times: np.ndarray, when: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each ``when`` the end of the times up to it, searched for between ``first`` and ``last``, where times are sorted."""
+    lo, hi = first.copy(), last.copy()
+    while (lo < hi).any():
+        active = lo < hi
+        mid = (lo + hi) // 2
+        left = active & (times[np.minimum(mid, len(times) - 1)] <= when)
+        lo, hi = np.where(left, mid + 1, lo), np.where(active & ~left, mid, hi)
+    return lo
+
+
 def auto_rollback(actions: DataFrame, scores: DataFrame, cfg: Config = DEFAULT, depth: int = 5) -> DataFrame:
     """Thirty minutes after a block, and again every thirty minutes while its source stays hot, compare
     the mean of the source's latest scores with 0.65.
 
-    State per source: open checks, the ``depth`` newest scores behind the watermark and those ahead of it.
+    State, in parts by source: open checks, the ``depth`` newest scores of each source behind the watermark and those ahead of it.
     """
     wait = cfg.auto_rollback_minutes * 60_000_000
-    at = F.unix_micros("ts")
-    s = marked(scores, cfg).select("source_ip", "ts", at.alias("at"), "log_id", F.col("combined").alias("value"), F.lit(None).cast("bigint").alias("action_id"))
-    # other actions are kept as empty rows: filtered out, they would not move the watermark
-    undoable = F.when(F.col("action_type") == "BLOCK", F.col("action_id"))
-    a = marked(actions, cfg).select(
-        F.col("target_ip").alias("source_ip"), "ts", at.alias("at"), F.lit(None).cast("bigint").alias("log_id"), F.lit(None).cast("double").alias("value"), undoable.alias("action_id"))
+    at = F.unix_micros("ts").alias("at")
+
+    def rows(df: DataFrame, source: str, row_id: str, kind, value) -> DataFrame:
+        return marked(df, cfg).where("ts is not null").select(F.col(source).alias("source_ip"), "ts", at, F.coalesce(row_id, F.lit(0)).cast("bigint").alias("id"), kind.alias("kind"), value.cast("double").alias("value"))
+
+    # rows of no use (kind 0) are kept: filtered out, they would not move the watermark
+    s = rows(scores, "source_ip", "log_id", F.when(F.col("combined").isNotNull() & ~F.isnan("combined"), 1).otherwise(0), F.coalesce("combined", F.lit(0.0)))
+    a = rows(actions, "target_ip", "action_id", F.when((F.col("action_type") == "BLOCK") & F.col("action_id").isNotNull(), 2).otherwise(0), F.lit(0.0))
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids, values, due, open_ids = [list(v) for v in state.get] if state.exists else [[], [], [], [], []]
-        if state.hasTimedOut and not due:  # silent for a month
-            state.remove()
-            return
-        for f in frames:
-            facts, asks = f[f["value"].notna()], f[f["action_id"].notna()]
-            times.extend(int(v) for v in facts["at"])
-            ids.extend(int(v) for v in facts["log_id"])
-            values.extend(float(v) for v in facts["value"])
-            due.extend(int(v) + wait for v in asks["at"])
-            open_ids.extend(int(v) for v in asks["action_id"])
-        mark, out = state.getCurrentWatermarkMs() * 1000, []
-        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
-        times, ids, values = ([v[i] for i in order] for v in (times, ids, values))
-        still_due, still_open = [], []
-        for when, action in sorted(zip(due, open_ids)):
-            while when <= mark:
-                behind = int(np.searchsorted(times, when, side="right"))
-                latest = values[max(behind - depth, 0):behind]
-                mean = float(np.mean(latest)) if latest else 0.0
-                out.append((action, key[0], when, mean, "EXTEND" if mean >= 0.65 else "ROLLBACK"))
-                if mean < 0.65:
-                    break
-                when += wait
-            else:
-                still_due.append(when)
-                still_open.append(action)
-        horizon = min(still_due) if still_due else mark
-        keep = max(int(np.searchsorted(times, min(mark, horizon), side="right")) - depth, 0) if times else 0
-        times, ids, values = times[keep:], ids[keep:], values[keep:]
-        state.update((times, ids, values, still_due, still_open))
-        now_ms = state.getCurrentWatermarkMs()
-        wake = min(still_due) // 1000 if still_due else max([now_ms] + [t // 1000 for t in times[-1:]]) + 30 * 86_400_000
-        state.setTimeoutTimestamp(max(wake, now_ms) + 1)
+        new = [f for f in frames if len(f)]
+        held, until, facts, checks = _held(state, _UNTIL, _SCORES, _OPEN_CHECKS)
+        names, who = _numbered(held, new)
+        kind = np.concatenate([f["kind"].to_numpy() for f in new]) if new else np.empty(0, int)
+        made = _table(_SCORES, who, new)
+        facts = np.concatenate([facts, made[kind == 1]])
+        facts = facts[np.lexsort((facts["id"], facts["at"], facts["who"]))]
+        asked = made[kind == 2][["who", "at", "id"]].astype(_OPEN_CHECKS)
+        asked["at"] += wait
+        checks = np.concatenate([checks, asked])
+        first, last = (np.searchsorted(facts["who"], np.arange(len(names)), side=e) for e in ("left", "right"))
+        mark = state.getCurrentWatermarkMs()
+        due = wake_at(checks["at"]) < mark
+        rest, turn, out = [checks[~due]], checks[due], []
+        touched = np.zeros(len(names), bool)
+        touched[who], touched[turn["who"]] = True, True
+        while len(turn):  # a check of every open block, then the next of those that stay hot
+            k = turn["who"]
+            behind = _behind(facts["at"], turn["at"], first[k], last[k])
+            n, total = np.minimum(behind - first[k], depth), np.zeros(len(turn))
+            for back in range(depth, 0, -1):
+                has = n >= back
+                total[has] += facts["value"][behind[has] - back]
+            mean = total / np.maximum(n, 1)
+            hot = mean >= 0.65
+            out.append(pd.DataFrame({"action_id": turn["id"], "target_ip": names[k], "checked_at": pd.to_datetime(turn["at"], unit="us", utc=True), "recent_mean": mean, "outcome": np.where(hot, "EXTEND", "ROLLBACK")}))
+            turn = turn[hot]
+            turn["at"] += wait
+            due = wake_at(turn["at"]) < mark
+            rest.append(turn[~due])
+            turn = turn[due]
+        rest = np.concatenate(rest)
+        horizon = np.full(len(names), mark * 1000)
+        np.minimum.at(horizon, rest["who"], rest["at"])
+        cut = np.maximum(_behind(facts["at"], horizon, first, last) - depth, first)
+        facts = facts[np.arange(len(facts)) >= cut[facts["who"]]]
+        # a source without open checks is forgotten after a silent month
+        newest = np.zeros(len(names), "i8")
+        np.maximum.at(newest, facts["who"], facts["at"] // 1000)
+        until = np.where(touched, np.maximum(newest, mark) + 30 * _DAY_MS, np.concatenate([until, np.zeros(len(names) - len(held), "i8")]))
+        asks, has = np.zeros(len(names), bool), np.zeros(len(names), bool)
+        asks[rest["who"]], has[facts["who"]] = True, True
+        kept = asks | (has & (touched | (until + 1 >= mark)))
+        _release(state, names, kept, until, facts[kept[facts["who"]]], rest)
+        if kept.any():
+            ends = [wake_at(rest["at"]), until[kept & ~asks] + 1]
+            state.setTimeoutTimestamp(max(min(int(e.min()) for e in ends if len(e)), mark + 1))
         if out:
-            made = pd.DataFrame(out, columns=["action_id", "target_ip", "checked_at", "recent_mean", "outcome"])
-            made["checked_at"] = pd.to_datetime(made["checked_at"], unit="us", utc=True)
-            yield made
+            yield pd.concat(out, ignore_index=True)
 
-    memory = "times array<bigint>, ids array<bigint>, scores array<double>, due array<bigint>, open array<bigint>"
-    return s.unionByName(a).groupBy("source_ip").applyInPandasWithState(step, CHECKS, memory, "append", GroupStateTimeout.EventTimeTimeout)
+    memory = "sources array<string>, until binary, scores binary, checks binary"
+    return _by_source(s.unionByName(a)).applyInPandasWithState(step, CHECKS, memory, "append", GroupStateTimeout.EventTimeTimeout)
