@@ -298,3 +298,30 @@ def test_rollback_shares_states(spark, tmp_path, monkeypatch):
             when = when + 1_800_000_000 if mean >= 0.65 else 2**62
     assert {(r.action_id, us(r.checked_at.replace(tzinfo=timezone.utc))): (round(r.recent_mean, 9), r.outcome) for r in got.collect()} == want
     assert {o for _, o in want.values()} == {"EXTEND", "ROLLBACK"} and any(k % 40 == 0 for k, _ in want)
+
+
+def test_decisions_share_states(spark, d, tmp_path, monkeypatch):
+    """Many sources are a few states; how many doesn't change a decision. Rows without a source are one, rows without a time are left out."""
+    slim = d.scores.select("log_id", F.expr("nullif(source_ip, '10.0.0.3')").alias("source_ip"), "ts", "combined", F.lit(None).cast("string").alias("stage"))
+    rows = late_marker(slim, source_ip="marker", combined=0.0).unionByName(slim.limit(1).withColumn("ts", F.lit(None).cast("timestamp")))
+    found = []
+    for parts in (8, 500):
+        monkeypatch.setattr(pipeline, "_SOURCE_PARTS", parts, raising=False)
+        stream = as_stream(spark, rows.withColumn("at", F.coalesce("ts", F.lit(T0))), f"{tmp_path}/s{parts}", "at")
+        got, query = run(pipeline.decide(stream), tmp_path, f"parts{parts}")
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= parts
+        found.append({tuple(r) for r in got.collect()})
+    assert found[0] == found[1] and len(found[0]) == slim.where("combined > 0.65").count()
+    assert any(r[1] is None for r in found[0])
+
+
+def test_silent_sources_are_forgotten(spark, tmp_path):
+    """After ``memory_days`` of silence a source starts anew, while another of its part goes on."""
+    at = lambda h: T0 + timedelta(hours=h)
+    files = [[(1, "a", at(0), 0.9), (2, "b", at(0), 0.9)], [(3, "b", at(20), 0.9)], [(4, "b", at(40), 0.9)], [(5, "b", at(41), 0.9)], [(6, "a", at(42), 0.9), (7, "b", at(43), 0.9)], [(9, "x", at(50), 0.0)]]
+    schema = "log_id bigint, source_ip string, ts timestamp, combined double"
+    for rows in files:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").withColumn("stage", F.lit(None).cast("string"))
+    got, _ = run(pipeline.decide(stream, Config(memory_days=1)), tmp_path, "silent")
+    assert [(r.log_id, r.prior) for r in got.orderBy("log_id").collect()] == [(1, 0), (2, 0), (3, 1), (4, 2), (5, 3), (6, 0), (7, 4)]

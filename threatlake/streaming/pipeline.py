@@ -16,7 +16,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from threatlake.config import DEFAULT, Config
 from threatlake.functions.scalars import ratio, session_heuristic
@@ -32,12 +31,12 @@ def marked(stream: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def lists_in_state(stream: DataFrame) -> None:
-    """State as lists that grow by appending and timers of their own need the engine's embedded store."""
+    """Large state is held in the engine's embedded store, on disk."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def wake_at(us: int | np.ndarray) -> int | np.ndarray:
-    """The first millisecond after a time; what has woken is past when the watermark is beyond it."""
+def wake_at(us: np.ndarray) -> np.ndarray:
+    """The first millisecond after each time; what has woken is past when the watermark is beyond it."""
     return us // 1000 + 1
 
 
@@ -176,98 +175,84 @@ def _release(state: GroupState, names: np.ndarray, kept: np.ndarray, per_source:
     state.update((names[kept].tolist(), per_source[kept].tobytes(), *out))
 
 
-_MEMORY = "recent array<bigint>, last_alert bigint, threats bigint, points bigint"
-
-
-class _Decisions(StatefulProcessor):
-    """One source: rows wait until the watermark has passed them, then they are taken in time order."""
-
-    def __init__(self, cfg: Config):
-        self.cfg = cfg
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "us bigint, log_id bigint, combined double, multiplier double")
-        self.memory = handle.getValueState("memory", _MEMORY)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for frame in rows:
-            self.waiting.appendList(list(zip(*(frame[c].tolist() for c in ("us", "log_id", "combined", "multiplier")))))
-            first = min(int(frame["us"].min()), first or 2**62)
-        if first is not None:
-            self._wake(wake_at(first))
-        return iter([])
-
-    def _wake(self, at: int) -> None:
-        """One timer for each source: that of its earliest waiting row, else that of its end."""
-        timers = list(self.handle.listTimers())
-        if not timers or min(timers) > at:
-            for t in timers:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
-        rows = sorted(self.waiting.get()) if self.waiting.exists() else []
-        cut = next((k for k, r in enumerate(rows) if wake_at(r[0]) >= mark), len(rows))
-        due, rest = rows[:cut], rows[cut:]
-        if not rows:  # silent for long: forgotten
-            self.memory.clear()
-            return
-        if rest:
-            self.waiting.put(rest)
-        else:
-            self.waiting.clear()
-        self.handle.registerTimer(wake_at(rest[0][0]) if rest else wake_at(rows[-1][0]) + self.cfg.memory_days * 86_400_000)
-        if due:
-            yield from self._fold(key[0], due)
-
-    def _fold(self, source: str, due: list[tuple]) -> Iterator[pd.DataFrame]:
-        cfg = self.cfg
-        window, calm, need = cfg.lookback_seconds * 1_000_000, cfg.cooldown_seconds * 1_000_000, cfg.correlation_min_events
-        recent, last_alert, threats, points = self.memory.get() if self.memory.exists() else ([], -(2**62), 0, 100)
-        us = np.array([*recent, *(r[0] for r in due)], np.int64)
-        own = np.arange(len(due)) + len(recent)
-        back = own - max(need - 1, 0)
-        correlated = (need <= 1) | ((back >= 0) & (us[np.maximum(back, 0)] >= us[own] - window))
-        out = []
-        for k, (at, log_id, score_, mult) in enumerate(due):
-            if score_ <= cfg.anomaly_gate:
-                continue
-            cooling = at - calm <= last_alert < at
-            risk = min(0.3 * cooling + 0.4 * (not correlated[k]) + 0.2 * (threats == 0), 0.9)
-            final = min(max(score_ * mult * (1.0 - risk), 0.0), 1.0)
-            action = "BLOCK" if final >= cfg.high_confidence else "RATE_LIMIT" if final >= 0.65 else "ALERT" if final >= cfg.medium_confidence else "MONITOR"
-            if action in ("BLOCK", "RATE_LIMIT") and final <= 0.9 and threats < 2:
-                action = "RATE_LIMIT" if action == "BLOCK" else "ALERT"
-            points = max(points - REPUTATION_STEP.get(action, 0), 0)
-            out.append((log_id, source, at, score_, threats, cooling, bool(correlated[k]), risk, final, action, points / 100.0))
-            threats += 1
-            if action != "MONITOR":
-                last_alert = int(at)
-        self.memory.update((us[-max(need - 1, 1):].tolist(), last_alert, threats, points))
-        if out:
-            made = pd.DataFrame(out, columns=["log_id", "source_ip", "ts", "combined", "prior", "in_cooldown", "correlated", "fp_risk", "final_score", "action", "reputation"])
-            made["ts"] = pd.to_datetime(made["ts"], unit="us", utc=True)
-            yield made
+_WAITING = np.dtype([("who", "i8"), ("us", "i8"), ("log_id", "i8"), ("combined", "f8"), ("multiplier", "f8")])
+_SEEN = np.dtype([("who", "i8"), ("us", "i8")])
+_MEMORY = np.dtype([("last_alert", "i8"), ("threats", "i8"), ("points", "i8"), ("end", "i8")])
+
 
-    def close(self) -> None:
-        pass
+def _correlated(seen: np.ndarray, due: np.ndarray, cfg: Config) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the due rows whether enough rows of its source came shortly before, and the last rows of each source."""
+    need, window = cfg.correlation_min_events, cfg.lookback_seconds * 1_000_000
+    rows = np.concatenate([seen, due[["who", "us"]].astype(_SEEN)])
+    own = np.concatenate([np.full(len(seen), -1), np.arange(len(due))])
+    order = np.lexsort((own, rows["us"], rows["who"]))
+    rows, own = rows[order], own[order]
+    who, us, at = rows["who"], rows["us"], np.arange(len(rows))
+    back = at - max(need - 1, 0)
+    first = np.maximum(back, 0)
+    near = (need <= 1) | ((back >= 0) & (who[first] == who) & (us[first] >= us - window))
+    found = np.empty(len(due), bool)
+    found[own[own >= 0]] = near[own >= 0]
+    return found, rows[np.searchsorted(who, who, side="right") - at <= max(need - 1, 1)]
 
 
 def decide(scored: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Decisions for gated flows with each source's own past decisions feeding back, in event-time order.
 
     A row is decided when the watermark has passed it, after all earlier rows of its source, so the
-    decisions don't depend on how rows are dealt to micro-batches. State per source: the rows that
-    wait (no longer than the watermark's delay), and a memory of constant size: the last event times
+    decisions don't depend on how rows are dealt to micro-batches. State, in parts by source: the rows that
+    wait (no longer than the watermark's delay), and a memory of constant size for each source: the last event times
     (enough to know whether three fall within five minutes), the last alert, a counter and the
     reputation. A source that is silent for ``memory_days`` is forgotten.
     """
     lists_in_state(scored)
-    slim = marked(scored, cfg).select("log_id", "source_ip", "ts", F.unix_micros("ts").alias("us"), "combined", stage_multiplier("stage").alias("multiplier"))
-    return slim.groupBy("source_ip").transformWithStateInPandas(_Decisions(cfg), DECISIONS, "Append", "EventTime")
+    calm = cfg.cooldown_seconds * 1_000_000
+    timed = marked(scored, cfg).where("ts is not null")  # a row without a time has no place among the others
+    slim = timed.select("log_id", "source_ip", "ts", F.unix_micros("ts").alias("us"), "combined", stage_multiplier("stage").alias("multiplier"))
+
+    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = [f for f in frames if len(f)]
+        held, memory, waiting, seen = _held(state, _MEMORY, _WAITING, _SEEN)
+        names, who = _numbered(held, new)
+        memory = np.concatenate([memory, np.array([(-_NEVER, 0, 100, 0)] * (len(names) - len(held)), _MEMORY)])
+        waiting = np.concatenate([waiting, _table(_WAITING, who, new)])
+        mark = state.getCurrentWatermarkMs()
+        late = wake_at(waiting["us"]) < mark
+        due, rest = waiting[late], waiting[~late]
+        due = due[np.lexsort([due[c] for c in reversed(_WAITING.names)])]
+        correlated, seen = _correlated(seen, due, cfg)
+        np.maximum.at(memory["end"], due["who"], wake_at(due["us"]) + cfg.memory_days * _DAY_MS)
+        last_alert, threats, points = (memory[c].tolist() for c in ("last_alert", "threats", "points"))
+        gated, out = due["combined"] > cfg.anomaly_gate, []
+        for (k, at, log_id, score_, mult), near in zip(due[gated].tolist(), correlated[gated].tolist()):
+            n = threats[k]
+            cooling = at - calm <= last_alert[k] < at
+            risk = min(0.3 * cooling + 0.4 * (not near) + 0.2 * (n == 0), 0.9)
+            final = min(max(score_ * mult * (1.0 - risk), 0.0), 1.0)
+            action = "BLOCK" if final >= cfg.high_confidence else "RATE_LIMIT" if final >= 0.65 else "ALERT" if final >= cfg.medium_confidence else "MONITOR"
+            if action in ("BLOCK", "RATE_LIMIT") and final <= 0.9 and n < 2:
+                action = "RATE_LIMIT" if action == "BLOCK" else "ALERT"
+            points[k] = max(points[k] - REPUTATION_STEP.get(action, 0), 0)
+            out.append((log_id, names[k], at, score_, n, cooling, near, risk, final, action, points[k] / 100.0))
+            threats[k] = n + 1
+            if action != "MONITOR":
+                last_alert[k] = at
+        memory["last_alert"], memory["threats"], memory["points"] = last_alert, threats, points
+        idle = np.ones(len(names), bool)
+        idle[rest["who"]] = False
+        kept = ~idle | (memory["end"] >= mark)
+        kept[due["who"]] = True
+        _release(state, names, kept, memory, rest, seen[kept[seen["who"]]])
+        if kept.any():
+            ends = [wake_at(rest["us"]), memory["end"][kept & idle]]
+            state.setTimeoutTimestamp(max(min(int(e.min()) for e in ends if len(e)), mark + 1))
+        if out:
+            made = pd.DataFrame(out, columns=["log_id", "source_ip", "ts", "combined", "prior", "in_cooldown", "correlated", "fp_risk", "final_score", "action", "reputation"])
+            made["ts"] = pd.to_datetime(made["ts"], unit="us", utc=True)
+            yield made
+
+    memory = "sources array<string>, memory binary, waiting binary, seen binary"
+    return _by_source(slim).applyInPandasWithState(step, DECISIONS, memory, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 # --- validation after sixty seconds ---------------------------------------------------------------------
